@@ -28,7 +28,41 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, share) of every document that leaks a benchmark item."""
+    from .decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "share")
+
+
+def held_out(mod: int, which: int):
+    """Whether crc32 of doc_id as text leaves that remainder; a null doc_id counts as the empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % mod == which
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    weights = train(docs, labels.filter(~held_out(4, 2)).select("doc_id", "toxic"))
+    return score(docs, weights).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = read(spark, sf_dir, "documents")
+    langs, net = fit(docs.filter(~held_out(5, 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    return predict(docs, langs, net).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_pii
+
+    return digest(find_pii(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op6_decontaminate, op7_toxicity, op8_language, op10_pii)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
