@@ -28,6 +28,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantised, search
+
+    vectors = quantised(read(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join
 
@@ -62,13 +69,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, langs, net).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find_pii
 
     return digest(find_pii(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op4_topk, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op9_html_text, op10_pii)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -82,4 +95,13 @@ hot AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINC
 SELECT doc_id, count(*) AS n_lines, count(h.k) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN h.k IS NULL THEN l END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM lines LEFT JOIN hot h ON lines.k = h.k GROUP BY doc_id""",
+    "op4_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
 }
