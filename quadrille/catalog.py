@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import graph_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
