@@ -121,6 +121,6 @@ def plain(sql: str) -> str:
 
     def fill(m: re.Match) -> str:
         name = m[1]
-        return name if name in TABLES else f"({plain(DERIVED[name])})"
+        return name if name in TABLES else f"({plain(DERIVED[name])})" if name in DERIVED else m[0]
 
     return re.sub(r"\{(\w+)\}", fill, sql)
