@@ -100,7 +100,8 @@ def parse_collection_query(query: Column) -> Column:
 
 def encode_token(prefix: Column, start: Column, until: Column, spec: Column, cursor: Column, size: Column) -> Column:
     parts = [F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(""))) for k, v in (("prefix", prefix), ("from", start), ("until", until), ("set", spec), ("cursor", cursor), ("list_size", size))]
-    return F.base64(F.encode(F.concat_ws("::", *parts), "UTF-8"))
+    # Spark breaks the lines of long base64
+    return F.regexp_replace(F.base64(F.encode(F.concat_ws("::", *parts), "UTF-8")), "\\s", "")
 
 
 def decode_token(token: Column) -> Column:
