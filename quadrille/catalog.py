@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import conversion_queries, graph_queries, search_queries, sync_queries  # noqa: F401
+from .plans import conversion_queries, function_queries, graph_queries, io_queries, search_queries, sync_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
