@@ -14,8 +14,9 @@ _STATEMENT = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL}
 
 def read_bulk_actions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(actions, errors) of JSON lines; bad lines are kept as errors and stop nothing."""
-    rows = spark.read.schema(f"{BULK_ACTION}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select(F.col("_bad").alias("line"))
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", f"{BULK_ACTION}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("a"))
+    return rows.filter("a._bad is null").select("a.*").drop("_bad"), rows.filter("a._bad is not null").select(F.col("value").alias("line"))
 
 
 def read_index_items(spark: SparkSession, path: str, fmt: str = "xml") -> DataFrame:
@@ -45,7 +46,7 @@ def _unescape(c: Column) -> Column:
     c = F.regexp_replace(c, r"\\\\", "\u0000")
     for code, raw in ((r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r'\\"', '"')):
         c = F.regexp_replace(c, code, raw)
-    return F.regexp_replace(c, "\u0000", r"\\\\")
+    return F.replace(c, F.lit("\u0000"), F.lit("\\"))
 
 
 def parse_statements(df: DataFrame, line: str, graph: Column | None = None) -> DataFrame:
