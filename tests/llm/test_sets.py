@@ -75,12 +75,23 @@ def test_join_is_exact(spark, documents, width, percent, seed):
     assert sorted(map(tuple, got)) == brute(rows, width, percent)
 
 
-def test_more_leaders_than_a_round(spark, documents, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEADERS", 2)
+def test_blocks_are_joined_with_each_other(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
     rows = corpus(5)
     assert sorted(map(tuple, jaccard.join(documents(rows), 3, 80).collect())) == brute(rows, 3, 80)
 
 
+def test_tree_join():
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 90, 100):
+        base = np.unique(rng.integers(0, 2**60, 200).astype(np.uint64))
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.5])], rng.integers(0, 2**60, rng.integers(0, 25)).astype(np.uint64)])) for _ in range(60)]
+        tree = sorted(sets[:40], key=lambda x: x.astype(">u8").tobytes())
+        got = set(jaccard.tree_join(tree, sets[20:], percent))
+        want = {(i, j) for i, x in enumerate(tree) for j, y in enumerate(sets[20:]) if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))}
+        assert got == want
+
+
 def test_segments_leave_shared_ones():
     groups = np.arange(40)
     for percent in (50, 80, 90, 95, 100):
