@@ -44,9 +44,8 @@ def match_text(docs: DataFrame, query: str, text: Column | None = None, key: str
     """
     terms = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
     need = len(terms) if len(terms) <= 2 else -(-len(terms) // 2)
-    held = words_of(text if text is not None else text_of(docs))
-    counted = docs.withColumn("_w", held).withColumn("_tf", F.array(*[_count(t) for t in terms]) if terms else F.array().cast("array<int>"))
-    counted = counted.withColumn("_len", F.size("_w")).drop("_w")
+    low = F.lower(text if text is not None else text_of(docs))
+    counted = docs.withColumns({"_tf": F.array(*[_count(low, t) for t in terms]) if terms else F.array().cast("array<int>"), "_len": F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+"))})
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[k] > 0) for k in range(len(terms))]).alias("_df"))
     hits = counted.filter(F.size(F.filter("_tf", lambda x: x > 0)) >= need) if terms else counted.filter(F.lit(False))
     idf = lambda k: F.log(1 + (F.col("_n") - F.col("_df")[k] + 0.5) / (F.col("_df")[k] + 0.5))
@@ -55,8 +54,10 @@ def match_text(docs: DataFrame, query: str, text: Column | None = None, key: str
     return hits.crossJoin(F.broadcast(stats)).withColumn("score", score).drop("_tf", "_len", "_n", "_avg", "_df")  # stats is one row
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("_w", lambda w: w == F.lit(term)))
+def _count(low: Column, term: str) -> Column:
+    """How often a term is a whole word of a text; a text without the letters is not searched."""
+    word = rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])"
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(word))).otherwise(0)
 
 
 def parse_fielded(query: str) -> Column:

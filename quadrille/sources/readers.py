@@ -42,25 +42,26 @@ def read_marked_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_marked(rows.withColumn("spec", spec))
 
 
-def _unescape(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\\\\", "\u0000")
+def _unescape(text: Column) -> Column:
+    c = F.regexp_replace(text, r"\\\\", "\u0000")
     for code, raw in ((r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r'\\"', '"')):
         c = F.regexp_replace(c, code, raw)
-    return F.replace(c, F.lit("\u0000"), F.lit("\\"))
+    return F.when(F.instr(text, "\\") > 0, F.replace(c, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
 
 def parse_statements(df: DataFrame, line: str, graph: Column | None = None) -> DataFrame:
     """Quads of lines in N-Triples or N-Quads; lines that are no statement are left out. ``graph`` names those without one."""
-    g = lambda k: F.nullif(F.regexp_extract(line, _STATEMENT, k), F.lit(""))
-    found = df.filter(F.col(line).rlike(_STATEMENT))
-    is_literal = F.col(line).rlike(rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+\"")
-    obj = F.when(is_literal, _unescape(F.regexp_extract(line, _STATEMENT, 6))).otherwise(F.coalesce(g(4), g(5)))
+    # all groups in one pass of the pattern
+    groups = F.split(F.regexp_replace(line, _STATEMENT, "\u0001".join(f"${k}" for k in range(1, 10))), "\u0001", -1)
+    found = df.withColumn("_g", groups).filter(F.size("_g") == 9)
+    g = lambda k: F.nullif(F.col("_g")[k - 1], F.lit(""))
+    is_literal = g(4).isNull() & g(5).isNull()
     return found.select(
         F.coalesce(g(9), graph if graph is not None else F.lit(None).cast("string")).alias("graph"),
         F.coalesce(g(1), g(2)).alias("s"),
         F.when(g(1).isNotNull(), "URIRef").otherwise("BNode").alias("s_kind"),
         g(3).alias("p"),
-        obj.alias("o"),
+        F.when(is_literal, _unescape(F.col("_g")[5])).otherwise(F.coalesce(g(4), g(5))).alias("o"),
         F.when(is_literal, "Literal").when(g(4).isNotNull(), "URIRef").otherwise("BNode").alias("o_kind"),
         g(8).alias("datatype"),
         g(7).alias("lang"),
