@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hub_id_from_graph
-from ..functions.namespaces import DC, EDM, NAVE
+from ..functions.namespaces import DC, EDM, FOAF, NAVE, ORE
 from ..functions.text import index_entry, natural_key
 from .graph import captions, filter_properties, geo_points, graph_profile, pick_thumbnail, resolve_labels, search_fields
 
 # Media fields whose values keep the order of the media.
 KEEP_ORDER = ["nave_thumbSmall", "nave_thumbLarge", "nave_thumbnail", "nave_deepZoomUrl", "edm_hasView"]
+# Predicates whose objects are not followed.
+NOT_FOLLOWED = [FOAF + "primaryTopic", ORE + "isAggregatedBy", "http://creativecommons.org/ns#attributionURL", EDM + "isShownAt"]
 
 
 def _fields(quads: DataFrame) -> DataFrame:
@@ -33,7 +35,8 @@ def to_flat_docs(quads: DataFrame) -> DataFrame:
 def to_nested_docs(quads: DataFrame, depth: int = 2) -> DataFrame:
     """(graph, about, fields): fields of the record, each entry with ``inline``: the fields of the resource it links to, depth 2.
 
-    A link to the record itself or to the subject is not followed, nor one to a resource without triples.
+    A link to the record itself or to the subject is not followed, nor one by a predicate of NOT_FOLLOWED, nor one to a
+    resource without triples.
     """
     record = F.regexp_replace("graph", "/graph$", "")
     labelled = resolve_labels(quads)
@@ -42,7 +45,7 @@ def to_nested_docs(quads: DataFrame, depth: int = 2) -> DataFrame:
     near = near.select(F.col("graph").alias("_g"), F.col("s").alias("_s"), F.array_distinct(F.transform("_pairs", lambda x: x["field"])).alias("_names"), "_pairs")
     inline = F.map_from_arrays("_names", F.transform("_names", lambda n: F.transform(F.filter("_pairs", lambda x: x["field"] == n), lambda x: x["raw"])))
     own = search_fields(filter_properties(labelled)).filter(F.col("s") == record)
-    joined = own.join(near, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_s")) & (F.col("o_kind") != "Literal"), "left") if depth > 1 else own.withColumns({"_names": F.lit(None).cast("array<string>"), "_pairs": F.lit(None).cast("array<struct<field:string,raw:string>>")})
+    joined = own.join(near, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_s")) & (F.col("o_kind") != "Literal") & ~F.col("p").isin(NOT_FOLLOWED), "left") if depth > 1 else own.withColumns({"_names": F.lit(None).cast("array<string>"), "_pairs": F.lit(None).cast("array<struct<field:string,raw:string>>")})
     entry = F.struct(F.col("o_kind").alias("type"), F.when(F.col("o_kind") != "Literal", F.col("o")).alias("id"), F.col("label").alias("value"), F.col("label_lang").alias("lang"), inline.alias("inline"))
     per = joined.groupBy("graph", F.col("label_of").alias("field")).agg(F.collect_list(entry).alias("entries"))
     fields = per.select("graph", F.struct("field", "entries").alias("_f")).groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
