@@ -228,3 +228,25 @@ def test_cuckoo_filters_follow_deletions(spark, documents):
 def test_kept_hash(spark, documents):
     got = linededup.drop_lines(documents([(1, "a\nb")]), 10).selectExpr("sha2(kept_text, 256) h").first().h
     assert got == hashlib.sha256(b"a\nb").hexdigest()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    from quadrille.llm.components import components
+
+    rng = random.Random(seed)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(200)] + [(ids[i], ids[i + 1]) for i in range(60)] + [(ids[100], i) for i in ids[200:240]]
+    parent = {i: i for p in pairs for i in p if p[0] != p[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
