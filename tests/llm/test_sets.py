@@ -75,6 +75,16 @@ def test_join_is_exact(spark, documents, width, percent, seed):
     assert sorted(map(tuple, got)) == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 3), (5, 80, 4)])
+def test_join_without_repeated_lines_in_runs_is_exact(spark, documents, width, percent, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choices([f"v{i}" for i in range(80)], k=k)) for k in (4, 9, 30, 70)]
+    rows = [(d, "\n".join([t, *rng.sample(lines, rng.randrange(0, 4))])) for d, t in corpus(seed)]
+    assert len(jaccard.repeated_grams(documents(rows), width)) > 50
+    got = jaccard.join(documents(rows), width, percent, apart=True).collect()
+    assert sorted(map(tuple, got)) == brute(rows, width, percent)
+
+
 def test_blocks_are_joined_with_each_other(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
     rows = corpus(5)
