@@ -233,19 +233,42 @@ def collection_members(docs: DataFrame, collections: DataFrame) -> DataFrame:
     return met.groupBy("slug", "hub_id").agg(F.countDistinct("field").alias("_got"), F.max("_need").alias("_need")).filter("_got = _need").select("slug", "hub_id")
 
 
-def related_by_values(docs: DataFrame, fields: list[str], k: int, max_df: int | None = None) -> DataFrame:
+def related_by_values(docs: DataFrame, fields: list[str], k: int, max_df: int | None = None, dense: int = 60) -> DataFrame:
     """(hub_id, related, matches): for each record the k that share most exact values of the fields, ties by id.
 
-    With ``max_df``, values that more documents have do not count.
+    Records meet in pairs on values of at most ``dense`` records. The set of a record's other, heavy
+    values is shared by many: sets meet instead, each with its k + 1 smallest ids, and the best
+    k + 1 of every set go to all its records. A record that is left out has k before it, so the
+    result is exact and does not depend on ``dense``. With ``max_df``, values that more documents
+    have do not count.
     """
-    values = cut(raw_values(docs).filter(F.col("field").isin(fields)))
+    values = cut(raw_values(docs).filter(F.col("field").isin(fields)).dropDuplicates())
+    counted = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("_df"))
     if max_df is not None:
-        common = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > max_df)
-        values = values.join(common, ["field", "value"], "left_anti")
-    other = values.withColumnRenamed("hub_id", "related")
-    shared = values.join(other, ["field", "value"]).filter("hub_id <> related").groupBy("hub_id", "related").agg(F.count(F.lit(1)).alias("matches"))
-    w = Window.partitionBy("hub_id").orderBy(F.desc("matches"), "related")
-    return shared.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        values = values.join(counted.filter(F.col("_df") > max_df), ["field", "value"], "left_anti")
+    heavy = cut(counted.filter(F.col("_df") > dense).select("field", "value"))
+    light, held = values.join(heavy, ["field", "value"], "left_anti"), values.join(heavy, ["field", "value"], "left_semi")
+    sets = cut(held.groupBy("hub_id").agg(F.sort_array(F.collect_set(F.struct("field", "value"))).alias("set")).withColumn("g", F.md5(F.to_json("set"))))
+    # pairs on light values, with the heavy values that they share as well
+    pairs = light.join(light.withColumnRenamed("hub_id", "related"), ["field", "value"]).filter("hub_id <> related").groupBy("hub_id", "related").agg(F.count(F.lit(1)).alias("n"))
+    mine, theirs = sets.select("hub_id", F.col("set").alias("_a")), sets.select(F.col("hub_id").alias("related"), F.col("set").alias("_b"))
+    also = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
+    near = pairs.join(mine, "hub_id", "left").join(theirs, "related", "left").select("hub_id", "related", (F.col("n") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), also).otherwise(0)).alias("matches"))
+    # sets of heavy values with each other
+    kinds = sets.select("g", F.explode("set").alias("v")).distinct()
+    met = kinds.join(kinds.withColumnRenamed("g", "g2"), "v").groupBy("g", "g2").agg(F.count(F.lit(1)).alias("matches"))
+    least = _first(sets.select(F.col("g").alias("g2"), F.col("hub_id").alias("related")), "g2", k + 1, "related")
+    best = _first(met.join(least, "g2").select("g", "related", "matches"), "g", k + 1, F.desc("matches"), "related")
+    lists = best.groupBy("g").agg(F.collect_list(F.struct("related", "matches")).alias("l"))
+    far = sets.select("hub_id", "g").join(lists, "g").select("hub_id", F.explode("l").alias("l")).select("hub_id", "l.related", "l.matches").filter("hub_id <> related")
+    # light values count in ``near`` alone, which has all of a pair's
+    shared = near.unionByName(far).groupBy("hub_id", "related").agg(F.max("matches").alias("matches"))
+    return _first(shared, "hub_id", k, F.desc("matches"), "related")
+
+
+def _first(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
+    """The first n rows of each key; Spark takes them in every task before it shuffles."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
 def more_like_this(docs: DataFrame, text: Column, k: int, terms: int = 12, min_tf: int = 1, min_df: int = 2, max_df: int = 1000) -> DataFrame:

@@ -143,7 +143,7 @@ def collection_members(spark, d):
 
 @_q("WITH v AS (SELECT DISTINCT hub_id, field, left(value, 256) AS value FROM (SELECT hub_id, 'dc_title' AS field, replace(title, '\"', '''') AS value FROM {docs} UNION ALL SELECT hub_id, 'edm_dataProvider', spec FROM {docs})), k AS (SELECT field, value FROM v GROUP BY field, value HAVING count(*) <= 60), u AS (SELECT v.* FROM v JOIN k ON v.field = k.field AND v.value = k.value) SELECT hub_id, related, matches FROM (SELECT a.hub_id, b.hub_id AS related, count(*) AS matches, row_number() OVER (PARTITION BY a.hub_id ORDER BY count(*) DESC, b.hub_id) AS r FROM u a JOIN u b ON a.field = b.field AND a.value = b.value AND a.hub_id <> b.hub_id GROUP BY a.hub_id, b.hub_id) WHERE r <= 5")
 def related_by_values(spark, d):
-    return S.related_by_values(text_docs(spark, d), ["dc_title", "edm_dataProvider"], 5, max_df=60)
+    return S.related_by_values(text_docs(spark, d), ["dc_title", "edm_dataProvider"], 5)
 
 
 @query()
