@@ -7,8 +7,12 @@ array(struct(type, id, value, raw, lang)), and maybe ``point`` array<string>.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -271,20 +275,103 @@ def _first(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def more_like_this(docs: DataFrame, text: Column, k: int, terms: int = 12, min_tf: int = 1, min_df: int = 2, max_df: int = 1000) -> DataFrame:
+def more_like_this(docs: DataFrame, text: Column, k: int, terms: int = 12, min_tf: int = 1, min_df: int = 2, max_df: int | None = None) -> DataFrame:
     """(hub_id, related, score): for each record the k others that share most weight of its best terms by tf * idf.
 
-    Of every record at most ``terms`` terms are looked up; terms of more than ``max_df`` documents
-    say little and are not used, so no posting list is long.
+    Of every record, one row of ``docs``, at most ``terms`` terms are looked up. Records are dealt to
+    blocks, however frequent their terms; the best terms of every record visit each block and add
+    up their postings there, so no pair of records is ever a row, and a block passes on k of each.
+    With ``max_df``, terms of more documents are not used.
     """
     n = docs.count()
-    tf = cut(docs.select("hub_id", F.explode(words_of(text)).alias("term")).groupBy("hub_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df)).withColumn("idf", F.log(1 + F.lit(float(n)) / F.col("df")))
-    weighed = tf.filter(F.col("tf") >= min_tf).join(df, "term").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
-    best = weighed.withColumn("_r", F.row_number().over(Window.partitionBy("hub_id").orderBy(F.desc("w"), "term"))).filter(F.col("_r") <= terms).select("hub_id", "term", "w")
-    other = weighed.select(F.col("hub_id").alias("related"), "term", "idf")
-    scored = best.join(other, "term").filter("hub_id <> related").groupBy("hub_id", "related").agg(F.round(F.sum(F.col("w") * F.col("idf")), 4).alias("score"))
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("hub_id").orderBy(F.desc("score"), "related"))).filter(F.col("_r") <= k).drop("_r")
+    tf = docs.select("hub_id", words_of(text).alias("words")).mapInArrow(_term_counts, "hub_id string, term string, tf long")
+    seen = F.col("df") >= min_df if max_df is None else F.col("df").between(min_df, max_df)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(seen)
+    df = cut(df.orderBy("term").select("term", F.monotonically_increasing_id().alias("t"), F.log(1 + F.lit(float(n)) / F.col("df")).alias("idf")))  # t ascends with the term
+    weighed = tf.join(df, "term").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
+    bags = weighed.groupBy("hub_id").agg(F.collect_list(F.struct((-F.col("w")).alias("v"), "t", (F.col("w") * F.col("idf")).alias("s"), (F.col("tf") >= min_tf).alias("use"))).alias("l"))
+    best = F.slice(F.sort_array(F.filter("l", lambda x: x["use"])), 1, terms)
+    spark = docs.sparkSession
+    blocks = max(-(-n // BLOCK_DOCS), min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    packed = bags.select("hub_id", F.transform("l", lambda x: x["t"]).alias("held"), best.alias("b")).select("hub_id", "held", F.transform("b", lambda x: x["t"]).alias("t"), F.transform("b", lambda x: x["s"]).alias("s"))
+    none = F.array().cast("array<double>")
+    # side 0 has the terms of the block's own records, side 1 the best terms of all
+    own = F.array(F.struct(F.pmod(F.xxhash64("hub_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), F.col("held").alias("t"), none.alias("s")))
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(b.alias("block"), F.lit(1).alias("side"), F.col("t").alias("t"), F.col("s").alias("s")))
+    dealt = packed.select("hub_id", F.explode(F.concat(own, all_)).alias("r")).select("r.block", "r.side", "hub_id", "r.t", "r.s")
+    met = dealt.repartition(blocks, "block").sortWithinPartitions("block", "side", "hub_id").mapInArrow(_in_blocks(k), "hub_id string, related string, score double")
+    return _first(met, "hub_id", k, F.desc("score"), "related")
+
+
+#: Most records of a block on average.
+BLOCK_DOCS = 32768
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for hub, words in zip(batch.column(0), batch.column(1), strict=True):
+            tf = Counter(words.as_py() or [])
+            if tf:
+                yield pa.RecordBatch.from_arrays([pa.array([hub.as_py()] * len(tf), pa.string()), pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64())], ["hub_id", "term", "tf"])
+
+
+def _in_blocks(k: int):
+    """For every record of side 1 the k best of the block's records of side 0, without itself."""
+
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, hubs, held = None, [], []
+        names, known, bounds, docs, place = [], None, None, None, {}
+        for batch in batches:
+            block_of, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            turns = np.flatnonzero((np.diff(block_of) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *turns], [*turns, len(side)], strict=True):
+                if not b > a:
+                    continue
+                if block_of[a] != block:
+                    block, hubs, held, known = block_of[a], [], [], None
+                part = batch.slice(int(a), int(b - a))
+                t, at = lists(part.column(3))
+                hub = part.column(2).to_pylist()
+                if side[a] == 0:
+                    hubs += hub
+                    held += [(t, np.diff(at))]
+                    continue
+                if not hubs:
+                    continue
+                if known is None:
+                    every = np.concatenate([x for x, _ in held])
+                    docs = np.repeat(np.arange(len(hubs)), np.concatenate([n for _, n in held]))
+                    by = np.argsort(every, kind="stable")
+                    known, first = np.unique(every[by], return_index=True)
+                    bounds, docs, place = np.append(first, len(every)), docs[by], {h: i for i, h in enumerate(hubs)}
+                    names = np.array(hubs, object)
+                s, _ = lists(part.column(4))
+                spot = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                hit = known[spot] == t
+                out = ([], [], [])
+                for i, h in enumerate(hub):
+                    score = np.zeros(len(hubs))
+                    for j in range(at[i], at[i + 1]):
+                        if hit[j]:
+                            score[docs[bounds[spot[j]] : bounds[spot[j] + 1]]] += s[j]
+                    if h in place:
+                        score[place[h]] = 0.0
+                    score = np.round(score, 4)
+                    few = np.flatnonzero(score > 0)
+                    if len(few) > k:
+                        least = np.partition(score[few], len(few) - k)[len(few) - k]
+                        above = few[score[few] > least]
+                        few = np.concatenate([above, few[score[few] == least][: k - len(above)]])  # ids ascend
+                    out[0].extend([h] * len(few))
+                    out[1].extend(names[few])
+                    out[2].append(score[few])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(np.concatenate(out[2]))], ["hub_id", "related", "score"])
+
+    return run
 
 
 def analyze_nl(c: Column) -> Column:

@@ -149,7 +149,7 @@ def related_by_values(spark, d):
 @query()
 def more_like_this(spark, d):
     """Scores are sums of products of rounded logarithms; a test holds it against brute force."""
-    return S.more_like_this(table(spark, d, "docs"), F.col("title"), 10)
+    return S.more_like_this(table(spark, d, "docs"), F.col("text"), 10)
 
 
 @_q(f"SELECT hub_id, array_to_string(list_filter({_WORDS.replace('text', 'title')}, lambda x: x NOT IN ({', '.join(repr(w) for w in S.STOP_NL)})), ' ') AS words FROM {{docs}}")

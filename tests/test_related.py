@@ -1,7 +1,9 @@
 """Related records against brute force, where values are shared by many."""
 
+import math
+import re
 import shutil
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -46,3 +48,35 @@ def test_related_by_values_query_keeps_values_of_many_records(spark, sf_dir, tmp
     pq.write_table(t.set_column(t.schema.get_field_index("source"), "source", one), at)
     got = catalog.QUERIES["related_by_values"](spark, str(tmp_path / "d")).groupBy("hub_id").agg(F.count("*").alias("n")).collect()
     assert len(got) == t.num_rows and {r.n for r in got} == {5}
+
+
+def ranked_by_brute_force(texts, k, terms):
+    tf = {d: Counter(w for w in re.split(r"[\W_]+", t.lower()) if w) for d, t in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log(1 + len(texts) / n) for t, n in df.items() if n >= 2}
+    out = {}
+    for d, c in tf.items():
+        top = sorted((-round(n * idf[t], 6), t) for t, n in c.items() if t in idf)[:terms]
+        score = {e: round(sum(-w * idf[t] for w, t in top if t in o), 4) for e, o in tf.items() if e != d}
+        out[d] = sorted((s for s in score.values() if s > 0), reverse=True)[:k]
+    return out
+
+
+def test_more_like_this_uses_frequent_terms(spark, monkeypatch):
+    texts = {f"d{i:04}": "common " * (i % 5 + 1) + f"w{i % 3} x{i % 7}" for i in range(1200)}
+    monkeypatch.setattr(search, "BLOCK_DOCS", 500)
+    got = defaultdict(list)
+    for r in search.more_like_this(spark.createDataFrame(list(texts.items()), "hub_id string, text string"), F.col("text"), 4, terms=2).collect():
+        assert r.hub_id != r.related
+        got[r.hub_id].append(r.score)
+    want = ranked_by_brute_force(texts, 4, 2)
+    assert {d: sorted(s, reverse=True) for d, s in got.items()} == {d: pytest.approx(s, abs=2e-4) for d, s in want.items()}
+
+
+def test_more_like_this_query_reads_whole_texts(spark, sf_dir):
+    texts = {f"demo_{r.source}_{r.doc_id}": r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()}
+    got = defaultdict(list)
+    for r in catalog.QUERIES["more_like_this"](spark, sf_dir).collect():
+        got[r.hub_id].append(r.score)
+    want = {d: s for d, s in ranked_by_brute_force(texts, 10, 12).items() if s}
+    assert {d: sorted(s, reverse=True) for d, s in got.items()} == {d: pytest.approx(s, abs=2e-3) for d, s in want.items()}
