@@ -91,6 +91,17 @@ def test_blocks_are_joined_with_each_other(spark, documents, monkeypatch):
     assert sorted(map(tuple, jaccard.join(documents(rows), 3, 80).collect())) == brute(rows, 3, 80)
 
 
+def test_parts_without_sets(spark):
+    same = np.arange(100_000, dtype=np.uint64).astype(">u8").tobytes()
+    hashed = spark.range(100).selectExpr("id fp", "pmod(xxhash64(id), 2) part")
+    fps = [r.fp for r in hashed.filter("part = 1").orderBy("fp").limit(2).collect()]
+    placed = jaccard.blocked(spark.createDataFrame([(fp, 100_000, 1) for fp in fps], "fp long, n long, bundle long"), 80)
+    sets = spark.createDataFrame([(fp, 100_000, same) for fp in fps], "fp long, n long, grams binary")
+    assert {tuple(sorted(r)) for r in jaccard.verified(placed, sets, 80).collect()} == {tuple(fps)}
+    alone = placed.limit(1).selectExpr("fp", "pair", "1 side")
+    assert jaccard.verified(alone, sets, 80).collect() == []
+
+
 def test_tree_join():
     rng = np.random.default_rng(7)
     for percent in (50, 80, 90, 100):
