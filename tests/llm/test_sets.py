@@ -85,6 +85,13 @@ def test_join_without_repeated_lines_in_runs_is_exact(spark, documents, width, p
     assert sorted(map(tuple, got)) == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("percent", [50, 70])
+def test_join_of_sizes_far_apart(spark, documents, percent):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(100 * i + j, " ".join(f"{i}{w}" for w in words[:n])) for i, pair in enumerate([(10, 20), (12, 23), (21, 30), (22, 31), (300, 429), (1000, 2000)]) for j, n in enumerate(pair)]
+    assert sorted(map(tuple, jaccard.join(documents(rows), 1, percent).collect())) == brute(rows, 1, percent)
+
+
 def test_blocks_are_joined_with_each_other(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
     rows = corpus(5)
