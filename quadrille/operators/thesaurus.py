@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,15 @@ from .tables import cut
 PARENTS = [GN + "parentFeature", GN + "parentADM2", GN + "parentADM1", GN + "parentCountry"]
 
 
-def broader_closure(quads: DataFrame, max_depth: int = 10) -> DataFrame:
+def broader_closure(quads: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(s, ancestor, label): everything broader than a concept at any depth, itself left out.
 
     Each round joins only the pairs that were new in the last one, so cycles end; lineage is cut
-    each round.
+    each round. ``max_depth`` bounds the steps.
     """
     step = quads.filter(F.col("p") == SKOS + "broader").select(F.col("s").alias("below"), F.col("o").alias("above")).distinct()
     known = fresh = cut(step.select(F.col("below").alias("s"), F.col("above").alias("ancestor")))
-    for _ in range(max_depth - 1):
+    for _ in itertools.count() if max_depth is None else range(max_depth - 1):
         found = fresh.join(step, F.col("ancestor") == F.col("below")).select("s", F.col("above").alias("ancestor")).distinct()
         fresh = cut(found.join(known, ["s", "ancestor"], "left_anti"))
         if fresh.isEmpty():
