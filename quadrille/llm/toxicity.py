@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import _LOWERED, bytes_of, mix, slices, span_hashes, words_of
 
@@ -103,17 +102,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float = 0.
     return weights
 
 
+def sampled(labels: DataFrame, docs_per_label: int) -> DataFrame:
+    """(_id, toxic): ``docs_per_label`` documents of each label at most; every task keeps its first ones only."""
+    ids = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+    clean_ids, toxic_ids = (ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(docs_per_label) for y in (0, 1))
+    return clean_ids.unionByName(toxic_ids)
+
+
 def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = SAMPLE_DOCS) -> np.ndarray:
     """Fit on at most ``docs_per_label`` documents of each label, of those in ``labels`` (doc_id, toxic)."""
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
-    ids = (
-        labels.filter("doc_id is not null and toxic is not null")
-        .select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .distinct()
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= docs_per_label)
-        .drop("_n")
-    )
+    ids = sampled(labels, docs_per_label)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).filter("text is not null").select("doc_id", "text", "toxic")
     rows = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     order = np.random.default_rng(2).permutation(len(rows))

@@ -84,6 +84,19 @@ def test_noisy_or_learns_sentences_from_documents(spark, documents):
     assert kept.columns == docs.columns and kept.count() == 300
 
 
+def test_toxicity_sample_is_taken_in_the_tasks(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    labels = spark.range(9000).selectExpr("id doc_id", "cast(id % 3 = 0 as int) toxic")
+    out = toxicity.sampled(labels, 2500)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("TakeOrderedAndProject") >= 2
+    first = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    want = labels.withColumn("n", first).filter("n <= 2500").select("doc_id", "toxic").collect()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want))
+
+
 def test_toxicity_edges(spark, documents, edges, nothing):
     weights = toxicity.train(edges, spark.createDataFrame([(4, 1), (5, 0), (7, None), (None, 1)], "doc_id long, toxic int"))
     got = {r.doc_id: r for r in toxicity.score(edges, weights).collect()}
