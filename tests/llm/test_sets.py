@@ -75,14 +75,13 @@ def test_join_is_exact(spark, documents, width, percent, seed):
     assert sorted(map(tuple, got)) == brute(rows, width, percent)
 
 
-@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 3), (5, 80, 4)])
-def test_join_without_repeated_lines_in_runs_is_exact(spark, documents, width, percent, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("counted", [0.0, 0.4, 6.0])
+def test_join_is_exact_whatever_share_is_counted(spark, documents, monkeypatch, counted):
+    monkeypatch.setattr(jaccard, "COUNTED", counted)
+    rng = random.Random(4)
     lines = [" ".join(rng.choices([f"v{i}" for i in range(80)], k=k)) for k in (4, 9, 30, 70)]
-    rows = [(d, "\n".join([t, *rng.sample(lines, rng.randrange(0, 4))])) for d, t in corpus(seed)]
-    assert len(jaccard.repeated_grams(documents(rows), width)) > 50
-    got = jaccard.join(documents(rows), width, percent, apart=True).collect()
-    assert sorted(map(tuple, got)) == brute(rows, width, percent)
+    rows = [(d, "\n".join([t, *rng.sample(lines, rng.randrange(0, 4))])) for d, t in corpus(4)]
+    assert sorted(map(tuple, jaccard.join(documents(rows), 5, 80).collect())) == brute(rows, 5, 80)
 
 
 @pytest.mark.parametrize("percent", [50, 70])
@@ -120,12 +119,21 @@ def test_tree_join():
         assert got == want
 
 
-def test_segments_leave_shared_ones():
-    groups = np.arange(40)
-    for percent in (50, 80, 90, 95, 100):
-        m, spare = jaccard.segments(groups, percent)
-        most = 2 * (jaccard.SIZES[groups + 1] - 1) * (100 - percent) // (100 + percent)
-        assert (spare >= 1).all() and (m - most == spare).all()
+def test_similar_sets_share_of_their_prefixes():
+    for percent in (50, 70, 80, 90, 100):
+        for a in range(1, 60):
+            for b in range(a, 100 * a // percent + 1):
+                least = -(-percent * (a + b) // (100 + percent))  # so many must be shared
+                # even if all that one lacks come first, a shared one is within the prefix
+                assert a - least + 1 <= jaccard.prefix_of(a, percent) and b - least + 1 <= jaccard.prefix_of(b, percent)
+
+
+def test_a_common_passage_connects_nothing_else(spark, documents):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = documents([(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(80)])
+    filed = jaccard.filed(rows, jaccard.fingerprints(rows, 5, 80), 5, 80)
+    assert jaccard.stars(filed, 80).count() == 0
 
 
 def test_join_edges(spark, edges, nothing):
