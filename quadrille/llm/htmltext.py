@@ -1,11 +1,14 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page becomes its blocks of text in order. A logistic classifier, fitted to blocks whose
-containers name themselves (article and main against nav, footer and the like), gives each block a
-cost of being called content and one of being called boilerplate; containers that name themselves
-add to it. These costs are the capacities from the source and to the sink. Neighbouring blocks,
-and successive blocks of one container, are tied by smoothness edges. The blocks on the source's
-side of the minimum cut are the main text.
+A page becomes its blocks of text in order. Two kinds of evidence, summed as log-odds, give each
+block a cost of being called content and one of being called boilerplate, the capacities from the
+source and to the sink: a logistic classifier of the block's own text and of its container's share
+of the page's text, and what the elements around it are called. The classifier is fitted to blocks
+inside elements whose tag tells what they are (article and main, nav and footer and the like) and
+sees neither tags nor names. Successive blocks are tied by smoothness edges, the more so the nearer
+they are in the document tree, as are blocks of one container with others between. The blocks on
+the source's side of the minimum cut are the main text, so a block of little evidence goes with
+those around it, and names that the text around contradicts don't decide alone.
 """
 
 from __future__ import annotations
@@ -14,60 +17,102 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the sample of pages that the classifier is fitted to, those of the least hash of page_id.
-SAMPLE_PAGES = 1500
-#: Costs of calling a block what its container says it isn't, and capacities of the smoothness edges.
-NAMED, NEXT, SAME = 6.0, 0.4, 0.6
+#: Bounds of the sample that the classifier is fitted to: pages, those of the least hash of page_id, and bytes of a page.
+SAMPLE_PAGES, SAMPLE_BYTES = 1500, 1 << 18
+#: Log-odds: most of the classifier; of a content element; of an element that calls itself boilerplate; of one that may be so.
+LEARNED, CONTENT, BOILER, MAYBE = 2.0, 4.0, -8.0, -2.0
+#: Capacities of the edges between successive blocks, and of nearness in the tree (that much for blocks of one container).
+NEXT, NEAR = 0.5, 0.6
 
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|object|textarea|select|button)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    # no text: up to the end tag, and without one scripts and styles reach to the end; the others only if closed before the next of their kind
+    rf"|<(script|style)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(noscript|template|title|svg|iframe|object|textarea|select|button)\b(?!{_ATTRIBUTES}(?<=/)>){_ATTRIBUTES}>(?:[^<]++|<(?!/?\2\b))*+</\2\s*>"
+    rf"|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>"
     r"|<[!?/a-z][^>]*+(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_TERMS = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input label acronym".split())
+_PARTS = re.compile(r"[a-z]+")
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input label acronym button select svg iframe object textarea noscript template".split())
 VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
-#: Elements, and words of class, id or role, that name a container as boilerplate or as content.
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu head".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Parts of a class, id or role that call an element boilerplate, as the last part of a name or with neutral parts alone.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo related recommended share sharing social comment comments disqus reply replies respond newsletter subscribe subscription signup login popup modal dialog overlay widget pagination pager search toolbar skip alert".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo related recommended share sharing social comment comments disqus reply replies respond newsletter subscribe subscription signup login popup modal dialog overlay pagination pager search toolbar skip alert".split()
 )
+NEUTRAL_WORDS = frozenset("list slot area box section block wrap wrapper container left right top bottom inner outer links link item items unit group bar widget form site page global primary secondary".split())
+#: Such a part before another says that something else has it, or is of it.
+HAVING_WORDS = frozenset("has with no without is".split())
+CONTENT_WORDS = frozenset("article post entry story content body text main".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def named(tag: str, attributes: str, inside: int) -> int:
-    """-1 if an element calls itself boilerplate, 1 if content, else what holds around it."""
-    if attributes:
-        words = set()
-        for m in _ATTRIBUTE.finditer(attributes):
-            words.update(_TERMS.findall((m[2] or m[3] or m[4] or "").lower()))
-        if words & BOILER_WORDS and tag not in ("body", "html") and tag not in CONTENT_TAGS or _HIDDEN.search(attributes):
-            return -1
-    if inside < 0:
-        return -1
-    if tag in CONTENT_TAGS:
-        return 1
-    if tag in BOILER_TAGS:
-        return 1 if tag == "header" and inside > 0 else -1
-    return inside
-
-
-def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
-    """(text, container, name, share of it in links, whether a heading) of each block that has text, in order."""
-    out: list[tuple[str, int, int, float, bool]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, container, name
+class Block(NamedTuple):
+    text: str
+    path: tuple[int, ...]  # numbers of the elements around it, paragraphs and headings not counted
+    named: float  # log-odds of being content by the names around it
+    tagged: int  # 1 in a content element, -1 in a boilerplate one, by tags alone
+    linked: float  # share of its text in links
+    heading: bool
+
+
+class Open(NamedTuple):
+    tag: str
+    path: tuple[int, ...]
+    named: float
+    tagged: int
+    inside: bool  # of a content element
+
+
+def called(attributes: str) -> float:
+    """Log-odds by class, id and role: the strongest of its names, boilerplate before content."""
+    if _HIDDEN.search(attributes):
+        return 2 * BOILER
+    found = 0.0
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _PARTS.findall(name)
+            boiler = [p in BOILER_WORDS for p in parts]
+            content = any(p in CONTENT_WORDS for p in parts)
+            if not any(boiler):
+                found = found or (-MAYBE if content else 0.0)
+            elif content and parts[-1] in ("header", "masthead"):
+                continue
+            elif parts[0] not in HAVING_WORDS and (boiler[-1] or all(b or p in NEUTRAL_WORDS for b, p in zip(boiler, parts, strict=True))):
+                return BOILER
+            else:
+                found = min(found, 0.0) or MAYBE
+    return found
+
+
+def opened(tag: str, attributes: str, around: Open, number: int) -> Open:
+    named, tagged, inside = around.named, around.tagged, around.inside
+    if tag in CONTENT_TAGS and not inside:
+        named, tagged, inside = named + CONTENT, tagged or 1, True
+    elif tag in BOILER_TAGS and not (tag == "header" and inside):
+        named, tagged = named + BOILER, -1
+    if attributes and tag not in ("body", "html"):
+        named += called(attributes)
+    return Open(tag, around.path if tag == "p" or tag in HEADINGS else (*around.path, number), named, tagged, inside)
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text, in order."""
+    out: list[Block] = []
+    stack = [Open("", (), 0.0, 0, False)]
     parts: list[str] = []
     linked, in_link, made = 0, 0, 0
 
@@ -77,73 +122,75 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                tag, _, name = stack[-1]
-                # a paragraph belongs to what is around it
-                at = len(stack) - 1
-                while at and (stack[at][0] == "p" or stack[at][0] in HEADINGS):
-                    at -= 1
-                out.append((text, stack[at][1], name, min(1.0, linked / len(text)), tag in HEADINGS))
+                at = stack[-1]
+                out.append(Block(text, at.path, at.named, at.tagged, min(1.0, linked / len(text)), at.tag in HEADINGS))
             parts.clear()
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
                 parts.append(text)
                 if in_link:
                     linked += len(text)
-            elif m[1]:
+            elif m[1] or m[2]:
                 parts.append(" ")
             continue
         tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if m[3] else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
             in_link = 0
         elif tag not in VOID:
             closes = CLOSES.get(tag)
             if closes:
-                while stack[-1][0] in closes:
+                while stack[-1].tag in closes:
                     stack.pop()
-            elif stack[-1][0] == "p":
+            elif stack[-1].tag == "p":
                 stack.pop()
             made += 1
-            if m[4].endswith("/") and tag not in ("p", "div"):
-                continue
-            stack.append((tag, made, named(tag, m[4], stack[-1][2])))
+            stack.append(opened(tag, m[5], stack[-1], made))
     flush()
     return out
 
 
-def traits(found: list[tuple[str, int, int, float, bool]]) -> np.ndarray:
-    """What the classifier sees of each block: its own text only, not the names of containers."""
-    rows = [(1.0, min(len(t), 400) / 100, share, t.count(",") + t.count(".") > 1, t[-1] in ".!?:;\"'", heading) for t, _, _, share, heading in found]
-    return np.array(rows, np.float64).reshape(-1, 6)
+def traits(found: list[Block]) -> np.ndarray:
+    """What the classifier sees of each block: its text, and its container's share of text; no tags or names of containers."""
+    size: dict[tuple[int, ...], int] = {}
+    for b in found:
+        size[b.path] = size.get(b.path, 0) + round(len(b.text) * (1 - b.linked))
+    most = max(1, *size.values()) if size else 1
+    rows = [(1.0, min(len(b.text), 400) / 100, b.linked, b.text.count(",") + b.text.count(".") > 1, b.text[-1] in ".!?:;\"'", b.heading, size[b.path] / most) for b in found]
+    return np.array(rows, np.float64).reshape(-1, 7)
 
 
 def learn(pages: list[str], epochs: int = 300) -> np.ndarray:
-    """Logistic weights from blocks in containers that name themselves; without both kinds, short of any text's evidence."""
-    found = [b for p in pages for b in blocks(p) if b[2]]
-    y = np.array([b[2] > 0 for b in found], float)
-    weights = np.zeros(6)
-    if not 0 < y.sum() < len(y):
-        return np.array([-1.0, 0.8, -3.0, 0.5, 0.5, 0.5])
-    x = traits(found)
-    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    """Logistic weights from blocks inside elements whose tags tell what they are; without both kinds, plain ones."""
+    x, y = [], []
+    for p in pages:
+        found = blocks(p)
+        told = [b.tagged != 0 for b in found]
+        x.append(traits(found)[told])
+        y += [b.tagged > 0 for b in found if b.tagged]
+    labels = np.array(y, float)
+    if not 0 < labels.sum() < len(labels):
+        return np.array([-2.0, 0.8, -3.0, 0.5, 0.5, 0.5, 2.0])
+    seen, weights = np.concatenate(x), np.zeros(7)
+    balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-x @ weights))
-        weights -= 0.3 * (x.T @ (balance * (p - y)) / len(y) + 1e-3 * weights)
+        p = 1 / (1 + np.exp(-seen @ weights))
+        weights -= 0.3 * (seen.T @ (balance * (p - labels)) / len(labels) + 1e-3 * weights)
     return weights
 
 
@@ -197,23 +244,34 @@ def content_side(gain: list[float], edges: list[tuple[int, int, float]]) -> list
                     room[e ^ 1] += flow
 
 
+def apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Steps through the tree from one container to another."""
+    same = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        same += 1
+    return len(a) + len(b) - 2 * same
+
+
+def graph_of(found: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Each block's gain of being content, and the smoothness edges."""
+    gain = (np.clip(traits(found) @ weights, -LEARNED, LEARNED) + np.array([b.named for b in found])).tolist()
+    edges, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            edges.append((i - 1, i, NEXT + NEAR / (1 + apart(found[i - 1].path, b.path))))
+        if last.get(b.path, i - 1) < i - 1:
+            edges.append((last[b.path], i, NEAR))
+        last[b.path] = i
+    return gain, edges
+
+
 def main_text(page: str, weights: np.ndarray) -> str:
     found = blocks(page)
     if not found:
         return ""
-    gain = np.clip(traits(found) @ weights, -3, 3)
-    gain = [g + NAMED * b[2] for g, b in zip(gain.tolist(), found, strict=True)]
-    edges, last = [], {}
-    for i, (_, container, name, _, _) in enumerate(found):
-        if i and name == found[i - 1][2]:
-            edges.append((i - 1, i, NEXT))
-        if container in last and last[container] < i - 1:
-            edges.append((last[container], i, SAME))
-        elif container in last and edges and edges[-1][:2] == (i - 1, i):
-            edges[-1] = (i - 1, i, NEXT + SAME)
-        last[container] = i
-    side = content_side(gain, edges)
-    return "\n".join(b[0] for b, keep in zip(found, side, strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(found, content_side(*graph_of(found, weights)), strict=True) if keep)
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
@@ -222,9 +280,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     White space and character references are as HTML has them; blocks are joined by a line feed.
     Equal rows give equal rows; other columns are not read; an empty table gives an empty result.
     """
-    ids = pages.select(F.col("page_id").alias("_id")).filter("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    shown = pages.join(F.broadcast(ids), F.col("page_id") == F.col("_id")).filter("html is not null").select("page_id", "html")
-    learned = learn([r["html"] for r in sorted(shown.toLocalIterator(), key=lambda r: (r["page_id"], r["html"]))])
+    named = pages.select("page_id", "html").toDF("_of", "_html")
+    ids = named.select(F.col("_of").alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    short = named.filter(F.octet_length("_html") <= SAMPLE_BYTES).join(F.broadcast(ids), F.col("_of") == F.col("_id")).select("_of", "_html").orderBy("_of", "_html").limit(sample)
+    learned = learn([r["_html"] for r in short.toLocalIterator()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,8 +1,11 @@
 """Language, toxicity, personal data, HTML, decontamination, top-k."""
 
+import html
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quadrille.llm import decontaminate, htmltext, langid, pii, topk, toxicity
@@ -175,6 +178,43 @@ def test_learns_without_named_containers():
     assert text.count("\n") == 4 and "Home" not in text and "Imprint" not in text
 
 
+LONG = "One long paragraph, with words, and more of them, to read. " * 4
+
+
+def test_names_do_not_decide_alone():
+    weights = htmltext.learn([PAGE] * 20)
+    text = lambda h: htmltext.main_text(h, weights).split("\n")
+    assert text(f'<div class="has-sidebar"><article><p>{LONG}<p>Short.</article></div>') == [LONG.strip(), "Short."]
+    assert text(f'<article><p>{LONG}</p><div class="share-price widget">The price rose, by two percent.</div><p>{LONG}</p></article>') == [LONG.strip(), "The price rose, by two percent.", LONG.strip()]
+    assert text(f'<article><p>{LONG}</p><div class="ad">{LONG}</div><p>{LONG}</p></article>') == [LONG.strip()] * 2
+    assert text(f'<main><p>{LONG}</p><section id="comments"><article class="comment"><p>{LONG}</p></article></section></main>') == [LONG.strip()]
+    assert text(f'<div id="main-nav"><p>{LONG}</p></div><div class="post-header"><h1>Title</h1></div><article><p>{LONG}</p></article>')[-1] == LONG.strip()
+
+
+def test_void_and_unclosed_elements_drop_nothing_else():
+    weights = htmltext.learn([PAGE] * 20)
+    for odd in ("<svg width=1 />", '<iframe src="x"/>', "<button>", "<select>", "<object data=x>", "<title>", "<noscript>"):
+        assert htmltext.main_text(f"<article><p>{LONG}</p>{odd}<p>After {LONG}</p></article>", weights).endswith("After " + LONG.strip())
+    assert "Share" not in htmltext.main_text(f"<article><p>{LONG}<button>Share</button> it</p></article>", weights)
+    for hostile in ("<button>" * 20000, "<svg " * 20000, '<button "' * 5000, "<title><" * 9000):
+        htmltext.blocks(hostile)
+
+
+def test_cut_decides_where_evidence_is_weak(sf_dir):
+    """Without any tags or names that tell: words of the article found, and blocks where the cut overrules the classifier."""
+    pages = pq.read_table(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").column("html").to_pylist()
+    weights = htmltext.learn(pages[:100])
+    right = found = wanted = overruled = 0
+    for page in pages[100:]:
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|\S+?)(?=[\s>])", "", re.sub(r"<(/?)(nav|article|footer|aside|main|header)\b[^>]*>", r"<\1div>", page))
+        got = Counter(htmltext.main_text(bare, weights).split())
+        want = Counter(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*)</article>", page, re.S)[1])).split())
+        right, found, wanted = right + sum((got & want).values()), found + sum(got.values()), wanted + sum(want.values())
+        gain, edges = htmltext.graph_of(htmltext.blocks(bare), weights)
+        overruled += sum((g > 0) != keep for g, keep in zip(gain, htmltext.content_side(gain, edges)))
+    assert right / found > 0.97 and right / wanted > 0.97 and overruled > 0
+
+
 def brute_cut(gain, edges):
     best = None
     for mask in range(1 << len(gain)):
@@ -197,7 +237,7 @@ def test_minimum_cut():
 
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>plain, simple text without any container. It has, however, commas."), (3, None, "<p>plain, simple text without any container. It has, however, commas."), (4, "u", "<" * 5000 + '<a "' * 500), (None, "u", "<script>x")]
-    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "c", 7, "x") for r in rows], "page_id long, url string, html string, text string, _id long, _html string")
     got = htmltext.extract(pages).collect()
     assert len(got) == 6 and [r.text for r in got if r.page_id in (1, 2)] == ["", ""]
     assert htmltext.extract(pages.limit(0)).count() == 0
