@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Prefix and namespace pairs that records and converters rely on.
+# Prefix and namespace pairs that records and converters rely on. Those below schemas.example.org stand for
+# a site's own: ``translated`` puts a caller's in their place.
 NAMESPACES = {
     "abm": "http://purl.org/abm/sen",
     "europeana": "http://www.europeana.eu/schemas/ese/",
     "dc": "http://purl.org/dc/elements/1.1/",
-    "delving": "http://schemas.delving.eu/",
+    "qsite": "http://schemas.example.org/qsite/",
     "dcterms": "http://purl.org/dc/terms/",
-    "custom": "http://www.delving.eu/namespaces/custom/",
+    "custom": "http://schemas.example.org/custom/",
     "musip": "http://www.musip.nl/",
     "itin": "http://www.itin.nl/namespace",
     "drup": "http://www.itin.nl/drupal",
     "abc": "http://www.ab-c.nl/",
-    "raw": "http://delving.eu/namespaces/raw",
+    "raw": "http://schemas.example.org/raw",
     "icn": "http://www.icn.nl/schemas/icn/",
-    "aff": "http://schemas.delving.eu/aff/",
+    "aff": "http://schemas.example.org/aff/",
     "skos": "http://www.w3.org/2004/02/skos/core#",
     "dbpedia-owl": "http://dbpedia.org/ontology/",
     "wgs84_pos": "http://www.w3.org/2003/01/geo/wgs84_pos#",
@@ -29,10 +32,9 @@ NAMESPACES = {
     "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
     "edm": "http://www.europeana.eu/schemas/edm/",
     "ore": "http://www.openarchives.org/ore/terms/",
-    "narthex": "http://schemas.delving.eu/narthex/terms/",
-    "nave": "http://schemas.delving.eu/nave/terms/",
-    "devmode": "http://localhost:8000/resource/",
-    "tib": "http://schemas.delving.eu/resource/ns/tib/",
+    "qsync": "http://schemas.example.org/qsync/",
+    "qterm": "http://schemas.example.org/qterm/",
+    "tib": "http://schemas.example.org/tib/",
     "cc": "http://creativecommons.org/ns#",
     "gn": "http://www.geonames.org/ontology#",
     "rda": "http://rdvocab.info/ElementsGr2/",
@@ -49,7 +51,7 @@ def full_namespace(ns: str) -> str:
 
 
 BY_PREFIX = {prefix: full_namespace(ns) for prefix, ns in NAMESPACES.items()}
-RDF, SKOS, DC, DCTERMS, EDM, ORE, NAVE, NARTHEX, FOAF, RDFS, GN, WGS84 = (BY_PREFIX[p] for p in ("rdf", "skos", "dc", "dcterms", "edm", "ore", "nave", "narthex", "foaf", "rdfs", "gn", "wgs84_pos"))
+RDF, SKOS, DC, DCTERMS, EDM, ORE, QTERM, QSYNC, FOAF, RDFS, GN, WGS84 = (BY_PREFIX[p] for p in ("rdf", "skos", "dc", "dcterms", "edm", "ore", "qterm", "qsync", "foaf", "rdfs", "gn", "wgs84_pos"))
 TYPE = RDF + "type"
 
 
@@ -87,3 +89,24 @@ def label_to_iri(label: Column) -> Column:
 def namespaced_tag(iri: Column) -> Column:
     """{namespace}label, split at # or else at the last /."""
     return F.concat(F.lit("{"), namespace_of(iri), F.lit("}"), local_name(iri))
+
+
+def read_vocabulary(path: str) -> dict[str, str]:
+    """Pairs of namespaces or key prefixes, ours and a site's own, from a JSON object in a file of the driver."""
+    with open(path, encoding="utf-8") as f:
+        return {str(k): str(v) for k, v in json.load(f).items()}
+
+
+def translated(c: Column, vocabulary: dict[str, str], back: bool = False) -> Column:
+    """IRI or field key with its namespace or prefix as the site has it, or, with ``back``, as we have it; longest first."""
+    pairs = [(v, k) if back else (k, v) for k, v in vocabulary.items()]
+    chosen = F.lit(None).cast("string")
+    for old, new in sorted(pairs, key=lambda p: len(p[0])):
+        chosen = F.when(c.startswith(old), F.concat(F.lit(new), F.substring(c, len(old) + 1, 1 << 30))).otherwise(chosen)
+    return F.coalesce(chosen, c)
+
+
+def translate_quads(quads: DataFrame, vocabulary: dict[str, str], back: bool = False) -> DataFrame:
+    """Quads with the namespaces of predicates, IRI objects and datatypes translated; literals stay."""
+    objects = F.when(F.col("o_kind") == "URIRef", translated(F.col("o"), vocabulary, back)).otherwise(F.col("o"))
+    return quads.withColumns({"p": translated(F.col("p"), vocabulary, back), "o": objects, "datatype": translated(F.col("datatype"), vocabulary, back)})

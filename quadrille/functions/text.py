@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fields of the delving namespace that are not kept in the legacy block.
-NON_LEGACY = ["delving_deepZoomUrl", "delving_geohash", "delving_year", "delving_thumbnail", "delving_fullTextObjectUrl", "delving_fullText", "delving_spec"]
+# Fields of the qsite namespace that are not kept in the legacy block.
+NON_LEGACY = ["qsite_deepZoomUrl", "qsite_geohash", "qsite_year", "qsite_thumbnail", "qsite_fullTextObjectUrl", "qsite_fullText", "qsite_spec"]
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
@@ -42,14 +42,14 @@ def natural_key(c: Column) -> Column:
 
 
 def normalise_field(key: Column) -> Column:
-    """Prefixes of older schemas become nave_ and edm_; an index suffix goes."""
-    out = F.regexp_replace(F.regexp_replace(key, "abm_|tib_|icn_|delving_", "nave_"), "europeana_", "edm_")
+    """Prefixes of older schemas become qterm_ and edm_; an index suffix goes."""
+    out = F.regexp_replace(F.regexp_replace(key, "abm_|tib_|icn_|qsite_", "qterm_"), "europeana_", "edm_")
     return F.regexp_replace(out, "_(string|facet|text)$", "")
 
 
 def facet_key(key: Column) -> Column:
     """Index field of a facet: legacy and spec fields move, .raw is added, leading - and + go."""
-    moved = F.when(key.startswith("delving_spec"), F.lit("system.spec.raw")).when(key.startswith("delving_") & ~key.isin(*NON_LEGACY), F.concat(F.lit("legacy."), key)).otherwise(key)
+    moved = F.when(key.startswith("qsite_spec"), F.lit("system.spec.raw")).when(key.startswith("qsite_") & ~key.isin(*NON_LEGACY), F.concat(F.lit("legacy."), key)).otherwise(key)
     return F.regexp_replace(F.when(moved.contains("."), moved).otherwise(F.concat(moved, F.lit(".raw"))), "^[-+]+", "")
 
 
@@ -62,8 +62,8 @@ def rewrite_query(q: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(q, "_text:", ".value:"), "_facet:", ".raw:"), "_string:", ".raw:")
     out = F.regexp_replace(out, r"(\w+)_(\w+):", "$1_$2.value:")
     none_of = "".join(f"(?!{k})" for k in NON_LEGACY)
-    legacy = F.regexp_replace(out, f"({none_of}delving_[a-zA-Z]+)\\.value:", "legacy.$1.value:")
-    return F.when(out.contains("delving_spec.value"), F.replace(out, F.lit("delving_spec.value"), F.lit("system.spec.raw"))).when(out.contains("delving_"), legacy).otherwise(out)
+    legacy = F.regexp_replace(out, f"({none_of}qsite_[a-zA-Z]+)\\.value:", "legacy.$1.value:")
+    return F.when(out.contains("qsite_spec.value"), F.replace(out, F.lit("qsite_spec.value"), F.lit("system.spec.raw"))).when(out.contains("qsite_"), legacy).otherwise(out)
 
 
 def parse_filters(filters: Column, exclude: list[str] | None = None) -> Column:
@@ -71,7 +71,7 @@ def parse_filters(filters: Column, exclude: list[str] | None = None) -> Column:
 
     def one(f: Column) -> Column:
         key = F.regexp_replace(F.substring_index(f, ":", 1), "_facet|_string|_text", "")
-        key = F.when(key.startswith("delving_") & ~key.isin(*NON_LEGACY), F.concat(F.lit("legacy."), key)).otherwise(key)
+        key = F.when(key.startswith("qsite_") & ~key.isin(*NON_LEGACY), F.concat(F.lit("legacy."), key)).otherwise(key)
         value = F.translate(F.regexp_replace(f, "^[^:]*:", ""), '"', "'")
         free = f.startswith("(") | f.contains(" OR ") | ~f.contains(":")
         return F.when(free, F.struct(F.lit("query").alias("field"), f.alias("value"))).otherwise(F.struct(key.alias("field"), value.alias("value")))

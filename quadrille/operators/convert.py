@@ -14,7 +14,7 @@ from ..functions.namespaces import EDM, ORE, SKOS, TYPE, local_name, namespace_o
 SHARED_DC = "title Title creator subject description publisher contributor date type format identifier source language relation coverage rights".split()
 SHARED_DCTERMS = "created extent hasFormat hasPart hasVersion isFormatOf isPartOf isReferencedBy isReplacedBy isRequiredBy isVersionOf issued medium references replaces requires tableOfContents alternative spatial temporal provenance rightsHolder".split()
 SHARED_EUROPEANA = "aggregatedCHO begin collectionName collectionTitle country currentLocation dataProvider end hasMet hasView isRelatedTo isRepresentationOf isShownAt isShownBy language object provider rights source type unstored uri".split()
-# Fields of each schema's own namespace; they come from the nave fields of the same name.
+# Fields of each schema's own namespace; they come from the qterm fields of the same name.
 OWN = {
     "tib": "citName citOldId thumbLarge thumbSmall collection creatorRole productionPeriod productionStart productionEnd creatorBirthYear creatorDeathYear formatted year dimension objectNumber objectSoort material place technique color colorHex design exhibition subjectDepicted date collectionPart person region event theme pageStart pageEnd pages vindplaats location imageCopyright imageCreator".split(),
     "icn": "acceptedStateCharges acceptedStateChargesReason acquiredWithHelpFrom acquisitionMeans acquisitionYear collectionPart collectionType creatorRole creatorYearOfBirth creatorYearOfDeath currentLocation expulsionMeans expulsionYear legalStatus location material musipCollectionDisplayName musipCollectionUri musipMuseumDisplayName musipMuseumUri physicalState productionPeriod productionPlace province purchasePrice rijksCollection subjectDepicted technique thumbLarge thumbSmall dimension productionStart productionEnd objectNumber objectSoort".split(),
@@ -22,10 +22,10 @@ OWN = {
     "ese": [],
 }
 # Output keys whose source has another name.
-ICN_DEEPZOOM = {"icn_deepzoomURL": "nave_thumbLarge"}
-DELVING = {"delving_year": "delving_year", "delving_thumbnail": "nave_thumbnail", "delving_deepZoomUrl": "nave_deepZoomUrl", "delving_fullTextObjectUrl": "nave_fullTextObjectUrl", "delving_fullText": "nave_fullText", "delving_geohash": "point"}
+ICN_DEEPZOOM = {"icn_deepzoomURL": "qterm_thumbLarge"}
+QSITE = {"qsite_year": "qsite_year", "qsite_thumbnail": "qterm_thumbnail", "qsite_deepZoomUrl": "qterm_deepZoomUrl", "qsite_fullTextObjectUrl": "qterm_fullTextObjectUrl", "qsite_fullText": "qterm_fullText", "qsite_geohash": "point"}
 # Prefixes of query keys of each schema and what the index calls them.
-KEY_PREFIXES = {"tib": {"europeana_": "edm_", "tib_": "nave_"}, "icn": {"icn_": "nave_", "europeana_": "edm_"}, "abm": {"abm_": "nave_", "europeana_": "edm_"}, "ese": {"europeana_": "edm_"}, "edm": {"europeana_": "edm_"}, "v2": {}}
+KEY_PREFIXES = {"tib": {"europeana_": "edm_", "tib_": "qterm_"}, "icn": {"icn_": "qterm_", "europeana_": "edm_"}, "abm": {"abm_": "qterm_", "europeana_": "edm_"}, "ese": {"europeana_": "edm_"}, "edm": {"europeana_": "edm_"}, "v2": {}}
 # Types that strict output keeps.
 STRICT_TYPES = [ORE + "Aggregation", *[EDM + t for t in ("ProvidedCHO", "Place", "Agent", "TimeSpan", "Organisation")], SKOS + "Concept"]
 
@@ -33,22 +33,22 @@ STRICT_TYPES = [ORE + "Aggregation", *[EDM + t for t in ("ProvidedCHO", "Place",
 def mapping(schema: str) -> dict[str, str]:
     """Output key to document field."""
     out = {f"dc_{n}": f"dc_{n}" for n in SHARED_DC} | {f"dcterms_{n}": f"dcterms_{n}" for n in SHARED_DCTERMS} | {f"europeana_{n}": f"edm_{n}" for n in SHARED_EUROPEANA}
-    out |= {f"{schema}_{n}": f"nave_{n}" for n in OWN[schema]}
+    out |= {f"{schema}_{n}": f"qterm_{n}" for n in OWN[schema]}
     return out | (ICN_DEEPZOOM if schema == "icn" else {})
 
 
-def convert(docs: DataFrame, schema: str, delving: bool = True) -> DataFrame:
+def convert(docs: DataFrame, schema: str, qsite: bool = True) -> DataFrame:
     """Documents with ``flat``: array(struct(key, values)) in order of key.
 
-    ``fields`` gives the values; custom fields keep their name, nave fields of resources and
-    locations become delving ones.
+    ``fields`` gives the values; custom fields keep their name, qterm fields of resources and
+    locations become qsite ones.
     """
-    pairs = mapping(schema) | (DELVING if delving else {})
+    pairs = mapping(schema) | (QSITE if qsite else {})
     by_field: dict[str, list[str]] = {}
     for key, field in pairs.items():
         by_field.setdefault(field, []).append(key)
     keys = F.create_map(*[x for f, ks in by_field.items() for x in (F.lit(f), F.array(*[F.lit(k) for k in ks]))])
-    extra = lambda f: F.when(f.startswith("custom_"), F.array(f)).when(f.startswith("nave_") & (f.contains("_resource") | f.contains("_location")), F.array(F.regexp_replace(f, "^nave_", "delving_")))
+    extra = lambda f: F.when(f.startswith("custom_"), F.array(f)).when(f.startswith("qterm_") & (f.contains("_resource") | f.contains("_location")), F.array(F.regexp_replace(f, "^qterm_", "qsite_")))
     none = F.array().cast("array<string>")
     renamed = F.transform(F.map_entries("fields"), lambda e: F.transform(F.array_distinct(F.concat(F.coalesce(F.try_element_at(keys, e["key"]), none), F.coalesce(extra(e["key"]), none))), lambda k: F.struct(k.alias("key"), F.transform(e["value"], lambda x: x["value"]).alias("values"))))
     return docs.withColumn("flat", F.array_sort(F.flatten(renamed)))
@@ -69,39 +69,39 @@ def add_defaults(converted: DataFrame, org: str) -> DataFrame:
     spec = F.element_at(parts, -2)
     hub = F.concat_ws("_", F.lit(org), spec, clean_local_id(F.element_at(parts, -1)))
     local = F.array(F.concat_ws("/", F.slice(F.split(hub, "_"), 2, 100)))
-    resource = value_of("delving_resourceUri")
+    resource = value_of("qsite_resourceUri")
     obj = F.coalesce(resource, value_of("europeana_object"))
-    geo = F.coalesce(value_of("delving_locationLatLong"), value_of("delving_geoHash"))
+    geo = F.coalesce(value_of("qsite_locationLatLong"), value_of("qsite_geoHash"))
     shown = value_of("europeana_isShownAt")
     own_file = F.exists(F.coalesce(shown, F.array().cast("array<string>")), lambda v: v.startswith("file:///opt"))
     yes = lambda c: F.array(c.cast("string"))
-    legacy = {k: F.try_element_at("legacy", F.lit(k)) for k in ("delving_collection", "delving_title", "delving_recordType", "delving_creator", "delving_owner", "delving_provider")} if "legacy" in converted.columns else {}
+    legacy = {k: F.try_element_at("legacy", F.lit(k)) for k in ("qsite_collection", "qsite_title", "qsite_recordType", "qsite_creator", "qsite_owner", "qsite_provider")} if "legacy" in converted.columns else {}
     said = lambda k: F.when(legacy[k].isNotNull() & (legacy[k] != "null"), F.array(legacy[k])) if k in legacy else F.lit(None).cast("array<string>")
     made = {
-        "delving_recordType": F.coalesce(said("delving_recordType"), F.array(F.lit("mdr"))),
-        "delving_hubId": F.array(hub),
-        "delving_pmhId": F.array(hub),
-        "delving_spec": F.array(spec),
+        "qsite_recordType": F.coalesce(said("qsite_recordType"), F.array(F.lit("mdr"))),
+        "qsite_hubId": F.array(hub),
+        "qsite_pmhId": F.array(hub),
+        "qsite_spec": F.array(spec),
         "europeana_uri": local,
         "europeana_object": obj,
-        "delving_hasDigitalObject": yes(obj.isNotNull()),
-        "delving_thumbnail": F.coalesce(obj, value_of("delving_thumbnail")),
-        "delving_geoHash": geo,
-        "delving_hasGeoHash": yes(geo.isNotNull()),
+        "qsite_hasDigitalObject": yes(obj.isNotNull()),
+        "qsite_thumbnail": F.coalesce(obj, value_of("qsite_thumbnail")),
+        "qsite_geoHash": geo,
+        "qsite_hasGeoHash": yes(geo.isNotNull()),
         "europeana_isShownAt": F.when(~own_file, shown),
-        "delving_hasLandingPage": yes(F.coalesce(shown.isNotNull() & ~own_file, F.lit(False))),
-        "delving_title": F.coalesce(said("delving_title"), value_of("dc_title")),
+        "qsite_hasLandingPage": yes(F.coalesce(shown.isNotNull() & ~own_file, F.lit(False))),
+        "qsite_title": F.coalesce(said("qsite_title"), value_of("dc_title")),
         "europeana_collectionName": F.array(spec),
-        "delving_orgId": F.array(F.lit(org)),
-    } | {k: said(k) for k in ("delving_collection", "delving_creator", "delving_owner", "delving_provider")}
+        "qsite_orgId": F.array(F.lit(org)),
+    } | {k: said(k) for k in ("qsite_collection", "qsite_creator", "qsite_owner", "qsite_provider")}
     added = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("values")) for k, v in made.items()]), lambda x: x["values"].isNotNull())
     kept = F.filter("flat", lambda x: ~x["key"].isin(list(made)))
     return converted.withColumn("flat", F.array_sort(F.concat(kept, added)))
 
 
 def convert_v2(docs: DataFrame) -> DataFrame:
-    """Documents with ``flat``: their fields but for rdf and narthex ones, in order of key."""
-    kept = F.filter(F.map_entries("fields"), lambda e: (e["key"] != "rdf") & ~e["key"].startswith("narthex_"))
+    """Documents with ``flat``: their fields but for rdf and qsync ones, in order of key."""
+    kept = F.filter(F.map_entries("fields"), lambda e: (e["key"] != "rdf") & ~e["key"].startswith("qsync_"))
     return docs.withColumn("flat", F.array_sort(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), F.transform(e["value"], lambda x: x["value"]).alias("values")))))
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hub_id_from_graph
-from ..functions.namespaces import DC, EDM, FOAF, NAVE, ORE
+from ..functions.namespaces import DC, EDM, FOAF, QTERM, ORE
 from ..functions.text import index_entry, natural_key
 from .graph import captions, filter_properties, geo_points, graph_profile, pick_thumbnail, resolve_labels, search_fields
 
 # Media fields whose values keep the order of the media.
-KEEP_ORDER = ["nave_thumbSmall", "nave_thumbLarge", "nave_thumbnail", "nave_deepZoomUrl", "edm_hasView"]
+KEEP_ORDER = ["qterm_thumbSmall", "qterm_thumbLarge", "qterm_thumbnail", "qterm_deepZoomUrl", "edm_hasView"]
 # Predicates whose objects are not followed.
 NOT_FOLLOWED = [FOAF + "primaryTopic", ORE + "isAggregatedBy", "http://creativecommons.org/ns#attributionURL", EDM + "isShownAt"]
 
@@ -57,15 +57,15 @@ def record_flags(graphs: DataFrame, quads: DataFrame) -> DataFrame:
     """(graph, legacy): whether a record has a point, a digital object, a landing page, deep zoom, as the strings true and false."""
     has = lambda c: F.when(F.max(c), "true").otherwise("false")
     flags = quads.groupBy("graph").agg(
-        has((F.col("p") == NAVE + "geoHash") | F.col("p").endswith("wgs84_pos#lat")).alias("delving_hasGeoHash"),
-        has(F.col("p").isin(NAVE + "thumbnail", NAVE + "thumbSmall", NAVE + "thumbLarge", EDM + "object", EDM + "isShownBy")).alias("delving_hasDigitalObject"),
-        has(F.col("p") == EDM + "isShownAt").alias("delving_hasLandingPage"),
-        # the key tested is nave_deepZoom, not that of the URL
-        has(F.col("p") == NAVE + "deepZoom").alias("delving_hasDeepZoom"),
-        F.min(F.when(F.col("p") == EDM + "dataProvider", F.col("o"))).alias("delving_owner"),
-        F.min(F.when(F.col("p") == EDM + "provider", F.col("o"))).alias("delving_provider"),
-        F.min(F.when(F.col("p") == DC + "title", F.col("o"))).alias("delving_title"),
-        F.min(F.when(F.col("p") == DC + "creator", F.col("o"))).alias("delving_creator"),
+        has((F.col("p") == QTERM + "geoHash") | F.col("p").endswith("wgs84_pos#lat")).alias("qsite_hasGeoHash"),
+        has(F.col("p").isin(QTERM + "thumbnail", QTERM + "thumbSmall", QTERM + "thumbLarge", EDM + "object", EDM + "isShownBy")).alias("qsite_hasDigitalObject"),
+        has(F.col("p") == EDM + "isShownAt").alias("qsite_hasLandingPage"),
+        # the key tested is qterm_deepZoom, not that of the URL
+        has(F.col("p") == QTERM + "deepZoom").alias("qsite_hasDeepZoom"),
+        F.min(F.when(F.col("p") == EDM + "dataProvider", F.col("o"))).alias("qsite_owner"),
+        F.min(F.when(F.col("p") == EDM + "provider", F.col("o"))).alias("qsite_provider"),
+        F.min(F.when(F.col("p") == DC + "title", F.col("o"))).alias("qsite_title"),
+        F.min(F.when(F.col("p") == DC + "creator", F.col("o"))).alias("qsite_creator"),
     )
     return graphs.join(flags, "graph", "left").select("graph", F.struct(*[c for c in flags.columns if c != "graph"]).alias("legacy"))
 

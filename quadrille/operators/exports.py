@@ -12,9 +12,9 @@ from .convert import value_of, xml_escape
 
 
 def first_point(docs: DataFrame) -> Column:
-    """struct(lat, lon): of delving_geohash if the record has it, else of its own points; null if neither is good."""
+    """struct(lat, lon): of qsite_geohash if the record has it, else of its own points; null if neither is good."""
     own = F.filter(F.transform(F.coalesce("point", F.array().cast("array<string>")), parse_point), lambda p: p.isNotNull())
-    told = F.filter(F.transform(F.coalesce(value_of("delving_geohash"), F.array().cast("array<string>")), parse_point), lambda p: p.isNotNull()) if "flat" in docs.columns else own
+    told = F.filter(F.transform(F.coalesce(value_of("qsite_geohash"), F.array().cast("array<string>")), parse_point), lambda p: p.isNotNull()) if "flat" in docs.columns else own
     return F.coalesce(F.try_element_at(told, F.lit(1)), F.try_element_at(own, F.lit(1)))
 
 

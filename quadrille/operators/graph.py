@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.namespaces import DC, EDM, FOAF, NARTHEX, NAVE, ORE, RDFS, SKOS, TYPE, WGS84, search_label
+from ..functions.namespaces import DC, EDM, FOAF, QSYNC, QTERM, ORE, RDFS, SKOS, TYPE, WGS84, search_label
 from ..schemas import QUAD
 
 # Properties that give a resource its label, best first; that give a record its thumbnail, best first.
-LABELS = [SKOS + "prefLabel", RDFS + "label", SKOS + "altLabel", FOAF + "name", "http://www.geonames.org/ontology#name", DC + "title", NARTHEX + "proxyLiteralValue", "http://dbpedia.org/ontology/name"]
-THUMBNAILS = [FOAF + "depiction", NAVE + "thumbnail", NAVE + "thumbSmall", NAVE + "thumbLarge", EDM + "object", EDM + "isShownBy"]
+LABELS = [SKOS + "prefLabel", RDFS + "label", SKOS + "altLabel", FOAF + "name", "http://www.geonames.org/ontology#name", DC + "title", QSYNC + "proxyLiteralValue", "http://dbpedia.org/ontology/name"]
+THUMBNAILS = [FOAF + "depiction", QTERM + "thumbnail", QTERM + "thumbSmall", QTERM + "thumbLarge", EDM + "object", EDM + "isShownBy"]
 # Administrative properties that no document shows.
-EXCLUDED = [NARTHEX + x for x in "datasetMapToPrefix datasetCharacter datasetErrorTime acceptanceOnly synced stateSourced stateSaved stateProcessed stateProcessable stateMappable stateAnalyzed publishOAIPMH publishLOD publishIndex processedValid processedInvalid actorOwner".split()]
+EXCLUDED = [QSYNC + x for x in "datasetMapToPrefix datasetCharacter datasetErrorTime acceptanceOnly synced stateSourced stateSaved stateProcessed stateProcessable stateMappable stateAnalyzed publishOAIPMH publishLOD publishIndex processedValid processedInvalid actorOwner".split()]
 SAME_AS = SKOS + "exactMatch"
 
 
@@ -47,13 +47,13 @@ def select_subject(quads: DataFrame, target: str) -> DataFrame:
 
 def lod_allowed(quads: DataFrame) -> DataFrame:
     """(graph, lod): whether all statements on linked open data are true; none means allowed."""
-    said = F.when(F.col("p") == NAVE + "allowLinkedOpenData", F.lower("o") == "true")
+    said = F.when(F.col("p") == QTERM + "allowLinkedOpenData", F.lower("o") == "true")
     return quads.groupBy("graph").agg(F.coalesce(F.bool_and(said), F.lit(True)).alias("lod"))
 
 
 def aggregate_bnodes(quads: DataFrame, about: DataFrame) -> DataFrame:
     """The graph with (about, aggregates, node) for blank nodes typed in the record terms; ``about`` is (graph, about)."""
-    nodes = quads.filter((F.col("p") == TYPE) & (F.col("s_kind") == "BNode") & F.col("o").startswith(NAVE)).select("graph", F.col("s").alias("_node")).distinct()
+    nodes = quads.filter((F.col("p") == TYPE) & (F.col("s_kind") == "BNode") & F.col("o").startswith(QTERM)).select("graph", F.col("s").alias("_node")).distinct()
     added = nodes.join(about, "graph").select("graph", F.col("about").alias("s"), F.lit("URIRef").alias("s_kind"), F.lit(ORE + "aggregates").alias("p"), F.col("_node").alias("o"), F.lit("BNode").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
     return union_graphs(quads, added)
 
@@ -87,7 +87,7 @@ def add_about_triples(records: DataFrame) -> DataFrame:
     said = [(TYPE, F.lit(FOAF + "Document"), "URIRef"), (FOAF + "primaryTopic", F.col("source_uri"), "URIRef")]
     said += [("http://purl.org/dc/terms/" + k, F.col(k), "Literal") for k in ("created", "modified")]
     said += [("http://creativecommons.org/ns#license", F.col("licence"), "URIRef"), ("http://creativecommons.org/ns#attributionName", F.col("attribution"), "Literal"), ("http://creativecommons.org/ns#attributionURL", F.col("source_uri"), "URIRef")]
-    said += [(NAVE + "hubId", F.col("hub_id"), "Literal"), (NAVE + "spec", F.col("spec"), "Literal"), (NAVE + "allowLinkedOpenData", F.col("lod"), "Literal")]
+    said += [(QTERM + "hubId", F.col("hub_id"), "Literal"), (QTERM + "spec", F.col("spec"), "Literal"), (QTERM + "allowLinkedOpenData", F.col("lod"), "Literal")]
     rows = F.array(*[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(k).alias("o_kind")) for p, o, k in said])
     return records.select(F.concat("source_uri", F.lit("/graph")).alias("graph"), about.alias("s"), F.lit("URIRef").alias("s_kind"), F.explode(rows).alias("_t")).select("graph", "s", "s_kind", "_t.p", "_t.o", "_t.o_kind", F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
 
@@ -114,7 +114,7 @@ def resolve_labels(quads: DataFrame, label_props: list[str] = LABELS) -> DataFra
     return joined.select(*QUAD, F.coalesce("label", "o").alias("label"), F.coalesce("label_lang", "lang").alias("label_lang"))
 
 
-def inline_enrichments(quads: DataFrame, proxy_type: str = NARTHEX + "ProxyResource") -> DataFrame:
+def inline_enrichments(quads: DataFrame, proxy_type: str = QSYNC + "ProxyResource") -> DataFrame:
     """Objects that are proxies become their match, or their literal label where they have none; the proxies' own triples go."""
     proxies = quads.filter((F.col("p") == TYPE) & (F.col("o") == proxy_type)).select("graph", F.col("s").alias("_proxy")).distinct()
     match = quads.filter(F.col("p") == SAME_AS).groupBy("graph", F.col("s").alias("_proxy")).agg(F.min("o").alias("_match"))
@@ -139,7 +139,7 @@ def context_one_hop(quads: DataFrame, targets: DataFrame) -> DataFrame:
     return near.join(far, (F.col("o") == F.col("_s2")) & (F.col("p") != TYPE), "left").drop("_s2")
 
 
-def context_graph(quads: DataFrame, targets: DataFrame, proxy_type: str = NARTHEX + "ProxyResource", dataset_type: str = NARTHEX + "Dataset") -> DataFrame:
+def context_graph(quads: DataFrame, targets: DataFrame, proxy_type: str = QSYNC + "ProxyResource", dataset_type: str = QSYNC + "Dataset") -> DataFrame:
     """(level, s, p, o): the targets' triples, those of their objects that are proxies, and those of the proxies' objects that are no dataset."""
     plain = quads.select("s", "p", "o").distinct()
     first = plain.join(targets.select(F.col("uri").alias("s")).distinct(), "s", "left_semi")
@@ -178,7 +178,7 @@ def cached_source(quads: DataFrame, base: str) -> DataFrame:
     from ..functions.ids import cache_url
 
     objects = quads.filter((F.col("o_kind") == "URIRef") & F.col("o").startswith("http")).select("graph", F.col("o").alias("s")).distinct()
-    added = objects.select("graph", "s", F.lit("URIRef").alias("s_kind"), F.lit(NAVE + "cacheUrl").alias("p"), cache_url(F.col("s"), base).alias("o"), F.lit("URIRef").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    added = objects.select("graph", "s", F.lit("URIRef").alias("s_kind"), F.lit(QTERM + "cacheUrl").alias("p"), cache_url(F.col("s"), base).alias("o"), F.lit("URIRef").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
     return union_graphs(quads, added)
 
 
@@ -206,7 +206,7 @@ def reduce_duplicates(quads: DataFrame, preds: list[str], leave: int) -> tuple[D
 def order_media(quads: DataFrame) -> DataFrame:
     """(graph, s, place): web resources by their sort order, 0 if they have none, then by IRI; place from 1."""
     media = quads.filter((F.col("p") == TYPE) & (F.col("o") == EDM + "WebResource")).select("graph", "s").distinct()
-    order = quads.filter(F.col("p") == NAVE + "resourceSortOrder").groupBy("graph", "s").agg(F.min(F.col("o").try_cast("int")).alias("_o"))
+    order = quads.filter(F.col("p") == QTERM + "resourceSortOrder").groupBy("graph", "s").agg(F.min(F.col("o").try_cast("int")).alias("_o"))
     w = Window.partitionBy("graph").orderBy(F.coalesce("_o", F.lit(0)), "s")
     return media.join(order, ["graph", "s"], "left").withColumn("place", F.row_number().over(w)).drop("_o")
 
@@ -264,7 +264,7 @@ def geo_points(quads: DataFrame) -> DataFrame:
     """(graph, points, only_geohash): "lat,lon" of the subjects that have both, none if one is no number; else what geoHash says."""
     sides = quads.filter(F.col("p").isin(WGS84 + "lat", WGS84 + "long")).groupBy("graph", "s").agg(F.min(F.when(F.col("p") == WGS84 + "lat", F.col("o"))).alias("lat"), F.min(F.when(F.col("p") == WGS84 + "long", F.col("o"))).alias("lon"))
     pair = sides.filter("lat is not null and lon is not null").groupBy("graph").agg(F.bool_and(F.col("lat").try_cast("double").isNotNull() & F.col("lon").try_cast("double").isNotNull()).alias("_good"), F.array_sort(F.collect_set(F.concat_ws(",", "lat", "lon"))).alias("_pairs"))
-    told = quads.filter((F.col("p") == NAVE + "geoHash") & F.col("o").rlike("^[^,]+,[^,]+$")).groupBy("graph").agg(F.array_sort(F.collect_set("o")).alias("_told"))
+    told = quads.filter((F.col("p") == QTERM + "geoHash") & F.col("o").rlike("^[^,]+,[^,]+$")).groupBy("graph").agg(F.array_sort(F.collect_set("o")).alias("_told"))
     both = pair.filter("_good").join(told, "graph", "full_outer")
     return both.select("graph", F.coalesce("_pairs", "_told").alias("points"), F.col("_pairs").isNull().alias("only_geohash"))
 
@@ -304,14 +304,14 @@ def drop_graphs(store: DataFrame, graphs: DataFrame) -> DataFrame:
 
 def set_sync_flag(quads: DataFrame, dataset: str, value: bool) -> DataFrame:
     """The sync flag of all graphs of a dataset, which are those that say they belong to it."""
-    mine = quads.filter((F.col("p") == NARTHEX + "belongsTo") & (F.col("o") == dataset)).select("graph").distinct().withColumn("_mine", F.lit(True))
+    mine = quads.filter((F.col("p") == QSYNC + "belongsTo") & (F.col("o") == dataset)).select("graph").distinct().withColumn("_mine", F.lit(True))
     joined = quads.join(mine, "graph", "left")
-    return joined.withColumn("o", F.when(F.col("_mine") & (F.col("p") == NARTHEX + "synced"), F.lit(str(value).lower())).otherwise(F.col("o"))).select(*QUAD)
+    return joined.withColumn("o", F.when(F.col("_mine") & (F.col("p") == QSYNC + "synced"), F.lit(str(value).lower())).otherwise(F.col("o"))).select(*QUAD)
 
 
 def delete_dataset(quads: DataFrame, dataset: str, scope: str = "records") -> DataFrame:
     """Without a dataset's record graphs; with scope ``all`` without its thesaurus, mapping and own graphs too."""
-    mine = quads.filter((F.col("p") == NARTHEX + "belongsTo") & (F.col("o") == dataset)).select("graph").distinct()
+    mine = quads.filter((F.col("p") == QSYNC + "belongsTo") & (F.col("o") == dataset)).select("graph").distinct()
     if scope == "all":
         mine = mine.unionByName(quads.filter(F.col("graph").startswith(dataset + "/")).select("graph").distinct()).distinct()
     return drop_graphs(quads, mine)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import derivative_urls
-from ..functions.namespaces import EDM, NAVE, TYPE
+from ..functions.namespaces import EDM, QTERM, TYPE
 from ..schemas import QUAD
 
 # Kinds of master files, best first.
@@ -25,7 +25,7 @@ def add_media_triples(quads: DataFrame, base: str) -> DataFrame:
     spec = F.regexp_extract("o", "^urn:([^/]+)/", 1)
     urls = derivative_urls(F.col("o"), spec, base)
     names = ["thumbSmall", "thumbLarge", "deepZoomUrl"]
-    rows = F.array(*[F.struct(F.col("o").alias("s"), F.lit(NAVE + n).alias("p"), urls[k].alias("o")) for k, n in enumerate(names)])
+    rows = F.array(*[F.struct(F.col("o").alias("s"), F.lit(QTERM + n).alias("p"), urls[k].alias("o")) for k, n in enumerate(names)])
     first = views.groupBy("graph", "s").agg(F.min("o").alias("o"))
     shown = first.select("graph", "s", F.lit(EDM + "isShownBy").alias("p"), derivative_urls(F.col("o"), spec, base)[1].alias("o"))
     more = views.select("graph", F.explode(rows).alias("t")).select("graph", "t.s", "t.p", "t.o").unionByName(shown)

@@ -125,11 +125,11 @@ def dataset_audit(stats: DataFrame) -> DataFrame:
     return stats.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def datasets_from_quads(quads: DataFrame, narthex: str) -> DataFrame:
+def datasets_from_quads(quads: DataFrame, qsync: str) -> DataFrame:
     """(uri, spec, owner, total, valid, invalid): dataset rows from graphs of datasets; counts are 0 and the owner is the spec by default."""
     from ..functions.namespaces import TYPE
 
-    typed = quads.filter((F.col("p") == TYPE) & (F.col("o") == narthex + "Dataset")).select("s").distinct()
-    pick = lambda name: F.min(F.when(F.col("p") == narthex + name, F.col("o")))
+    typed = quads.filter((F.col("p") == TYPE) & (F.col("o") == qsync + "Dataset")).select("s").distinct()
+    pick = lambda name: F.min(F.when(F.col("p") == qsync + name, F.col("o")))
     rows = quads.join(typed, "s", "left_semi").groupBy(F.col("s").alias("uri")).agg(pick("datasetSpec").alias("spec"), pick("datasetOwner").alias("_owner"), *[F.coalesce(pick(n).try_cast("long"), F.lit(0)).alias(k) for k, n in (("total", "datasetRecordCount"), ("valid", "processedValid"), ("invalid", "processedInvalid"))])
     return rows.select("uri", "spec", F.coalesce("_owner", "spec").alias("owner"), "total", "valid", "invalid")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import proxy_uri
-from ..functions.namespaces import GN, NARTHEX, SKOS, TYPE
+from ..functions.namespaces import GN, QSYNC, SKOS, TYPE
 from ..schemas import QUAD
 from .graph import union_graphs
 from .tables import cut
@@ -55,8 +55,8 @@ def proxy_graph(proxies: DataFrame, mappings: DataFrame, concepts: DataFrame | N
     """Quads of proxies (proxy, dataset, p, label, lang), matched to their concept where ``mappings`` (proxy, concept) has one; with the concept's triples if ``concepts`` are given."""
     m = mappings.select("proxy", F.col("concept").alias("_concept")).dropDuplicates(["proxy"])
     j = proxies.join(m, "proxy", "left")
-    said = [(TYPE, F.lit(SKOS + "Concept"), "URIRef"), (TYPE, F.lit(NARTHEX + "ProxyResource"), "URIRef"), (NARTHEX + "proxyLiteralField", F.col("p"), "URIRef"), (NARTHEX + "proxyLiteralValue", F.col("label"), "Literal")]
-    said += [(NARTHEX + "belongsTo", F.col("dataset"), "URIRef"), (SKOS + "prefLabel", F.col("label"), "Literal"), (SKOS + "exactMatch", F.col("_concept"), "URIRef")]
+    said = [(TYPE, F.lit(SKOS + "Concept"), "URIRef"), (TYPE, F.lit(QSYNC + "ProxyResource"), "URIRef"), (QSYNC + "proxyLiteralField", F.col("p"), "URIRef"), (QSYNC + "proxyLiteralValue", F.col("label"), "Literal")]
+    said += [(QSYNC + "belongsTo", F.col("dataset"), "URIRef"), (SKOS + "prefLabel", F.col("label"), "Literal"), (SKOS + "exactMatch", F.col("_concept"), "URIRef")]
     rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")) for p, o, k in said])
     null = F.lit(None).cast("string")
     out = j.select("proxy", "lang", F.explode(rows).alias("t")).filter("t.o is not null")

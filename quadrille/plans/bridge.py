@@ -10,11 +10,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.namespaces import DC, DCTERMS, EDM, ORE, QSYNC, QTERM, SKOS, TYPE, WGS84  # noqa: F401
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 BASE = "http://data.example.org"
-RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-DC, EDM, NAVE, SKOS, DCT = "http://purl.org/dc/elements/1.1/", "http://www.europeana.eu/schemas/edm/", "http://schemas.delving.eu/nave/terms/", "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/terms/"
-ORE, NARTHEX, WGS, OWL = "http://www.openarchives.org/ore/terms/", "http://schemas.delving.eu/narthex/terms/", "http://www.w3.org/2003/01/geo/wgs84_pos#", "http://www.w3.org/2002/07/owl#"
+RDF_TYPE, DCT, WGS = TYPE, DCTERMS, WGS84
 
 DOCS = f"""
 SELECT d.doc_id, concat('demo_', source, '_', d.doc_id) AS hub_id, source AS spec, lang, substring(text, 1, 40) AS title, text,
@@ -50,16 +50,16 @@ QUADS = " UNION ALL ".join(
         _row(_C, DC + "subject", "c_mktsegment", "Literal", "'en'") + _CN,
         _row(_C, EDM + "dataProvider", "n_name", "Literal") + _CN,
         _row(_C, DCT + "spatial", _N, "URIRef") + _CN,
-        _row(_C, NAVE + "geoHash", f"concat({_TXT[0]}, ',', {_TXT[1]})", "Literal") + _CN,
-        _row(_C, NAVE + "allowLinkedOpenData", "CASE WHEN c_custkey % 5 = 0 THEN 'false' ELSE 'true' END", "Literal", datatype="'http://www.w3.org/2001/XMLSchema#boolean'") + _CN + " WHERE c_custkey % 3 <> 0",
+        _row(_C, QTERM + "geoHash", f"concat({_TXT[0]}, ',', {_TXT[1]})", "Literal") + _CN,
+        _row(_C, QTERM + "allowLinkedOpenData", "CASE WHEN c_custkey % 5 = 0 THEN 'false' ELSE 'true' END", "Literal", datatype="'http://www.w3.org/2001/XMLSchema#boolean'") + _CN + " WHERE c_custkey % 3 <> 0",
         _row(_N, RDF_TYPE, f"'{EDM}Place'", "URIRef") + _CN,
         _row(_N, SKOS + "prefLabel", "n_name", "Literal", "'en'") + _CN,
         _row(_N, WGS + "lat", _TXT[0].join(["CAST(", " AS STRING)"]), "Literal") + _CN + " WHERE c_custkey % 4 = 0",
         _row(_N, WGS + "long", _TXT[1].join(["CAST(", " AS STRING)"]), "Literal") + _CN + " WHERE c_custkey % 4 = 0",
         _row(_C, EDM + "hasView", _O, "URIRef") + _CO,
         _row(_O, RDF_TYPE, f"'{EDM}WebResource'", "URIRef") + _CO,
-        _row(_O, NAVE + "resourceSortOrder", "CAST(o_orderkey % 5 AS STRING)", "Literal") + _CO + " WHERE o_orderkey % 2 = 0",
-        _row(_O, NAVE + "thumbnail", "concat('http://img.example.org/', o_orderkey)", "URIRef") + _CO,
+        _row(_O, QTERM + "resourceSortOrder", "CAST(o_orderkey % 5 AS STRING)", "Literal") + _CO + " WHERE o_orderkey % 2 = 0",
+        _row(_O, QTERM + "thumbnail", "concat('http://img.example.org/', o_orderkey)", "URIRef") + _CO,
     ]
 )
 

@@ -23,11 +23,11 @@ def records(spark, d):
     e = lambda *cs: F.array(*[index_entry(c, F.lit("Literal"), null) for c in cs])
     landing = F.when(F.col("doc_id") % 3 == 0, F.lit("file:///opt/x")).otherwise(F.concat(F.lit("http://l/"), "doc_id"))
     fields = F.create_map(
-        F.lit("dc_title"), e(F.col("title")), F.lit("nave_material"), e(F.col("lang"), F.col("spec")), F.lit("edm_object"), e(F.concat(F.lit("http://img/"), "doc_id")),
-        F.lit("custom_x"), e(F.col("spec")), F.lit("nave_resourceUri"), e(F.lit("r")), F.lit("narthex_synced"), e(F.lit("true")), F.lit("edm_isShownAt"), e(landing),
+        F.lit("dc_title"), e(F.col("title")), F.lit("qterm_material"), e(F.col("lang"), F.col("spec")), F.lit("edm_object"), e(F.concat(F.lit("http://img/"), "doc_id")),
+        F.lit("custom_x"), e(F.col("spec")), F.lit("qterm_resourceUri"), e(F.lit("r")), F.lit("qsync_synced"), e(F.lit("true")), F.lit("edm_isShownAt"), e(landing),
     )
     point = F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("52."), (F.col("doc_id") % 90) + 10, F.lit(",4.5"))))
-    legacy = F.create_map(F.lit("delving_owner"), F.col("spec"), F.lit("delving_creator"), F.lit("null"))
+    legacy = F.create_map(F.lit("qsite_owner"), F.col("spec"), F.lit("qsite_creator"), F.lit("null"))
     return docs.select("doc_id", "hub_id", "spec", "source_uri", "modified_at", fields.alias("fields"), point.alias("point"), legacy.alias("legacy"))
 
 
@@ -43,7 +43,7 @@ def _flat(rows):
     return " UNION ALL ".join(f"SELECT hub_id, '{k}' AS key, {v} AS vals FROM {{docs}}" for k, v in rows)
 
 
-_BASE_ROWS = [("dc_title", "title"), ("europeana_object", _OBJ), ("custom_x", "spec"), ("delving_resourceUri", "'r'"), ("europeana_isShownAt", _SHOWN)]
+_BASE_ROWS = [("dc_title", "title"), ("europeana_object", _OBJ), ("custom_x", "spec"), ("qsite_resourceUri", "'r'"), ("europeana_isShownAt", _SHOWN)]
 
 
 @_q(_flat([*_BASE_ROWS, ("icn_material", "concat(lang, '|', spec)")]))
@@ -70,22 +70,22 @@ _LOCAL = "concat(spec, '/', doc_id)"
 
 
 @_q(
-    _flat([("dc_title", "title"), ("custom_x", "spec"), ("delving_resourceUri", "'r'"), ("delving_recordType", "'mdr'"), ("delving_hubId", "hub_id"), ("delving_pmhId", "hub_id"), ("delving_spec", "spec"), ("europeana_uri", _LOCAL), ("europeana_object", "'r'"), ("delving_hasDigitalObject", "'true'"), ("delving_thumbnail", "'r'"), ("delving_hasGeoHash", "'false'"), ("delving_title", "title"), ("europeana_collectionName", "spec"), ("delving_orgId", "'demo'"), ("delving_owner", "spec"), ("delving_hasLandingPage", "CASE WHEN doc_id % 3 = 0 THEN 'false' ELSE 'true' END")])
+    _flat([("dc_title", "title"), ("custom_x", "spec"), ("qsite_resourceUri", "'r'"), ("qsite_recordType", "'mdr'"), ("qsite_hubId", "hub_id"), ("qsite_pmhId", "hub_id"), ("qsite_spec", "spec"), ("europeana_uri", _LOCAL), ("europeana_object", "'r'"), ("qsite_hasDigitalObject", "'true'"), ("qsite_thumbnail", "'r'"), ("qsite_hasGeoHash", "'false'"), ("qsite_title", "title"), ("europeana_collectionName", "spec"), ("qsite_orgId", "'demo'"), ("qsite_owner", "spec"), ("qsite_hasLandingPage", "CASE WHEN doc_id % 3 = 0 THEN 'false' ELSE 'true' END")])
     + " UNION ALL SELECT hub_id, 'europeana_isShownAt', concat('http://l/', doc_id) FROM {docs} WHERE doc_id % 3 <> 0"
 )
 def convert_defaults(spark, d):
     return _rows(C.add_defaults(C.convert(records(spark, d), "ese"), "demo"))
 
 
-@_q(_flat([("dc_title", "title"), ("nave_material", "concat(lang, '|', spec)"), ("edm_object", _OBJ), ("custom_x", "spec"), ("nave_resourceUri", "'r'"), ("edm_isShownAt", _SHOWN)]))
+@_q(_flat([("dc_title", "title"), ("qterm_material", "concat(lang, '|', spec)"), ("edm_object", _OBJ), ("custom_x", "spec"), ("qterm_resourceUri", "'r'"), ("edm_isShownAt", _SHOWN)]))
 def convert_v2(spark, d):
     return _rows(C.convert_v2(records(spark, d)))
 
 
-@_q("SELECT hub_id, replace(replace(concat('q=icn_', title, '&europeana_', spec), 'icn_', 'nave_'), 'europeana_', 'edm_') AS there, replace(replace(concat('nave_', spec), 'nave_', 'icn_'), 'edm_', 'europeana_') AS back FROM {docs}")
+@_q("SELECT hub_id, replace(replace(concat('q=icn_', title, '&europeana_', spec), 'icn_', 'qterm_'), 'europeana_', 'edm_') AS there, replace(replace(concat('qterm_', spec), 'qterm_', 'icn_'), 'edm_', 'europeana_') AS back FROM {docs}")
 def rewrite_query_keys(spark, d):
     r = C.KEY_PREFIXES["icn"]
-    return table(spark, d, "docs").select("hub_id", rewrite_keys(F.concat(F.lit("q=icn_"), "title", F.lit("&europeana_"), "spec"), r).alias("there"), rewrite_keys(F.concat(F.lit("nave_"), "spec"), r, reverse=True).alias("back"))
+    return table(spark, d, "docs").select("hub_id", rewrite_keys(F.concat(F.lit("q=icn_"), "title", F.lit("&europeana_"), "spec"), r).alias("there"), rewrite_keys(F.concat(F.lit("qterm_"), "spec"), r, reverse=True).alias("back"))
 
 
 @_q("SELECT graph, count(DISTINCT s) AS subjects, count(DISTINCT CASE WHEN p NOT LIKE '%#type' THEN concat(s, p) END) AS properties FROM {quads} GROUP BY graph")

@@ -73,7 +73,7 @@ def rebased_uris(spark, d):
 
 
 _LOCAL = "regexp_replace(p, '^(.*#|[^#]*/)', '')"
-_PFX = "CASE WHEN p LIKE 'http://purl.org/dc/elements%' THEN 'dc' WHEN p LIKE '%schemas/edm%' THEN 'edm' WHEN p LIKE '%nave/terms%' THEN 'nave' WHEN p LIKE '%skos%' THEN 'skos' WHEN p LIKE '%dc/terms%' THEN 'dcterms' WHEN p LIKE '%wgs84%' THEN 'wgs84_pos' WHEN p LIKE '%rdf-syntax%' THEN 'rdf' END"
+_PFX = "CASE WHEN p LIKE 'http://purl.org/dc/elements%' THEN 'dc' WHEN p LIKE '%schemas/edm%' THEN 'edm' WHEN p LIKE '%example.org/qterm%' THEN 'qterm' WHEN p LIKE '%skos%' THEN 'skos' WHEN p LIKE '%dc/terms%' THEN 'dcterms' WHEN p LIKE '%wgs84%' THEN 'wgs84_pos' WHEN p LIKE '%rdf-syntax%' THEN 'rdf' END"
 
 
 @_q(f"SELECT DISTINCT p, concat({_PFX}, ':', {_LOCAL}) AS qname, concat({_PFX}, '_', {_LOCAL}) AS search_label, p AS back, concat('{{', regexp_extract(p, '^(.*#|[^#]*/)', 1), '}}', {_LOCAL}) AS tag FROM {{quads}}".replace("{{quads}}", "{quads}").replace("'{{'", "'{'").replace("'}}'", "'}'"))
@@ -82,22 +82,22 @@ def qnames(spark, d):
     return table(spark, d, "quads").select("p").distinct().select("p", N.to_qname(p).alias("qname"), N.search_label(p).alias("search_label"), N.label_to_iri(N.search_label(p)).alias("back"), N.namespaced_tag(p).alias("tag"))
 
 
-@_q("SELECT doc_id, concat('nave_', lang) AS a, concat('edm_', lang) AS b, 'system.spec.raw' AS c, concat('legacy.delving_', lang) AS d, 'delving_year.raw' AS e FROM {docs}")
+@_q("SELECT doc_id, concat('qterm_', lang) AS a, concat('edm_', lang) AS b, 'system.spec.raw' AS c, concat('legacy.qsite_', lang) AS d, 'qsite_year.raw' AS e FROM {docs}")
 def field_keys(spark, d):
     k = lambda s, t="": F.concat(F.lit(s), "lang", F.lit(t))
-    return table(spark, d, "docs").select("doc_id", T.normalise_field(k("icn_", "_facet")).alias("a"), T.normalise_field(k("europeana_", "_text")).alias("b"), T.facet_key(F.lit("delving_spec")).alias("c"), T.facet_key(k("delving_")).alias("d"), T.facet_key(F.lit("-delving_year")).alias("e"))
+    return table(spark, d, "docs").select("doc_id", T.normalise_field(k("icn_", "_facet")).alias("a"), T.normalise_field(k("europeana_", "_text")).alias("b"), T.facet_key(F.lit("qsite_spec")).alias("c"), T.facet_key(k("qsite_")).alias("d"), T.facet_key(F.lit("-qsite_year")).alias("e"))
 
 
-@_q("SELECT doc_id, doc_id % 4 <> 3 AS fielded, CASE doc_id % 4 WHEN 0 THEN concat('dc_subject.raw:', lang) WHEN 1 THEN concat('legacy.delving_owner.value:', lang) WHEN 2 THEN concat('system.spec.raw:', spec, ' AND b') ELSE concat('plain ', lang) END AS query FROM {docs}")
+@_q("SELECT doc_id, doc_id % 4 <> 3 AS fielded, CASE doc_id % 4 WHEN 0 THEN concat('dc_subject.raw:', lang) WHEN 1 THEN concat('legacy.qsite_owner.value:', lang) WHEN 2 THEN concat('system.spec.raw:', spec, ' AND b') ELSE concat('plain ', lang) END AS query FROM {docs}")
 def rewritten_queries(spark, d):
     i = F.col("doc_id") % 4
-    q = F.when(i == 0, F.concat(F.lit("dc_subject_facet:"), "lang")).when(i == 1, F.concat(F.lit("delving_owner:"), "lang")).when(i == 2, F.concat(F.lit("delving_spec:"), "spec", F.lit(" AND b"))).otherwise(F.concat(F.lit("plain "), "lang"))
+    q = F.when(i == 0, F.concat(F.lit("dc_subject_facet:"), "lang")).when(i == 1, F.concat(F.lit("qsite_owner:"), "lang")).when(i == 2, F.concat(F.lit("qsite_spec:"), "spec", F.lit(" AND b"))).otherwise(F.concat(F.lit("plain "), "lang"))
     return table(spark, d, "docs").select("doc_id", T.is_fielded(q).alias("fielded"), T.rewrite_query(q).alias("query"))
 
 
-@_q("SELECT doc_id, concat('dc_subject=', lang, '|dc_subject=', spec, '|legacy.delving_owner=a:b', '|query=x OR y') AS filters FROM {docs}")
+@_q("SELECT doc_id, concat('dc_subject=', lang, '|dc_subject=', spec, '|legacy.qsite_owner=a:b', '|query=x OR y') AS filters FROM {docs}")
 def parsed_filters(spark, d):
-    f = F.array(F.concat(F.lit("dc_subject_facet:"), "spec"), F.concat(F.lit("dc_subject:"), "lang"), F.lit("delving_owner:a:b"), F.lit("x OR y"), F.lit(""), F.concat(F.lit("dc_subject:"), "lang"))
+    f = F.array(F.concat(F.lit("dc_subject_facet:"), "spec"), F.concat(F.lit("dc_subject:"), "lang"), F.lit("qsite_owner:a:b"), F.lit("x OR y"), F.lit(""), F.concat(F.lit("dc_subject:"), "lang"))
     p = T.parse_filters(f)
     return table(spark, d, "docs").select("doc_id", F.array_join(F.transform(p, lambda x: F.concat_ws("=", x["field"], x["value"])), "|").alias("filters"))
 

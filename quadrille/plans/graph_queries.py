@@ -8,7 +8,7 @@ from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import thesaurus as T
 from ..registry import query
-from .bridge import BASE, DC, DCT, EDM, NARTHEX, NAVE, ORE, RDF_TYPE, SKOS, WGS, plain, table
+from .bridge import BASE, DC, DCT, EDM, QSYNC, QTERM, ORE, RDF_TYPE, SKOS, WGS, plain, table
 
 
 def _q(sql: str):
@@ -20,7 +20,7 @@ _LABEL_RANK = f"CASE p WHEN '{SKOS}prefLabel' THEN 1 WHEN '{DC}title' THEN 6 END
 _OWN = f"WITH q AS MATERIALIZED (SELECT * FROM {{quads}}), c AS (SELECT * FROM {{concepts}}) "
 
 
-@_q(_OWN + f"SELECT {_ALL} FROM q WHERE p <> '{RDF_TYPE}' AND p NOT LIKE '{NARTHEX}%'")
+@_q(_OWN + f"SELECT {_ALL} FROM q WHERE p <> '{RDF_TYPE}' AND p NOT LIKE '{QSYNC}%'")
 def filter_properties(spark, d):
     return G.filter_properties(table(spark, d, "quads")).select(*_ALL.split(", "))
 
@@ -36,7 +36,7 @@ def select_subject(spark, d):
     return G.select_subject(q, f"{BASE}/place/3").unionByName(G.select_subject(q, f"{BASE}/resource/aggregation/n3/1/about")).select(*_ALL.split(", "))
 
 
-@_q(_OWN + f"SELECT graph, coalesce(bool_and(CASE WHEN p = '{NAVE}allowLinkedOpenData' THEN lower(o) = 'true' END), TRUE) AS lod FROM q GROUP BY graph")
+@_q(_OWN + f"SELECT graph, coalesce(bool_and(CASE WHEN p = '{QTERM}allowLinkedOpenData' THEN lower(o) = 'true' END), TRUE) AS lod FROM q GROUP BY graph")
 def lod_allowed(spark, d):
     return G.lod_allowed(table(spark, d, "quads"))
 
@@ -46,9 +46,9 @@ def aggregate_bnodes(spark, d):
     q = table(spark, d, "quads")
     # places as blank nodes typed in the record terms
     place = (F.col("p") == RDF_TYPE) & (F.col("o") == f"{EDM}Place")
-    marked = q.withColumn("s_kind", F.when(place, "BNode").otherwise(F.col("s_kind"))).withColumn("o", F.when(place, F.lit(NAVE + "Place")).otherwise(F.col("o")))
+    marked = q.withColumn("s_kind", F.when(place, "BNode").otherwise(F.col("s_kind"))).withColumn("o", F.when(place, F.lit(QTERM + "Place")).otherwise(F.col("o")))
     about = q.select("graph", F.regexp_replace("graph", "/graph$", "").alias("about")).distinct()
-    return G.aggregate_bnodes(marked, about).withColumn("o", F.when(F.col("o") == NAVE + "Place", F.lit(EDM + "Place")).otherwise(F.col("o"))).select(*_ALL.split(", "))
+    return G.aggregate_bnodes(marked, about).withColumn("o", F.when(F.col("o") == QTERM + "Place", F.lit(EDM + "Place")).otherwise(F.col("o"))).select(*_ALL.split(", "))
 
 
 @_q(_OWN + f"SELECT graph, CASE WHEN p = '{EDM}hasView' THEN o ELSE s END AS s, CASE WHEN p = '{EDM}hasView' THEN '{ORE}aggregates' ELSE p END AS p, CASE WHEN p = '{EDM}hasView' THEN s ELSE o END AS o FROM q")
@@ -68,7 +68,7 @@ def rows_to_quads(spark, d):
     return G.rows_to_quads(part, {"p_name": DC + "title", "subjects": DC + "subject", "img": EDM + "hasView"}).select("graph", "s", "p", "o", "o_kind")
 
 
-_ABOUT = [("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "'http://xmlns.com/foaf/0.1/Document'"), ("http://xmlns.com/foaf/0.1/primaryTopic", "source_uri"), (DCT + "created", "'2024-01-01'"), (DCT + "modified", "strftime(modified_at, '%Y-%m-%d')"), ("http://creativecommons.org/ns#license", "'http://creativecommons.org/publicdomain/zero/1.0/'"), ("http://creativecommons.org/ns#attributionName", "spec"), ("http://creativecommons.org/ns#attributionURL", "source_uri"), (NAVE + "hubId", "hub_id"), (NAVE + "spec", "spec"), (NAVE + "allowLinkedOpenData", "'true'")]
+_ABOUT = [("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "'http://xmlns.com/foaf/0.1/Document'"), ("http://xmlns.com/foaf/0.1/primaryTopic", "source_uri"), (DCT + "created", "'2024-01-01'"), (DCT + "modified", "strftime(modified_at, '%Y-%m-%d')"), ("http://creativecommons.org/ns#license", "'http://creativecommons.org/publicdomain/zero/1.0/'"), ("http://creativecommons.org/ns#attributionName", "spec"), ("http://creativecommons.org/ns#attributionURL", "source_uri"), (QTERM + "hubId", "hub_id"), (QTERM + "spec", "spec"), (QTERM + "allowLinkedOpenData", "'true'")]
 
 
 @_q("WITH d AS (SELECT * FROM {docs}) " + " UNION ALL ".join(f"SELECT concat(source_uri, '/graph') AS graph, concat(source_uri, '/about') AS s, '{p}' AS p, {o} AS o FROM d" for p, o in _ABOUT))
@@ -98,8 +98,8 @@ def _proxied(spark, d):
     row = lambda s, pr, o, k: F.struct(s.alias("s"), F.lit(pr).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"))
     rows = F.array(
         row(F.col("s"), DC + "subject", F.col("proxy"), "URIRef"),
-        row(F.col("proxy"), RDF_TYPE, F.lit(NARTHEX + "ProxyResource"), "URIRef"),
-        row(F.col("proxy"), NARTHEX + "proxyLiteralValue", F.col("label"), "Literal"),
+        row(F.col("proxy"), RDF_TYPE, F.lit(QSYNC + "ProxyResource"), "URIRef"),
+        row(F.col("proxy"), QSYNC + "proxyLiteralValue", F.col("label"), "Literal"),
         row(F.col("proxy"), SKOS + "exactMatch", F.col("concept"), "URIRef"),
     )
     return j.select("graph", F.explode(rows).alias("t")).filter("t.o is not null").select("graph", "t.s", F.lit("URIRef").alias("s_kind"), "t.p", "t.o", "t.o_kind", null.alias("datatype"), null.alias("lang"))
@@ -128,8 +128,8 @@ def context_one_hop(spark, d):
 @_q(
     f"""WITH p AS (SELECT * FROM {{proxies}}), r AS ({_PROXIED}),
 l1 AS (SELECT DISTINCT s, '{DC}subject' AS p, proxy AS o FROM r JOIN p ON r.spec = p.spec AND r.label = p.label),
-l2 AS (SELECT DISTINCT proxy AS s, '{RDF_TYPE}' AS p, '{NARTHEX}ProxyResource' AS o FROM p WHERE proxy IN (SELECT o FROM l1)
- UNION SELECT DISTINCT proxy, '{NARTHEX}proxyLiteralValue', label FROM p WHERE proxy IN (SELECT o FROM l1)
+l2 AS (SELECT DISTINCT proxy AS s, '{RDF_TYPE}' AS p, '{QSYNC}ProxyResource' AS o FROM p WHERE proxy IN (SELECT o FROM l1)
+ UNION SELECT DISTINCT proxy, '{QSYNC}proxyLiteralValue', label FROM p WHERE proxy IN (SELECT o FROM l1)
  UNION SELECT DISTINCT proxy, '{SKOS}exactMatch', concept FROM p WHERE concept IS NOT NULL AND proxy IN (SELECT o FROM l1))
 SELECT 1 AS level, * FROM l1 UNION ALL SELECT 2, * FROM l2"""
 )
@@ -162,7 +162,7 @@ def concept_links(spark, d):
 
 @_q(_OWN + f"SELECT count(*) AS n, count(DISTINCT o) AS urls FROM (SELECT DISTINCT graph, concat('{BASE}/resource/cache/', regexp_replace(o, '^https?://', '')) AS o FROM q WHERE o_kind = 'URIRef' AND o LIKE 'http%')")
 def cached_source(spark, d):
-    made = G.cached_source(table(spark, d, "quads"), BASE).filter(F.col("p") == NAVE + "cacheUrl")
+    made = G.cached_source(table(spark, d, "quads"), BASE).filter(F.col("p") == QTERM + "cacheUrl")
     return made.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o").alias("urls"))
 
 
@@ -187,13 +187,13 @@ def reduce_duplicates(spark, d):
 
 @_q(
     _OWN + f"""SELECT graph, s, row_number() OVER (PARTITION BY graph ORDER BY coalesce(k, 0), s)::INTEGER AS place
-FROM (SELECT graph, s, max(CASE WHEN p = '{NAVE}resourceSortOrder' THEN CAST(o AS INTEGER) END) AS k FROM q WHERE s LIKE 'urn:%' GROUP BY graph, s)"""
+FROM (SELECT graph, s, max(CASE WHEN p = '{QTERM}resourceSortOrder' THEN CAST(o AS INTEGER) END) AS k FROM q WHERE s LIKE 'urn:%' GROUP BY graph, s)"""
 )
 def order_media(spark, d):
     return G.order_media(table(spark, d, "quads"))
 
 
-@_q(_OWN + f"SELECT graph, min(o) AS thumbnail FROM q WHERE p = '{NAVE}thumbnail' GROUP BY graph")
+@_q(_OWN + f"SELECT graph, min(o) AS thumbnail FROM q WHERE p = '{QTERM}thumbnail' GROUP BY graph")
 def pick_thumbnail(spark, d):
     return G.pick_thumbnail(table(spark, d, "quads"))
 
@@ -224,7 +224,7 @@ def first_literals(spark, d):
 
 @_q(
     _OWN + f""", ll AS (SELECT graph, s, min(CASE WHEN p = '{WGS}lat' THEN o END) AS la, min(CASE WHEN p = '{WGS}long' THEN o END) AS lo FROM q GROUP BY graph, s),
-p1 AS (SELECT graph, concat(la, ',', lo) AS pt FROM ll WHERE la IS NOT NULL AND lo IS NOT NULL), p2 AS (SELECT graph, o AS pt FROM q WHERE p = '{NAVE}geoHash')
+p1 AS (SELECT graph, concat(la, ',', lo) AS pt FROM ll WHERE la IS NOT NULL AND lo IS NOT NULL), p2 AS (SELECT graph, o AS pt FROM q WHERE p = '{QTERM}geoHash')
 SELECT graph, pt AS points, FALSE AS only_geohash FROM p1 UNION ALL SELECT graph, pt, TRUE FROM p2 WHERE graph NOT IN (SELECT graph FROM p1)"""
 )
 def geo_points(spark, d):
@@ -277,7 +277,7 @@ def _belonging(spark, d):
     q = table(spark, d, "quads")
     null = F.lit(None).cast("string")
     g = q.select("graph").distinct().select("graph", F.regexp_extract("graph", "aggregation/(n[0-9]+)/", 1).alias("spec"))
-    said = F.array(F.struct(F.lit(NARTHEX + "belongsTo").alias("p"), F.concat(F.lit(f"{BASE}/resource/dataset/"), "spec").alias("o")), F.struct(F.lit(NARTHEX + "synced").alias("p"), F.lit("false").alias("o")))
+    said = F.array(F.struct(F.lit(QSYNC + "belongsTo").alias("p"), F.concat(F.lit(f"{BASE}/resource/dataset/"), "spec").alias("o")), F.struct(F.lit(QSYNC + "synced").alias("p"), F.lit("false").alias("o")))
     more = g.select("graph", F.explode(said).alias("t")).select("graph", F.col("graph").alias("s"), F.lit("URIRef").alias("s_kind"), "t.p", "t.o", F.lit("Literal").alias("o_kind"), null.alias("datatype"), null.alias("lang"))
     return q.unionByName(more)
 
@@ -285,7 +285,7 @@ def _belonging(spark, d):
 @_q(_OWN + "SELECT count(*) AS synced FROM (SELECT DISTINCT graph FROM q WHERE graph LIKE '%/aggregation/n3/%')")
 def set_sync_flag(spark, d):
     done = G.set_sync_flag(_belonging(spark, d), f"{BASE}/resource/dataset/n3", True)
-    return done.filter((F.col("p") == NARTHEX + "synced") & (F.col("o") == "true")).agg(F.count(F.lit(1)).alias("synced"))
+    return done.filter((F.col("p") == QSYNC + "synced") & (F.col("o") == "true")).agg(F.count(F.lit(1)).alias("synced"))
 
 
 @_q(_OWN + "SELECT graph, count(*) + 2 AS n FROM q WHERE graph NOT LIKE '%/aggregation/n3/%' GROUP BY graph")
@@ -320,7 +320,7 @@ def apply_proxy_fields(spark, d):
 
 
 @_q(
-    " UNION ALL ".join(f"SELECT proxy AS s, '{p}' AS p, {o} AS o FROM {{proxies}} WHERE {o} IS NOT NULL" for p, o in [(RDF_TYPE, f"'{SKOS}Concept'"), (RDF_TYPE, f"'{NARTHEX}ProxyResource'"), (NARTHEX + "proxyLiteralField", "p"), (NARTHEX + "proxyLiteralValue", "label"), (NARTHEX + "belongsTo", "dataset"), (SKOS + "prefLabel", "label"), (SKOS + "exactMatch", "concept")])
+    " UNION ALL ".join(f"SELECT proxy AS s, '{p}' AS p, {o} AS o FROM {{proxies}} WHERE {o} IS NOT NULL" for p, o in [(RDF_TYPE, f"'{SKOS}Concept'"), (RDF_TYPE, f"'{QSYNC}ProxyResource'"), (QSYNC + "proxyLiteralField", "p"), (QSYNC + "proxyLiteralValue", "label"), (QSYNC + "belongsTo", "dataset"), (SKOS + "prefLabel", "label"), (SKOS + "exactMatch", "concept")])
 )
 def proxy_graph(spark, d):
     p = table(spark, d, "proxies")
@@ -351,7 +351,7 @@ def skosify(spark, d):
 
 # ---- documents ----
 
-_FIELD = f"CASE WHEN p LIKE '{DC}%' THEN concat('dc_', substring(p, {len(DC) + 1})) WHEN p LIKE '{EDM}%' THEN concat('edm_', substring(p, {len(EDM) + 1})) WHEN p LIKE '{NAVE}%' THEN concat('nave_', substring(p, {len(NAVE) + 1})) WHEN p LIKE '{SKOS}%' THEN concat('skos_', substring(p, {len(SKOS) + 1})) WHEN p LIKE '{DCT}%' THEN concat('dcterms_', substring(p, {len(DCT) + 1})) WHEN p LIKE '{WGS}%' THEN concat('wgs84_pos_', substring(p, {len(WGS) + 1})) END"
+_FIELD = f"CASE WHEN p LIKE '{DC}%' THEN concat('dc_', substring(p, {len(DC) + 1})) WHEN p LIKE '{EDM}%' THEN concat('edm_', substring(p, {len(EDM) + 1})) WHEN p LIKE '{QTERM}%' THEN concat('qterm_', substring(p, {len(QTERM) + 1})) WHEN p LIKE '{SKOS}%' THEN concat('skos_', substring(p, {len(SKOS) + 1})) WHEN p LIKE '{DCT}%' THEN concat('dcterms_', substring(p, {len(DCT) + 1})) WHEN p LIKE '{WGS}%' THEN concat('wgs84_pos_', substring(p, {len(WGS) + 1})) END"
 
 
 @_q(
@@ -375,8 +375,8 @@ def nested_documents(spark, d):
 
 @_q(
     _OWN + f"""SELECT concat('demo_n', regexp_extract(graph, 'aggregation/n([0-9]+)/', 1), '_', regexp_extract(graph, '/([0-9]+)/graph', 1)) AS hub_id, concat('n', regexp_extract(graph, 'aggregation/n([0-9]+)/', 1)) AS spec,
- min(CASE WHEN p = '{DC}title' THEN o END) AS caption, min(CASE WHEN p = '{NAVE}thumbnail' THEN o END) AS thumbnail, 'true' AS "hasGeoHash", CASE WHEN count(CASE WHEN p = '{NAVE}thumbnail' THEN 1 END) > 0 THEN 'true' ELSE 'false' END AS "hasDigitalObject" FROM q GROUP BY graph"""
+ min(CASE WHEN p = '{DC}title' THEN o END) AS caption, min(CASE WHEN p = '{QTERM}thumbnail' THEN o END) AS thumbnail, 'true' AS "hasGeoHash", CASE WHEN count(CASE WHEN p = '{QTERM}thumbnail' THEN 1 END) > 0 THEN 'true' ELSE 'false' END AS "hasDigitalObject" FROM q GROUP BY graph"""
 )
 def build_records(spark, d):
     r = D.build_records(table(spark, d, "quads"), org="demo")
-    return r.select("hub_id", "spec", F.col("system.caption").alias("caption"), F.col("system.thumbnail").alias("thumbnail"), F.col("legacy.delving_hasGeoHash").alias("hasGeoHash"), F.col("legacy.delving_hasDigitalObject").alias("hasDigitalObject"))
+    return r.select("hub_id", "spec", F.col("system.caption").alias("caption"), F.col("system.thumbnail").alias("thumbnail"), F.col("legacy.qsite_hasGeoHash").alias("hasGeoHash"), F.col("legacy.qsite_hasDigitalObject").alias("hasDigitalObject"))

@@ -11,7 +11,7 @@ from ..sources import rdf
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import ingest
-from .bridge import BASE, DC, EDM, NARTHEX, NAVE, RDF_TYPE, SKOS, plain, table
+from .bridge import BASE, DC, EDM, QSYNC, QTERM, RDF_TYPE, SKOS, plain, table
 
 
 def _q(sql: str):
@@ -87,14 +87,14 @@ def gazetteer(spark, d):
 
 @_q(
     f"""WITH p AS (SELECT p_partkey, concat('{BASE}/resource/part/', p_partkey) AS s, p_name, p_brand, p_partkey % 10 = 0 AS bad FROM {{part}})
-SELECT s, '{RDF_TYPE}' AS p, '{NAVE}IndexItem' AS o, 'URIRef' AS o_kind FROM p WHERE NOT bad UNION ALL SELECT s, '{DC}title', p_name, 'Literal' FROM p WHERE NOT bad
-UNION ALL SELECT s, '{NAVE}geoHash', '52.1,4.5', 'Literal' FROM p WHERE NOT bad UNION ALL SELECT s, '{NAVE}place', '52.1,4.5', 'Literal' FROM p WHERE NOT bad
-UNION ALL SELECT s, 'http://www.delving.eu/namespaces/custom/colour', p_brand, 'Literal' FROM p WHERE NOT bad UNION ALL SELECT s, 'http://schemas.delving.eu/spec', 'demo', 'Literal' FROM p WHERE NOT bad"""
+SELECT s, '{RDF_TYPE}' AS p, '{QTERM}IndexItem' AS o, 'URIRef' AS o_kind FROM p WHERE NOT bad UNION ALL SELECT s, '{DC}title', p_name, 'Literal' FROM p WHERE NOT bad
+UNION ALL SELECT s, '{QTERM}geoHash', '52.1,4.5', 'Literal' FROM p WHERE NOT bad UNION ALL SELECT s, '{QTERM}place', '52.1,4.5', 'Literal' FROM p WHERE NOT bad
+UNION ALL SELECT s, 'http://schemas.example.org/custom/colour', p_brand, 'Literal' FROM p WHERE NOT bad UNION ALL SELECT s, 'http://schemas.example.org/qsite/spec', 'demo', 'Literal' FROM p WHERE NOT bad"""
 )
 def index_items(spark, d):
     part = table(spark, d, "part")
     f = lambda name, kind, text: F.struct(F.lit(name).alias("@name"), F.lit(kind).alias("@fieldType"), F.lit(None).cast("string").alias("@facet"), text.alias("#text"))
-    fields = F.array(f("dc:title", "text", F.col("p_name")), f("nave:place", "location", F.lit("52.1,4.5")), f("colour", "string", F.col("p_brand")), f("dc:subject", "string", F.lit(" ")))
+    fields = F.array(f("dc:title", "text", F.col("p_name")), f("qterm:place", "location", F.lit("52.1,4.5")), f("colour", "string", F.col("p_brand")), f("dc:subject", "string", F.lit(" ")))
     system = F.array(F.struct(F.lit("spec").alias("@name"), F.lit("demo").alias("#text")))
     items = part.select(F.col("p_partkey").cast("string").alias("@itemId"), F.lit("Part").alias("@itemType"), F.lit("false").alias("@delete"), F.when(F.col("p_partkey") % 10 != 0, fields).alias("field"), system.alias("systemField"))
     quads, _ = R.index_items_to_quads(items, "demo", BASE)
@@ -121,7 +121,7 @@ def bulk_batch(spark, d):
     return ingest.apply_bulk_batch(spark.createDataFrame([], ingest.SNAPSHOT), batch).select("hub_id", "content_hash")
 
 
-@_q(f"SELECT count(DISTINCT graph) AS graphs, sum(CASE WHEN o = '{NARTHEX}ProxyResource' THEN 1 ELSE 0 END)::BIGINT AS proxies FROM (SELECT concat('{BASE}/rec/', c_custkey, '/graph') AS graph, '' AS o FROM {{customer}} UNION ALL SELECT concat(proxy, '/graph'), '{NARTHEX}ProxyResource' FROM {{proxies}})")
+@_q(f"SELECT count(DISTINCT graph) AS graphs, sum(CASE WHEN o = '{QSYNC}ProxyResource' THEN 1 ELSE 0 END)::BIGINT AS proxies FROM (SELECT concat('{BASE}/rec/', c_custkey, '/graph') AS graph, '' AS o FROM {{customer}} UNION ALL SELECT concat(proxy, '/graph'), '{QSYNC}ProxyResource' FROM {{proxies}})")
 def record_contexts(spark, d):
     c = table(spark, d, "customer")
     null = F.lit(None).cast("string")
@@ -130,4 +130,4 @@ def record_contexts(spark, d):
     fields = proxies.select("spec", "p", "field", "dataset").distinct()
     mappings = proxies.filter("concept is not null").select("proxy", "concept")
     made = T.record_context(q, fields, mappings, table(spark, d, "concepts"), [DC + "subject"], 5)
-    return made.agg(F.countDistinct("graph").alias("graphs"), F.count_if(F.col("o") == NARTHEX + "ProxyResource").alias("proxies"))
+    return made.agg(F.countDistinct("graph").alias("graphs"), F.count_if(F.col("o") == QSYNC + "ProxyResource").alias("proxies"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import media as M
 from ..operators import sync as S
 from ..registry import query
-from .bridge import BASE, NARTHEX, RDF_TYPE, plain, table
+from .bridge import BASE, QSYNC, RDF_TYPE, plain, table
 
 
 def _q(sql: str):
@@ -115,9 +115,9 @@ def dataset_audit(spark, d):
 @_q(f"SELECT concat('{BASE}/resource/dataset/', spec) AS uri, spec, spec AS owner, 0 AS total, valid, 0 AS invalid FROM {{datasets}} WHERE published")
 def datasets_from_quads(spark, d):
     ds = table(spark, d, "datasets")
-    rows = F.array(*[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o")) for p, o in ((RDF_TYPE, F.when(F.col("published"), F.lit(NARTHEX + "Dataset")).otherwise(F.lit(NARTHEX + "Draft"))), (NARTHEX + "datasetSpec", F.col("spec")), (NARTHEX + "processedValid", F.col("valid")))])
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o")) for p, o in ((RDF_TYPE, F.when(F.col("published"), F.lit(QSYNC + "Dataset")).otherwise(F.lit(QSYNC + "Draft"))), (QSYNC + "datasetSpec", F.col("spec")), (QSYNC + "processedValid", F.col("valid")))])
     q = ds.select(F.concat(F.lit(f"{BASE}/resource/dataset/"), "spec").alias("s"), F.explode(rows).alias("t")).select("s", "t.p", "t.o")
-    return S.datasets_from_quads(q, NARTHEX)
+    return S.datasets_from_quads(q, QSYNC)
 
 
 # ---- media ----
@@ -147,7 +147,7 @@ def deleted_sources(spark, d):
 
 @_q(
     """WITH q AS (SELECT * FROM {quads}) SELECT graph, s, p, o FROM q UNION ALL
-SELECT graph, o AS s, concat('http://schemas.delving.eu/nave/terms/', k) AS p, concat('http://img.example.org/api/webresource?docType=', t, '&uri=', o, '&spec=', regexp_extract(o, '^urn:([^/]+)/', 1), x) AS o FROM q, (VALUES ('thumbSmall', 'thumbnail', '&width=220&height=220'), ('thumbLarge', 'thumbnail', '&width=500&height=500'), ('deepZoomUrl', 'deepzoom', '')) v(k, t, x) WHERE p = 'http://www.europeana.eu/schemas/edm/hasView'
+SELECT graph, o AS s, concat('http://schemas.example.org/qterm/', k) AS p, concat('http://img.example.org/api/webresource?docType=', t, '&uri=', o, '&spec=', regexp_extract(o, '^urn:([^/]+)/', 1), x) AS o FROM q, (VALUES ('thumbSmall', 'thumbnail', '&width=220&height=220'), ('thumbLarge', 'thumbnail', '&width=500&height=500'), ('deepZoomUrl', 'deepzoom', '')) v(k, t, x) WHERE p = 'http://www.europeana.eu/schemas/edm/hasView'
 UNION ALL SELECT graph, s, 'http://www.europeana.eu/schemas/edm/isShownBy', concat('http://img.example.org/api/webresource?docType=thumbnail&uri=', first, '&spec=', regexp_extract(first, '^urn:([^/]+)/', 1), '&width=500&height=500') FROM (SELECT graph, s, min(o) AS first FROM q WHERE p = 'http://www.europeana.eu/schemas/edm/hasView' GROUP BY graph, s)"""
 )
 def add_media_triples(spark, d):

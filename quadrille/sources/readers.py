@@ -139,7 +139,7 @@ def index_items_to_quads(items: DataFrame, org: str, base: str) -> tuple[DataFra
     Links are IRIs; a location gives a geohash too, a resource IRI an edm object; empty text goes.
     """
     from ..functions.ids import index_item_hub_id, index_item_uri
-    from ..functions.namespaces import BY_PREFIX, EDM, NAVE, TYPE, label_to_iri
+    from ..functions.namespaces import BY_PREFIX, EDM, QTERM, TYPE, label_to_iri
 
     good = F.col("`@itemId`").isNotNull() & F.col("`@itemType`").isNotNull() & F.col("field").isNotNull() & ~F.exists("field", lambda f: f["@name"].isNull())
     invalid = items.filter(~F.coalesce(good, F.lit(False)))
@@ -151,12 +151,12 @@ def index_items_to_quads(items: DataFrame, org: str, base: str) -> tuple[DataFra
     def of_field(f: Column) -> Column:
         named = F.coalesce(label_to_iri(F.when(f["@name"].contains(":"), f["@name"])), label_to_iri(F.when(f["@name"].contains("_"), f["@name"])), F.concat(F.lit(BY_PREFIX["custom"]), f["@name"]))
         own = t(named, f["#text"], F.when(f["@fieldType"] == "link", iri).otherwise(literal))
-        geo = F.when(f["@fieldType"] == "location", t(F.lit(NAVE + "geoHash"), f["#text"], literal))
+        geo = F.when(f["@fieldType"] == "location", t(F.lit(QTERM + "geoHash"), f["#text"], literal))
         obj = F.when(f["@name"].endswith("resourceUri"), t(F.lit(EDM + "object"), f["#text"], iri))
         return F.filter(F.array(geo, own, obj), lambda x: x.isNotNull())
 
-    system = F.transform(F.coalesce("systemField", F.array().cast("array<struct<`@name`:string,`#text`:string>>")), lambda f: t(F.concat(F.lit(BY_PREFIX["delving"]), f["@name"]), f["#text"], literal))
-    kind = t(F.lit(TYPE), F.lit(NAVE + "IndexItem"), iri)
+    system = F.transform(F.coalesce("systemField", F.array().cast("array<struct<`@name`:string,`#text`:string>>")), lambda f: t(F.concat(F.lit(BY_PREFIX["qsite"]), f["@name"]), f["#text"], literal))
+    kind = t(F.lit(TYPE), F.lit(QTERM + "IndexItem"), iri)
     rows = valid.select(uri.alias("s"), index_item_hub_id(org, F.col("`@itemType`"), F.col("`@itemId`")).alias("hub_id"), F.explode(F.concat(F.array(kind), F.flatten(F.transform("field", of_field)), system)).alias("t"))
     rows = rows.filter("t.o is not null and trim(t.o) <> ''")
     null = F.lit(None).cast("string")

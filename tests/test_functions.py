@@ -64,3 +64,17 @@ def test_params(spark):
 @pytest.mark.parametrize(("c", "kind"), [("org_type__1", "typed"), ("org_spec_1", "hub"), ("nothing", "invalid")])
 def test_id_kind(spark, c, kind):
     assert value(spark, ids.id_kind(F.lit(c))) == kind
+
+
+def test_a_sites_vocabulary(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quadrille.functions.namespaces import QTERM, read_vocabulary, translate_quads, translated
+
+    (tmp_path / "own.json").write_text('{"%s": "http://site.org/terms#", "qterm_": "own_", "%sx/": "http://x.org/"}' % (QTERM, QTERM))
+    own = read_vocabulary(str(tmp_path / "own.json"))
+    quads = spark.createDataFrame([("g", QTERM + "place", QTERM + "x/1", "URIRef", None), ("g", QTERM + "spec", QTERM, "Literal", QTERM + "t")], "graph string, p string, o string, o_kind string, datatype string")
+    there = translate_quads(quads, own)
+    assert sorted(map(tuple, there.collect())) == [("g", "http://site.org/terms#place", "http://x.org/1", "URIRef", None), ("g", "http://site.org/terms#spec", QTERM, "Literal", "http://site.org/terms#t")]
+    assert sorted(map(tuple, translate_quads(there, own, back=True).collect())) == sorted(map(tuple, quads.collect()))
+    assert [r[0] for r in spark.createDataFrame([("qterm_place",), ("dc_title",), (None,)], "k string").select(translated(F.col("k"), own)).collect()] == ["own_place", "dc_title", None]

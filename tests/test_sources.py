@@ -70,7 +70,7 @@ def test_other_readers(spark, tmp_path):
 
 
 def test_export_and_registry(spark, tmp_path):
-    docs = spark.createDataFrame([("h1", {"dc_title": [("Literal", None, "T", "T", None)], "narthex_x": [("Literal", None, "n", "n", None)]})], "hub_id string, fields map<string,array<struct<type:string,id:string,value:string,raw:string,lang:string>>>")
+    docs = spark.createDataFrame([("h1", {"dc_title": [("Literal", None, "T", "T", None)], "qsync_x": [("Literal", None, "n", "n", None)]})], "hub_id string, fields map<string,array<struct<type:string,id:string,value:string,raw:string,lang:string>>>")
     writers.export_results(docs, convert.CONVERTERS["v2"], str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).select("fields.dc_title").first()[0] == ["T"]
     convert.register_converter("mine", lambda d: convert.convert_v2(d).limit(0))
