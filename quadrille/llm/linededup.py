@@ -10,17 +10,20 @@ passes is confirmed against the exact table, so false positives of the filters c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SPACES, cut, lower_ascii, mix
+from .common import SPACES, checkpoint_folder, cut, lower_ascii, mix, small
 
 SLOTS = 4
-#: Most bytes of filters that are sent to every task; with more, lines go unscreened to the exact table.
+#: Most bytes of filters that are sent to every task at once; with more, lines are first written apart by group of shards.
 FILTER_BYTES = 64 << 20
 KEYS_PER_SHARD = 20_000
 
@@ -36,14 +39,23 @@ def hashed(keys):
 
 
 def keys_of(docs: DataFrame, least_chars: int = 1) -> DataFrame:
-    """(doc_id, h1, h2): the different keys of each document, those of ``least_chars`` code points on."""
+    """(doc_id, h1, h2): the different keys of each row, those of ``least_chars`` code points on."""
     long_enough = F.filter(line_keys(F.col("text")), lambda k: F.char_length(k) >= least_chars)
     return docs.select("doc_id", F.explode(F.array_distinct(hashed(long_enough))).alias("k")).select("doc_id", "k.h1", "k.h2")
 
 
 def counts(docs: DataFrame, least_chars: int = 1) -> DataFrame:
-    """The exact table: (h1, h2, docs). Counted in each task first, so a line of all documents is one row a task."""
-    return keys_of(docs, least_chars).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
+    """The exact table: (h1, h2, docs). Counted in each task first, so a line of all documents is one row a task.
+
+    Rows of one doc_id are one document; rows without an id are one each. Only keys of ids that
+    stand in several rows are shuffled to find those they share.
+    """
+    keys = keys_of(docs, least_chars)
+    repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id")))
+    if not repeated.isEmpty():
+        again = F.col("doc_id") == F.col("_id")
+        keys = keys.join(small(repeated), again, "left_anti").unionByName(keys.join(small(repeated), again, "left_semi").distinct())
+    return keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def change(table: DataFrame, added: DataFrame | None = None, deleted: DataFrame | None = None, least_chars: int = 1) -> DataFrame:
@@ -122,9 +134,14 @@ def build_filters(hot: DataFrame, shards: int) -> DataFrame:
     return hot.select("h1", "h2", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, buckets int, bits binary")
 
 
-def change_filters(filters: DataFrame, inserted: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """The filters after keys came (``inserted``) and went (``removed``); an overfull one raises, to be built anew."""
+def change_filters(filters: DataFrame, inserted: DataFrame, removed: DataFrame, shards: int, hot: DataFrame | None = None) -> DataFrame:
+    """The filters after keys came (``inserted``) and went (``removed``).
+
+    A filter that gets too full is built anew from ``hot``, the exact table's keys after the
+    change; without it, one with too little room raises.
+    """
     marked = inserted.select("h1", "h2", F.lit(1).alias("way")).unionByName(removed.select("h1", "h2", F.lit(-1).alias("way"))).withColumn("shard", shard_of(shards))
+    rebuilt = hot is not None
 
     def apply(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         come, go = new[new.way > 0], new[new.way < 0]
@@ -134,10 +151,20 @@ def change_filters(filters: DataFrame, inserted: DataFrame, removed: DataFrame,
             f = Cuckoo(int(old.buckets.iloc[0]), np.frombuffer(old.bits.iloc[0], np.uint16))
             f.delete(go.h1.to_numpy(), go.h2.to_numpy())
             if not f.insert(come.h1.to_numpy(), come.h2.to_numpy()):
-                raise ValueError("a cuckoo filter is full: build it anew from the exact table")
+                if not rebuilt:
+                    raise ValueError("a cuckoo filter is full: give the exact table's keys to build it anew")
+                return pd.DataFrame({"shard": [int(key[0])], "buckets": [0], "bits": [b""]})
         return pd.DataFrame({"shard": [int(key[0])], "buckets": [f.buckets], "bits": [f.table.tobytes()]})
 
-    return filters.groupBy("shard").cogroup(marked.groupBy("shard")).applyInPandas(apply, "shard int, buckets int, bits binary")
+    changed = filters.groupBy("shard").cogroup(marked.groupBy("shard")).applyInPandas(apply, "shard int, buckets int, bits binary")
+    if not rebuilt:
+        return changed
+    changed = cut(changed)
+    full = changed.filter("buckets = 0").select("shard")
+    if full.isEmpty():
+        return changed
+    again = hot.select("h1", "h2").join(F.broadcast(full.withColumnRenamed("shard", "_shard")), shard_of(shards) == F.col("_shard"), "left_semi")
+    return changed.filter("buckets > 0").unionByName(build_filters(again, shards))
 
 
 def shard_of(shards: int):
@@ -145,13 +172,27 @@ def shard_of(shards: int):
 
 
 def screen(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The keys (doc_id, h1, h2) that the filters may hold."""
-    spark = keys.sparkSession
-    if (filters.agg(F.sum(F.length("bits"))).first()[0] or 0) > FILTER_BYTES:
-        return keys
-    sent = spark.sparkContext.broadcast({r["shard"]: (r["buckets"], r["bits"]) for r in filters.collect()})  # FILTER_BYTES at most
+    """The rows of ``keys`` (with h1, h2) that the filters may hold.
 
-    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Filters of ``FILTER_BYTES`` at most go to every task at once. Of more, shards form groups of
+    about that size; the rows are written apart by group, unshuffled, and each group meets its filters.
+    """
+    size = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
+    groups = max(1, min(shards, -(-size // FILTER_BYTES)))
+    if groups == 1:
+        return passing(keys, filters, shards)
+    path = f"{checkpoint_folder(keys.sparkSession)}/lines-{uuid.uuid4().hex}"
+    of_group = lambda c: F.pmod(c, F.lit(groups)).cast("int")
+    keys.withColumn("_group", of_group(shard_of(shards))).write.partitionBy("_group").parquet(path)
+    written = keys.sparkSession.read.schema(StructType([*keys.schema.fields, StructField("_group", IntegerType())])).parquet(path)
+    parts = [passing(written.filter(F.col("_group") == g).select(*keys.columns), filters.filter(of_group(F.col("shard")) == g), shards) for g in range(groups)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def passing(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    sent = keys.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], r["bits"]) for r in filters.collect()})  # about FILTER_BYTES at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {s: Cuckoo(n, np.frombuffer(b, np.uint16)) for s, (n, b) in sent.value.items()}
         for pdf in batches:
             h1, h2 = pdf.h1.to_numpy(), pdf.h2.to_numpy()
@@ -162,30 +203,31 @@ def screen(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                     maybe[at] = held[s].has(h1[at], h2[at])
             yield pdf[maybe]
 
-    return keys.mapInPandas(passing, keys.schema)
+    return keys.mapInPandas(run, keys.schema)
 
 
 def drop_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, table: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs`` with kept_text, n_lines and n_dropped.
+    """All columns of ``docs`` with kept_text, n_lines and n_dropped, which win over clashing ones.
 
-    A key held by ``least_docs`` rows or more loses all its lines in every document; other lines
-    stay, joined by a line feed. Null and empty texts are one empty line. Lines of white space have
-    an empty key, which stays as long as ``least_chars`` is 1 or more. ``table`` is the exact table
-    to go by, of these documents by default. An empty table gives an empty result.
+    A key held by ``least_docs`` documents or more loses all its lines in every document; other
+    lines stay, joined by a line feed. Rows of one doc_id are one document, rows without an id one
+    each. Null and empty texts are one empty line. Lines of white space have an empty key, which
+    stays as long as ``least_chars`` is 1 or more. ``table`` is the exact table to go by, of these
+    documents by default. An empty table gives an empty result. The work on a text is linear in it.
     """
-    table = counts(docs, least_chars) if table is None else table
+    named = docs.select("doc_id", "text")
+    table = counts(named, least_chars) if table is None else table
     hot = cut(table.filter(F.col("docs") >= least_docs).select("h1", "h2"))
     shards = max(1, -(-hot.count() // KEYS_PER_SHARD))
     filters = cut(build_filters(hot, shards))
-    found = screen(keys_of(docs, least_chars), filters, shards).join(hot, ["h1", "h2"])
-    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_hot")).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("_of")), "left").drop("_of")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    with_hash = F.arrays_zip(lines.alias("line"), hashed(line_keys(F.col("text"))).alias("h"))
-    kept = F.when(F.col("_hot").isNull(), lines).otherwise(F.transform(F.filter(with_hash, lambda x: ~F.array_contains("_hot", x["h"])), lambda x: x["line"]))
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumns({"kept_text": F.array_join("_kept", "\n"), "n_lines": F.size(lines).cast("long")})
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .drop("_kept", "_hot")
-    )
+    keys = F.transform(line_keys(F.col("text")), lambda k: F.when(F.char_length(k) >= least_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))
+    lines = named.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("at", "k")).filter("k is not null").select("doc_id", "text_hash", "at", "k.h1", "k.h2")
+    found = screen(lines, filters, shards).join(hot, ["h1", "h2"])
+    of_row = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).agg(F.collect_set("at").alias("_gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    joined = rows.join(of_row, F.col("_id").eqNullSafe(F.col("_of")) & (F.xxhash64("_text") == F.col("_hash")), "left")
+    split = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
+    made = joined.withColumn("_lines", split).withColumn("_left", left)
+    own = {"kept_text": F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"), "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_left")).cast("long")}
+    return made.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in own], *[v.alias(k) for k, v in own.items()])

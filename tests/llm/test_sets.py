@@ -238,6 +238,45 @@ def test_line_dedup_edges(spark, edges, nothing):
     assert linededup.drop_lines(nothing, 2).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark, documents):
+    same = linededup.drop_lines(documents([(7, "one\ntwo\none")] * 12), 10).collect()
+    assert len(same) == 12 and {(r.n_lines, r.n_dropped) for r in same} == {(3, 0)}
+    others = [(7, f"one\nmine {i}") for i in range(12)] + [(20 + i, f"one\nhis {i % 5}") for i in range(9)]
+    got = linededup.drop_lines(documents(others), 10).collect()
+    assert {r.kept_text for r in got} == {t.split("\n")[1] for _, t in others} and all(r.n_dropped == 1 for r in got)
+    assert {r.n_dropped for r in linededup.drop_lines(documents(others), 11).collect()} == {0}
+    none = linededup.drop_lines(documents([(None, "x")] * 4), 4).collect()
+    assert [r.n_dropped for r in none] == [1] * 4
+
+
+def test_line_dedup_beyond_the_filters_bound(spark, documents, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, "\n".join(f"line {rng.randrange(300)}" for _ in range(30))) for i in range(120)]
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 40)
+    monkeypatch.setattr(linededup, "FILTER_BYTES", 300)
+    got = linededup.drop_lines(documents(rows), 10).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in got) == dropped(rows, 10, 1)
+
+
+def test_line_dedup_of_clashing_columns_and_many_hot_lines(spark):
+    text = "\n".join(f"hot {i}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, text + f"\nown {i}", "a", "b", "c", "d", 1) for i in range(3)], "doc_id long, text string, _hot string, _of string, _text string, h1 string, at int")
+    got = linededup.drop_lines(docs, 3)
+    assert got.columns == [*docs.columns, "kept_text", "n_lines", "n_dropped"]
+    assert sorted((r._hot, r.kept_text, r.n_dropped) for r in got.collect()) == [("a", f"own {i}", 30_000) for i in range(3)]
+
+
+def test_full_filters_are_built_anew(spark):
+    rng = np.random.default_rng(8)
+    h1, h2 = rng.integers(-(2**62), 2**62, (2, 400))
+    hot = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h1, h2)], "h1 long, h2 long")
+    few = linededup.build_filters(hot.limit(12), 2)
+    with pytest.raises(Exception, match="full"):
+        linededup.change_filters(few, hot, hot.limit(0), 2).collect()
+    changed = linededup.change_filters(few, hot, hot.limit(0), 2, hot=hot)
+    assert linededup.screen(hot.selectExpr("1L doc_id", "h1", "h2"), changed, 2).count() == 400
+
+
 def test_counts_can_be_undone(spark, documents):
     rows = [(i, f"common\nown {i}\nthird {i % 3}") for i in range(30)]
     before = linededup.counts(documents(rows))
