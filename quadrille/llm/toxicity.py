@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import _LOWERED, bytes_of, mix, slices, span_hashes, words_of
 
-#: Bound of the training sample: documents of each label, those of the least hash of doc_id.
-SAMPLE_DOCS = 2500
+#: Bounds of the training sample: documents of each label, those of the least hash of doc_id, and bytes of a document.
+SAMPLE_DOCS, SAMPLE_BYTES = 2500, 1 << 18
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -66,7 +66,7 @@ def log_none(logits: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0, logits)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float = 0.3, shrink: float = 3e-5, seed: int = 1) -> np.ndarray:
+def fit(texts: pa.Array | list[str], labels: np.ndarray, epochs: int = 30, rate: float = 0.3, shrink: float = 3e-5, seed: int = 1) -> np.ndarray:
     """Weights (the last is the bias) that maximise the likelihood of document labels under the noisy-or, by Adagrad on mini-batches."""
     weights = np.zeros((1 << BITS) + 1, np.float64)
     weights[-1] = -9.0
@@ -75,10 +75,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float = 0.
     rng, squares = np.random.default_rng(seed), np.full_like(weights, 1e-3)
     bags = []
     for k in range(0, len(texts), 64):
-        data, offsets = bytes_of(pa.array(texts[k : k + 64], pa.string()))
+        data, offsets = bytes_of(texts[k : k + 64] if isinstance(texts, pa.Array) else pa.array(texts[k : k + 64], pa.string()))
         ids, sentence, of = features(data, offsets)
         touched, where = np.unique(ids, return_inverse=True)
-        bags.append((touched, where.reshape(ids.shape), sentence, of, labels[k : k + 64]))
+        bags.append((touched.astype(np.int32), where.reshape(ids.shape).astype(np.int32), sentence.astype(np.int32), of.astype(np.int32), labels[k : k + 64]))
     seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=1 << BITS)
     for _ in range(epochs):
         for at in rng.permutation(len(bags)):
@@ -110,12 +110,25 @@ def sampled(labels: DataFrame, docs_per_label: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = SAMPLE_DOCS) -> np.ndarray:
-    """Fit on at most ``docs_per_label`` documents of each label, of those in ``labels`` (doc_id, toxic)."""
+    """Fit on at most ``docs_per_label`` documents of each label, of those in ``labels`` (doc_id, toxic), none above ``SAMPLE_BYTES``.
+
+    The bounded sample goes to one task, which fits the weights; the driver sees these alone.
+    """
     ids = sampled(labels, docs_per_label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).filter("text is not null").select("doc_id", "text", "toxic")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    order = np.random.default_rng(2).permutation(len(rows))
-    return fit([rows[i]["text"] for i in order], np.array([rows[i]["toxic"] for i in order], np.int64))
+    known = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = list(batches)
+        if every:
+            held = pa.Table.from_batches(every).sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+            order = np.random.default_rng(2).permutation(len(held))
+            held = held.take(pa.array(order))
+            weights = fit(held.column("text").combine_chunks(), held.column("toxic").to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
+    made = rows.repartition(1).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(bytes(made[0]["weights"]), np.float64) if made else fit([], np.zeros(0, np.int64))
 
 
 SCHEMA = "doc_id long, score double, worst int"
