@@ -2,11 +2,12 @@
 
 With M the largest length of a vector, (x, sqrt(M^2 - |x|^2)) and (q, 0) are at the squared distance
 |q|^2 + M^2 - 2 q.x, so the largest inner products are the nearest neighbours. Every vector is
-filed under its nearest pivot by its distance from it. Cells are cut into chunks of about equally
-many vectors. A query first searches the chunk it would be filed in, which bounds its k-th best;
-by the triangle inequality it then needs only vectors whose distance from the pivot is within that
-bound of its own: it is sent to the chunks that have any, and walks their annuli outwards from its
-own distance until the bound stops it.
+filed under its nearest pivot by its distance from it, and each pivot's distances are cut into
+annuli, those of many vectors into parts of bounded size besides. A query first searches a part of
+the annulus nearest to it, which bounds its k-th best; by the triangle inequality it then needs only
+annuli within that bound of its own distance from the pivot. It is sent to those, in blocks of
+bounded size; each part walks its sorted distances outwards from the queries' and leaves a query
+out of every slice that the bound, as it stands then, excludes.
 """
 
 from __future__ import annotations
@@ -21,25 +22,42 @@ from pyspark.sql.window import Window
 
 from .common import cut, small
 
-#: Pivots, the bounded sample they are chosen from, and most vectors of a chunk.
-PIVOTS, SAMPLE, CHUNK = 32, 2048, 4096
-STEP = 128
+#: Pivots, and the bounded sample they are chosen from.
+PIVOTS, SAMPLE = 32, 2048
+#: Vectors of a part and queries of a block, on average; vectors of a slice; and annuli of a pivot before those of few vectors are joined.
+PART, BLOCK, SLICE, ANNULI = 2048, 2048, 256, 256
 
 
 def quantised(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(256 * x) of every component; vectors null or with null or non-finite components are left out."""
+    """(vec_id, v): floor(256 * x) of every component, one row for each id, all of one width.
+
+    Left out are vectors null, empty or with null or non-finite components, those whose width is
+    not the commonest (of equally common ones the largest), and those with a component so large
+    that inner products would not fit a long. Of different vectors of one id the least stays.
+    """
     infinite = lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
     whole = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("_x")).filter("vec_id is not null and _x is not null")
-    return whole.filter(~F.exists("_x", infinite)).select("vec_id", F.transform("_x", lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("long")).alias("v"))
+    whole = whole.filter(~F.exists("_x", infinite))
+    common = whole.groupBy(F.size("_x").alias("_width")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), F.desc("_width")).first()
+    width = common["_width"] if common else 0
+    most = float(int((2.0**63 / max(width, 1)) ** 0.5) - 1)
+    scaled = F.transform("_x", lambda c: F.floor(F.lit(256.0) * c.cast("double")).try_cast("long"))
+    fit = whole.filter((F.size("_x") == width) & (F.size("_x") > 0) & ~F.exists("_x", lambda c: F.abs(c.cast("double")) * 256.0 > most))
+    vectors = fit.select("vec_id", scaled.alias("v"))
+    repeated = cut(vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("vec_id"))
+    if repeated.isEmpty():
+        return vectors
+    again = vectors.join(small(repeated), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.join(small(repeated), "vec_id", "left_anti").unionByName(again)
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
+def matrix(column: pd.Series, kind: type = np.float64) -> np.ndarray:
+    return np.stack([np.asarray(x, kind) for x in column]) if len(column) else np.zeros((0, 0), kind)
 
 
 def pivots_of(vectors: DataFrame, most_square: float, pivots: int, sample: int) -> np.ndarray:
     """Farthest-first choice among the vectors of the least hash, lifted by the extra component."""
-    ids = vectors.select(F.col("vec_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    ids = vectors.select(F.col("vec_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = vectors.join(F.broadcast(ids), F.col("vec_id") == F.col("_id")).select("vec_id", "v").toPandas().sort_values("vec_id")
     x = lifted(matrix(rows["v"]), most_square)
     chosen = [0]
@@ -59,8 +77,10 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def reaches(square: np.ndarray, most: float, kth: np.ndarray) -> np.ndarray:
+    """How far from its own distance a query must look, with what rounding may hide; everywhere without a k-th best."""
+    far = square + most
+    return np.where(np.isnan(kth) | (kth == -np.inf), np.inf, np.sqrt(np.maximum(far - 2 * kth, 0)) + 1e-6 * np.sqrt(far) + 1e-6)
 
 
 def filed(vectors: DataFrame, pivots: np.ndarray, most_square: float) -> DataFrame:
@@ -77,103 +97,141 @@ def filed(vectors: DataFrame, pivots: np.ndarray, most_square: float) -> DataFra
     return vectors.mapInPandas(run, "vec_id long, v array<long>, pivot int, distance double")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
+def annuli_of(index: DataFrame, part: int) -> pd.DataFrame:
+    """One row for each annulus: pivot, lo to hi of its cuts, parts, inner and outer distance. ``ANNULI`` rows a pivot at most."""
+    cells = index.groupBy("pivot").agg(F.min("distance").alias("_inner"), F.max("distance").alias("_outer"))
+    placed = index.select("pivot", "distance").join(F.broadcast(cells), "pivot").select("pivot", "distance", place().alias("cut"))
+    counted = placed.groupBy("pivot", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("inner"), F.max("distance").alias("outer")).toPandas().sort_values(["pivot", "cut"])
+    out = []
+    for pivot, cell in counted.groupby("pivot"):
+        held = None
+        for c, n, inner, outer in zip(cell["cut"], cell["n"], cell["inner"], cell["outer"], strict=True):
+            if held and held[3] + n <= part:
+                held = [pivot, held[1], c, held[3] + n, held[4], outer]
+            else:
+                out += [held] if held else []
+                held = [pivot, c, c, n, inner, outer]
+        out.append(held)
+    made = pd.DataFrame(out, columns=["pivot", "lo", "hi", "n", "inner", "outer"])
+    made["parts"] = -(-made["n"] // part)
+    return made
+
+
+def place():
+    """Column: the place of a distance among a pivot's cuts."""
+    width = F.col("_outer") - F.col("_inner")
+    return F.when(width > 0, F.least(F.floor((F.col("distance") - F.col("_inner")) / width * ANNULI), F.lit(ANNULI - 1))).otherwise(0).cast("int")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, sample: int = SAMPLE, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query with all vectors but its own row's id.
 
-    Both tables are (vec_id, v) of integers of one width whose inner products are exact in a
-    double. Ties go to the smaller vec_id; with fewer than k candidates all are returned. Empty
-    tables give an empty result. Copies of a vector lie in one cell, spread over its chunks.
+    Both tables are (vec_id, v) as ``quantised`` gives them: ids that differ, integers, one width.
+    Ties go to the smaller vec_id; with fewer than k candidates all are returned. Empty tables
+    give an empty result. Copies of a vector lie in one annulus, spread over its parts.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score long"
     vectors = cut(vectors)
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     n, most = vectors.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not n:
         return spark.createDataFrame([], out)
-    most = float(most)
     centres = pivots_of(vectors, most, pivots, sample)
-    size = min(chunk, max(256, n // 512))
-    index = filed(vectors, centres, most)
-    # about equally many vectors of one cell to a chunk, whatever their distances
-    cells = cut(index.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks"), F.min("distance").alias("inner"), F.max("distance").alias("outer")))
-    held = cells.collect()  # one row for each pivot
-    of = {r["pivot"]: r for r in held}
-    order = sorted(of)
-    base = dict(zip(order, np.concatenate([[0], np.cumsum([of[p]["chunks"] for p in order])[:-1]]).tolist(), strict=True))
-    inner, outer = (np.array([of[p][c] for p in order]) for c in ("inner", "outer"))
-    parts = [of[p]["chunks"] for p in order]
-    which = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(int(base[p])))])
-    many = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(int(of[p]["chunks"])))])
-    index = cut(index.withColumn("chunk", (which[F.col("pivot")] + F.pmod(F.xxhash64("vec_id"), many[F.col("pivot")])).cast("int")))
-
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+    index = cut(filed(vectors, centres, most))
+    annuli = annuli_of(index, part)
+    inner, outer, of_pivot, parts = (annuli[c].to_numpy() for c in ("inner", "outer", "pivot", "parts"))
+    cells = annuli.groupby("pivot").agg(_inner=("inner", "min"), _outer=("outer", "max")).reset_index()
+    named = [(int(p), float(a), float(b)) for p, a, b in cells.itertuples(index=False)]
+    cuts = [(int(r.pivot), c, i, int(r.parts)) for i, r in enumerate(annuli.itertuples(index=False)) for c in range(r.lo, r.hi + 1)]
+    placed = index.join(F.broadcast(spark.createDataFrame(named, "pivot int, _inner double, _outer double")), "pivot").withColumn("cut", place())
+    placed = placed.join(F.broadcast(spark.createDataFrame(cuts, "pivot int, cut int, annulus int, _parts int")), ["pivot", "cut"])
+    placed = placed.select("vec_id", "v", "pivot", "distance", "annulus", F.pmod(F.xxhash64("vec_id"), F.col("_parts")).cast("int").alias("part"))
+    blocks = max(1, -(-queries.count() // block))
+    spread = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def sent(only_nearest: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
                 q = matrix(pdf["v"])
-                d = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), centres)[:, order]
-                lower = np.maximum(np.maximum(d - outer, inner - d), 0)
-                near = lower.argmin(1)
-                pdf["chunk"] = [int(base[order[p]] + i % parts[p]) for p, i in zip(near, pdf["vec_id"], strict=True)]
-                yield pdf[["vec_id", "v", "chunk"]].assign(kth=np.nan)
-
-    schema = "vec_id long, v array<long>, chunk int, kth double"
-    first = queries.mapInPandas(home, schema)
-    begun = cut(within(index, first, k, centres, most))
-    kth = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth")).select(F.col("query_id").alias("_q"), F.when(F.col("_n") >= k, F.col("_kth")).cast("double").alias("kth"))
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                q = matrix(pdf["v"])
-                d = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), centres)[:, order]
-                reach = np.sqrt(np.maximum((q * q).sum(1) + most - 2 * pdf["kth"].to_numpy(np.float64), 0)) + 1e-6
-                reach = np.where(np.isnan(reach), np.inf, reach)[:, None]
-                need = (d - reach <= outer) & (d + reach >= inner)
-                for p in range(len(order)):
-                    rows = pdf[need[:, p]]
-                    for c in range(parts[p]) if len(rows) else ():
-                        yield rows.assign(chunk=int(base[order[p]] + c))[["vec_id", "v", "chunk", "kth"]]
-
-    bounded = queries.join(small(kth), F.col("vec_id") == F.col("_q"), "left").drop("_q").dropDuplicates(["vec_id"])
-    found = within(index, bounded.mapInPandas(rest, schema), k, centres, most)
+                own = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), centres)[:, of_pivot]
+                gap = np.maximum(np.maximum(own - outer, inner - own), 0)
+                if only_nearest:
+                    near = gap.argmin(1)
+                    yield pdf.assign(annulus=near.astype(np.int32), part=(pdf["vec_id"].to_numpy() % parts[near]).astype(np.int32))
+                    continue
+                need = gap <= reaches((q * q).sum(1), most, pdf["kth"].to_numpy(np.float64))[:, None]
+                for a in np.flatnonzero(need.any(0)):
+                    rows = pdf[need[:, a]]
+                    for p in range(parts[a]):
+                        yield rows.assign(annulus=np.int32(a), part=np.int32(p))
+
+        return run
+
+    schema = "vec_id long, v array<long>, kth double, block int, annulus int, part int"
+    asked = queries.select("vec_id", "v", F.lit(None).cast("double").alias("kth"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    begun = cut(within(spread, asked.mapInPandas(sent(True), schema), k, centres, most))
+    kth = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth")).select(F.col("query_id").alias("_q"), F.when(F.col("_n") >= k, F.col("_kth")).cast("double").alias("_bound"))
+    bounded = asked.join(small(kth), F.col("vec_id") == F.col("_q"), "left").withColumn("kth", F.col("_bound")).select("vec_id", "v", "kth", "block")
+    found = within(spread, bounded.mapInPandas(sent(False), schema), k, centres, most)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def walked(x: np.ndarray, ids: np.ndarray, far: np.ndarray, q: np.ndarray, own_ids: np.ndarray, own: np.ndarray, square: np.ndarray, kth: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids) of shape (queries, k), -1 where there is none, and how many inner products were taken.
+
+    x are the vectors of a part by ascending distance ``far`` from its pivot, q the queries, ``own``
+    their distances from it.
+    """
+    # integers are exact in a double up to 2**53
+    exact = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2.0**53
+    kind = np.float64 if exact else np.int64
+    x, q = x.astype(kind), q.astype(kind)
+    lowest = np.iinfo(np.int64).min
+    scores, got = np.full((len(q), k), lowest, np.int64), np.full((len(q), k), -1, np.int64)
+    bound, taken = np.where(np.isnan(kth), -np.inf, kth), 0
+    starts = np.arange(0, len(far), SLICE)
+    middle = np.median(own)
+    nearest = np.maximum(np.maximum(far[starts] - middle, middle - far[np.minimum(starts + SLICE, len(far)) - 1]), 0)
+    for s in starts[np.argsort(nearest, kind="stable")]:
+        e = min(s + SLICE, len(far))
+        gap = np.maximum(np.maximum(far[s] - own, own - far[e - 1]), 0)
+        need = np.flatnonzero(gap <= reaches(square, most, bound))
+        if not len(need):
+            continue
+        taken += len(need) * (e - s)
+        new = (q[need] @ x[s:e].T).astype(np.int64)
+        new[own_ids[need][:, None] == ids[s:e][None]] = lowest
+        better = new.max(1) >= scores[need, -1]
+        rows = need[better]
+        both = np.concatenate([scores[rows], new[better]], axis=1)
+        names = np.concatenate([got[rows], np.where(new[better] == lowest, -1, np.broadcast_to(ids[s:e], new[better].shape))], axis=1)
+        names = np.where(both == lowest, -1, names)
+        order = np.lexsort((names, -both.astype(np.float64) if exact else ~both), axis=1)[:, :k]
+        scores[rows], got[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        full = got[rows, -1] != -1
+        bound[rows[full]] = np.maximum(bound[rows[full]], scores[rows[full], -1].astype(np.float64))
+    return scores, got, taken
+
+
 def within(index: DataFrame, asked: DataFrame, k: int, centres: np.ndarray, most: float) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query within the chunks it is sent to."""
+    """(query_id, vec_id, score): the k best of each query within the parts it is sent to."""
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(vectors) and len(queries):
-            by = np.lexsort((vectors["vec_id"], vectors["distance"]))
-            x, ids, far = matrix(vectors["v"])[by], vectors["vec_id"].to_numpy()[by], vectors["distance"].to_numpy()[by]
-            centre = centres[int(vectors["pivot"].iloc[0])]
-            for qid, v, kth in zip(queries["vec_id"], queries["v"], queries["kth"], strict=True):
-                q = np.asarray(v, np.float64)
-                own = float(np.sqrt(((q - centre[:-1]) ** 2).sum() + centre[-1] ** 2))
-                base, bound = float(q @ q) + most, -np.inf if np.isnan(kth) else kth
-                lo = hi = int(np.searchsorted(far, own))
-                scores, got = np.zeros(0), np.zeros(0, np.int64)
-                while lo > 0 or hi < len(far):
-                    reach = np.sqrt(max(base - 2 * bound, 0)) + 1e-6
-                    up = hi < len(far) and far[hi] - own <= reach
-                    down = lo > 0 and own - far[lo - 1] <= reach
-                    if not up and not down:
-                        break  # every vector left is farther than the k-th best
-                    if up and (not down or far[hi] - own <= own - far[lo - 1]):
-                        ring, hi = slice(hi, min(hi + STEP, len(far))), min(hi + STEP, len(far))
-                    else:
-                        ring, lo = slice(max(lo - STEP, 0), lo), max(lo - STEP, 0)
-                    other = ids[ring] != qid
-                    scores, got = np.concatenate([scores, (x[ring] @ q)[other]]), np.concatenate([got, ids[ring][other]])
-                    top = best(scores, got, k)
-                    scores, got = scores[top], got[top]
-                    if len(scores) == k:
-                        bound = max(bound, scores[-1])
-                out.append((np.full(len(got), qid, np.int64), got, scores.astype(np.int64)))
-        q, i, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-
-    return index.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(run, "query_id long, vec_id long, score long")
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        by = np.lexsort((vectors["vec_id"], vectors["distance"]))
+        x, ids, far = matrix(vectors["v"], np.int64)[by], vectors["vec_id"].to_numpy()[by], vectors["distance"].to_numpy()[by]
+        q, own_ids = matrix(queries["v"], np.int64), queries["vec_id"].to_numpy()
+        centre = centres[int(vectors["pivot"].iloc[0])]
+        lengths = q.astype(np.float64)
+        own = np.sqrt(((lengths - centre[:-1]) ** 2).sum(1) + centre[-1] ** 2)
+        scores, got, _ = walked(x, ids, far, q, own_ids, own, (lengths * lengths).sum(1), queries["kth"].to_numpy(np.float64), k, most)
+        held = scores != np.iinfo(np.int64).min
+        return pd.DataFrame({"query_id": np.repeat(own_ids, held.sum(1)), "vec_id": got[held], "score": scores[held]})
+
+    keys = ["annulus", "part", "block"]
+    return index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")

@@ -304,3 +304,50 @@ def test_topk_edges(spark):
     v = topk.quantised(table)
     assert sorted((r.query_id, r.vec_id) for r in topk.search(v, v, k=5).collect()) == [(0, 50), (50, 0)]
     assert topk.search(v.limit(0), v.limit(0), k=5).count() == 0 and topk.search(v, v.limit(0), k=5).count() == 0
+
+
+def exact_best(ids, q, asked, k):
+    q = [[int(c) for c in row] for row in q]
+    out = []
+    for i in asked:
+        scores = {j: sum(a * b for a, b in zip(q[i], q[n], strict=True)) for n, j in enumerate(ids) if j != ids[i]}
+        out += [(ids[i], r + 1, j, scores[j]) for r, j in enumerate(sorted(scores, key=lambda j: (-scores[j], j))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [0.3, 1e3, 1e6])
+def test_topk_in_many_parts_and_blocks(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "SLICE", 16)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(m, 0.2, (60, 6)) for m in (-2, 0, 3)]) * scale
+    x[100:130] = x[100]
+    table = spark.createDataFrame([(7 * i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    v = topk.quantised(table)
+    got = topk.search(v, v.filter("vec_id % 3 = 0"), k=4, pivots=5, part=20, block=10).collect()
+    q = np.floor(256 * x).astype(np.int64)
+    assert sorted(map(tuple, got)) == exact_best([7 * i for i in range(180)], q, [i for i in range(180) if 7 * i % 3 == 0], 4)
+
+
+def test_topk_leaves_out_what_the_bound_excludes():
+    rng = np.random.default_rng(13)
+    centre = rng.normal(0, 60, 8)
+    x = np.concatenate([np.rint(centre + rng.normal(0, s, (500, 8))).astype(np.int64) for s in (3, 200)])
+    most = float((x * x).sum(1).max())
+    place = topk.lifted(centre[None], most)
+    far = topk.distances(topk.lifted(x.astype(float), most), place)[:, 0]
+    by = np.argsort(far, kind="stable")
+    q = np.rint(x[:40] * 2)
+    own = topk.distances(np.concatenate([q.astype(float), np.zeros((40, 1))], axis=1), place)[:, 0]
+    kth = np.sort(q @ x.T, axis=1)[:, -5].astype(float)
+    scores, ids, taken = topk.walked(x[by], by, far[by], q, np.full(40, -5), own, (q * q).sum(1).astype(float), kth, 5, most)
+    assert taken < 40 * 1000 and (np.sort(q @ x.T, axis=1)[:, :-6:-1] == scores).all()
+
+
+def test_topk_of_odd_vectors(spark):
+    rows = [(1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.75, 0.5]), (2, [0.25, 0.5]), (3, [1e30, 0.0]), (4, [1.0]), (5, []), (6, [-0.5, 1.0]), (None, [0.5, 0.5]), (7, [9e5, -9e5])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {r.vec_id: list(r.v) for r in v.collect()}
+    assert v.count() == 4 and held == {1: [128, 64], 2: [64, 128], 6: [-128, 256], 7: [230400000, -230400000]}
+    got = sorted(map(tuple, topk.search(v, v, k=2).collect()))
+    ids = sorted(held)
+    assert got == exact_best(ids, np.array([held[i] for i in ids], object), range(4), 2)
