@@ -18,7 +18,8 @@ def test_gradient_is_that_of_the_loss():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     x, y = rng.integers(97, 110, (4, 5)), np.array([0, 1, 2, 1])
-    loss = lambda: -np.log(net.labels(x)[np.arange(4), :, y]).sum() / x.size
+    x[2, 3:] = langid.PAD
+    loss = lambda: -sum(np.log(p[np.arange(4), y])[x[:, t] != langid.PAD].sum() for t, p in net.labels(x)) / (x != langid.PAD).sum()
     grad = net.gradient(x, y)
     for k in net.p:
         for _ in range(3):
@@ -56,15 +57,58 @@ def test_language_edges(spark, documents, edges, nothing):
     assert none == [] and langid.predict(edges, none, nil).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_words_do_not_depend_on_the_batch(spark, documents):
-    train = documents([(i, t, "s", lang) for i, (t, lang) in enumerate([("der und die das nicht", "de"), ("the and of that with", "en")] * 20)])
-    langs, net = langid.fit(train)
-    texts = [(i, " ".join(f"the{j}und" for j in range(i))) for i in range(1, 40)]
+GERMAN, ENGLISH = "der und die das nicht ein mit sich auf ", "the and of that with was for this from "
+
+
+def learned(documents):
+    return langid.fit(documents([(i, t[i % 30 :] + t, "s", lang) for i in range(40) for t, lang in ((GERMAN, "de"), (ENGLISH, "en"))]), steps=150)
+
+
+def test_pooling_is_the_mean_of_all_positions(spark, documents):
+    _, net = learned(documents)
+    texts = [b"der und", b"", "straße the".encode() * 9, (ENGLISH * 30).encode()[:1000]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = langid.sums(net, data, offsets)
+    for text, have in zip(texts, got, strict=True):
+        want = np.zeros(2)
+        for s in range(0, len(text), langid.STRIDE):  # one window at a time, without pads
+            a, b = max(0, s - langid.CONTEXT), min(len(text), s + langid.STRIDE + langid.CONTEXT)
+            b = min(b, s + -(-min(len(text) - s, langid.STRIDE) // langid.STEP) * langid.STEP + langid.CONTEXT)
+            of = dict(net.labels(np.frombuffer(text[a:b], np.uint8).astype(np.int64)[None]))
+            want += sum((of[t][0] for t in of if s <= a + t < s + langid.STRIDE), np.zeros(2))
+        assert np.allclose(have, want, atol=1e-2)
+        assert abs(have.sum() - len(text)) < 0.05
+
+
+def test_state_goes_on_across_words(spark, documents):
+    _, net = learned(documents)
+    x = np.frombuffer(b"the and xq", np.uint8).astype(np.int64)[None]
+    y = np.frombuffer(b"der und xq", np.uint8).astype(np.int64)[None]
+    last = [dict(net.labels(v))[9][0] for v in (x, y)]
+    assert np.abs(last[0] - last[1]).max() > 0.01
+
+
+def test_texts_without_spaces_and_long_words(spark, documents):
+    langs, net = learned(documents)
+    rows = [(1, GERMAN.replace(" ", "") * 40), (2, ENGLISH.replace(" ", "") * 40), (3, "undnicht" * 12), (4, "thisfromthat" * 5), (5, "ü")]
+    got = {r.doc_id: r for r in langid.predict(documents(rows), langs, net).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 4)] == ["de", "en", "de", "en"] and got[5].lang_pred in langs
+
+
+def test_results_do_not_depend_on_the_batch(spark, documents):
+    langs, net = learned(documents)
+    texts = [(i, " ".join(f"the{j}und" for j in range(i * 7))) for i in range(1, 40)]
     a = {r.doc_id: r.score for r in langid.predict(documents(texts), langs, net).collect()}
     b = {r.doc_id: r.score for r in langid.predict(documents(texts[::-1]).repartition(7), langs, net).collect()}
     assert all(abs(a[k] - b[k]) < 1e-5 for k in a)
 
 
+def test_sample_is_bounded_and_reads_no_other_columns(spark):
+    docs = spark.createDataFrame([(i, "word " * 4000, f"l{i % 5}", 1, "x", "y", 2) for i in range(50)], "doc_id long, text string, lang string, _id long, _lang string, _known string, at int")
+    rows = langid.sample(docs, docs=3, langs=2).collect()
+    assert len({r.lang for r in rows}) == 2 and len({r.doc_id for r in rows}) == 6 and len(rows) <= 6 * langid.SAMPLE_WINDOWS and max(r["at"] for r in rows) > 18_000
+
+
 # ---- toxicity ----
 
 
