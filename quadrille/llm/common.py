@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import os
 import uuid
 
 import numpy as np
@@ -27,15 +28,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary one is set only where that is unset, as in tests on one machine.
+    Only where that is unset and Spark runs on this machine alone, as in tests, is a local one made.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or f"{os.environ.get('TMPDIR', '/tmp')}/checkpoint-{uuid.uuid4().hex}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def released() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     checkpoint_folder(df.sparkSession)

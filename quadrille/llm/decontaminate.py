@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bytes_of, cut, mix, slices, small, span_hashes, words_of
+from .common import BROADCAST_ROWS, bytes_of, cut, mix, released, slices, small, span_hashes, words_of
 
 WINDOW = 5
 LEAST = 0.5
@@ -133,6 +133,7 @@ def window_rows(table: DataFrame, width: int, only=None) -> DataFrame:
                         [ids.take(pa.array(row + a)), pa.array([kind] * len(h)), pa.array((at - first[row]).astype(np.int32)), pa.array((first[row + 1] - first[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(tokens)],
                         ["id", "kind", "pos", "words", "hash", "tokens"],
                     )
+        released()
 
     return table.select(table.columns[0], table.columns[1]).toDF("id", "text").withColumn("id", F.col("id").cast("long")).mapInArrow(run, SCHEMA)
 

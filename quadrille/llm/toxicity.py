@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWERED, bytes_of, mix, slices, span_hashes, words_of
+from .common import _LOWERED, bytes_of, mix, released, slices, span_hashes, words_of
 
 #: Bounds of the training sample: documents of each label, those of the least hash of doc_id, and bytes of a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 2500, 1 << 18
@@ -125,6 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = SAMPLE_DOCS)
             order = np.random.default_rng(2).permutation(len(held))
             held = held.take(pa.array(order))
             weights = fit(held.column("text").combine_chunks(), held.column("toxic").to_numpy().astype(np.int64))
+            del held, every
+            released()
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     made = rows.repartition(1).mapInArrow(run, "weights binary").collect()
@@ -175,5 +177,6 @@ def clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 none = np.bincount(of, log_none(sentence_logits(sent.value, ids, sentence, len(of))), b - a)
                 keep[a:b] = -np.expm1(none) < threshold
             yield batch.filter(pa.array(keep))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
