@@ -7,7 +7,7 @@ are cut into blocks of equally many words; the slot of rank r in its source take
 last slot of a source is cut at its target, and the few slots that rounding of the schedule
 leaves out follow at the end, so that a source gives its target to the word.
 
-The number of slots is bounded by ``slots``; a block grows with the corpus instead. Running sums
+Slots grow with the corpus once a block would have more than ``BLOCK_WORDS`` words. Running sums
 inside a source go by ranges of the hash, so no task sees a whole source.
 """
 
@@ -23,6 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: The golden ratio's fractional part in units of 2**-31 (odd, so that points repeat only after 2**31).
 GOLDEN = 1_327_217_885
 CELLS = 4096
+#: Slots of a small mix, most words of a block in a large one, and rows of a range.
+LEAST_SLOTS, BLOCK_WORDS, RANGE_ROWS = 1 << 17, 1 << 20, 4000
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -73,7 +75,7 @@ def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
     )
     named = points.join(cells, "_cell").filter("_point >= _from and _point < _to").select("source_id", "_need", "place")
     width = F.floor(F.col("place") * F.lit(float(1 << 31) / max(slots, 1))).cast("long")
-    ranked = running(named, ["source_id"], F.lit(max(1, slots // 20_000)), F.least(width, F.lit((1 << 31) - 1)), [F.col("place")], F.lit(1), "rank").filter("rank < _need")
+    ranked = running(named, ["source_id"], F.lit(max(1, slots // RANGE_ROWS)), F.least(width, F.lit((1 << 31) - 1)), [F.col("place")], F.lit(1), "rank").filter("rank < _need")
     got = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("_got"))
     late = (
         held.join(got, "source_id", "left")
@@ -85,7 +87,7 @@ def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
     return ranked.select("source_id", "rank", "place").unionByName(late)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int | None = None, seed: int = 11) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, taken, first_place): words the mix takes of every row.
 
     ``taken`` counts repeats and is at most ``most`` times ``size``; a source's sum is its target,
@@ -97,11 +99,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     targets = cut(source_targets(sized, weights, share, most))
     total = targets.agg(F.sum(F.round("target"))).first()[0] or 0
-    block = max(1, int(total) // slots)
+    block = max(1, int(total) // (slots or max(LEAST_SLOTS, int(total) // BLOCK_WORDS)))
     places = int(total) // block + 1 if total else 0
     known = sized.join(small(targets), sized.source.eqNullSafe(targets.source)).drop(targets.source)
     filled = known.filter("size > 0")
-    placed = running(filled, ["source_id"], F.greatest(F.lit(1), F.ceil(F.col("docs") / 20_000)).cast("long"), spread31(seed, F.col("doc_id"), F.col("text_hash")), [F.col("doc_id"), F.col("text_hash"), F.col("size")], F.col("size"), "start")
+    placed = running(filled, ["source_id"], F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_ROWS)).cast("long"), spread31(seed, F.col("doc_id"), F.col("text_hash")), [F.col("doc_id"), F.col("text_hash"), F.col("size")], F.col("size"), "start")
     passes = int(-(-most // 1))
     blocks = (
         placed.withColumn("_pass", F.explode(F.array(*[F.lit(k) for k in range(passes)])))

@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import running, spread31
 
-#: The matrix is drawn on the driver; it has at most so many rows, whatever the input's size.
-MOST_PARTITIONS = 4096
+#: The matrix is drawn on the driver; it has at most so many rows, whatever the input's size (20,000 rows each up to 5 * 10**9 rows).
+MOST_PARTITIONS = 1 << 18
+#: Populations up to it are drawn from by numpy, whose own bound this is.
+NUMPY_MOST = 1_000_000_000
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -37,16 +39,26 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` rows drawn without replacement are good; beyond numpy's range, split in halves."""
+    """How many of ``n`` rows drawn without replacement are good.
+
+    Beyond numpy's range by inversion: probabilities follow from their ratios, from the mode out to
+    where all that is left is less than 1e-30.
+    """
     if not n or not good:
         return 0
     if not bad:
         return n
-    if good + bad < 1_000_000_000:
+    if good + bad < NUMPY_MOST:
         return int(rng.hypergeometric(good, bad, n))
-    p = good / (good + bad)  # so many rows: the normal limit, cut to what is possible
-    sd = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
-    return int(min(good, n, max(0, n - bad, round(rng.normal(n * p, sd)))))
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    spread = (n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5
+    reach = int(12 * spread) + 40
+    k = np.arange(max(0, n - bad, mode - reach), min(n, good, mode + reach) + 1, dtype=np.float64)
+    steps = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[1:]) - np.log(bad - n + k[1:])
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[np.searchsorted(chances, rng.random() * chances[-1], "right")])
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 23, carry: list[str] | None = None) -> DataFrame:

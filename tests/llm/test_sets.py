@@ -210,6 +210,19 @@ def test_communication_matrix():
     assert np.allclose(many / 200, 25, atol=1.2)
 
 
+def test_draw_beyond_numpys_range(monkeypatch):
+    rng = np.random.default_rng(3)
+    shares = np.bincount([sharding.draw(rng, 1_500_000_000, 1_500_000_000, 3) for _ in range(8000)], minlength=4) / 8000
+    assert np.abs(shares - [0.125, 0.375, 0.375, 0.125]).max() < 0.02
+    monkeypatch.setattr(sharding, "NUMPY_MOST", 0)
+    for good, bad, n in ((7, 5, 6), (3, 40, 20), (40, 3, 20), (300, 500, 90)):
+        own = np.bincount([sharding.draw(rng, good, bad, n) for _ in range(6000)], minlength=n + 1) / 6000
+        theirs = np.bincount(rng.hypergeometric(good, bad, n, 60_000), minlength=n + 1) / 60_000
+        assert np.abs(own - theirs).max() < 0.03
+    matrix = sharding.communication_matrix([10, 0, 37, 5], 8, 1)
+    assert matrix.sum(1).tolist() == [10, 0, 37, 5] and sorted(matrix.sum(0)) == [6] * 4 + [7] * 4 and (matrix >= 0).all()
+
+
 def dropped(rows, least_docs, least_chars):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     held = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
