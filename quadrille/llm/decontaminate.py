@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bytes_of, cut, mix, released, slices, small, span_hashes, words_of
+from .common import bytes_of, cut, mix, released, slices, small, span_hashes, words_of
 
 WINDOW = 5
 LEAST = 0.5
 #: A window of the template must keep so many words as they are; the rest may be placeholders.
 LEAST_WORDS = 2
+#: Bits of the filter of the benchmark's windows that goes to every task; more windows only let more pass it to the join.
+FILTER_BITS = 1 << 26
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml litre litres liter liters hour hours minute minutes second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents mph kmh degrees".split()
 
 _ALNUM = np.zeros(256, bool)
@@ -84,33 +86,55 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def windows(words: dict[str, np.ndarray], kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window, and the index of its first word; windows of mostly placeholders are left out."""
+    """Hash of every window, and the index of its first word; windows of mostly placeholders are left out.
+
+    A row of fewer words than a window is one window as a whole.
+    """
     h, row = words[kind], words["row"]
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = mix(h[:n] + np.uint64(len(kind)))
-    for k in range(1, width):
-        out = mix(out * np.uint64(5) + h[k : k + n])
     fixed = np.concatenate([[0], np.cumsum(~np.isin(h, [_NUMBER, _NAME, _UNIT]))])
-    use = (row[:n] == row[width - 1 :]) & (fixed[width : width + n] - fixed[:n] >= LEAST_WORDS)
-    return out[use], np.flatnonzero(use)
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    n = len(h) - width + 1
+    if n > 0:
+        hashed = mix(h[:n] + np.uint64(len(kind)))
+        for k in range(1, width):
+            hashed = mix(hashed * np.uint64(5) + h[k : k + n])
+        use = (row[:n] == row[width - 1 :]) & (fixed[width : width + n] - fixed[:n] >= LEAST_WORDS)
+        out.append(hashed[use])
+        of.append(np.flatnonzero(use))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(row)))
+    for n in range(LEAST_WORDS, width):
+        at = first[size == n]
+        at = at[fixed[at + n] - fixed[at] >= LEAST_WORDS]
+        hashed = mix(h[at] + np.uint64(64 + n))
+        for k in range(1, n):
+            hashed = mix(hashed * np.uint64(5) + h[at + k])
+        out.append(hashed)
+        of.append(at)
+    return np.concatenate(out), np.concatenate(of)
 
 
 SCHEMA = "id long, kind string, pos int, words int, hash long, tokens string"
 
 
+def window_filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the hashes; of ``FILTER_BITS`` bits, whatever their number."""
+    bit = F.col("hash").bitwiseAND(FILTER_BITS - 1)
+    words = hashes.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits"))
+    held = words.toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
 def window_rows(table: DataFrame, width: int, only=None) -> DataFrame:
-    """(id, kind, pos, words, hash, tokens) of the windows of (id, text), of those alone whose hash is in ``only``.
+    """(id, kind, pos, words, hash, tokens) of the windows of (id, text), of those alone that the filter ``only`` may hold.
 
-    ``only`` is a broadcast, sorted array. ``words`` is the number of words of the row.
+    ``only`` is a broadcast ``window_filter``. ``words`` is the number of words of the row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = only.value if only is not None else None
-        near = np.zeros(1 << 20, bool)
-        if wanted is not None:
-            near[(wanted & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        bits = only.value if only is not None else None
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             data, offsets = bytes_of(text)
@@ -120,15 +144,15 @@ def window_rows(table: DataFrame, width: int, only=None) -> DataFrame:
                 first = np.searchsorted(words["row"], np.arange(b - a + 1))
                 for kind in ("plain", "typed"):
                     h, at = windows(words, kind, width)
-                    if wanted is not None:
-                        maybe = np.flatnonzero(near[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-                        spot = np.minimum(np.searchsorted(wanted, h[maybe]), max(len(wanted) - 1, 0))
-                        hit = maybe[wanted[spot] == h[maybe]] if len(wanted) else maybe[:0]
+                    if bits is not None:
+                        low = h & np.uint64(FILTER_BITS - 1)
+                        hit = np.flatnonzero(bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
                         h, at = h[hit], at[hit]
                     if not len(h):
                         continue
                     row = words["row"][at]
-                    tokens = [" ".join(bytes(part[words["start"][i + k] : words["end"][i + k]]).decode("utf-8", "replace") for k in range(width)) for i in at]
+                    last = np.minimum(at + width, first[row + 1])
+                    tokens = [" ".join(bytes(part[words["start"][i] : words["end"][i]]).decode("utf-8", "replace") for i in range(a, b)) for a, b in zip(at, last, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(row + a)), pa.array([kind] * len(h)), pa.array((at - first[row]).astype(np.int32)), pa.array((first[row + 1] - first[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(tokens)],
                         ["id", "kind", "pos", "words", "hash", "tokens"],
@@ -142,9 +166,9 @@ def judged(width: int, least: float):
     """Of the matching windows of a document and an item: whether they stand in line and fill slots consistently."""
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = max(1, int(pdf["words_of_item"].iloc[0]) - width + 1)
         best, consistent = 0.0, True
         for kind, g in pdf.groupby("kind"):
+            total = int(g["possible"].iloc[0])
             by = defaultdict(set)
             for pos, idx in zip(g["pos"], g["idx"], strict=True):
                 by[(pos - idx) // 8].add(idx)
@@ -170,25 +194,21 @@ def judged(width: int, least: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, share, plain) of every document that holds ``least`` of an item's windows.
 
-    Null and empty texts, and items of fewer words than a window, match nothing; repeated rows of
-    a doc_id count as one document; an empty table gives an empty result; other columns are not read.
+    The share is of the windows that the item has of a kind, but of half as many as it has places
+    at least. Null and empty texts match nothing; an item of fewer words than a window, and two at
+    least, is matched by documents that are that item as a whole. Repeated rows of a doc_id count
+    as one document; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     items = cut(window_rows(benchmark.select("item_id", "text"), width)).select(F.col("id").alias("item_id"), "kind", F.col("pos").alias("idx"), F.col("words").alias("words_of_item"), "hash", F.col("tokens").alias("item_tokens"))
-    only = None
-    if items.count() <= BROADCAST_ROWS:  # eight bytes each
-        wanted = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        only = spark.sparkContext.broadcast(wanted)
+    places = F.greatest(F.max("words_of_item") - width + 1, F.lit(1))
+    has = items.groupBy("item_id", "kind").agg(F.greatest(F.countDistinct("idx"), F.ceil(places / 2)).cast("int").alias("possible"))
+    items = cut(items.join(has, ["item_id", "kind"]).drop("words_of_item"))
+    only = spark.sparkContext.broadcast(window_filter(items))
     hits = cut(window_rows(docs.select("doc_id", "text"), width, only))
-    keys = items.select("item_id", "kind", "idx", "words_of_item", "hash")
+    keys = items.select("item_id", "kind", "idx", "possible", "hash")
     pairs = hits.select("id", "kind", "hash").distinct().join(small(keys), ["kind", "hash"])
-    enough = (
-        pairs.groupBy("id", "item_id", "kind")
-        .agg((F.countDistinct("idx") / F.greatest(F.max("words_of_item") - width + 1, F.lit(1))).alias("held"))
-        .filter(F.col("held") >= least)
-        .select("id", "item_id")
-        .distinct()
-    )
+    enough = pairs.groupBy("id", "item_id", "kind").agg((F.countDistinct("idx") / F.max("possible")).alias("held")).filter(F.col("held") >= least).select("id", "item_id").distinct()
     full = hits.join(small(items), ["kind", "hash"]).join(small(enough.withColumnRenamed("id", "_id").withColumnRenamed("item_id", "_item")), F.col("id").eqNullSafe(F.col("_id")) & F.col("item_id").eqNullSafe(F.col("_item"))).drop("_id", "_item")
     return full.groupBy("id", "item_id").applyInPandas(judged(width, least), "doc_id long, item_id long, share double, plain boolean")
 

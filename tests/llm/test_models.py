@@ -48,7 +48,7 @@ def test_language_on_held_out_documents(spark, sf_dir):
 
 def test_language_edges(spark, documents, edges, nothing):
     train = documents([(i, t, "s", lang) for i, (t, lang) in enumerate([("der und die das nicht", "de"), ("the and of that with", "en")] * 20)])
-    langs, net = langid.fit(train)
+    langs, net = langid.fit(train, steps=60)
     got = {r.doc_id: r for r in langid.predict(edges, langs, net).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred in langs
     assert langid.predict(documents([(1, "12 34 !?")]), langs, net).first().lang_pred == "und"
@@ -60,12 +60,13 @@ def test_language_edges(spark, documents, edges, nothing):
 GERMAN, ENGLISH = "der und die das nicht ein mit sich auf ", "the and of that with was for this from "
 
 
+@pytest.fixture(scope="module")
 def learned(documents):
     return langid.fit(documents([(i, t[i % 30 :] + t, "s", lang) for i in range(40) for t, lang in ((GERMAN, "de"), (ENGLISH, "en"))]), steps=150)
 
 
-def test_pooling_is_the_mean_of_all_positions(spark, documents):
-    _, net = learned(documents)
+def test_pooling_is_the_mean_of_all_positions(learned):
+    _, net = learned
     texts = [b"der und", b"", "straße the".encode() * 9, (ENGLISH * 30).encode()[:1000]]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     got = langid.sums(net, data, offsets)
@@ -80,23 +81,23 @@ def test_pooling_is_the_mean_of_all_positions(spark, documents):
         assert abs(have.sum() - len(text)) < 0.05
 
 
-def test_state_goes_on_across_words(spark, documents):
-    _, net = learned(documents)
+def test_state_goes_on_across_words(learned):
+    _, net = learned
     x = np.frombuffer(b"the and xq", np.uint8).astype(np.int64)[None]
     y = np.frombuffer(b"der und xq", np.uint8).astype(np.int64)[None]
     last = [dict(net.labels(v))[9][0] for v in (x, y)]
     assert np.abs(last[0] - last[1]).max() > 0.01
 
 
-def test_texts_without_spaces_and_long_words(spark, documents):
-    langs, net = learned(documents)
+def test_texts_without_spaces_and_long_words(documents, learned):
+    langs, net = learned
     rows = [(1, GERMAN.replace(" ", "") * 40), (2, ENGLISH.replace(" ", "") * 40), (3, "undnicht" * 12), (4, "thisfromthat" * 5), (5, "ü")]
     got = {r.doc_id: r for r in langid.predict(documents(rows), langs, net).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3, 4)] == ["de", "en", "de", "en"] and got[5].lang_pred in langs
 
 
-def test_results_do_not_depend_on_the_batch(spark, documents):
-    langs, net = learned(documents)
+def test_results_do_not_depend_on_the_batch(documents, learned):
+    langs, net = learned
     texts = [(i, " ".join(f"the{j}und" for j in range(i * 7))) for i in range(1, 40)]
     a = {r.doc_id: r.score for r in langid.predict(documents(texts), langs, net).collect()}
     b = {r.doc_id: r.score for r in langid.predict(documents(texts[::-1]).repartition(7), langs, net).collect()}
@@ -315,6 +316,23 @@ def test_slots_must_be_consistent(spark, documents):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_short_items_are_matched_as_a_whole(spark, documents):
+    items = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "one"), (3, "mix 12 with 30 kg")], "item_id long, text string")
+    rows = [(1, "alpha, BETA gamma!"), (2, "alpha beta gamma delta"), (3, "one"), (4, "mix 5 with 7 kg"), (5, "mix 5 with 7 kg now")]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(documents(rows), items).collect()) == [(1, 1), (4, 3), (5, 3)]
+
+
+def test_items_dense_in_numbers_and_full_filters(spark, documents, monkeypatch):
+    item = "Compute the sum of 12 + 45 - 33 + 9 x 2 and then write 14 and 70 down"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("12", "81").replace("45", "17").replace("33", "26").replace("14", "55").replace("70", "64")
+    rows = [(1, f"{FILLER} {other} {FILLER}"), (2, f"{FILLER} write 14 and 70 down {FILLER}"), (3, FILLER)]
+    want = sorted(map(tuple, decontaminate.leaks(documents(rows), items).collect()))
+    assert [w[0] for w in want] == [1]
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 64)  # lets all pass
+    assert sorted(map(tuple, decontaminate.leaks(documents(rows), items).collect())) == want
+
+
 def test_leaks_edges(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "same text here same text here")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.leaks(edges, bench).collect()} == {5, 6}
