@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import hub_id_from_graph
-from ..functions.namespaces import DC, EDM, FOAF, QTERM, ORE
+from ..functions.ids import hub_id_from_graph, rebase_uri
+from ..functions.namespaces import DC, EDM, FOAF, ORE, QTERM, TYPE
 from ..functions.text import index_entry, natural_key
 from .graph import captions, filter_properties, geo_points, graph_profile, pick_thumbnail, resolve_labels, search_fields
 
@@ -32,27 +32,69 @@ def to_flat_docs(quads: DataFrame) -> DataFrame:
     return per.groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
 
 
+def followed(quads: DataFrame) -> DataFrame:
+    """The triples whose object may be followed: a resource with triples of its own in the graph, but not the record, not the subject itself and not by a predicate of NOT_FOLLOWED."""
+    record = F.regexp_replace("graph", "/graph$", "")
+    links = quads.filter((F.col("o_kind") != "Literal") & ~F.col("p").isin(NOT_FOLLOWED) & (F.col("o") != record) & (F.col("o") != F.col("s")))
+    told = quads.filter(F.col("p") != TYPE).select(F.col("graph").alias("_g"), F.col("s").alias("_t")).distinct()
+    return links.join(told, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_t")), "left_semi")
+
+
+def _resources(others: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """(_g, _s, inline): the fields of every resource in ``others``, by name its raw values; above depth 1 each value with the fields of what it links to."""
+    raw = F.left("label", F.lit(256)).alias("raw")
+    if depth <= 1:
+        pairs = others.groupBy("graph", "s").agg(F.array_sort(F.collect_set(F.struct(F.col("label_of").alias("field"), raw))).alias("_pairs"))
+        names = F.array_distinct(F.transform("_pairs", lambda x: x["field"]))
+        fields = pairs.withColumn("inline", F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("_pairs", lambda x: x["field"] == n), lambda x: x["raw"]))))
+    else:
+        joined = _linked(others.dropDuplicates(["graph", "s", "p", "o", "label"]), others, links, depth - 1)
+        by_raw = lambda a, b: F.when(a["raw"] < b["raw"], -1).when(a["raw"] > b["raw"], 1).otherwise(0)
+        per = joined.groupBy("graph", "s", "label_of").agg(F.array_sort(F.collect_list(F.struct(raw, "inline")), by_raw).alias("values"))
+        fields = per.groupBy("graph", "s").agg(F.map_from_entries(F.collect_list(F.struct("label_of", "values"))).alias("inline"))
+    return fields.select(F.col("graph").alias("_g"), F.col("s").alias("_s"), "inline")
+
+
+def _linked(rows: DataFrame, others: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """Rows with ``inline``: the fields of what their triple leads to, null if it is not followed."""
+    near = _resources(others, links, depth)
+    of = links.select("graph", "s", "p", "o").distinct().join(near, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_s"))).drop("_g", "_s")
+    return rows.join(of, ["graph", "s", "p", "o"], "left")
+
+
 def to_nested_docs(quads: DataFrame, depth: int = 2) -> DataFrame:
-    """(graph, about, fields): fields of the record, each entry with ``inline``: the fields of the resource it links to, depth 2.
+    """(graph, about, fields): fields of the record, each entry with ``inline``: the fields of the resource it links to, ``depth`` levels in all.
 
-    A link to the record itself or to the subject is not followed, nor one by a predicate of NOT_FOLLOWED, nor one to a
-    resource without triples.
+    ``inline`` maps names to raw values; with a depth of 3 or more, to structs of the raw value and the
+    next level. What is followed is as ``followed`` says; deeper links may lead back to a resource
+    further up, where the depth ends them.
     """
     record = F.regexp_replace("graph", "/graph$", "")
-    labelled = resolve_labels(quads)
-    linked = search_fields(filter_properties(labelled)).filter(F.col("s") != record)
-    near = linked.groupBy("graph", "s").agg(F.array_sort(F.collect_set(F.struct(F.col("label_of").alias("field"), F.left("label", F.lit(256)).alias("raw")))).alias("_pairs"))
-    near = near.select(F.col("graph").alias("_g"), F.col("s").alias("_s"), F.array_distinct(F.transform("_pairs", lambda x: x["field"])).alias("_names"), "_pairs")
-    inline = F.map_from_arrays("_names", F.transform("_names", lambda n: F.transform(F.filter("_pairs", lambda x: x["field"] == n), lambda x: x["raw"])))
-    own = search_fields(filter_properties(labelled)).filter(F.col("s") == record)
-    joined = own.join(near, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_s")) & (F.col("o_kind") != "Literal") & ~F.col("p").isin(NOT_FOLLOWED), "left") if depth > 1 else own.withColumns({"_names": F.lit(None).cast("array<string>"), "_pairs": F.lit(None).cast("array<struct<field:string,raw:string>>")})
-    entry = F.struct(F.col("o_kind").alias("type"), F.when(F.col("o_kind") != "Literal", F.col("o")).alias("id"), F.col("label").alias("value"), F.col("label_lang").alias("lang"), inline.alias("inline"))
+    shown = search_fields(filter_properties(resolve_labels(quads)))
+    own, others = shown.filter(F.col("s") == record), shown.filter(F.col("s") != record)
+    joined = _linked(own, others, followed(quads), depth - 1) if depth > 1 else own.withColumn("inline", F.lit(None).cast("map<string,array<string>>"))
+    entry = F.struct(F.col("o_kind").alias("type"), F.when(F.col("o_kind") != "Literal", F.col("o")).alias("id"), F.col("label").alias("value"), F.col("label_lang").alias("lang"), "inline")
     per = joined.groupBy("graph", F.col("label_of").alias("field")).agg(F.collect_list(entry).alias("entries"))
     fields = per.select("graph", F.struct("field", "entries").alias("_f")).groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
     about = graph_profile(quads).join(captions(quads), "graph", "left").join(pick_thumbnail(quads), "graph", "left").select("graph", F.struct("classes", F.col("predicates").alias("properties"), "languages", "captions", "thumbnail").alias("about"))
     return about.join(fields, "graph", "left")
 
 
+def attach_user_content(docs: DataFrame, content: DataFrame, entry_points: list[str], base: str) -> DataFrame:
+    """Documents with ``user_content``: what users contributed to a record, an array of (link, name) in order of link, empty if nothing.
+
+    ``content`` is (source_uri, link, name, seq). A contribution to a page or to data is one to the
+    resource, under ``base`` if its host is one of ours; of those to the same resource with the same
+    link the last counts.
+    """
+    resource = F.regexp_replace(F.regexp_replace("source_uri", "/data/", "/resource/"), "/page/", "/resource/")
+    told = content.filter("link is not null").select(rebase_uri(resource, entry_points, base).alias("_uri"), "link", "name", "seq")
+    last = told.groupBy("_uri", "link").agg(F.max_by("name", "seq").alias("name"))
+    lists = last.groupBy("_uri").agg(F.array_sort(F.collect_list(F.struct("link", "name"))).alias("_content"))
+    joined = docs.join(lists, F.col("source_uri") == F.col("_uri"), "left")
+    return joined.withColumn("user_content", F.coalesce("_content", F.array().cast("array<struct<link:string,name:string>>"))).drop("_uri", "_content")
+
+
 def record_flags(graphs: DataFrame, quads: DataFrame) -> DataFrame:
     """(graph, legacy): whether a record has a point, a digital object, a landing page, deep zoom, as the strings true and false."""
     has = lambda c: F.when(F.max(c), "true").otherwise("false")

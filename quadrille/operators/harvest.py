@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import encode_token
-from .sync import spec_counts
 from .tables import cut
 
 
@@ -71,4 +70,4 @@ def get_record(docs: DataFrame, hub_id: str, prefix: str, converters: dict) -> D
 
 def list_sets(docs: DataFrame) -> DataFrame:
     """(spec, n) in order of spec."""
-    return spec_counts(docs).orderBy("spec")
+    return docs.groupBy("spec").agg(F.count(F.lit(1)).alias("n")).orderBy("spec")

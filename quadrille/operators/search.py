@@ -384,17 +384,25 @@ def analyze_nl(c: Column) -> Column:
 # ---- points ----
 
 
-def within_distance(points: DataFrame, centres: DataFrame, km: float, precision: int | None = None) -> DataFrame:
+def within_distance(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """(centre, hub_id, km): points within a distance of each centre (centre, lat, lon), by the great circle.
 
-    Points and centres meet on cells of latitude and longitude as wide as the distance, nine cells
-    to a centre (more near the poles), so no pair of tables is crossed.
+    Points and centres meet on cells: bands of latitude as high as the distance, cut into columns
+    that are at least as wide, so fewer towards the poles and one at them; columns go on across
+    longitude 180. A centre looks into its own and the next bands and columns, so no pair of tables
+    is crossed.
     """
-    side = max(km / 110.0, 1e-6)
-    reach = F.least(F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians(F.col("clat"))), F.lit(0.05))), F.lit(20)).cast("int")
-    wide = centres.select("centre", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    wide = wide.withColumn("_y", F.explode(F.sequence(F.floor(F.col("clat") / side) - 1, F.floor(F.col("clat") / side) + 1))).withColumn("_x", F.explode(F.sequence(F.floor(F.col("clon") / side) - reach, F.floor(F.col("clon") / side) + reach)))
-    cells = points.withColumn("_y", F.floor(F.col("lat") / side)).withColumn("_x", F.floor(F.col("lon") / side))
+    high = max(min(km / 111.0, 180.0), 1e-6)
+    # how wide the distance is, in degrees of longitude, where a band with the next ones is nearest to a pole
+    edge = lambda band: F.least(F.greatest(F.abs(band * high - 90 - high), F.abs((band + 2) * high - 90)), F.lit(90.0))
+    columns = lambda band: F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge(band))) / (high * 1.01))).cast("long")
+    band_of = lambda lat: F.floor((lat + 90) / high)
+    column_of = lambda lon, n: F.pmod(F.floor((F.pmod(lon + 180, F.lit(360.0))) / 360 * n), n)
+    wide = centres.select("centre", F.col("lat").alias("clat"), F.col("lon").alias("clon"), band_of(F.col("lat")).alias("_own")).filter("clat is not null and clon is not null")
+    wide = wide.withColumn("_y", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1))).withColumn("_n", columns(F.col("_y")))
+    at = column_of(F.col("clon"), F.col("_n"))
+    wide = wide.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(at - 1, at + 1), lambda x: F.pmod(x, F.col("_n"))))))
+    cells = points.withColumn("_y", band_of(F.col("lat"))).withColumn("_x", column_of(F.col("lon"), columns(F.col("_y"))))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     return cells.join(wide, ["_y", "_x"]).withColumn("km", d).filter(F.col("km") <= km).select("centre", "hub_id", F.round("km", 4).alias("km"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import proxy_uri
-from ..functions.namespaces import GN, QSYNC, SKOS, TYPE
+from ..functions.namespaces import EDM, GN, QSYNC, SKOS, TYPE
 from ..schemas import QUAD
 from .graph import union_graphs
 from .tables import cut
@@ -66,13 +66,23 @@ def proxy_graph(proxies: DataFrame, mappings: DataFrame, concepts: DataFrame | N
     return union_graphs(out, concepts.join(m.select(F.col("_concept").alias("s")).distinct(), "s", "left_semi"))
 
 
-def record_context(record: DataFrame, fields: DataFrame, mappings: DataFrame, concepts: DataFrame, preds: list[str], leave: int) -> DataFrame:
-    """A record graph with proxies for its literals, the proxies' and concepts' triples, and repeated values reduced."""
+def record_context(record: DataFrame, fields: DataFrame, mappings: DataFrame, concepts: DataFrame, preds: list[str], leave: int, media: DataFrame | None = None, base: str | None = None) -> DataFrame:
+    """A record graph with proxies for its literals, the proxies' and concepts' triples, and repeated values reduced.
+
+    With ``media``, quads of any graph, the triples of a record's views come into its graph; with
+    ``base`` those of its thumbnails and deep zoom, too.
+    """
     from .graph import reduce_duplicates
+    from .media import add_media_triples
 
     done, new = apply_proxy_fields(record, fields, None)
     added = proxy_graph(new, mappings, concepts)
     kept, _ = reduce_duplicates(done, preds, leave)
+    if media is not None:
+        views = done.filter(F.col("p") == EDM + "hasView").select("graph", F.col("o").alias("_view")).distinct()
+        kept = union_graphs(kept, media.drop("graph").join(views, F.col("s") == F.col("_view")).select(*QUAD))
+    if base is not None:
+        kept = add_media_triples(kept, base)
     return union_graphs(kept, added)
 
 

@@ -148,7 +148,7 @@ def concept_context(spark, d):
     return G.concept_context(c, c.filter(F.col("s").startswith(f"{BASE}/place/")).select(F.col("s").alias("uri")))
 
 
-@_q(_OWN + f"SELECT graph, s, p, o FROM q WHERE graph IN (SELECT graph FROM q WHERE p = '{EDM}hasView')")
+@_q(_OWN + f"SELECT q.graph, s, p, o FROM q JOIN (SELECT DISTINCT graph FROM q WHERE p = '{EDM}hasView') v ON q.graph = v.graph")
 def media_context(spark, d):
     return G.media_context(table(spark, d, "quads")).select("graph", "s", "p", "o")
 
@@ -160,10 +160,9 @@ def concept_links(spark, d):
     return G.concept_links(direct.unionByName(q.filter(F.col("p") == SKOS + "exactMatch").withColumn("graph", F.lit("proxies"))))
 
 
-@_q(_OWN + f"SELECT count(*) AS n, count(DISTINCT o) AS urls FROM (SELECT DISTINCT graph, concat('{BASE}/resource/cache/', regexp_replace(o, '^https?://', '')) AS o FROM q WHERE o_kind = 'URIRef' AND o LIKE 'http%')")
+@_q(_OWN + f"SELECT graph, s, p, o FROM q UNION SELECT graph, o AS s, '{QTERM}cacheUrl' AS p, concat('{BASE}/resource/cache/', regexp_replace(o, '^https?://', '')) AS o FROM q WHERE o_kind = 'URIRef' AND o LIKE 'http%'")
 def cached_source(spark, d):
-    made = G.cached_source(table(spark, d, "quads"), BASE).filter(F.col("p") == QTERM + "cacheUrl")
-    return made.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o").alias("urls"))
+    return G.cached_source(table(spark, d, "quads"), BASE).select("graph", "s", "p", "o")
 
 
 @_q(
@@ -179,10 +178,12 @@ def inline_previews(spark, d):
     return G.inline_previews(q.unionByName(rel), {DC + "title": "dc_title"}, f"{BASE}/resource/aggregation/").select("graph", "o", "preview")
 
 
-@_q(_OWN + f"SELECT count(*) AS kept, (SELECT sum(n - 2) FROM (SELECT count(*) AS n FROM q WHERE p = '{EDM}hasView' GROUP BY graph) WHERE n > 2) AS removed FROM (SELECT *, row_number() OVER (PARTITION BY graph, p ORDER BY s, o) AS r FROM q) WHERE p <> '{EDM}hasView' OR r <= 2")
+@_q(_OWN + f"SELECT graph, s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY graph, p ORDER BY s, o) AS r FROM q) WHERE p <> '{EDM}hasView' OR r <= 2 UNION ALL SELECT graph, 'removed', '', CAST(count(*) - 2 AS VARCHAR) FROM q WHERE p = '{EDM}hasView' GROUP BY graph HAVING count(*) > 2")
 def reduce_duplicates(spark, d):
+    """The triples that stay, and how many of each graph went."""
     kept, removed = G.reduce_duplicates(table(spark, d, "quads"), [EDM + "hasView"], 2)
-    return kept.agg(F.count(F.lit(1)).alias("kept")).crossJoin(removed.agg(F.sum("removed").alias("removed")))
+    gone = removed.filter("removed > 0").select("graph", F.lit("removed").alias("s"), F.lit("").alias("p"), F.col("removed").cast("string").alias("o"))
+    return kept.select("graph", "s", "p", "o").unionByName(gone)
 
 
 @_q(
@@ -282,10 +283,10 @@ def _belonging(spark, d):
     return q.unionByName(more)
 
 
-@_q(_OWN + "SELECT count(*) AS synced FROM (SELECT DISTINCT graph FROM q WHERE graph LIKE '%/aggregation/n3/%')")
+@_q(_OWN + f"SELECT graph, CASE WHEN graph LIKE '%/aggregation/n3/%' THEN 'true' ELSE 'false' END AS o, n FROM (SELECT graph, count(*) + 2 AS n FROM q GROUP BY graph)")
 def set_sync_flag(spark, d):
     done = G.set_sync_flag(_belonging(spark, d), f"{BASE}/resource/dataset/n3", True)
-    return done.filter((F.col("p") == QSYNC + "synced") & (F.col("o") == "true")).agg(F.count(F.lit(1)).alias("synced"))
+    return done.groupBy("graph").agg(F.min(F.when(F.col("p") == QSYNC + "synced", F.col("o"))).alias("o"), F.count(F.lit(1)).alias("n"))
 
 
 @_q(_OWN + "SELECT graph, count(*) + 2 AS n FROM q WHERE graph NOT LIKE '%/aggregation/n3/%' GROUP BY graph")
@@ -302,7 +303,7 @@ def delete_media_graphs(spark, d):
 
 
 @_q(
-    f"""WITH RECURSIVE b AS (SELECT s, o FROM {{concepts}} WHERE p = '{SKOS}broader'), up AS (SELECT s, o, 1 AS depth FROM b UNION SELECT up.s, b.o, depth + 1 FROM up JOIN b ON up.o = b.s WHERE depth < 10)
+    f"""WITH RECURSIVE b AS (SELECT s, o FROM {{concepts}} WHERE p = '{SKOS}broader'), up AS (SELECT s, o FROM b UNION SELECT up.s, b.o FROM up JOIN b ON up.o = b.s)
 SELECT u.s, u.o AS ancestor, l.o AS label FROM (SELECT DISTINCT s, o FROM up WHERE s <> o) u LEFT JOIN (SELECT s, min(o) AS o FROM {{concepts}} WHERE p = '{SKOS}prefLabel' GROUP BY s) l ON u.o = l.s"""
 )
 def broader_closure(spark, d):
@@ -380,3 +381,24 @@ def nested_documents(spark, d):
 def build_records(spark, d):
     r = D.build_records(table(spark, d, "quads"), org="demo")
     return r.select("hub_id", "spec", F.col("system.caption").alias("caption"), F.col("system.thumbnail").alias("thumbnail"), F.col("legacy.qsite_hasGeoHash").alias("hasGeoHash"), F.col("legacy.qsite_hasDigitalObject").alias("hasDigitalObject"))
+
+
+@_q(_OWN + f"SELECT DISTINCT q.graph, q.s, q.p, q.o FROM q JOIN (SELECT DISTINCT graph, s FROM q WHERE p <> '{RDF_TYPE}') t ON q.graph = t.graph AND q.o = t.s WHERE o_kind = 'URIRef' AND q.o <> q.s AND concat(q.o, '/graph') <> q.graph")
+def followed_objects(spark, d):
+    return D.followed(table(spark, d, "quads")).select("graph", "s", "p", "o").distinct()
+
+
+@_q(
+    (_OWN + f"""SELECT v.graph, v.o AS id, l.o AS via, l.o AS label FROM q v JOIN q n ON v.graph = n.graph AND v.o = n.s AND n.p = '{DC}relation' JOIN q l ON n.graph = l.graph AND n.o = l.s AND l.p = '{SKOS}prefLabel'
+WHERE v.p = '{EDM}hasView'""").replace("FROM {quads}", f"FROM (SELECT * FROM {{quads}} UNION ALL SELECT DISTINCT v.graph, v.o, 'URIRef', '{DC}relation', n.o, 'URIRef', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM {{quads}} v JOIN {{quads}} n ON v.graph = n.graph WHERE v.p = '{EDM}hasView' AND n.p = '{DCT}spatial')")
+)
+def deep_documents(spark, d):
+    """Three levels: the record, its views, and the places that these are related to."""
+    q = table(spark, d, "quads")
+    places = q.filter(F.col("p") == DCT + "spatial").select("graph", F.col("o").alias("_place"))
+    views = q.filter(F.col("p") == EDM + "hasView").select("graph", F.col("o").alias("s")).distinct().join(places, "graph")
+    null = F.lit(None).cast("string")
+    related = views.select("graph", "s", F.lit("URIRef").alias("s_kind"), F.lit(DC + "relation").alias("p"), F.col("_place").alias("o"), F.lit("URIRef").alias("o_kind"), null.alias("datatype"), null.alias("lang"))
+    docs = D.to_nested_docs(q.unionByName(related.select(*q.columns)), depth=3)
+    entries = docs.select("graph", F.explode(F.try_element_at("fields", F.lit("edm_hasView"))).alias("e")).select("graph", F.col("e.id").alias("id"), F.explode(F.try_element_at("e.inline", F.lit("dc_relation"))).alias("r"))
+    return entries.select("graph", "id", F.col("r.raw").alias("via"), F.explode(F.try_element_at("r.inline", F.lit("skos_prefLabel"))).alias("label"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import convert
 from ..operators import exports as X
 from ..operators import thesaurus as T
+from ..operators.documents import attach_user_content
+from ..operators.tables import shared_folder
 from ..registry import query
 from ..sources import rdf
 from ..sources import readers as R
@@ -110,24 +115,130 @@ def query_logs(spark, d):
 
 
 @_q(
-    """WITH a AS (SELECT * FROM {actions}), last AS (SELECT hub_id, arg_max(content_hash, seq) AS content_hash, arg_max(spec, seq) AS spec, arg_max(modified_at, seq) AS modified_at FROM a WHERE action = 'index' GROUP BY hub_id),
-purge AS (SELECT spec, max(modified_at) AS at FROM a WHERE action = 'clear_orphans' GROUP BY spec)
-SELECT hub_id, content_hash FROM last WHERE spec NOT IN (SELECT spec FROM a WHERE action = 'disable_index' AND seq % 11 = 0) AND NOT EXISTS (SELECT 1 FROM purge p WHERE p.spec = last.spec AND last.modified_at <= p.at)"""
+    """WITH a AS (SELECT * FROM {actions}), cut AS (SELECT max(seq) // 2 AS mid FROM a),
+s1 AS (SELECT hub_id, arg_max(content_hash, seq) AS content_hash, arg_max(spec, seq) AS spec, arg_max(modified_at, seq) AS modified_at FROM a, cut WHERE action = 'index' AND seq <= mid GROUP BY hub_id),
+b2 AS (SELECT a.* FROM a, cut WHERE seq > mid), gone AS (SELECT DISTINCT spec FROM b2 WHERE action = 'disable_index'),
+purge AS (SELECT spec, max(modified_at) AS purged FROM b2 WHERE action = 'clear_orphans' GROUP BY spec),
+held AS (SELECT s1.* FROM s1 LEFT JOIN gone ON s1.spec = gone.spec LEFT JOIN purge ON s1.spec = purge.spec WHERE gone.spec IS NULL AND (purge.purged IS NULL OR s1.modified_at > purge.purged)),
+late AS (SELECT hub_id, arg_max(content_hash, seq) AS content_hash FROM b2 WHERE action = 'index' GROUP BY hub_id)
+SELECT hub_id, content_hash FROM late UNION ALL SELECT hub_id, content_hash FROM held WHERE hub_id NOT IN (SELECT hub_id FROM late)"""
 )
 def bulk_batch(spark, d):
-    """A batch as the stream applies it, to an empty snapshot."""
-    a = table(spark, d, "actions").filter("action <> 'disable_index' or seq % 11 = 0").orderBy("seq")
-    batch = a.select(F.col("hub_id").alias("hubId"), F.col("spec").alias("dataset"), "action", F.col("graph").alias("graphUri"), F.col("content_hash").alias("contentHash"), F.col("acceptance").alias("acceptanceMode"), F.col("modified_at").cast("string").alias("modification_date"))
-    return ingest.apply_bulk_batch(spark.createDataFrame([], ingest.SNAPSHOT), batch).select("hub_id", "content_hash")
+    """The first half of all actions as a batch on an empty snapshot, then the second half, with its drops and purges."""
+    a = table(spark, d, "actions")
+    half = a.agg((F.max("seq") / 2).cast("long").alias("_at"))
+    rows = a.crossJoin(half).select(F.col("hub_id").alias("hubId"), F.col("spec").alias("dataset"), "action", F.col("graph").alias("graphUri"), F.col("content_hash").alias("contentHash"), F.col("acceptance").alias("acceptanceMode"), F.col("modified_at").cast("string").alias("modification_date"), "seq", (F.col("seq") <= F.col("_at")).alias("_first"))
+    first = ingest.apply_bulk_batch(spark.createDataFrame([], ingest.SNAPSHOT), rows.filter("_first").drop("_first"))
+    return ingest.apply_bulk_batch(first, rows.filter("not _first").drop("_first")).select("hub_id", "content_hash")
+
 
+_ABOUT_PROXIES = [(RDF_TYPE, f"'{SKOS}Concept'"), (RDF_TYPE, f"'{QSYNC}ProxyResource'"), (QSYNC + "proxyLiteralField", "p"), (QSYNC + "proxyLiteralValue", "label"), (QSYNC + "belongsTo", "dataset"), (SKOS + "prefLabel", "label"), (SKOS + "exactMatch", "concept")]
 
-@_q(f"SELECT count(DISTINCT graph) AS graphs, sum(CASE WHEN o = '{QSYNC}ProxyResource' THEN 1 ELSE 0 END)::BIGINT AS proxies FROM (SELECT concat('{BASE}/rec/', c_custkey, '/graph') AS graph, '' AS o FROM {{customer}} UNION ALL SELECT concat(proxy, '/graph'), '{QSYNC}ProxyResource' FROM {{proxies}})")
+
+@_q(
+    f"""WITH q AS (SELECT *, regexp_extract(graph, 'aggregation/(n[0-9]+)/', 1) AS spec FROM {{quads}}), x AS (SELECT * FROM {{proxies}}), v AS (SELECT graph, s, o FROM q WHERE p = '{EDM}hasView')
+SELECT q.graph, s, q.p, coalesce(x.proxy, o) AS o FROM q LEFT JOIN x ON q.p = x.p AND q.spec = x.spec AND q.o = x.label
+UNION """
+    + " UNION ".join(f"SELECT concat(proxy, '/graph'), proxy, '{p}', {o} FROM x WHERE {o} IS NOT NULL" for p, o in _ABOUT_PROXIES)
+    + f""" UNION SELECT graph, o, concat('{QTERM}', k), concat('http://img.example.org/api/webresource?docType=', t, '&uri=', o, '&spec=', regexp_extract(o, '^urn:([^/]+)/', 1), z) FROM v, (VALUES ('thumbSmall', 'thumbnail', '&width=220&height=220'), ('thumbLarge', 'thumbnail', '&width=500&height=500'), ('deepZoomUrl', 'deepzoom', '')) w(k, t, z)
+UNION SELECT graph, s, '{EDM}isShownBy', concat('http://img.example.org/api/webresource?docType=thumbnail&uri=', min(o), '&spec=', regexp_extract(min(o), '^urn:([^/]+)/', 1), '&width=500&height=500') FROM v GROUP BY graph, s"""
+)
 def record_contexts(spark, d):
-    c = table(spark, d, "customer")
-    null = F.lit(None).cast("string")
-    q = c.select(F.concat(F.lit(f"{BASE}/rec/"), "c_custkey", F.lit("/graph")).alias("graph"), F.concat(F.lit(f"{BASE}/rec/"), "c_custkey").alias("s"), F.lit("URIRef").alias("s_kind"), F.lit(DC + "subject").alias("p"), F.col("c_mktsegment").alias("o"), F.lit("Literal").alias("o_kind"), null.alias("datatype"), F.lit("en").alias("lang"), F.concat(F.lit("n"), "c_nationkey").alias("spec"))
+    """Record graphs with their proxies, media and thumbnails; the triples of media come from a table of their own."""
+    q = table(spark, d, "quads").withColumn("spec", F.regexp_extract("graph", "aggregation/(n[0-9]+)/", 1))
+    of_media = F.col("s").startswith("urn:")
     proxies = table(spark, d, "proxies")
     fields = proxies.select("spec", "p", "field", "dataset").distinct()
     mappings = proxies.filter("concept is not null").select("proxy", "concept")
-    made = T.record_context(q, fields, mappings, table(spark, d, "concepts"), [DC + "subject"], 5)
-    return made.agg(F.countDistinct("graph").alias("graphs"), F.count_if(F.col("o") == QSYNC + "ProxyResource").alias("proxies"))
+    media = q.filter(of_media).drop("spec").withColumn("graph", F.lit("media"))
+    made = T.record_context(q.filter(~of_media), fields, mappings, table(spark, d, "concepts"), [DC + "subject"], 5, media, "http://img.example.org")
+    return made.select("graph", "s", "p", "o")
+
+
+# ---- inputs read from files, which are first written from the given tables ----
+
+
+def _scratch(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _action_lines(spark, d):
+    """(seq, line): bulk actions as JSON lines; those of errors are broken."""
+    a = table(spark, d, "actions")
+    fields = F.struct(F.col("hub_id").alias("hubId"), F.col("spec").alias("dataset"), F.col("graph").alias("graphUri"), "action", F.col("content_hash").alias("contentHash"), F.col("acceptance").alias("acceptanceMode"), F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss").alias("modification_date"))
+    return a.select("seq", F.when(F.col("action") == "disable_index", F.concat(F.lit("{broken "), "seq")).otherwise(F.to_json(fields)).alias("line"))
+
+
+@_q("SELECT CASE WHEN action <> 'disable_index' THEN hub_id END AS hub_id, CASE WHEN action <> 'disable_index' THEN spec END AS spec, CASE WHEN action <> 'disable_index' THEN content_hash END AS content_hash, CASE WHEN action = 'disable_index' THEN concat(chr(123), 'broken ', seq) END AS line FROM {actions}")
+def bulk_action_files(spark, d):
+    path = _scratch(spark)
+    _action_lines(spark, d).select("line").write.text(path)
+    actions, errors = R.read_bulk_actions(spark, path)
+    return actions.select(F.col("hubId").alias("hub_id"), F.col("dataset").alias("spec"), F.col("contentHash").alias("content_hash"), F.lit(None).cast("string").alias("line")).unionByName(errors, allowMissingColumns=True)
+
+
+@_q("SELECT concat('i', doc_id) AS id, lang AS kind, source AS value, concat('s', doc_id % 5) AS system FROM {documents}")
+def index_item_files(spark, d):
+    path = _scratch(spark)
+    item = F.concat(F.lit('<indexItem itemId="i'), "doc_id", F.lit('" itemType="'), "lang", F.lit('"><field name="dc:source" fieldType="string">'), "source", F.lit('</field><systemField name="spec">s'), F.col("doc_id") % 5, F.lit("</systemField></indexItem>"))
+    # a request of up to a thousand items to a file
+    requests = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 1000).alias("_request")).agg(F.array_join(F.collect_list(item), "").alias("_items"))
+    requests.select(F.concat(F.lit("<indexRequest>"), "_items", F.lit("</indexRequest>"))).write.option("maxRecordsPerFile", 1).text(path)
+    items = R.read_index_items(spark, path)
+    return items.select(F.col("`@itemId`").alias("id"), F.col("`@itemType`").alias("kind"), F.col("field")[0]["#text"].alias("value"), F.col("systemField")[0]["#text"].alias("system"))
+
+
+@_q("SELECT hub_id AS id, spec, lang FROM {docs}")
+def index_action_files(spark, d):
+    """Written as lines of index actions, with other lines between them, and read again."""
+    path = _scratch(spark)
+    docs = table(spark, d, "docs")
+    source = F.to_json(F.struct("spec", "lang"))
+    line = F.concat(F.lit('{"_op_type":"index","_index":"docs","_type":"void","_id":'), F.to_json(F.array("hub_id")).substr(F.lit(2), F.length(F.to_json(F.array("hub_id"))) - 2), F.lit(',"_source":'), source, F.lit("}"))
+    docs.select(F.explode(F.array(line, F.lit("# a comment")))).write.text(path)
+    return R.read_index_actions(spark, path).select(F.col("_id").alias("id"), F.get_json_object("_source", "$.spec").alias("spec"), F.get_json_object("_source", "$.lang").alias("lang"))
+
+
+@_q("SELECT hub_id, arg_max(content_hash, seq) AS content_hash FROM {actions} WHERE action = 'index' GROUP BY hub_id")
+def bulk_stream(spark, d):
+    """All action lines as a stream on an empty snapshot."""
+    path = _scratch(spark)
+    _action_lines(spark, d).filter("line not like '%clear_orphans%'").coalesce(1).sortWithinPartitions("seq").select("line").write.text(f"{path}/in")
+    ingest.stream_bulk(spark, f"{path}/in", f"{path}/out", f"{path}/log").awaitTermination()
+    return ingest.Snapshot(spark, f"{path}/out").read().select("hub_id", "content_hash")
+
+
+@_q("SELECT concat('demo_', lang, '_', doc_id // 2) AS hub_id, lang AS spec FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, doc_id // 2 ORDER BY doc_id DESC) AS r FROM {documents}) WHERE r = 1 AND doc_id % 3 <> 0")
+def index_item_stream(spark, d):
+    """Items of which every second replaces or deletes the one before, as a stream on an empty snapshot."""
+    path = _scratch(spark)
+    docs = table(spark, d, "documents")
+    half = F.floor(F.col("doc_id") / 2).cast("string").alias("@itemId")
+    field = F.array(F.struct(F.lit("dc:source").alias("@name"), F.col("doc_id").cast("string").alias("#text"))).alias("field")
+    line = F.to_json(F.struct(half, F.col("lang").alias("@itemType"), (F.col("doc_id") % 3 == 0).cast("string").alias("@delete"), field))
+    docs.coalesce(1).sortWithinPartitions("doc_id").select(line).write.text(f"{path}/in")
+    ingest.stream_index_items(spark, f"{path}/in", f"{path}/out", f"{path}/log", "demo").awaitTermination()
+    return ingest.Snapshot(spark, f"{path}/out").read().select("hub_id", "spec")
+
+
+@_q("SELECT p_partkey, p_brand AS brand, upper(p_type) AS kind, length(p_name) AS n FROM {part}")
+def converters_and_hooks(spark, d):
+    """A converter of the caller's own by name, and hooks on its output."""
+    convert.register_converter("brands", lambda docs: docs.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), "p_name"))
+    hooks = [lambda df: df.withColumn("kind", F.upper("kind")), lambda df: df.withColumn("n", F.length("p_name")).drop("p_name")]
+    return convert.apply_hooks(convert.CONVERTERS["brands"](table(spark, d, "part")), hooks)
+
+
+@_q(
+    f"""WITH u AS (SELECT concat('{BASE}/resource/aggregation/', source, '/', doc_id) AS uri, concat('http://links.example.org/', role) AS link, c.text AS name, turn FROM {{conversations}} c JOIN {{documents}} ON conv_id = doc_id),
+l AS (SELECT uri, link, arg_max(name, turn) AS name FROM u GROUP BY uri, link)
+SELECT hub_id, count(link) AS links, coalesce(string_agg(l.name, '|' ORDER BY link), '') AS names FROM {{docs}} d LEFT JOIN l ON d.source_uri = l.uri GROUP BY hub_id"""
+)
+def user_content(spark, d):
+    """Turns of conversations as contributions to records, on their page, data and resource under another host of ours."""
+    c, docs = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("name")), table(spark, d, "documents").select("doc_id", "source")
+    joined = c.join(docs, F.col("conv_id") == F.col("doc_id"))
+    kind = F.element_at(F.array(F.lit("page"), F.lit("data"), F.lit("resource")), (F.col("turn") % 3 + 1).cast("int"))
+    content = joined.select(F.concat(F.lit("http://acc.example.org/"), kind, F.lit("/aggregation/"), "source", F.lit("/"), "doc_id").alias("source_uri"), F.concat(F.lit("http://links.example.org/"), "role").alias("link"), "name", F.col("turn").alias("seq"))
+    made = attach_user_content(table(spark, d, "docs"), content, ["acc.example.org"], BASE)
+    return made.select("hub_id", F.size("user_content").cast("long").alias("links"), F.array_join(F.transform("user_content", lambda x: x["name"]), "|").alias("names"))

@@ -141,29 +141,35 @@ def collection_members(spark, d):
 
 
 
-@_q("WITH v AS (SELECT DISTINCT hub_id, field, left(value, 256) AS value FROM (SELECT hub_id, 'dc_title' AS field, replace(title, '\"', '''') AS value FROM {docs} UNION ALL SELECT hub_id, 'edm_dataProvider', spec FROM {docs})), k AS (SELECT field, value FROM v GROUP BY field, value HAVING count(*) <= 60), u AS (SELECT v.* FROM v JOIN k ON v.field = k.field AND v.value = k.value) SELECT hub_id, related, matches FROM (SELECT a.hub_id, b.hub_id AS related, count(*) AS matches, row_number() OVER (PARTITION BY a.hub_id ORDER BY count(*) DESC, b.hub_id) AS r FROM u a JOIN u b ON a.field = b.field AND a.value = b.value AND a.hub_id <> b.hub_id GROUP BY a.hub_id, b.hub_id) WHERE r <= 5")
+@_q("WITH v AS (SELECT DISTINCT hub_id, field, left(value, 256) AS value FROM (SELECT hub_id, 'dc_title' AS field, replace(title, '\"', '''') AS value FROM {docs} UNION ALL SELECT hub_id, 'edm_dataProvider', spec FROM {docs})) SELECT hub_id, related, matches FROM (SELECT a.hub_id, b.hub_id AS related, count(*) AS matches, row_number() OVER (PARTITION BY a.hub_id ORDER BY count(*) DESC, b.hub_id) AS r FROM v a JOIN v b ON a.field = b.field AND a.value = b.value AND a.hub_id <> b.hub_id GROUP BY a.hub_id, b.hub_id) WHERE r <= 5")
 def related_by_values(spark, d):
     return S.related_by_values(text_docs(spark, d), ["dc_title", "edm_dataProvider"], 5)
 
 
-@query()
+@_q(
+    f"""WITH t AS (SELECT hub_id, unnest({_WORDS}) AS term FROM {{docs}}), tf AS (SELECT hub_id, term, count(*) AS tf FROM t GROUP BY hub_id, term),
+df AS (SELECT term, ln(1 + (SELECT count(*) FROM {{docs}})::DOUBLE / count(*)) AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
+w AS (SELECT hub_id, tf.term, round(tf * idf, 6) AS w, idf FROM tf JOIN df ON tf.term = df.term),
+best AS (SELECT hub_id, term, w * idf AS s FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY w DESC, term) AS r FROM w) WHERE r <= 12),
+pairs AS (SELECT b.hub_id, w.hub_id AS related, round(sum(s), 4) AS score FROM best b JOIN w ON b.term = w.term WHERE b.hub_id <> w.hub_id GROUP BY b.hub_id, w.hub_id)
+SELECT hub_id, related, score FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY score DESC, related) AS r FROM pairs WHERE score > 0) WHERE r <= 10"""
+)
 def more_like_this(spark, d):
-    """Scores are sums of products of rounded logarithms; a test holds it against brute force."""
     return S.more_like_this(table(spark, d, "docs"), F.col("text"), 10)
 
 
-@_q(f"SELECT hub_id, array_to_string(list_filter({_WORDS.replace('text', 'title')}, lambda x: x NOT IN ({', '.join(repr(w) for w in S.STOP_NL)})), ' ') AS words FROM {{docs}}")
+@_q(f"SELECT hub_id, array_to_string(list_filter({_WORDS}, lambda x: x NOT IN ({', '.join(repr(w) for w in S.STOP_NL)})), ' ') AS words FROM {{docs}}")
 def analyze_nl(spark, d):
-    return table(spark, d, "docs").select("hub_id", F.array_join(S.analyze_nl(F.col("title")), " ").alias("words"))
+    return table(spark, d, "docs").select("hub_id", F.array_join(S.analyze_nl(F.col("text")), " ").alias("words"))
 
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2))))"
 
 
-@_q(f"SELECT c.hub_id AS centre, p.hub_id, round({_KM}, 4) AS km FROM {{points}} p, (SELECT * FROM {{points}} WHERE CAST(substring(hub_id, 3) AS BIGINT) % 50 = 0) c WHERE {_KM} <= 12")
+@_q(f"SELECT c.hub_id AS centre, p.hub_id, round({_KM}, 4) AS km FROM {{points}} p, (SELECT * FROM {{points}} WHERE CAST(substring(hub_id, 3) AS BIGINT) % 20 = 0) c WHERE {_KM} <= 12")
 def within_distance(spark, d):
     p = table(spark, d, "points")
-    centres = p.filter(F.substring("hub_id", 3, 20).cast("long") % 50 == 0).select(F.col("hub_id").alias("centre"), "lat", "lon")
+    centres = p.filter(F.substring("hub_id", 3, 20).cast("long") % 20 == 0).select(F.col("hub_id").alias("centre"), "lat", "lon")
     return S.within_distance(p, centres, 12.0)
 
 

@@ -71,9 +71,9 @@ def delete_spec(spark, d):
     return S.delete_spec(table(spark, d, "docs"), ["src1", "src2"]).select("hub_id")
 
 
-@_q("WITH p AS (SELECT concat('src', substring(spec, 2)) AS spec, max(modified_at) - INTERVAL '20' DAY AS at FROM {actions} WHERE action = 'clear_orphans' GROUP BY spec) SELECT hub_id FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.spec = d.spec AND d.modified_at <= p.at)")
+@_q("WITH p AS (SELECT concat('src', CAST(substring(spec, 2) AS INTEGER) % 25) AS spec, TIMESTAMP '2024-01-01' + CAST(max(seq) % 500 AS INTEGER) * INTERVAL '1' MINUTE AS purged FROM {actions} WHERE action = 'clear_orphans' GROUP BY 1) SELECT hub_id FROM {docs} d LEFT JOIN p ON p.spec = d.spec WHERE purged IS NULL OR d.modified_at > purged")
 def remove_orphans(spark, d):
-    purges = table(spark, d, "actions").filter("action = 'clear_orphans'").select(F.concat(F.lit("src"), F.substring("spec", 2, 20)).alias("spec"), (F.col("modified_at") - F.expr("interval 20 days")).alias("purged_at"))
+    purges = table(spark, d, "actions").filter("action = 'clear_orphans'").groupBy(F.concat(F.lit("src"), F.substring("spec", 2, 20).cast("int") % 25).alias("spec")).agg((F.lit("2024-01-01").cast("timestamp") + (F.max("seq") % 500) * F.expr("interval 1 minute")).alias("purged_at"))
     return S.remove_orphans(table(spark, d, "docs"), purges).select("hub_id")
 
 

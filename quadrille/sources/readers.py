@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import BULK_ACTION, INDEX_ACTION, INDEX_ITEM, QUAD
 
-_IRI, _BLANK = "<([^>]*)>", "_:([A-Za-z0-9_.-]+)"
+_IRI, _BLANK = "<([^>]*)>", "_:([A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_-])?)"
 _LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?'
-_STATEMENT = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*$"
+_STATEMENT = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI}|{_BLANK})?\s*\.\s*$"
 
 
 def read_bulk_actions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -42,26 +42,38 @@ def read_marked_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_marked(rows.withColumn("spec", spec))
 
 
+def _decoded(text: Column, run: str, mark: str, charset: str) -> Column:
+    """Runs of escaped code units in hexadecimal as characters."""
+    units = F.transform(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), lambda r: F.decode(F.unhex(F.replace(r, F.lit(mark), F.lit(""))), charset))
+    between = F.split(text, run, -1)
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), units.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit(""))))), "")
+
+
 def _unescape(text: Column) -> Column:
-    c = F.regexp_replace(text, r"\\\\", "\u0000")
-    for code, raw in ((r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r'\\"', '"')):
-        c = F.regexp_replace(c, code, raw)
+    c = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
+    for code, raw in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("b", "\b"), ("f", "\f"), ('"', '"'), ("'", "'")):
+        c = F.replace(c, F.lit("\\" + code), F.lit(raw))
+    # surrogates stand next to each other, so runs are decoded as a whole
+    c = F.when(c.contains("\\u"), _decoded(c, r"(?:\\u[0-9A-Fa-f]{4})+", "\\u", "UTF-16BE")).otherwise(c)
+    c = F.when(c.contains("\\U"), _decoded(c, r"(?:\\U[0-9A-Fa-f]{8})+", "\\U", "UTF-32")).otherwise(c)
     return F.when(F.instr(text, "\\") > 0, F.replace(c, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
 
 def parse_statements(df: DataFrame, line: str, graph: Column | None = None) -> DataFrame:
     """Quads of lines in N-Triples or N-Quads; lines that are no statement are left out. ``graph`` names those without one."""
-    # all groups in one pass of the pattern
-    groups = F.split(F.regexp_replace(line, _STATEMENT, "\u0001".join(f"${k}" for k in range(1, 10))), "\u0001", -1)
-    found = df.withColumn("_g", groups).filter(F.size("_g") == 9)
+    # all groups in one pass of the pattern, but for lines that hold the mark between them
+    one_pass = F.split(F.regexp_replace(line, _STATEMENT, "\u0001".join(f"${k}" for k in range(1, 11))), "\u0001", -1)
+    each = F.when(F.col(line).rlike(_STATEMENT), F.array(*[F.regexp_extract(line, _STATEMENT, k) for k in range(1, 11)])).otherwise(F.array(F.lit("")))
+    found = df.withColumn("_g", F.when(F.col(line).contains("\u0001"), each).otherwise(one_pass)).filter(F.size("_g") == 10)
     g = lambda k: F.nullif(F.col("_g")[k - 1], F.lit(""))
+    iri = lambda k: _unescape(g(k))
     is_literal = g(4).isNull() & g(5).isNull()
     return found.select(
-        F.coalesce(g(9), graph if graph is not None else F.lit(None).cast("string")).alias("graph"),
-        F.coalesce(g(1), g(2)).alias("s"),
+        F.coalesce(iri(9), g(10), graph if graph is not None else F.lit(None).cast("string")).alias("graph"),
+        F.coalesce(iri(1), g(2)).alias("s"),
         F.when(g(1).isNotNull(), "URIRef").otherwise("BNode").alias("s_kind"),
-        g(3).alias("p"),
-        F.when(is_literal, _unescape(F.col("_g")[5])).otherwise(F.coalesce(g(4), g(5))).alias("o"),
+        iri(3).alias("p"),
+        F.when(is_literal, _unescape(F.col("_g")[5])).otherwise(F.coalesce(iri(4), g(5))).alias("o"),
         F.when(is_literal, "Literal").when(g(4).isNotNull(), "URIRef").otherwise("BNode").alias("o_kind"),
         g(8).alias("datatype"),
         g(7).alias("lang"),

@@ -1,8 +1,9 @@
 """Streams: bulk actions and index requests applied to a snapshot, query logs.
 
-State is the snapshot table. A batch is compared with it by hub id and hash, so a batch that is
-repeated after a failure changes nothing. Each batch writes a new version of the snapshot and
-then names it as the current one.
+State is the snapshot table, kept as a base and the changes of the batches since: a batch writes
+the rows it adds, replaces or deletes alone, and every ``COMPACT`` batches a new base is written
+and what it replaces goes. A batch is compared with the state before it by hub id and hash and
+writes under its own number, so a batch that is repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -11,75 +12,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sync import apply_actions, diff_by_hash, latest_actions, remove_orphans, route_actions
+from ..operators.sync import diff_by_hash, latest_actions, remove_orphans, route_actions
 from ..schemas import BULK_ACTION
 from ..sources.writers import query_log
 
 SNAPSHOT = "hub_id string, spec string, content_hash string, graph string, modified_at timestamp"
+#: Batches of changes before they are joined into a new base.
+COMPACT = 16
+#: Where a line stands: files in order of their time and name, lines in order.
+_PLACE = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
 
 
 class Snapshot:
-    """Versions of a table under one path: v-<batch>, the largest complete one is current."""
+    """A table under one path: bases b-<batch> and changes c-<batch>; those without _SUCCESS do not count."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._folder = jvm.org.apache.hadoop.fs.Path(path)
+    def __init__(self, spark: SparkSession, path: str, compact: int = COMPACT):
+        self.spark, self.path, self.compact = spark, path, compact
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._folder = self._path(path)
         self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _known(self, kind: str) -> list[int]:
         if not self._fs.exists(self._folder):
             return []
         names = [s.getPath() for s in self._fs.listStatus(self._folder)]
-        jvm = self.spark.sparkContext._jvm
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v-") and self._fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith(f"{kind}-") and self._fs.exists(self._path(p, "_SUCCESS")))
 
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v-{known[-1]}") if known else self.spark.createDataFrame([], SNAPSHOT)
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v-{batch}")
-
-
-def apply_bulk_batch(snapshot: DataFrame, batch: DataFrame, orphans: bool = True) -> DataFrame:
-    """The snapshot after a batch of bulk actions: last action of a record, changed ones only, then purges and dropped datasets.
+    def _parts(self, before: int | None) -> tuple[int | None, list[int]]:
+        bases = [v for v in self._known("b") if before is None or v < before]
+        base = bases[-1] if bases else None
+        return base, [v for v in self._known("c") if (base is None or v > base) and (before is None or v < before)]
 
-    A purge takes only documents last modified at or before it, so a late one leaves newer documents.
+    def read(self, before: int | None = None) -> DataFrame:
+        """The table after all batches, or after those before one."""
+        base, changes = self._parts(before)
+        load = lambda name: self.spark.read.schema(f"{SNAPSHOT}, deleted boolean").parquet(f"{self.path}/{name}")
+        rows = [load(f"b-{base}").withColumn("_batch", F.lit(base).cast("long"))] if base is not None else []
+        rows += [load(f"c-{v}").withColumn("_batch", F.lit(v).cast("long")) for v in changes]
+        if not rows:
+            return self.spark.createDataFrame([], SNAPSHOT)
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionByName(r)
+        columns = [c.split(" ")[0] for c in SNAPSHOT.split(", ")]
+        if not changes:
+            return every.select(*columns)
+        last = every.groupBy("hub_id").agg(F.max_by(F.struct(*columns, "deleted"), "_batch").alias("_row"))
+        return last.filter("not _row.deleted").select("_row.*").select(*columns)
+
+    def write(self, changes: DataFrame, batch: int) -> None:
+        """Changes of one batch: rows with ``deleted``, one for each hub id."""
+        changes.write.mode("overwrite").parquet(f"{self.path}/c-{batch}")
+        base, since = self._parts(None)
+        if len(since) < self.compact:
+            return
+        self.read().withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/b-{batch}")
+        # the batch may be repeated: what it starts from stays
+        for kind, known in (("c", [v for v in self._known("c") if base is not None and v <= base]), ("b", [v for v in self._known("b") if base is not None and v < base])):
+            for v in known:
+                self._fs.delete(self._path(f"{self.path}/{kind}-{v}"), True)
+
+
+def bulk_changes(snapshot: DataFrame, batch: DataFrame, orphans: bool = True) -> DataFrame:
+    """What a batch of bulk actions changes: rows of the snapshot with ``deleted``, one for each hub id.
+
+    Datasets are dropped and purged first, whatever the order in the batch; then the last index
+    action of a record counts, if what is left does not have its hash. So a batch that drops a
+    dataset and indexes it again leaves the new records. A purge takes only documents last modified
+    at or before it, so a late one leaves newer documents. ``seq`` orders the actions; a batch
+    without it has them in order of its rows.
     """
-    actions = batch.select(F.col("hubId").alias("hub_id"), F.col("dataset").alias("spec"), "action", F.col("graphUri").alias("graph"), F.col("contentHash").alias("content_hash"), F.col("acceptanceMode").alias("acceptance"), F.to_timestamp("modification_date").alias("modified_at"), F.monotonically_increasing_id().alias("seq"))
+    seq = F.col("seq") if "seq" in batch.columns else F.monotonically_increasing_id()
+    actions = batch.select(F.col("hubId").alias("hub_id"), F.col("dataset").alias("spec"), "action", F.col("graphUri").alias("graph"), F.col("contentHash").alias("content_hash"), F.col("acceptanceMode").alias("acceptance"), F.to_timestamp("modification_date").alias("modified_at"), seq.alias("seq"))
     routed = route_actions(actions)
-    changed = diff_by_hash(latest_actions(routed.filter("route = 'index'")), snapshot)
-    merged = apply_actions(snapshot, changed.select(*snapshot.columns).withColumn("delete", F.lit(False)))
     purges = routed.filter("route = 'clear_orphans'").select("spec", F.col("modified_at").alias("purged_at"))
     dropped = routed.filter("route in ('disable_index', 'drop_dataset')").select("spec").distinct()
-    return remove_orphans(merged, purges, orphans).join(dropped, "spec", "left_anti").select(*snapshot.columns)
+    left = remove_orphans(snapshot.join(dropped, "spec", "left_anti").select(*snapshot.columns), purges, orphans)
+    new = diff_by_hash(latest_actions(routed.filter("route = 'index'")), left).select(*snapshot.columns)
+    gone = snapshot.join(left.select("hub_id"), "hub_id", "left_anti").join(new.select("hub_id"), "hub_id", "left_anti").select(*snapshot.columns)
+    return new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+
+
+def applied(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The snapshot after changes."""
+    kept = snapshot.join(changes.select("hub_id"), "hub_id", "left_anti").select(*snapshot.columns)
+    return kept.unionByName(changes.filter("not deleted").select(*snapshot.columns))
+
+
+def apply_bulk_batch(snapshot: DataFrame, batch: DataFrame, orphans: bool = True) -> DataFrame:
+    """The snapshot after a batch of bulk actions, as ``bulk_changes`` has it."""
+    return applied(snapshot, bulk_changes(snapshot, batch, orphans))
 
 
 def stream_bulk(spark: SparkSession, source: str, snapshot: str, checkpoint: str) -> StreamingQuery:
-    """Bulk-action files that arrive in a folder, until what is there is done."""
+    """Bulk-action files that arrive in a folder, until what is there is done; lines that are no JSON are kept in <snapshot>/errors-<batch>."""
     store = Snapshot(spark, snapshot)
 
     def apply(df: DataFrame, batch: int) -> None:
-        store.write(apply_bulk_batch(store.read(before=batch), df), batch)
+        lines = df.filter("trim(value) <> ''").select("value", F.struct(*_PLACE, F.monotonically_increasing_id().alias("line")).alias("seq"))
+        rows = lines.select("value", "seq", F.from_json("value", f"{BULK_ACTION}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("a"))
+        rows.filter("a._bad is not null").select(F.col("value").alias("line")).write.mode("overwrite").parquet(f"{snapshot}/errors-{batch}")
+        store.write(bulk_changes(store.read(before=batch), rows.filter("a._bad is null").select("a.*", "seq").drop("_bad")), batch)
 
-    return spark.readStream.schema(BULK_ACTION).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.text(source).select("value", "_metadata")
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_index_items(spark: SparkSession, source: str, snapshot: str, checkpoint: str, org: str) -> StreamingQuery:
-    """Index requests, one JSON item to a line, with deletes."""
+def item_changes(items: DataFrame, org: str) -> DataFrame:
+    """Rows of a snapshot with ``deleted`` from index items with ``seq``: the last of each hub id; those without id or type are left out."""
     from ..functions.ids import index_item_hub_id
 
+    rows = items.filter("`@itemId` is not null and `@itemType` is not null")
+    rows = rows.select(index_item_hub_id(org, F.col("`@itemType`"), F.col("`@itemId`")).alias("hub_id"), F.lower("`@itemType`").alias("spec"), F.sha1(F.to_json("field")).alias("content_hash"), F.lit(None).cast("string").alias("graph"), F.lit(None).cast("timestamp").alias("modified_at"), F.coalesce(F.lower("`@delete`") == "true", F.lit(False)).alias("deleted"), "seq")
+    return latest_actions(rows).drop("seq")
+
+
+def stream_index_items(spark: SparkSession, source: str, snapshot: str, checkpoint: str, org: str) -> StreamingQuery:
+    """Index requests, one JSON item to a line, with deletes."""
     store = Snapshot(spark, snapshot)
     schema = "`@itemId` string, `@itemType` string, `@delete` string, field array<struct<`@name`:string,`#text`:string>>"
 
     def apply(df: DataFrame, batch: int) -> None:
-        rows = df.filter("`@itemId` is not null and `@itemType` is not null").withColumn("seq", F.monotonically_increasing_id())
-        rows = rows.select(index_item_hub_id(org, F.col("`@itemType`"), F.col("`@itemId`")).alias("hub_id"), F.lower("`@itemType`").alias("spec"), F.sha1(F.to_json("field")).alias("content_hash"), F.lit(None).cast("string").alias("graph"), F.lit(None).cast("timestamp").alias("modified_at"), F.coalesce(F.lower("`@delete`") == "true", F.lit(False)).alias("delete"), "seq")
-        old = store.read(before=batch)
-        store.write(apply_actions(old, latest_actions(rows)), batch)
+        lines = df.select(F.from_json("value", schema).alias("i"), F.struct(*_PLACE, F.monotonically_increasing_id().alias("line")).alias("seq"))
+        store.write(item_changes(lines.select("i.*", "seq"), org), batch)
 
-    return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.text(source).select("value", "_metadata")
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_query_log(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:

@@ -93,6 +93,35 @@ def test_bulk_stream(spark, tmp_path):
     assert ingest.Snapshot(spark, snapshot).read().count() == 2
 
 
+def test_a_batch_that_drops_and_indexes_again(spark):
+    empty = spark.createDataFrame([], ingest.SNAPSHOT)
+    batch = lambda rows: spark.createDataFrame([(h, s, a, g, c, None, m) for h, s, a, g, c, m in rows], "hubId string, dataset string, action string, graphUri string, contentHash string, acceptanceMode string, modification_date string")
+    old = ingest.apply_bulk_batch(empty, batch([(f"h{i}", "s", "index", "g", f"c{i}", "2024-01-01 00:00:00") for i in range(4)]))
+    new = ingest.apply_bulk_batch(old, batch([("h1", "s", "index", "g", "c1", "2024-02-01 00:00:00"), (None, "s", "drop_dataset", None, None, None), ("h9", "s", "index", "g", "x", "2024-02-01 00:00:00"), ("h9", "s", "index", "g", "y", "2024-02-01 00:00:00")]))
+    assert sorted((r.hub_id, r.content_hash) for r in new.collect()) == [("h1", "c1"), ("h9", "y")]
+
+
+def test_bad_lines_order_of_files_and_new_bases(spark, tmp_path):
+    import os
+
+    source, snapshot, ckpt = (str(tmp_path / x) for x in ("in", "snap", "ckpt"))
+    (tmp_path / "in").mkdir()
+    for n, (name, hashes) in enumerate((("z.json", ["a", "b"]), ("a.json", ["c", "d"]))):
+        (tmp_path / "in" / name).write_text("\n".join([action(0, contentHash=h) for h in hashes] + ["{no json", ""]))
+        os.utime(tmp_path / "in" / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    ingest.stream_bulk(spark, source, snapshot, ckpt).awaitTermination()
+    assert [r.content_hash for r in ingest.Snapshot(spark, snapshot).read().collect()] == ["d"]
+    assert spark.read.parquet(snapshot + "/errors-0").count() == 2
+    store = ingest.Snapshot(spark, snapshot, compact=3)
+    change = lambda i, gone: spark.createDataFrame([(f"n{i}", "s", "h", "g", None, gone)], ingest.SNAPSHOT + ", deleted boolean")
+    for i in range(1, 9):
+        store.write(change(i, False), i)
+    store.write(change(2, True), 9)
+    store.write(change(2, True), 9)  # repeated
+    assert sorted(r.hub_id for r in store.read().collect()) == ["n1", "n3", "n4", "n5", "n6", "n7", "n8", "o_s_0"]
+    assert len(os.listdir(snapshot)) < 12 and store.read(before=9).count() == 9
+
+
 def test_index_and_log_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     item = lambda i, d: json.dumps({"@itemId": str(i), "@itemType": "Book", "@delete": d, "field": [{"@name": "dc:title", "#text": "T"}]})
@@ -112,3 +141,38 @@ def test_index_and_log_streams(spark, tmp_path):
 def test_empty_request(spark, tmp_path, fmt):
     (tmp_path / "a.xml").write_text("<indexRequest/>")
     assert readers.read_index_items(spark, str(tmp_path / "a.xml"), fmt).count() == 0
+
+
+def test_escapes_and_odd_statements(spark):
+    lines = [
+        r'<http://a/s> <http://a/p> "café 😀 \U0001F600 \\u00E9 \"q\"\t\b" <http://a/g> .',
+        '_:b1 <http://a/p\\u00e9> "one\u0001two"@nl _:g1 .',
+        "<http://a/s> <http://a/p> _:b2.",
+        '<http://a/s> "no statement" .',
+    ]
+    got = [(r.graph, r.s, r.p, r.o, r.lang) for r in readers.parse_statements(spark.createDataFrame([(x,) for x in lines], "value string"), "value").collect()]
+    assert got == [
+        ("http://a/g", "http://a/s", "http://a/p", 'café 😀 😀 \\u00E9 "q"\t\b', None),
+        ("g1", "b1", "http://a/pé", "one\u0001two", "nl"),
+        (None, "http://a/s", "http://a/p", "b2", None),
+    ]
+
+
+def test_distance_across_the_date_line_and_at_the_poles(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quadrille.functions.geo import haversine_km
+    from quadrille.operators.search import within_distance
+
+    rng = random.Random(2)
+    near = [(0, 179.99), (0, -179.99), (0, 180), (0, -180), (89.99, 10), (89.9, -170), (-89.95, 0), (-90, 50), (90, 0), (89.6, 100), (60, 179.7), (60, -179.7)]
+    points = [(i, float(a), float(o)) for i, (a, o) in enumerate(near + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(250)])]
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+    pairs = spark.createDataFrame([(*a, *b) for a, b in itertools.product(points, points)], "a int, alat double, alon double, b int, blat double, blon double")
+    far = pairs.withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))).select("a", "b", "km").collect()
+    for km in (3.0, 50.0, 900.0, 21000.0):
+        got = within_distance(df.withColumnRenamed("id", "hub_id"), df.withColumnRenamed("id", "centre"), km).collect()
+        assert sorted((r.centre, r.hub_id) for r in got) == sorted((r.a, r.b) for r in far if r.km <= km)
