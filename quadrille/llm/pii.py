@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) are kept by their pattern and check alone; the context only
-moves their score. Further kinds (iban: mod-97; ssn) are kept from ``LEAST_SCORE`` on.
+moves their score. Further kinds (iban: mod-97; ssn; secret: a long value of letters and digits that is called a token, password or the like) are kept from ``LEAST_SCORE`` on.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 LEAST_SCORE = 0.5
 #: Score before the context is read, and code points of context read on either side.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 REACH = 40
 HINTS = {
     "email": {"mail", "email", "contact", "write"},
@@ -26,6 +26,7 @@ HINTS = {
     "phone": {"phone", "tel", "call", "mobile", "fax"},
     "iban": {"iban", "account", "bank", "transfer"},
     "ssn": {"ssn", "social", "security", "taxpayer"},
+    "secret": {"token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "credentials", "bearer"},
 }
 AGAINST = {"version", "isbn", "order", "sku", "build", "example", "test"}
 
@@ -37,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,256}(?![A-Za-z0-9+/_-])")
 _DIGIT, _NOT_DIGIT, _WORD = re.compile("[0-9]"), re.compile("[^0-9]"), re.compile(r"[a-z]+")
 
 
@@ -79,6 +81,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
     found += [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+    found += [("secret", *m.span()) for m in _SECRET.finditer(text) if len(_DIGIT.findall(m[0])) >= 3]
     return found
 
 
@@ -113,7 +116,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts of base kinds, and the spans as strings kind:start:end."""
+    """The counts of base kinds, the spans as strings kind:start:end, and their scores."""
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
@@ -121,4 +124,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(of(*BASE), line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

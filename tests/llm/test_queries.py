@@ -1,8 +1,12 @@
 """The registered queries, against their SQL where there is one, and the pipeline."""
 
+import hashlib
+import math
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -28,7 +32,7 @@ COLUMNS = {
     "op6_decontaminate": {"doc_id", "item_id", "share"},
     "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_html_text": {"page_id", "url", "text", "n_chars"},
-    "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+    "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"},
 }
 
 
@@ -44,6 +48,36 @@ def test_covers_its_table(spark, sf_dir, name):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_pii_against_brute_force(spark, sf_dir):
+    """Counts and digest of every document, from the patterns as the contract states them."""
+    from test_models import brute_spans
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op10_pii(spark, sf_dir).collect():
+        want = brute_spans(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        listed = r.spans.split(",") if r.spans else []
+        assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(listed) and len(listed) == len(r.scores.split(",") if r.scores else [])
+
+
+def test_toxicity_scores_are_noisy_or_of_sentences(spark, documents):
+    """Each document's score from its sentences one by one."""
+    rng = np.random.default_rng(5)
+    weights = rng.normal(0, 1, (1 << toxicity.BITS) + 1)
+    rows = [(1, "Good day. You are bad! And?"), (2, "one line\nanother line. more"), (3, ""), (4, None), (5, "word " * 500 + ". end")]
+    got = {r.doc_id: r for r in toxicity.score(documents(rows), weights).collect()}
+    for d, text in rows:
+        sentences = [s for line in (text or "").split("\n") for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
+        p = []
+        for s in sentences:
+            ids, sentence, _ = toxicity.features(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s.encode())]))
+            assert len(set(sentence.tolist())) == 1
+            p.append(1 / (1 + math.exp(-(weights[ids].sum() + weights[-1]))))
+        assert got[d].score == pytest.approx(1 - math.prod(1 - x for x in p), abs=1e-9)
+        assert got[d].worst == (int(np.argmax(p)) if p else None)
+
+
 def test_pipeline(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
