@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hub_id_from_graph, rebase_uri
-from ..functions.namespaces import DC, EDM, FOAF, ORE, QTERM, TYPE
+from ..functions.namespaces import DC, EDM, FOAF, ORE, QTERM, TYPE, WGS84
 from ..functions.text import index_entry, natural_key
-from .graph import captions, filter_properties, geo_points, graph_profile, pick_thumbnail, resolve_labels, search_fields
+from .graph import CAPTIONS, THUMBNAILS, captions, filter_properties, graph_profile, pick_thumbnail, rank_of, resolve_labels, search_fields
 
 # Media fields whose values keep the order of the media.
 KEEP_ORDER = ["qterm_thumbSmall", "qterm_thumbLarge", "qterm_thumbnail", "qterm_deepZoomUrl", "edm_hasView"]
@@ -95,30 +95,46 @@ def attach_user_content(docs: DataFrame, content: DataFrame, entry_points: list[
     return joined.withColumn("user_content", F.coalesce("_content", F.array().cast("array<struct<link:string,name:string>>"))).drop("_uri", "_content")
 
 
-def record_flags(graphs: DataFrame, quads: DataFrame) -> DataFrame:
-    """(graph, legacy): whether a record has a point, a digital object, a landing page, deep zoom, as the strings true and false."""
+def record_summaries(quads: DataFrame) -> DataFrame:
+    """(graph, captions, points, thumbnail, legacy) of every graph, in one pass over its triples.
+
+    Captions, points and the thumbnail are as ``captions``, ``geo_points`` and ``pick_thumbnail``
+    have them; ``legacy`` tells whether a record has a point, a digital object, a landing page, deep
+    zoom, as the strings true and false, and its owner, provider, title and creator.
+    """
+    p, o, literal = F.col("p"), F.col("o"), F.col("o_kind") == "Literal"
     has = lambda c: F.when(F.max(c), "true").otherwise("false")
-    flags = quads.groupBy("graph").agg(
-        has((F.col("p") == QTERM + "geoHash") | F.col("p").endswith("wgs84_pos#lat")).alias("qsite_hasGeoHash"),
-        has(F.col("p").isin(QTERM + "thumbnail", QTERM + "thumbSmall", QTERM + "thumbLarge", EDM + "object", EDM + "isShownBy")).alias("qsite_hasDigitalObject"),
-        has(F.col("p") == EDM + "isShownAt").alias("qsite_hasLandingPage"),
+    least = lambda iri: F.min(F.when(p == iri, o))
+    side = F.struct(F.col("s").alias("s"), (p == WGS84 + "lat").alias("lat"), o.alias("o"))
+    per = quads.groupBy("graph").agg(
+        *[F.array_sort(F.collect_set(F.when(literal & (p == c), o))).alias(f"_caption{k}") for k, c in enumerate(CAPTIONS)],
+        F.collect_set(F.when(p.isin(WGS84 + "lat", WGS84 + "long"), side)).alias("_sides"),
+        F.array_sort(F.collect_set(F.when((p == QTERM + "geoHash") & o.rlike("^[^,]+,[^,]+$"), o))).alias("_told"),
+        F.min(F.when(p.isin(THUMBNAILS), F.struct(rank_of(p, THUMBNAILS).alias("rank"), o.alias("o")))).alias("_thumbnail"),
+        has((p == QTERM + "geoHash") | p.endswith("wgs84_pos#lat")).alias("qsite_hasGeoHash"),
+        has(p.isin(QTERM + "thumbnail", QTERM + "thumbSmall", QTERM + "thumbLarge", EDM + "object", EDM + "isShownBy")).alias("qsite_hasDigitalObject"),
+        has(p == EDM + "isShownAt").alias("qsite_hasLandingPage"),
         # the key tested is qterm_deepZoom, not that of the URL
-        has(F.col("p") == QTERM + "deepZoom").alias("qsite_hasDeepZoom"),
-        F.min(F.when(F.col("p") == EDM + "dataProvider", F.col("o"))).alias("qsite_owner"),
-        F.min(F.when(F.col("p") == EDM + "provider", F.col("o"))).alias("qsite_provider"),
-        F.min(F.when(F.col("p") == DC + "title", F.col("o"))).alias("qsite_title"),
-        F.min(F.when(F.col("p") == DC + "creator", F.col("o"))).alias("qsite_creator"),
+        has(p == QTERM + "deepZoom").alias("qsite_hasDeepZoom"),
+        least(EDM + "dataProvider").alias("qsite_owner"),
+        least(EDM + "provider").alias("qsite_provider"),
+        least(DC + "title").alias("qsite_title"),
+        least(DC + "creator").alias("qsite_creator"),
     )
-    return graphs.join(flags, "graph", "left").select("graph", F.struct(*[c for c in flags.columns if c != "graph"]).alias("legacy"))
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    of = lambda s, lat: F.array_min(F.transform(F.filter("_sides", lambda x: (x["s"] == s) & (x["lat"] == lat)), lambda x: x["o"]))
+    pairs = F.filter(F.transform(F.array_distinct(F.transform("_sides", lambda x: x["s"])), lambda s: F.struct(of(s, True).alias("lat"), of(s, False).alias("lon"))), lambda x: x["lat"].isNotNull() & x["lon"].isNotNull())
+    good = F.forall("_pairs", lambda x: x["lat"].try_cast("double").isNotNull() & x["lon"].try_cast("double").isNotNull())
+    points = F.when((F.size("_pairs") > 0) & good, F.array_sort(F.array_distinct(F.transform("_pairs", lambda x: F.concat_ws(",", x["lat"], x["lon"]))))).otherwise(filled("_told"))
+    legacy = [c for c in per.columns if c.startswith("qsite_")]
+    return per.withColumn("_pairs", pairs).select("graph", F.coalesce(*[filled(f"_caption{k}") for k in range(len(CAPTIONS))]).alias("captions"), points.alias("points"), F.col("_thumbnail.o").alias("thumbnail"), F.struct(*legacy).alias("legacy"))
 
 
 def build_records(quads: DataFrame, org: str) -> DataFrame:
     """(hub_id, spec, source_uri, graph, fields, point, system, legacy) of every record graph."""
-    docs = to_flat_docs(quads)
     source = F.regexp_replace("graph", "/graph$", "")
     spec = F.element_at(F.split(source, "/"), -2)
-    joined = docs.join(geo_points(quads), "graph", "left").join(captions(quads), "graph", "left").join(pick_thumbnail(quads), "graph", "left").join(record_flags(docs.select("graph"), quads), "graph", "left")
-    return joined.select(
+    return to_flat_docs(quads).join(record_summaries(quads), "graph", "left").select(
         hub_id_from_graph(F.col("graph"), org, spec).alias("hub_id"),
         spec.alias("spec"),
         source.alias("source_uri"),

@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 from ..functions.namespaces import DC, EDM, FOAF, QSYNC, QTERM, ORE, RDFS, SKOS, TYPE, WGS84, search_label
 from ..schemas import QUAD
 
-# Properties that give a resource its label, best first; that give a record its thumbnail, best first.
+# Properties that give a resource its label, best first; that give a record its thumbnail, and its caption, best first.
 LABELS = [SKOS + "prefLabel", RDFS + "label", SKOS + "altLabel", FOAF + "name", "http://www.geonames.org/ontology#name", DC + "title", QSYNC + "proxyLiteralValue", "http://dbpedia.org/ontology/name"]
 THUMBNAILS = [FOAF + "depiction", QTERM + "thumbnail", QTERM + "thumbSmall", QTERM + "thumbLarge", EDM + "object", EDM + "isShownBy"]
+CAPTIONS = [DC + "title", SKOS + "prefLabel", RDFS + "label", "http://www.geonames.org/ontology#name"]
 # Administrative properties that no document shows.
 EXCLUDED = [QSYNC + x for x in "datasetMapToPrefix datasetCharacter datasetErrorTime acceptanceOnly synced stateSourced stateSaved stateProcessed stateProcessable stateMappable stateAnalyzed publishOAIPMH publishLOD publishIndex processedValid processedInvalid actorOwner".split()]
 SAME_AS = SKOS + "exactMatch"
@@ -241,8 +242,7 @@ def graph_profile(quads: DataFrame) -> DataFrame:
 
 def captions(quads: DataFrame) -> DataFrame:
     """(graph, captions): literals of the graph's best label property, each once and in order."""
-    order = [DC + "title", SKOS + "prefLabel", RDFS + "label", "http://www.geonames.org/ontology#name"]
-    found = quads.filter((F.col("o_kind") == "Literal") & F.col("p").isin(order)).select("graph", rank_of(F.col("p"), order).alias("rank"), "o")
+    found = quads.filter((F.col("o_kind") == "Literal") & F.col("p").isin(CAPTIONS)).select("graph", rank_of(F.col("p"), CAPTIONS).alias("rank"), "o")
     best = found.groupBy("graph").agg(F.min("rank").alias("rank"))
     return found.join(best, ["graph", "rank"]).groupBy("graph").agg(F.array_sort(F.collect_set("o")).alias("captions"))
 

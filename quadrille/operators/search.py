@@ -152,6 +152,10 @@ def boost(hits: DataFrame, demote: Column | None, promote_field: str | None, fac
     return hits.withColumn("score", score)
 
 
+#: Parts in which the values of a facet are ranked.
+PARTS = 64
+
+
 def term_facets(docs: DataFrame, facets: list[str], filters: dict[str, list[str]], mode: str = "OR", size: int = 50) -> DataFrame:
     """(facet, value, n, other, total, doc_count): buckets of each facet, largest first, then by value.
 
@@ -170,7 +174,10 @@ def term_facets(docs: DataFrame, facets: list[str], filters: dict[str, list[str]
     per_doc = docs.select(F.explode(F.array(*entries)).alias("_e")).select("_e.facet", "_e.values")
     counted = per_doc.select("facet", F.explode("values").alias("value")).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
     holding = per_doc.filter(F.size("values") > 0).groupBy("facet").agg(F.count(F.lit(1)).alias("doc_count"))
-    ranked = counted.withColumn("_r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
+    # each part's largest first, so that no task ranks all values of a field, then the largest of those
+    part = F.pmod(F.xxhash64("value"), F.lit(PARTS))
+    first = counted.withColumn("_r", F.row_number().over(Window.partitionBy("facet", part).orderBy(F.desc("n"), "value"))).filter(F.col("_r") <= size)
+    ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
     sums = counted.groupBy("facet").agg(F.sum("n").alias("total"))
     shown = ranked.filter(F.col("_r") <= size).drop("_r")
     top = shown.groupBy("facet").agg(F.sum("n").alias("_shown"))

@@ -176,3 +176,18 @@ def test_distance_across_the_date_line_and_at_the_poles(spark):
     for km in (3.0, 50.0, 900.0, 21000.0):
         got = within_distance(df.withColumnRenamed("id", "hub_id"), df.withColumnRenamed("id", "centre"), km).collect()
         assert sorted((r.centre, r.hub_id) for r in got) == sorted((r.a, r.b) for r in far if r.km <= km)
+
+
+def test_summaries_are_those_of_the_single_operators(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quadrille.operators import documents, graph
+    from quadrille.plans.bridge import table
+
+    quads = table(spark, sf_dir, "quads")
+    odd = quads.filter(F.col("p").endswith("#lat") & F.col("graph").endswith("8/graph")).withColumn("o", F.lit("no number"))
+    quads = quads.unionByName(odd.withColumn("s", F.lit("x"))).unionByName(odd.withColumn("s", F.lit("x")).withColumn("p", F.regexp_replace("p", "#lat", "#long")))
+    got = {r.graph: r for r in documents.record_summaries(quads).collect()}
+    for df, name in ((graph.captions(quads), "captions"), (graph.geo_points(quads), "points"), (graph.pick_thumbnail(quads), "thumbnail")):
+        want = {r.graph: r[name] for r in df.collect()}
+        assert want and all(got[g][name] == want.get(g) for g in got), name
