@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bytes_of, slices
+from .common import bytes_of, slices, spread31
 
 #: Bounds of the training sample: languages (the commonest), documents of each, windows of a document, bytes of a window.
 SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 64, 300, 48, 48
@@ -193,10 +193,11 @@ def sample(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int = SAMPLE_LANGS)
     ``SAMPLE_WINDOWS`` windows of ``SAMPLE_BYTES`` bytes, spread over the whole text.
     """
     named = train.select("doc_id", "lang", "text")
-    common = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(langs).select(F.col("lang").alias("_known"))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = named.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).join(F.broadcast(common), F.col("_lang") == F.col("_known"), "left_semi")
-    ids = ids.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= docs).select("_id", "_lang").distinct()
+    common = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(langs).select(F.col("lang").alias("_known"), "_n")
+    first = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    ids = named.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), spread31(5, F.col("doc_id")).alias("_hash")).join(F.broadcast(common), F.col("_lang") == F.col("_known"))
+    # of a large language only about eight times as many go to the task that numbers them
+    ids = ids.filter(F.col("_hash") * F.col("_n") <= F.lit(8.0 * docs * 2**31)).withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= docs).select("_id", "_lang").distinct()
     rows = named.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

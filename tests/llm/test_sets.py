@@ -168,6 +168,49 @@ def test_mix_meets_targets(spark, documents):
         assert abs(taken[s] - target[s]) <= 1
 
 
+def test_mix_against_brute_force(spark, documents):
+    """Slot by slot: the source by its golden-ratio point, then the next block of words of the source, repeated end to end."""
+    from pyspark.sql import functions as F
+
+    from quadrille.llm.common import spread31
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 60))), rng.choice("aaabc")) for i in range(160)]
+    docs, slots = documents(rows), 300
+    out = {r.doc_id: r for r in mixing.mix(docs, slots=slots).collect()}
+    order = [r.doc_id for r in docs.select("doc_id", spread31(11, F.col("doc_id"), F.xxhash64("text")).alias("h")).orderBy("h", "doc_id").collect()]
+    quota, target, tape = {}, {}, {}
+    for d in order:
+        tape.setdefault(out[d].source, []).extend([d] * out[d].size)
+        target[out[d].source] = out[d].target
+    names, total = sorted(target), sum(target.values())
+    quota = {s: int(target[s] + 0.5) for s in names}
+    block = max(1, sum(quota.values()) // slots)
+    places = sum(quota.values()) // block + 1
+    taken, first, at = Counter(), {}, dict.fromkeys(names, 0)
+
+    def take(s, place):
+        for k in range(at[s], min(at[s] + block, quota[s])):
+            d = tape[s][k % len(tape[s])]
+            taken[d] += 1
+            first.setdefault(d, place)
+        at[s] += block
+
+    for place in range(places):
+        point, up = place * mixing.GOLDEN % 2**31 / 2**31, 0.0
+        for s in names:
+            up += target[s] / total
+            if point < up or s == names[-1]:
+                if at[s] < quota[s]:
+                    take(s, place)
+                break
+    for s in names:
+        while at[s] < quota[s]:
+            take(s, places + at[s] // block)
+    assert {d: r.taken for d, r in out.items()} == {d: taken[d] for d in out}
+    assert {d: r.first_place for d, r in out.items()} == {d: first.get(d) for d in out}
+
+
 def test_mix_schedule_is_interleaved(spark, documents):
     rows = [(i, "w " * 20, "ab"[i % 2]) for i in range(400)]
     targets = mixing.source_targets(documents(rows).selectExpr("doc_id", "source", "20L size"))
