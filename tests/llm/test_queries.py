@@ -109,3 +109,16 @@ def test_pipeline_of_nothing(spark, sf_dir):
         assert docs.count() == 0
         if k < 4:
             assert docs.columns == columns
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir, edges):
+    """Null and empty texts, a very long one, repeated rows, a null id and clashing columns go through every stage."""
+    docs, ids = edges, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert k == 4 or out.columns == edges.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        ids.append(sorted((r.doc_id for r in docs.collect()), key=str))
+    # null and empty texts aren't toxic, near-duplicates or leaks, but have no words to mix; copies leave one of each
+    assert ids[1] == [1, 2, 3, 4, 5, 7, None] or ids[1] == [1, 2, 3, 4, 5, 7]
+    assert ids[2] == ids[1] and set(ids[3]) <= {4, 5, 7, None} and ids[4] == ids[3]
