@@ -202,3 +202,21 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int)
                 h = mix(h * np.uint64(3) + words[first[short] + k])
             out, of = np.concatenate([out, h]), np.concatenate([of, short])
     return out, of
+
+
+# ---- tables that several passes read by block ----
+
+
+def in_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Write a table to the shared folder bucketed by ``key``, so that later passes by it need no exchange of these rows."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}"
+    df.repartition(blocks, key).write.bucketBy(blocks, key).option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalogue alone: the files stay, and ``written`` knows them
+    return written
+
+
+def packed(values: np.ndarray, borders: np.ndarray) -> list[bytes]:
+    """The bytes of each range of values between two borders."""
+    return [values[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]

@@ -81,6 +81,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(read(spark, sf_dir, "documents")))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import cut_repeats
+
+    made = cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return made.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .infill import restored, transform
 
@@ -89,7 +96,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"), digest(restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op4_topk, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op9_html_text, op10_pii, op13_infill)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op4_topk, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op9_html_text, op10_pii, op12_repeats, op13_infill)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -123,6 +130,21 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+    "op12_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, p, b[p:p + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM n)),
+m AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE doc_id > least),
+j AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM j),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, k),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_ FROM r),
+t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(hex(b[from_:a - 1]), '' ORDER BY a) AS kept
+  FROM g JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN t.doc_id IS NULL THEN b ELSE unhex(kept || hex(b[last:n.n])) END) AS kept_sha256
+FROM n LEFT JOIN t ON n.doc_id = t.doc_id""",
     "op13_infill": """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
