@@ -81,6 +81,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(read(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    found = collocations(read(spark, sf_dir, "documents"), least=100, most_words=5, cover_percent=100, top=2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import cut_repeats
 
@@ -96,7 +103,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"), digest(restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op4_topk, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op9_html_text, op10_pii, op12_repeats, op13_infill)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_line_dedup, op4_topk, op5_ngram_jaccard, op6_decontaminate, op7_toxicity, op8_language, op9_html_text, op10_pii, op11_phrases, op12_repeats, op13_infill)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -130,6 +137,29 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+    "op11_phrases": r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase, m
+  FROM w, range(1, 6) r(m) WHERE len(ws) >= m),
+f AS (SELECT lang, phrase, m, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT lang, phrase, m, f AS a, ws, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.m, k.a, k.k, l.f AS l, r.f AS r, t.n, (1000 * k.a * t.n) // (l.f * r.f) AS score
+  FROM k JOIN t USING (lang)
+  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.f >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM e QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op12_repeats": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
