@@ -28,7 +28,7 @@ from .common import bytes_of, in_blocks, kept, mix, packed
 from .suffixes import PERIOD, Suffixes
 
 #: Bytes of text in a block; a longer document is a block by itself or nearly so.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes in a run whose hash may be a key.
 GRAM = 20
 #: Places worked on at a time, so that the arrays of hashes stay small.
