@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _LOWERED, bytes_of, in_blocks, kept, mix, packed, slices, span_hashes, words_of
+from .common import _LOWERED, bytes_of, in_blocks, kept, mix, packed, released, slices, span_hashes, words_of
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -161,6 +161,7 @@ def counted(docs: DataFrame, least: int, most_words: int, shard_bytes: int = SHA
 
     def send(rows: pa.Table) -> pa.Table:
         codes, counts, _, _ = Words(rows).keys(shards)
+        released()
         at = np.searchsorted(codes >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
         held = [k for k in range(shards) if at[k] < at[k + 1]]
         keys, numbers = packed(codes.astype(np.uint32), at), packed(counts, at)
@@ -183,7 +184,10 @@ def counted(docs: DataFrame, least: int, most_words: int, shard_bytes: int = SHA
         for k, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
             passes[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: at[k + 1] - at[k]]
         columns = list(zip(*phrases(words, passes[word_key], passes[pair_key], most_words), strict=True)) or [[], [], []]
-        return pa.table({"lang": pa.array(columns[0], pa.string()), "phrase": pa.array(columns[1], pa.string()), "n": pa.array(columns[2], pa.int64())})
+        made = pa.table({"lang": pa.array(columns[0], pa.string()), "phrase": pa.array(columns[1], pa.string()), "n": pa.array(columns[2], pa.int64())})
+        del words, columns
+        released()
+        return made
 
     by_shard = table.groupBy("shard")
     bits = kept(by_shard.applyInArrow(send, "shard int, bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(answer, "shard int, bucket int, bits binary"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import bytes_of, in_blocks, kept, mix, packed
+from .common import bytes_of, in_blocks, kept, mix, packed, released
 from .suffixes import PERIOD, Suffixes
 
 #: Bytes of text in a block; a longer document is a block by itself or nearly so.
@@ -226,6 +226,8 @@ def sorted_bucket(table: pa.Table, length: int) -> pa.Table:
     ends, found = (np.concatenate([m[k] for m in made]) for k in (0, 1))
     first = np.zeros(len(texts), np.int64)
     first[order] = np.concatenate([[0], np.cumsum(counts[order])[:-1]])
+    del numbers, texts
+    released()
     out = {"block": table["block"], "bucket": table["bucket"], "counts": [], "ends": [], "least": []}
     for of in lists:
         n = counts[of].astype(np.int64)
@@ -256,6 +258,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTE
 
     def keys(rows: pa.Table) -> pa.Table:
         made = Block(rows, blocks, length).keys()
+        released()
         return _rows(made, {"bucket": pa.int32(), "keys": pa.binary(), "several": pa.binary()}, rows)
 
     def chosen(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -264,6 +267,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTE
             held = Block(rows, blocks, length)
             held.choose(answers)
             made = held.sent()
+            del held
+            released()
         return _rows(made, {"bucket": pa.int32(), "keys": pa.binary(), "sizes": pa.binary(), "least": pa.binary(), "texts": pa.binary()}, rows)
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -273,6 +278,8 @@ def cut_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTE
             held.choose(answers.filter(pc.is_valid(answers["bits"])))
             gone = held.removed(answers.filter(pc.is_valid(answers["counts"])))
         made = held.result(gone)
+        del gone
+        released()
         return pa.table({"_rest": held.table["_rest"], "_text": held.table["_text"], **made})
 
     by_block = texts.groupBy("block")
