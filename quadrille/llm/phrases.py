@@ -1,8 +1,9 @@
 """Phrase collocations from an index of words for each shard, summed across shards.
 
-Documents lie in shards, a table bucketed by shard that both passes read where it is. Phrases of
-fewer occurrences than the least count are pruned by their pairs: every shard sends the number of
-times it has each word and each pair of neighbours, packed by bucket, and gets back a bit for each.
+Documents lie in shards, a table bucketed by shard that every pass reads where it is. Phrases of
+fewer occurrences than the least count are pruned by their parts of two words, then of three:
+every shard sends how often it has each word and pair, then each triple of passing pairs, packed
+by bucket, and gets back a bit for each.
 
 Then each shard builds an FM-index over word ids, in both directions, of the stretches whose
 pairs all pass: the Burrows-Wheeler transform of the word ids and of their reverse, with suffixes
@@ -14,9 +15,11 @@ count of every longer phrase. The counts of shards are summed by phrase.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,20 +61,58 @@ class Words:
         self.lang_of, self.spans, self.data = lang[first], (starts[first], ends[first]), data
         self.lang_counts = np.bincount(lang, minlength=len(self.langs))
 
-    def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of words and of pairs in order of bucket, how often each occurs, the key of each different word and that of each word that another follows."""
-        at = np.flatnonzero(self.follows)
-        pairs, pair_of, counts = np.unique(mix(self.hashes[self.ids[at]] * np.uint64(3) + self.hashes[self.ids[at + 1]]), return_inverse=True, return_counts=True)
-        both = np.concatenate([mix(self.hashes), pairs])
-        both = (((both >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (both & np.uint64(0xFFFFFFFF))
-        keys, of = np.unique(both, return_inverse=True)
-        counts = np.bincount(of, weights=np.concatenate([self.counts, counts]), minlength=len(keys)).astype(np.uint32)
-        return keys, counts, of[: len(self.hashes)], of[len(self.hashes) :][pair_of]
-
     def text(self, word: int) -> str:
         return _LOWERED[self.data[self.spans[0][word] : self.spans[1][word]]].tobytes().decode()
 
 
+class Grams:
+    """The n-grams of a shard, a length at a time: their keys, and which of them pass."""
+
+    def __init__(self, words: Words, buckets: int):
+        self.words, self.buckets, self.length = words, buckets, 1
+        self.hash, self.passes = words.hashes[words.ids], {1: np.ones(len(words.ids), bool)}
+
+    def grow(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, in order of bucket, and counts of the n-grams a word longer whose two parts pass; with pairs come the words."""
+        words, last = self.words, self.passes[self.length]
+        valid = last & np.append(last[1:], False) if len(last) else last
+        self.at = np.flatnonzero(valid & words.follows if self.length == 1 else valid)
+        longer = mix(self.hash[self.at] * np.uint64(3) + words.hashes[words.ids[self.at + self.length]])
+        self.hash = np.zeros_like(self.hash)
+        self.hash[self.at] = longer
+        self.length += 1
+        grams, gram_of, counts = np.unique(longer, return_inverse=True, return_counts=True)
+        if self.length == 2:
+            grams, counts = np.concatenate([grams, mix(words.hashes)]), np.concatenate([counts, words.counts])
+        keys = (((grams >> np.uint64(32)) % np.uint64(self.buckets)) << np.uint64(32)) | (grams & np.uint64(0xFFFFFFFF))
+        keys, self.key_of = np.unique(keys, return_inverse=True)
+        self.gram_of = gram_of
+        return keys, np.bincount(self.key_of, weights=counts, minlength=len(keys)).astype(np.uint32)
+
+    def answer(self, keys: np.ndarray, answers: pa.Table) -> None:
+        """Which n-grams pass, from the bits for each bucket's keys."""
+        at, enough = self.borders(keys), np.zeros(len(keys), bool)
+        for k, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+            enough[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: at[k + 1] - at[k]]
+        enough = enough[self.key_of]
+        self.passes[self.length] = np.zeros(len(self.words.ids), bool)
+        self.passes[self.length][self.at] = enough[self.gram_of]
+        if self.length == 2:
+            self.word_passes = enough[len(enough) - len(self.words.hashes) :]
+
+    def borders(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(keys >> np.uint64(32), np.arange(self.buckets + 1, dtype=np.uint64))
+
+    def passing(self, places: np.ndarray, length: int) -> np.ndarray:
+        """Whether all parts of the n-grams from these places pass, as far as lengths were asked about."""
+        known = min(length, self.length)
+        flags = self.passes[known]
+        out = np.ones(len(places), bool)
+        for k in range(length - known + 1):
+            out &= flags[places + k]
+        return out
+
+
 class Index:
     """One direction of the index: suffixes sorted as deep as phrases go, the symbol before each, and ranks of symbols."""
 
@@ -116,15 +157,14 @@ def extend(index: Index, low: np.ndarray, other_low: np.ndarray, count: np.ndarr
     return index.extended(symbol, low[of]), other_low[of] + new - first[of], counts
 
 
-def phrases(words: Words, word_passes: np.ndarray, pair_passes: np.ndarray, most_words: int) -> list[tuple[str, str, int]]:
-    """(lang, phrase, count) of all words that pass and of all phrases whose pairs do: flags of each different word, and of each word that another follows."""
-    linked = np.zeros(len(words.ids), bool)
-    linked[np.flatnonzero(words.follows)[pair_passes]] = True
+def phrases(words: Words, grams: Grams, most_words: int) -> list[tuple[str, str, int]]:
+    """(lang, phrase, count) of the words and phrases that pass, and the number of all words of a language as phrase ''."""
+    out = [(words.langs[k], "", int(n)) for k, n in enumerate(words.lang_counts) if n]
+    out += [(words.langs[words.lang_of[k]], words.text(k), int(words.counts[k])) for k in np.flatnonzero(grams.word_passes)]
+    linked = grams.passes[2]
     used = linked.copy()
     used[1:] |= linked[:-1]
     at = np.flatnonzero(used)
-    out = [(words.langs[k], "", int(n)) for k, n in enumerate(words.lang_counts) if n]
-    out += [(words.langs[words.lang_of[k]], words.text(k), int(words.counts[k])) for k in np.flatnonzero(word_passes)]
     if not len(at):
         return out
     present, symbol = np.unique(words.ids[at], return_inverse=True)
@@ -132,8 +172,8 @@ def phrases(words: Words, word_passes: np.ndarray, pair_passes: np.ndarray, most
     langs = [words.langs[k] for k in words.lang_of[present]]
     # symbols from 1; a break, 0, at both ends and wherever a word isn't linked to the next
     place = np.arange(len(at)) + 1 + np.concatenate([[0], np.cumsum(~linked[at])[:-1]])
-    text = np.zeros(place[-1] + 2, np.int64)
-    text[place] = symbol + 1
+    text, word_at = np.zeros(place[-1] + 2, np.int64), np.zeros(place[-1] + 2, np.int64)
+    text[place], word_at[place] = symbol + 1, at
     forward, backward = Index(text, most_words), Index(text[::-1], most_words)
     counts = np.bincount(text)
     low = np.cumsum(counts) - counts
@@ -144,28 +184,42 @@ def phrases(words: Words, word_passes: np.ndarray, pair_passes: np.ndarray, most
             low, other, count = extend(forward, low, other, count)
         else:
             other, low, count = extend(backward, other, low, count)
-        if not len(count):
-            break
         start = forward.places[low]
+        held = grams.passing(word_at[start], n)
+        low, other, count, start = low[held], other[held], count[held], start[held]
         symbols = text[start[:, None] + np.arange(n)] - 1
         out += [(langs[s[0]], " ".join([texts[k] for k in s]), c) for s, c in zip(symbols.tolist(), count.tolist(), strict=True)]
     return out
 
 
-def counted(docs: DataFrame, least: int, most_words: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, phrase, n): phrases of up to ``most_words`` words that occur ``least`` times or more, their words, and the number of all words as phrase ''."""
+def counted(docs: DataFrame, least: int, most_words: int, shard_bytes: int = SHARD_BYTES, pruned_words: int = 3) -> DataFrame:
+    """(lang, phrase, n): phrases of up to ``most_words`` words that occur ``least`` times or more, their words, and the number of all words as phrase ''.
+
+    Lengths up to ``pruned_words`` are counted beforehand, one exchange of packed keys for each.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     shard = F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(shards)).cast("int").alias("shard")
     table = in_blocks(docs.select(shard, F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text")), "shard", shards)
 
-    def send(rows: pa.Table) -> pa.Table:
-        codes, counts, _, _ = Words(rows).keys(shards)
-        released()
-        at = np.searchsorted(codes >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+    def answered(rows: pa.Table, answers: pa.Table | None) -> Grams:
+        grams = Grams(Words(rows), shards)
+        if answers is not None:
+            for length in sorted(set(answers["length"].to_pylist())):
+                keys, _ = grams.grow()
+                grams.answer(keys, answers.filter(pc.equal(answers["length"], length)))
+        return grams
+
+    def send(rows: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        grams = answered(rows, answers)
+        keys, counts = grams.grow()
+        at = grams.borders(keys)
         held = [k for k in range(shards) if at[k] < at[k + 1]]
-        keys, numbers = packed(codes.astype(np.uint32), at), packed(counts, at)
-        return pa.table({"shard": pa.array([rows["shard"][0].as_py()] * len(held), pa.int32()), "bucket": pa.array(held, pa.int32()), "keys": pa.array([keys[k] for k in held], pa.binary()), "counts": pa.array([numbers[k] for k in held], pa.binary())})
+        keys, counts = packed(keys.astype(np.uint32), at), packed(counts, at)
+        shard = [rows["shard"][0].as_py()] * len(held)
+        del grams
+        released()
+        return pa.table({"shard": pa.array(shard, pa.int32()), "bucket": pa.array(held, pa.int32()), "keys": pa.array([keys[k] for k in held], pa.binary()), "counts": pa.array([counts[k] for k in held], pa.binary())})
 
     def answer(rows: pa.Table) -> pa.Table:
         held = [np.frombuffer(v, np.uint32) for v in rows["keys"].to_pylist()]
@@ -177,22 +231,30 @@ def counted(docs: DataFrame, least: int, most_words: int, shard_bytes: int = SHA
         return pa.table({"shard": rows["shard"], "bucket": rows["bucket"], "bits": pa.array(bits, pa.binary())})
 
     def count(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        words = Words(rows)
-        codes, _, word_key, pair_key = words.keys(shards)
-        at = np.searchsorted(codes >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
-        passes = np.zeros(len(codes), bool)
-        for k, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            passes[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: at[k + 1] - at[k]]
-        columns = list(zip(*phrases(words, passes[word_key], passes[pair_key], most_words), strict=True)) or [[], [], []]
-        made = pa.table({"lang": pa.array(columns[0], pa.string()), "phrase": pa.array(columns[1], pa.string()), "n": pa.array(columns[2], pa.int64())})
-        del words, columns
+        grams = answered(rows, answers)
+        parts: dict[int, list] = {}
+        for row in phrases(grams.words, grams, most_words) if answers.num_rows else []:  # no answers: no words
+            parts.setdefault(zlib.crc32(row[1].encode()) % shards, []).append(row)
+        columns = [pa.array([[r[k] for r in rows] for rows in parts.values()], pa.list_(t)) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        made = pa.table({"bucket": pa.array(list(parts), pa.int32()), **dict(zip(("lang", "phrase", "n"), columns, strict=True))})
+        del grams, parts
         released()
         return made
 
-    by_shard = table.groupBy("shard")
-    bits = kept(by_shard.applyInArrow(send, "shard int, bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(answer, "shard int, bucket int, bits binary"))
-    made = by_shard.cogroup(bits.groupBy("shard")).applyInArrow(count, _COUNTS)
-    return made.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == ""))
+    def total(rows: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(rows[c]) for c in ("lang", "phrase", "n")})
+        sums = flat.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        sums = pa.table({"lang": sums["lang"], "phrase": sums["phrase"], "n": sums["n_sum"]})
+        return sums.filter(pc.or_(pc.greater_equal(sums["n"], least), pc.equal(sums["phrase"], "")))
+
+    by_shard, known = table.groupBy("shard"), None
+    for length in range(2, max(2, min(pruned_words, most_words)) + 1):
+        shape = "shard int, bucket int, keys binary, counts binary"
+        sent = by_shard.applyInArrow(lambda rows: send(rows), shape) if known is None else by_shard.cogroup(known.groupBy("shard")).applyInArrow(lambda rows, answers: send(rows, answers), shape)
+        bits = kept(sent.groupBy("bucket").applyInArrow(answer, "shard int, bucket int, bits binary")).withColumn("length", F.lit(length))
+        known = bits if known is None else known.unionByName(bits)
+    made = by_shard.cogroup(known.groupBy("shard")).applyInArrow(count, "bucket int, lang array<string>, phrase array<string>, n array<long>")
+    return made.groupBy("bucket").applyInArrow(total, _COUNTS)
 
 
 def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, cover_percent: int = 100, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:

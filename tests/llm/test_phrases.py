@@ -52,6 +52,7 @@ def test_against_brute_force(documents, least, most, percent, top, shard_bytes):
 
 def test_edges_and_empty_table(edges, nothing):
     assert phrases.collocations(nothing).count() == 0
+    assert phrases.collocations(edges.filter("doc_id in (1, 2, 3)"), shard_bytes=1).count() == 0
     rows = [(r.doc_id, r.text, r.lang) for r in edges.collect()]
     got = sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in phrases.collocations(edges, least=60, top=500).collect())
     assert got == [x for x in brute([r for r in rows], 60, 5, 100, 500)]
