@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -36,24 +37,64 @@ def embedded_ntriples(spark, d):
     return R.parse_ntriples(texts, "rdf", "graph").select("graph", "s", "p", "o", "lang")
 
 
-_TITLE = "regexp_replace(title, '[^A-Za-z0-9 ]', '', 'g')"
+_TEXT = "regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')"
+_NULL = "CAST(NULL AS VARCHAR)"
 
 
-@_q(
-    f"""WITH d AS (SELECT doc_id, concat(source_uri, '/graph') AS graph, source_uri AS s, {_TITLE} AS t FROM {{docs}} WHERE doc_id % 4 <> 3)
-SELECT graph, s, '{DC}title' AS p, t AS o FROM d UNION ALL SELECT graph, s, '{RDF_TYPE}', '{EDM}Place' FROM d"""
-)
+def _triple(k: int, s: str, p: str, o: str, kind: str = "Literal", lang: str = _NULL, datatype: str = _NULL, s_kind: str = "URIRef") -> str:
+    return f"SELECT graph, {s} AS s, '{s_kind}' AS s_kind, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, {lang} AS lang, {datatype} AS datatype, {_NULL} AS error FROM d WHERE k = {k}"
+
+
+_RDFNS = RDF_TYPE.removesuffix("type")
+_PAYLOADS = [
+    *[_triple(k, "s", RDF_TYPE, f"'{EDM}Place'", "URIRef") for k in (0, 1, 2, 4, 5, 6)],
+    *[_triple(k, "s", DC + "title", "t", lang=lang) for k, lang in ((0, "'nl'"), (1, _NULL), (2, _NULL), (4, _NULL), (5, _NULL), (6, "'nl'"))],
+    # a member of a container, numbered; an inner node with properties; a collection of two
+    _triple(4, "s", _RDFNS + "_1", "'b1'", "BNode"),
+    _triple(4, "'b1'", DC + "title", "t", s_kind="BNode"),
+    _triple(4, "s", _RDFNS + "_2", "concat(s, '/2')", "URIRef"),
+    _triple(5, "s", DC + "relation", "'b1'", "BNode"),
+    *[_triple(k, "'b1'", _RDFNS + "first", "concat(s, '/1')", "URIRef", s_kind="BNode") for k in (5, 6)],
+    *[_triple(k, "'b1'", _RDFNS + "rest", "'b2'", "BNode", s_kind="BNode") for k in (5, 6)],
+    *[_triple(k, "'b2'", _RDFNS + "rest", f"'{_RDFNS}nil'", "URIRef", s_kind="BNode") for k in (5, 6)],
+    _triple(5, "'b2'", _RDFNS + "first", "concat(s, '/2')", "URIRef", s_kind="BNode"),
+    _triple(5, "concat(s, '/2')", DC + "title", "t"),
+    _triple(6, "s", DC + "relation", "'b1'", "BNode"),
+    _triple(6, "'b2'", _RDFNS + "first", "'7'", datatype="'http://www.w3.org/2001/XMLSchema#integer'", s_kind="BNode"),
+    "SELECT graph, " + ", ".join([_NULL] * 7) + ", 'JSONDecodeError: Expecting value: line 1 column 2 (char 1)' FROM d WHERE k = 3",
+    "SELECT graph, " + ", ".join([_NULL] * 7) + ", 'ValueError: a property has two objects' FROM d WHERE k = 7",
+]
+
+
+@_q(f"WITH d AS (SELECT doc_id % 8 AS k, concat(source_uri, '/graph') AS graph, source_uri AS s, {_TEXT} AS t FROM {{docs}}) " + " UNION ALL ".join(_PAYLOADS))
 def rdf_payloads(spark, d):
-    """RDF/XML, N-Triples and JSON-LD texts; a quarter are broken and become errors."""
-    clean = F.regexp_replace("title", "[^A-Za-z0-9 ]", "")
+    """Whole texts as RDF/XML (nodes, property attributes, inherited base and language, containers, collections), N-Triples and JSON-LD (expanded, or with a context, single values and lists); what breaks the grammar becomes an error."""
+    clean = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
     s = F.col("source_uri")
-    xml = F.concat(F.lit(f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:edm="{EDM}" xmlns:dc="{DC}"><edm:Place rdf:about="'), s, F.lit('"><dc:title>'), clean, F.lit("</dc:title></edm:Place></rdf:RDF>"))
-    nt = F.concat(F.lit("<"), s, F.lit(f'> <{DC}title> "'), clean, F.lit('" .\n<'), s, F.lit(f"> <{RDF_TYPE}> <{EDM}Place> ."))
-    js = F.concat(F.lit('[{"@id": "'), s, F.lit(f'", "@type": ["{EDM}Place"], "{DC}title": [{{"@value": "'), clean, F.lit('"}]}]'))
-    k = F.col("doc_id") % 4
-    docs = table(spark, d, "docs").select(F.concat(s, F.lit("/graph")).alias("graph"), F.when(k == 0, xml).when(k == 1, nt).when(k == 2, js).otherwise("[broken").alias("rdf"))
-    quads, _ = rdf.parse_rdf_payload(docs, "rdf", "graph")
-    return quads.select("graph", "s", "p", "o")
+
+    def filled(text: str):
+        parts = F.split(F.lit(text), "@S@|@T@")
+        names = re.findall("@S@|@T@", text)
+        return F.concat(parts[0], *[x for k, n in enumerate(names) for x in (s if n == "@S@" else clean, parts[k + 1])])
+
+    root = f'<rdf:RDF xmlns:rdf="{_RDFNS}" xmlns:edm="{EDM}" xmlns:dc="{DC}"'
+    forms = [
+        filled(f'{root} xml:lang="nl"><edm:Place rdf:about="@S@"><dc:title>@T@</dc:title></edm:Place></rdf:RDF>'),
+        filled(f'<@S@> <{DC}title> "@T@" .\n<@S@> <{RDF_TYPE}> <{EDM}Place> .'),
+        filled(f'[{{"@id": "@S@", "@type": ["{EDM}Place"], "{DC}title": [{{"@value": "@T@"}}]}}]'),
+        F.lit("[broken"),
+        filled(f'{root}><rdf:Description rdf:about="@S@" rdf:type="{EDM}Place" dc:title="@T@"><rdf:li rdf:parseType="Resource"><dc:title>@T@</dc:title></rdf:li><rdf:li rdf:resource="@S@/2"/></rdf:Description></rdf:RDF>'),
+        filled(f'{root} xml:base="@S@"><edm:Place rdf:about=""><dc:title>@T@</dc:title><dc:relation rdf:parseType="Collection"><rdf:Description rdf:about="@S@/1"/><rdf:Description rdf:about="@S@/2" dc:title="@T@"/></dc:relation></edm:Place></rdf:RDF>'),
+        filled(f'{{"@context": {{"dc": "{DC}", "title": {{"@id": "dc:title", "@language": "nl"}}}}, "@id": "@S@", "@type": "{EDM}Place", "title": "@T@", "dc:relation": {{"@list": [{{"@id": "@S@/1"}}, 7]}}}}'),
+        filled(f'{root}><edm:Place rdf:about="@S@"><dc:relation><edm:Place/><edm:Place/></dc:relation></edm:Place></rdf:RDF>'),
+    ]
+    k = F.col("doc_id") % 8
+    text = F.when(k == 0, forms[0])
+    for n, form in enumerate(forms[1:], 1):
+        text = text.when(k == n, form)
+    docs = table(spark, d, "docs").select(F.concat(s, F.lit("/graph")).alias("graph"), text.alias("rdf"))
+    quads, errors = rdf.parse_rdf_payload(docs, "rdf", "graph")
+    return quads.unionByName(errors, allowMissingColumns=True).select("graph", "s", "s_kind", "p", "o", "o_kind", "lang", "datatype", "error")
 
 
 @_q("SELECT concat(source_uri, '/graph') AS graph, content_hash AS hash, title AS rdf_text FROM {docs} WHERE title = trim(title) AND title NOT LIKE '%' || chr(10) || '%'")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import BULK_ACTION, INDEX_ACTION, INDEX_ITEM, QUAD
 
 _IRI, _BLANK = "<([^>]*)>", "_:([A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_-])?)"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?'
+# possessive, so that a literal of any length is matched without recursion
+_LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?'
 _STATEMENT = rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI}|{_BLANK})?\s*\.\s*$"
 
 
@@ -49,13 +50,18 @@ def _decoded(text: Column, run: str, mark: str, charset: str) -> Column:
     return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), units.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit(""))))), "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that stands in the plan once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _unescape(text: Column) -> Column:
     c = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
     for code, raw in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("b", "\b"), ("f", "\f"), ('"', '"'), ("'", "'")):
         c = F.replace(c, F.lit("\\" + code), F.lit(raw))
     # surrogates stand next to each other, so runs are decoded as a whole
-    c = F.when(c.contains("\\u"), _decoded(c, r"(?:\\u[0-9A-Fa-f]{4})+", "\\u", "UTF-16BE")).otherwise(c)
-    c = F.when(c.contains("\\U"), _decoded(c, r"(?:\\U[0-9A-Fa-f]{8})+", "\\U", "UTF-32")).otherwise(c)
+    c = _let(c, lambda x: F.when(x.contains("\\u"), _decoded(x, r"(?:\\u[0-9A-Fa-f]{4})+", "\\u", "UTF-16BE")).otherwise(x))
+    c = _let(c, lambda x: F.when(x.contains("\\U"), _decoded(x, r"(?:\\U[0-9A-Fa-f]{8})+", "\\U", "UTF-32")).otherwise(x))
     return F.when(F.instr(text, "\\") > 0, F.replace(c, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
 
@@ -65,15 +71,16 @@ def parse_statements(df: DataFrame, line: str, graph: Column | None = None) -> D
     one_pass = F.split(F.regexp_replace(line, _STATEMENT, "\u0001".join(f"${k}" for k in range(1, 11))), "\u0001", -1)
     each = F.when(F.col(line).rlike(_STATEMENT), F.array(*[F.regexp_extract(line, _STATEMENT, k) for k in range(1, 11)])).otherwise(F.array(F.lit("")))
     found = df.withColumn("_g", F.when(F.col(line).contains("\u0001"), each).otherwise(one_pass)).filter(F.size("_g") == 10)
+    # lines without a backslash, nearly all, go as they are
+    found = found.withColumn("_g", F.when(F.col(line).contains("\\"), F.transform("_g", _unescape)).otherwise(F.col("_g")))
     g = lambda k: F.nullif(F.col("_g")[k - 1], F.lit(""))
-    iri = lambda k: _unescape(g(k))
     is_literal = g(4).isNull() & g(5).isNull()
     return found.select(
-        F.coalesce(iri(9), g(10), graph if graph is not None else F.lit(None).cast("string")).alias("graph"),
-        F.coalesce(iri(1), g(2)).alias("s"),
+        F.coalesce(g(9), g(10), graph if graph is not None else F.lit(None).cast("string")).alias("graph"),
+        F.coalesce(g(1), g(2)).alias("s"),
         F.when(g(1).isNotNull(), "URIRef").otherwise("BNode").alias("s_kind"),
-        iri(3).alias("p"),
-        F.when(is_literal, _unescape(F.col("_g")[5])).otherwise(F.coalesce(iri(4), g(5))).alias("o"),
+        g(3).alias("p"),
+        F.when(is_literal, F.col("_g")[5]).otherwise(F.coalesce(g(4), g(5))).alias("o"),
         F.when(is_literal, "Literal").when(g(4).isNotNull(), "URIRef").otherwise("BNode").alias("o_kind"),
         g(8).alias("datatype"),
         g(7).alias("lang"),
@@ -90,6 +97,13 @@ def parse_ntriples(df: DataFrame, col: str, graph_col: str) -> DataFrame:
     return parse_statements(lines, "_line", F.col("_graph"))
 
 
+def broken_ntriples(df: DataFrame, col: str, graph_col: str) -> DataFrame:
+    """(graph, error) of the lines of such texts that are no statement, comment or blank."""
+    lines = df.select(F.col(graph_col).alias("graph"), F.explode(F.split(col, "\n")).alias("_line"))
+    wrong = ~F.col("_line").rlike(_STATEMENT) & ~F.col("_line").rlike(r"^\s*(#.*)?$")
+    return lines.filter(wrong).select("graph", F.concat(F.lit("no statement: "), "_line").alias("error"))
+
+
 def bindings_to_triples(df: DataFrame) -> DataFrame:
     """(s, p, o, o_kind, lang, datatype) of query results: rows with ``vars`` array<string> and ``binding`` map<string, struct<type, value, lang, datatype>>.
 

@@ -56,6 +56,68 @@ def test_payloads(spark):
     assert quads.filter("lang = 'nl'").count() == 1 and quads.filter("o = 'true'").count() == 1
 
 
+RDFNS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def xml(body, root=""):
+    found = rdf.xml_triples(f'<rdf:RDF xmlns:rdf="{RDFNS}" xmlns:e="http://e/" {root}>{body}</rdf:RDF>')
+    return {(s, p.replace(RDFNS, "rdf:"), o.replace(RDFNS, "rdf:"), (d or lang or "").replace(RDFNS, "rdf:")) for s, _, p, o, _, d, lang in found}
+
+
+def test_rdf_xml_forms():
+    about = 'rdf:about="http://x/1"'
+    assert xml(f'<rdf:Description {about} e:t="T" rdf:type="http://e/C"/>', 'xml:lang="nl"') == {("http://x/1", "http://e/t", "T", "nl"), ("http://x/1", "rdf:type", "http://e/C", "")}
+    assert xml(f'<e:C {about} xml:lang="nl"><e:t>a</e:t><e:t xml:lang="">b</e:t><e:t xml:lang="fr">c</e:t></e:C>') == {("http://x/1", "rdf:type", "http://e/C", ""), ("http://x/1", "http://e/t", "a", "nl"), ("http://x/1", "http://e/t", "b", ""), ("http://x/1", "http://e/t", "c", "fr")}
+    assert xml('<rdf:Description rdf:ID="n"><e:p rdf:resource="../m"/></rdf:Description>', 'xml:base="http://x/a/b"') == {("http://x/a/b#n", "http://e/p", "http://x/m", "")}
+    assert xml(f'<rdf:Seq {about}><rdf:li>a</rdf:li><rdf:li rdf:nodeID="b1"/><rdf:_9>c</rdf:_9></rdf:Seq>') == {("http://x/1", "rdf:type", "rdf:Seq", ""), ("http://x/1", "rdf:_1", "a", ""), ("http://x/1", "rdf:_2", "b1", ""), ("http://x/1", "rdf:_9", "c", "")}
+    assert xml(f'<rdf:Description {about}><e:p rdf:parseType="Collection"><e:C rdf:nodeID="b1"/><rdf:Description rdf:about="http://x/2"/></e:p></rdf:Description>') == {
+        ("b1", "rdf:type", "http://e/C", ""), ("http://x/1", "http://e/p", "b2", ""), ("b2", "rdf:first", "b1", ""), ("b2", "rdf:rest", "b3", ""), ("b3", "rdf:first", "http://x/2", ""), ("b3", "rdf:rest", "rdf:nil", "")}
+    assert xml(f'<rdf:Description {about}><e:p rdf:parseType="Literal">a <b>c</b></e:p><e:q rdf:parseType="Resource"><e:r>1</e:r></e:q><e:s e:t="v"/><e:u/></rdf:Description>') == {
+        ("http://x/1", "http://e/p", "a <b>c</b>", "rdf:XMLLiteral"), ("http://x/1", "http://e/q", "b1", ""), ("b1", "http://e/r", "1", ""), ("http://x/1", "http://e/s", "b2", ""), ("b2", "http://e/t", "v", ""), ("http://x/1", "http://e/u", "", "")}
+    assert len(xml(f'<rdf:Description {about}><e:p rdf:ID="r">v</e:p></rdf:Description>', 'xml:base="http://x/"')) == 5
+    # a language on a property whose object is a node counts for what is inside
+    assert xml(f'<rdf:Description {about}><e:p xml:lang="nl"><rdf:Description rdf:about="http://x/2"><e:t>v</e:t></rdf:Description></e:p></rdf:Description>') == {("http://x/1", "http://e/p", "http://x/2", ""), ("http://x/2", "http://e/t", "v", "nl")}
+
+
+@pytest.mark.parametrize("body", ["<rdf:Description><e:p><e:C/><e:D/></e:p></rdf:Description>", "<rdf:Description><e:p>text<e:C/></e:p></rdf:Description>", "<rdf:Description>text</rdf:Description>", '<rdf:Description rdf:about="a" rdf:nodeID="b"/>', "<rdf:li/>", '<rdf:Description rdf:aboutEach="x"/>', '<rdf:Description><e:p rdf:parseType="Resource" rdf:resource="x"/></rdf:Description>', '<rdf:Description plain="x"/>', "<rdf:Description><rdf:Description/></rdf:Description>"])
+def test_broken_rdf_xml(body):
+    with pytest.raises(ValueError):
+        xml(body)
+
+
+def jsonld(text):
+    return {(s, p.replace(RDFNS, "rdf:"), o.replace(RDFNS, "rdf:"), (d or lang or "").replace("http://www.w3.org/2001/XMLSchema#", "xsd:")) for s, _, p, o, _, d, lang in rdf.jsonld_triples(text)}
+
+
+def test_jsonld_forms():
+    assert jsonld('{"@id": "http://x/1", "@type": "http://e/C", "http://e/p": "v", "http://e/q": {"@id": "http://x/2", "http://e/r": 5}}') == {("http://x/1", "rdf:type", "http://e/C", ""), ("http://x/1", "http://e/p", "v", ""), ("http://x/1", "http://e/q", "http://x/2", ""), ("http://x/2", "http://e/r", "5", "xsd:integer")}
+    assert jsonld('[{"@id": "_:b1", "http://e/p": {"@list": [true, {"@value": "w", "@language": "nl"}]}, "http://e/q": {"@set": [1.5, null]}, "http://e/l": [{"@list": []}]}]') == {
+        ("b1", "http://e/p", "b2", ""), ("b2", "rdf:first", "true", "xsd:boolean"), ("b2", "rdf:rest", "b3", ""), ("b3", "rdf:first", "w", "nl"), ("b3", "rdf:rest", "rdf:nil", ""), ("b1", "http://e/q", "1.5E0", "xsd:double"), ("b1", "http://e/l", "rdf:nil", "")}
+    context = '{"e": "http://e/", "@vocab": "http://v/", "@language": "en", "@base": "http://x/", "see": {"@id": "e:see", "@type": "@id"}, "when": {"@id": "e:when", "@type": "e:date"}, "of": {"@reverse": "e:has"}, "l": {"@id": "e:l", "@container": "@list"}, "n": {"@id": "e:n", "@container": "@language"}, "no": null}'
+    assert jsonld(f'{{"@context": {context}, "@graph": [{{"@id": "1", "@type": "C", "see": "2", "when": "1900", "of": {{"@id": "3"}}, "l": ["a"], "n": {{"nl": ["x", "y"]}}, "title": "T", "no": "gone", "e:d": {{"@value": "z", "@type": "e:t"}}}}]}}') == {
+        ("http://x/1", "rdf:type", "http://v/C", ""), ("http://x/1", "http://e/see", "http://x/2", ""), ("http://x/1", "http://e/when", "1900", "http://e/date"), ("http://x/3", "http://e/has", "http://x/1", ""),
+        ("http://x/1", "http://e/l", "b1", ""), ("b1", "rdf:first", "a", "en"), ("b1", "rdf:rest", "rdf:nil", ""), ("http://x/1", "http://e/n", "x", "nl"), ("http://x/1", "http://e/n", "y", "nl"), ("http://x/1", "http://v/title", "T", "en"), ("http://x/1", "http://e/d", "z", "http://e/t")}
+
+
+@pytest.mark.parametrize("text", ['{"@context": "http://elsewhere/", "a": "b"}', '"text"', '[1]', '{"@id": "http://x/1", "http://e/p": [[1]]}', '{"@id": "http://x/1", "@nest": {}}', '{"@id": "http://x/1", "http://e/p": {"@value": 1, "@id": "x"}}', "{"])
+def test_broken_jsonld(text):
+    with pytest.raises((ValueError, AttributeError)):
+        rdf.jsonld_triples(text)
+
+
+def test_long_literals(spark):
+    """No recursion for each character or escape."""
+    text = "word " * 50_000 + '\\"\\u00e9' * 5_000
+    row = readers.parse_statements(spark.createDataFrame([(f'<http://x/1> <http://e/p> "{text}"@nl .',)], "value string"), "value").first()
+    assert row.o == "word " * 50_000 + '"é' * 5_000 and row.lang == "nl"
+
+
+def test_no_triple_is_lost_without_an_error(spark):
+    rows = [("g1", '<http://x/1> <http://e/p> "v" .\n# comment\n\n<http://x/1> no statement\n'), ("g2", '{"@context": "http://elsewhere/"}')]
+    quads, errors = rdf.parse_rdf_payload(spark.createDataFrame(rows, "graph string, rdf string"), "rdf", "graph")
+    assert quads.count() == 1 and sorted(r.graph for r in errors.collect()) == ["g1", "g2"]
+
+
 def test_other_readers(spark, tmp_path):
     (tmp_path / "actions").write_text('{"_op_type": "index", "_id": "1"}\nnoise\n')
     assert readers.read_index_actions(spark, str(tmp_path / "actions")).count() == 1
