@@ -244,32 +244,49 @@ def collection_members(docs: DataFrame, collections: DataFrame) -> DataFrame:
     return met.groupBy("slug", "hub_id").agg(F.countDistinct("field").alias("_got"), F.max("_need").alias("_need")).filter("_got = _need").select("slug", "hub_id")
 
 
-def related_by_values(docs: DataFrame, fields: list[str], k: int, max_df: int | None = None, dense: int = 60) -> DataFrame:
+#: Heavy values of a set up to which all its parts are listed; larger sets meet others one by one.
+WIDE = 10
+
+
+def related_by_values(docs: DataFrame, fields: list[str], k: int, max_df: int | None = None, dense: int = 60, where: Column | None = None) -> DataFrame:
     """(hub_id, related, matches): for each record the k that share most exact values of the fields, ties by id.
 
-    Records meet in pairs on values of at most ``dense`` records. The set of a record's other, heavy
-    values is shared by many: sets meet instead, each with its k + 1 smallest ids, and the best
-    k + 1 of every set go to all its records. A record that is left out has k before it, so the
-    result is exact and does not depend on ``dense``. With ``max_df``, values that more documents
-    have do not count.
+    ``where`` is a condition on the records that may be related. Records meet in pairs on values of
+    at most ``dense`` records. Of a record's other, heavy values every part (subset) is looked up in
+    an index of the parts of all sets, which lists the k + 1 smallest ids that have a part: of the
+    records that share just that part, one further down has k before it. So a value that all
+    records share pairs neither records nor sets, and the result is exact and does not depend on
+    ``dense``. Sets of more than ``WIDE`` heavy values meet the others on single values instead.
+    With ``max_df``, values that more documents have do not count.
     """
-    values = cut(raw_values(docs).filter(F.col("field").isin(fields)).dropDuplicates())
-    counted = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("_df"))
+    named = raw_values(docs).filter(F.col("field").isin(fields)).dropDuplicates()
+    values = cut(named.select("hub_id", F.struct(F.xxhash64("field", "value").alias("x"), F.xxhash64(F.lit(7), "value", "field").alias("y")).alias("v")))
+    allowed = None if where is None else cut(docs.filter(where).select(F.col("hub_id").alias("related")).distinct())
+    may = lambda rows: rows if allowed is None else rows.join(allowed, "related", "left_semi")
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("_df"))
     if max_df is not None:
-        values = values.join(counted.filter(F.col("_df") > max_df), ["field", "value"], "left_anti")
-    heavy = cut(counted.filter(F.col("_df") > dense).select("field", "value"))
-    light, held = values.join(heavy, ["field", "value"], "left_anti"), values.join(heavy, ["field", "value"], "left_semi")
-    sets = cut(held.groupBy("hub_id").agg(F.sort_array(F.collect_set(F.struct("field", "value"))).alias("set")).withColumn("g", F.md5(F.to_json("set"))))
+        values = values.join(counted.filter(F.col("_df") > max_df), "v", "left_anti")
+    heavy = cut(counted.filter(F.col("_df") > dense).select("v"))
+    light, held = values.join(heavy, "v", "left_anti"), values.join(heavy, "v", "left_semi")
+    sets = cut(held.groupBy("hub_id").agg(F.sort_array(F.collect_set("v")).alias("set")).withColumn("g", F.struct(F.xxhash64("set").alias("x"), F.xxhash64(F.lit(7), "set").alias("y"))))
     # pairs on light values, with the heavy values that they share as well
-    pairs = light.join(light.withColumnRenamed("hub_id", "related"), ["field", "value"]).filter("hub_id <> related").groupBy("hub_id", "related").agg(F.count(F.lit(1)).alias("n"))
+    pairs = light.join(may(light.withColumnRenamed("hub_id", "related")), "v").filter("hub_id <> related").groupBy("hub_id", "related").agg(F.count(F.lit(1)).alias("n"))
     mine, theirs = sets.select("hub_id", F.col("set").alias("_a")), sets.select(F.col("hub_id").alias("related"), F.col("set").alias("_b"))
     also = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
     near = pairs.join(mine, "hub_id", "left").join(theirs, "related", "left").select("hub_id", "related", (F.col("n") + F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), also).otherwise(0)).alias("matches"))
-    # sets of heavy values with each other
-    kinds = sets.select("g", F.explode("set").alias("v")).distinct()
-    met = kinds.join(kinds.withColumnRenamed("g", "g2"), "v").groupBy("g", "g2").agg(F.count(F.lit(1)).alias("matches"))
-    least = _first(sets.select(F.col("g").alias("g2"), F.col("hub_id").alias("related")), "g2", k + 1, "related")
-    best = _first(met.join(least, "g2").select("g", "related", "matches"), "g", k + 1, F.desc("matches"), "related")
+    # the smallest ids of every set, then of every part of one
+    least = cut(_first(may(sets.select("g", "set", F.col("hub_id").alias("related"))), "g", k + 1, "related"))
+    parts = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("set")).cast("int") - 1), lambda m: F.filter("set", lambda x, i: F.getbit(m, i) == 1))
+    part = lambda rows, *keep: rows.filter(F.size("set") <= WIDE).select(*keep, F.explode(parts).alias("_p")).select(*keep, F.size("_p").cast("long").alias("matches"), F.xxhash64("_p").alias("x"), F.xxhash64(F.lit(7), "_p").alias("y"))
+    listed = _first(part(least, "related"), ["x", "y"], k + 1, "related").drop("matches")
+    kinds = sets.select("g", "set").dropDuplicates(["g"])
+    met = part(kinds, "g").join(listed, ["x", "y"]).groupBy("g", "related").agg(F.max("matches").alias("matches"))
+    wide = kinds.filter(F.size("set") > WIDE)
+    if not wide.isEmpty():
+        one, other = kinds.select("g", F.size("set").alias("_n"), F.explode("set").alias("v")), kinds.select(F.col("g").alias("g2"), F.size("set").alias("_m"), F.explode("set").alias("v"))
+        apart = one.join(other, "v").filter((F.col("_n") > WIDE) | (F.col("_m") > WIDE)).groupBy("g", "g2").agg(F.count(F.lit(1)).alias("matches"))
+        met = met.unionByName(apart.join(least.select(F.col("g").alias("g2"), "related"), "g2").select("g", "related", "matches"))
+    best = _first(met, "g", k + 1, F.desc("matches"), "related")
     lists = best.groupBy("g").agg(F.collect_list(F.struct("related", "matches")).alias("l"))
     far = sets.select("hub_id", "g").join(lists, "g").select("hub_id", F.explode("l").alias("l")).select("hub_id", "l.related", "l.matches").filter("hub_id <> related")
     # light values count in ``near`` alone, which has all of a pair's
@@ -277,7 +294,7 @@ def related_by_values(docs: DataFrame, fields: list[str], k: int, max_df: int |
     return _first(shared, "hub_id", k, F.desc("matches"), "related")
 
 
-def _first(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
+def _first(rows: DataFrame, key: str | list[str], n: int, *order) -> DataFrame:
     """The first n rows of each key; Spark takes them in every task before it shuffles."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 

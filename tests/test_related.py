@@ -38,6 +38,21 @@ def test_related_by_values_of_heavy_values(spark, dense):
     assert got == best(values, 5)
 
 
+@pytest.mark.parametrize("wide", [1, 10])
+def test_related_by_values_of_wide_sets_and_filters(spark, monkeypatch, wide):
+    """Sets too wide for all their parts, and conditions on the related records."""
+    monkeypatch.setattr(search, "WIDE", wide)
+    values = {f"d{i:02}": {("s", f"s{j}") for j in range(12) if (i * j + j) % (2 + i % 3) == 0 or i % 9 == 0} for i in range(45)}
+    docs = spark.createDataFrame([(h, {"s": [(x,) for _, x in v]}) for h, v in values.items()], "hub_id string, fields map<string,array<struct<raw:string>>>")
+    for where, allowed in ((None, set(values)), (F.substring("hub_id", 3, 1) == "4", {h for h in values if h[2] == "4"})):
+        got = {tuple(r) for r in search.related_by_values(docs, ["s"], 4, dense=2, where=where).select("hub_id", "related", "matches").collect()}
+        want = set()
+        for a, x in values.items():
+            ranked = sorted((-len(x & y), b) for b, y in values.items() if a != b and x & y and b in allowed)
+            want |= {(a, b, -n) for n, b in ranked[:4]}
+        assert got == want
+
+
 def test_related_by_values_query_keeps_values_of_many_records(spark, sf_dir, tmp_path):
     shutil.copytree(sf_dir, tmp_path / "d")
     at = tmp_path / "d/documents.parquet"
