@@ -155,15 +155,16 @@ def query_logs(spark, d):
     return made.select(value("id").cast("long").alias("page_id"), value("page").alias("page"), value("utm_source").alias("source"))
 
 
-@_q(
-    """WITH a AS (SELECT * FROM {actions}), cut AS (SELECT max(seq) // 2 AS mid FROM a),
+_TWO_BATCHES = """WITH a AS (SELECT * FROM {actions}), cut AS (SELECT max(seq) // 2 AS mid FROM a),
 s1 AS (SELECT hub_id, arg_max(content_hash, seq) AS content_hash, arg_max(spec, seq) AS spec, arg_max(modified_at, seq) AS modified_at FROM a, cut WHERE action = 'index' AND seq <= mid GROUP BY hub_id),
 b2 AS (SELECT a.* FROM a, cut WHERE seq > mid), gone AS (SELECT DISTINCT spec FROM b2 WHERE action = 'disable_index'),
 purge AS (SELECT spec, max(modified_at) AS purged FROM b2 WHERE action = 'clear_orphans' GROUP BY spec),
 held AS (SELECT s1.* FROM s1 LEFT JOIN gone ON s1.spec = gone.spec LEFT JOIN purge ON s1.spec = purge.spec WHERE gone.spec IS NULL AND (purge.purged IS NULL OR s1.modified_at > purge.purged)),
 late AS (SELECT hub_id, arg_max(content_hash, seq) AS content_hash FROM b2 WHERE action = 'index' GROUP BY hub_id)
 SELECT hub_id, content_hash FROM late UNION ALL SELECT hub_id, content_hash FROM held WHERE hub_id NOT IN (SELECT hub_id FROM late)"""
-)
+
+
+@_q(_TWO_BATCHES)
 def bulk_batch(spark, d):
     """The first half of all actions as a batch on an empty snapshot, then the second half, with its drops and purges."""
     a = table(spark, d, "actions")
@@ -240,12 +241,17 @@ def index_action_files(spark, d):
     return R.read_index_actions(spark, path).select(F.col("_id").alias("id"), F.get_json_object("_source", "$.spec").alias("spec"), F.get_json_object("_source", "$.lang").alias("lang"))
 
 
-@_q("SELECT hub_id, arg_max(content_hash, seq) AS content_hash FROM {actions} WHERE action = 'index' GROUP BY hub_id")
+@_q(_TWO_BATCHES)
 def bulk_stream(spark, d):
-    """All action lines as a stream on an empty snapshot."""
+    """All actions as lines of files that a stream applies to an empty snapshot: the first half, then the second with its drops and purges."""
     path = _scratch(spark)
-    _action_lines(spark, d).filter("line not like '%clear_orphans%'").coalesce(1).sortWithinPartitions("seq").select("line").write.text(f"{path}/in")
-    ingest.stream_bulk(spark, f"{path}/in", f"{path}/out", f"{path}/log").awaitTermination()
+    a = table(spark, d, "actions")
+    rows = a.crossJoin(a.agg((F.max("seq") / 2).cast("long").alias("_at")))  # one row
+    fields = F.struct(F.col("hub_id").alias("hubId"), F.col("spec").alias("dataset"), F.col("graph").alias("graphUri"), "action", F.col("content_hash").alias("contentHash"), F.col("acceptance").alias("acceptanceMode"), F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modification_date"))
+    for which in (F.col("seq") <= F.col("_at"), F.col("seq") > F.col("_at")):
+        # the lines of a record stand in one file, in order
+        rows.filter(which).repartition("hub_id").sortWithinPartitions("seq").select(F.to_json(fields)).write.mode("append").text(f"{path}/in")
+        ingest.stream_bulk(spark, f"{path}/in", f"{path}/out", f"{path}/log").awaitTermination()
     return ingest.Snapshot(spark, f"{path}/out").read().select("hub_id", "content_hash")
 
 
@@ -257,7 +263,7 @@ def index_item_stream(spark, d):
     half = F.floor(F.col("doc_id") / 2).cast("string").alias("@itemId")
     field = F.array(F.struct(F.lit("dc:source").alias("@name"), F.col("doc_id").cast("string").alias("#text"))).alias("field")
     line = F.to_json(F.struct(half, F.col("lang").alias("@itemType"), (F.col("doc_id") % 3 == 0).cast("string").alias("@delete"), field))
-    docs.coalesce(1).sortWithinPartitions("doc_id").select(line).write.text(f"{path}/in")
+    docs.repartition(F.floor(F.col("doc_id") / 2), "lang").sortWithinPartitions("doc_id").select(line).write.text(f"{path}/in")
     ingest.stream_index_items(spark, f"{path}/in", f"{path}/out", f"{path}/log", "demo").awaitTermination()
     return ingest.Snapshot(spark, f"{path}/out").read().select("hub_id", "spec")
 

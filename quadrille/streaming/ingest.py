@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sync import diff_by_hash, latest_actions, remove_orphans, route_actions
+from ..operators.sync import latest_actions, route_actions
+from ..operators.tables import cut
 from ..schemas import BULK_ACTION
 from ..sources.writers import query_log
 
@@ -84,13 +85,18 @@ def bulk_changes(snapshot: DataFrame, batch: DataFrame, orphans: bool = True) ->
     """
     seq = F.col("seq") if "seq" in batch.columns else F.monotonically_increasing_id()
     actions = batch.select(F.col("hubId").alias("hub_id"), F.col("dataset").alias("spec"), "action", F.col("graphUri").alias("graph"), F.col("contentHash").alias("content_hash"), F.col("acceptanceMode").alias("acceptance"), F.to_timestamp("modification_date").alias("modified_at"), seq.alias("seq"))
-    routed = route_actions(actions)
-    purges = routed.filter("route = 'clear_orphans'").select("spec", F.col("modified_at").alias("purged_at"))
-    dropped = routed.filter("route in ('disable_index', 'drop_dataset')").select("spec").distinct()
-    left = remove_orphans(snapshot.join(dropped, "spec", "left_anti").select(*snapshot.columns), purges, orphans)
-    new = diff_by_hash(latest_actions(routed.filter("route = 'index'")), left).select(*snapshot.columns)
-    gone = snapshot.join(left.select("hub_id"), "hub_id", "left_anti").join(new.select("hub_id"), "hub_id", "left_anti").select(*snapshot.columns)
-    return new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+    routed = cut(route_actions(actions))
+    purged_at = F.max(F.when((F.col("route") == "clear_orphans") & F.lit(orphans), F.col("modified_at")))
+    of_spec = routed.filter("route in ('clear_orphans', 'disable_index', 'drop_dataset')").groupBy("spec").agg(F.bool_or(F.col("route") != "clear_orphans").alias("_dropped"), purged_at.alias("_purged_at"))
+    gone = F.coalesce(F.col("_dropped") | (F.col("modified_at") <= F.col("_purged_at")), F.col("_dropped"), F.lit(False))
+    row = F.struct(*snapshot.columns)
+    held = snapshot.join(of_spec, "spec", "left").select(F.col("hub_id").alias("_held"), row.alias("_old"), gone.alias("_gone"))
+    new = latest_actions(routed.filter("route = 'index'")).select(F.col("hub_id").alias("_key"), row.alias("_new"))
+    # one join by hub id: what is put in place of nothing, of what is gone or of another hash, and what is gone without it
+    both = held.join(new, F.col("_held") == F.col("_key"), "full_outer")
+    put = F.col("_new").isNotNull() & (F.col("_old").isNull() | F.col("_gone") | ~F.col("_old.content_hash").eqNullSafe(F.col("_new.content_hash")))
+    deleted = F.col("_new").isNull() & F.col("_gone")
+    return both.filter(put | deleted).select(F.when(put, F.col("_new")).otherwise(F.col("_old")).alias("_row"), deleted.alias("deleted")).select("_row.*", "deleted")
 
 
 def applied(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def applied(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_bulk_batch(snapshot: DataFrame, batch: DataFrame, orphans: bool = True) -> DataFrame:
     """The snapshot after a batch of bulk actions, as ``bulk_changes`` has it."""
-    return applied(snapshot, bulk_changes(snapshot, batch, orphans))
+    return applied(snapshot, cut(bulk_changes(snapshot, batch, orphans)))
 
 
 def stream_bulk(spark: SparkSession, source: str, snapshot: str, checkpoint: str) -> StreamingQuery:
@@ -128,12 +134,14 @@ def item_changes(items: DataFrame, org: str) -> DataFrame:
 
 
 def stream_index_items(spark: SparkSession, source: str, snapshot: str, checkpoint: str, org: str) -> StreamingQuery:
-    """Index requests, one JSON item to a line, with deletes."""
+    """Index requests, one JSON item to a line, with deletes; lines without JSON, id or type are kept in <snapshot>/errors-<batch>."""
     store = Snapshot(spark, snapshot)
     schema = "`@itemId` string, `@itemType` string, `@delete` string, field array<struct<`@name`:string,`#text`:string>>"
 
     def apply(df: DataFrame, batch: int) -> None:
-        lines = df.select(F.from_json("value", schema).alias("i"), F.struct(*_PLACE, F.monotonically_increasing_id().alias("line")).alias("seq"))
+        lines = df.filter("trim(value) <> ''").select("value", F.from_json("value", schema).alias("i"), F.struct(*_PLACE, F.monotonically_increasing_id().alias("line")).alias("seq"))
+        wrong = F.col("i.`@itemId`").isNull() | F.col("i.`@itemType`").isNull()
+        lines.filter(wrong).select(F.col("value").alias("line")).write.mode("overwrite").parquet(f"{snapshot}/errors-{batch}")
         store.write(item_changes(lines.select("i.*", "seq"), org), batch)
 
     stream = spark.readStream.text(source).select("value", "_metadata")
