@@ -44,9 +44,10 @@ def text_of(docs: DataFrame) -> Column:
 def match_text(docs: DataFrame, query: str, text: Column | None = None, key: str = "hub_id") -> DataFrame:
     """Documents with ``score``: up to two terms must all occur, of more at least half; BM25 over the matches' terms.
 
-    Only the query's terms are counted; document frequencies and the mean length are one row.
+    Words in quotes are one term, which occurs where they follow each other. Only the query's
+    terms are counted; document frequencies and the mean length are one row.
     """
-    terms = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
+    terms = sorted({tuple(w) for part, phrase in re.findall(r'"([^"]*)"|([^"]+)', query) for w in ([_words(part)] if part else [[x] for x in _words(phrase)]) if w})
     need = len(terms) if len(terms) <= 2 else -(-len(terms) // 2)
     low = F.lower(text if text is not None else text_of(docs))
     counted = docs.withColumns({"_tf": F.array(*[_count(low, t) for t in terms]) if terms else F.array().cast("array<int>"), "_len": F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+"))})
@@ -58,57 +59,99 @@ def match_text(docs: DataFrame, query: str, text: Column | None = None, key: str
     return hits.crossJoin(F.broadcast(stats)).withColumn("score", score).drop("_tf", "_len", "_n", "_avg", "_df")  # stats is one row
 
 
-def _count(low: Column, term: str) -> Column:
-    """How often a term is a whole word of a text; a text without the letters is not searched."""
-    word = rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])"
-    return F.when(low.contains(term), F.regexp_count(low, F.lit(word))).otherwise(0)
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def _count(low: Column, term: tuple[str, ...]) -> Column:
+    """How often the words of a term follow each other as whole words of a text; a text without their letters is not searched."""
+    words = r"[^\p{L}\p{N}]+".join(rf"\Q{w}\E" for w in term)
+    found = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){words}(?![\p{{L}}\p{{N}}])"))
+    return F.when(reduce(lambda a, b: a & b, [low.contains(w) for w in term]), found).otherwise(0)
+
+
+def in_order(value: Column, words: list[str]) -> Column:
+    """Whether the words follow each other in a text."""
+    return F.concat(F.lit(" "), F.array_join(words_of(value), " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def parse_fielded(query: str) -> Column:
-    """One condition for a query of field:value (or bare words), AND, OR, NOT and parentheses; AND binds closer; OR is implied."""
-    tokens = re.findall(r'\(|\)|[^\s():]+:"[^"]*"|[^\s():]+:[^\s()]+|"[^"]*"|[^\s()]+', query)
+    """One condition for a query of field:value, field:(...), bare words and phrases in quotes, AND, OR, NOT (or -) and parentheses.
+
+    AND binds closer; OR is implied. A phrase matches where its words follow each other in one
+    value, several words without quotes where one value has them all. Operators and parentheses
+    without an operand are left out, and a query without any matches everything.
+    """
+    tokens = re.findall(r'[()]|-?[^\s():"]+:"[^"]*"|-?[^\s():"]+:(?=\()|-?[^\s():"]+:[^\s()"]+|-?"[^"]*"|[^\s()"]+', query)
     at = 0
 
-    def either() -> Column:
+    def joined(left: Column | None, right: Column | None, both: bool) -> Column | None:
+        if left is None or right is None:
+            return right if left is None else left
+        return left & right if both else left | right
+
+    def either(field: str, depth: int) -> Column | None:
         nonlocal at
-        left = both()
-        while at < len(tokens) and tokens[at] not in (")",):
-            if tokens[at] == "OR":
+        left = None
+        while at < len(tokens):
+            if tokens[at] == ")":
+                if depth:
+                    break
+                at += 1  # closes nothing
+            elif tokens[at] in ("OR", "AND"):
                 at += 1
-            left = left | both()
+            else:
+                left = joined(left, every_(field, depth), False)
         return left
 
-    def both() -> Column:
+    def every_(field: str, depth: int) -> Column | None:
         nonlocal at
-        left = single()
-        while at < len(tokens) and tokens[at] in ("AND", "NOT"):
+        left = single(field, depth)
+        while at < len(tokens) and (tokens[at] in ("AND", "NOT") or tokens[at].startswith("-")):
             if tokens[at] == "AND":
                 at += 1
-            left = left & single()
+            left = joined(left, single(field, depth), True)
         return left
 
-    def single() -> Column:
+    def single(field: str, depth: int) -> Column | None:
         nonlocal at
+        if at >= len(tokens) or tokens[at] in (")", "AND", "OR"):
+            return None
         token = tokens[at]
         at += 1
         if token == "NOT":
-            return ~single()
-        if token == "(":
-            inner = either()
+            inner = single(field, depth)
+            return None if inner is None else ~inner
+        if token.startswith("-") and len(token) > 1:
+            tokens[at - 1] = token[1:]
+            at -= 1
+            inner = single(field, depth)
+            return None if inner is None else ~inner
+        if token == "(" or token.endswith(":"):
+            if token != "(":
+                field, at = token[:-1], at + 1
+            inner = either(field, depth + 1)
             at += 1
             return inner
-        field, _, value = token.partition(":") if ":" in token else ("", "", token)
-        value = value.strip('"')
-        if not field:
-            return F.exists(F.flatten(F.map_values("fields")), lambda e: F.array_contains(words_of(e["value"]), value.lower()))
+        if not token.startswith('"') and ":" in token:
+            field, _, token = token.partition(":")
+        return term(field, token.strip('"'), token.startswith('"'))
+
+    def term(field: str, value: str, phrase: bool) -> Column | None:
         if field.startswith("system.spec"):
             return F.col("spec") == value
         if field.endswith(".raw"):
             return F.array_contains(raws(field), value)
-        every = [w for w in re.split(r"[\W_]+", value.lower()) if w]
-        return F.exists(raws(field), lambda v: reduce(lambda a, b: a & b, [F.array_contains(words_of(v), w) for w in every], F.lit(True)))
-
-    return either() if tokens else F.lit(True)
+        words = _words(value)
+        if not words:
+            return None
+        met = (lambda v: in_order(v, words)) if phrase else (lambda v: F.size(F.array_except(F.array(*[F.lit(w) for w in words]), words_of(v))) == 0)
+        if field:
+            return F.exists(F.coalesce(F.transform(F.try_element_at("fields", F.lit(field.removesuffix(".value"))), lambda e: e["value"]), F.array().cast("array<string>")), met)
+        return F.exists(F.flatten(F.map_values("fields")), lambda e: met(e["value"]))
+
+    found = either("", 0)
+    return F.lit(True) if found is None else found
 
 
 def match_fielded(docs: DataFrame, query: str) -> DataFrame:

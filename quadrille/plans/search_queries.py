@@ -93,6 +93,24 @@ def match_fielded(spark, d):
     return S.match_fielded(text_docs(spark, d), "(dc_language.raw:de OR dc_language.raw:fr) AND NOT system.spec.raw:src0").select("hub_id")
 
 
+_TITLE_WORDS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' '"
+
+
+@_q(f"WITH w AS (SELECT hub_id, spec, {_TITLE_WORDS} AS t FROM {{docs}}) SELECT hub_id FROM w WHERE ((contains(t, ' of the ') AND NOT contains(t, ' in ')) OR contains(t, ' de la ') OR (contains(t, ' und ') AND contains(t, ' der '))) AND spec <> 'src0'")
+def match_phrases(spark, d):
+    """Phrases, bare and of a field, words of a field in any order, and operators that lack an operand."""
+    return S.match_fielded(text_docs(spark, d), '(("of the" -in) OR dc_title:"De la" OR dc_title:(der AND und)) AND NOT system.spec.raw:src0 AND').select("hub_id")
+
+
+@_q(
+    f"""WITH w AS (SELECT hub_id, {_WORDS} AS w FROM {{docs}}), c AS (SELECT hub_id, len(w) AS l, len(list_filter(w, lambda x: x = 'license')) AS a, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS b FROM w),
+s AS (SELECT count(*) AS n, avg(l) AS av, count(CASE WHEN a > 0 THEN 1 END) AS da, count(CASE WHEN b > 0 THEN 1 END) AS db FROM c)
+SELECT hub_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / av)), 4) AS score FROM c, s WHERE a > 0 AND b > 0"""
+)
+def match_text_phrase(spark, d):
+    return S.match_text(table(spark, d, "docs"), '"of the" license', F.col("text")).select("hub_id", F.round("score", 4).alias("score"))
+
+
 @_q("SELECT hub_id, CASE WHEN lang = 'de' THEN 0.5 ELSE 1.0 END * CASE WHEN spec = 'src1' THEN 0.5 ELSE 1.0 END AS score FROM {docs}")
 def boost(spark, d):
     docs = text_docs(spark, d).withColumn("score", F.lit(1.0))
