@@ -216,4 +216,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, least: flo
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that leak no item, with the columns they had."""
     bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(small(bad), docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    return rows.join(small(bad), F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

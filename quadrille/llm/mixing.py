@@ -3,9 +3,9 @@
 Every source gets a target of words: a share of all words by weight, at most ``most`` times what
 it holds, the excess reshared. Golden-ratio points mapped through the cumulative targets name the
 source of each slot of the mix. A source's documents, shuffled by hash and repeated end to end,
-are cut into blocks of equally many words; the slot of rank r in its source takes block r. The
-last slot of a source is cut at its target, and the few slots that rounding of the schedule
-leaves out follow at the end, so that a source gives its target to the word.
+are cut into blocks of equally many words; the slot of rank r in its source takes block r. So the
+points decide what is taken: a source's words differ from its target by a few blocks, as the
+discrepancy of the points has it, and a source that has no block left leaves its slot empty.
 
 Slots grow with the corpus once a block would have more than ``BLOCK_WORDS`` words. Running sums
 inside a source go by ranges of the hash, so no task sees a whole source.
@@ -53,18 +53,16 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     )
 
 
-def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
+def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """(source_id, rank, place) of every slot of the mix; rank counts a source's slots from 0."""
     spark = targets.sparkSession
     ahead = Window.orderBy("source_id")
     held = (
-        targets.withColumn("_quota", F.round("target").cast("long"))
-        .filter("_quota > 0")
-        .withColumn("_need", F.ceil(F.col("_quota") / block).cast("long"))
+        targets.filter("target > 0")
         .withColumn("_to", F.sum("target").over(ahead) / F.sum("target").over(Window.partitionBy()))
         .withColumn("_from", F.coalesce(F.lag("_to").over(ahead), F.lit(0.0)))
         .withColumn("_to", F.when(F.lead("_to").over(ahead).isNull(), F.lit(1.0)).otherwise(F.col("_to")))
-        .select("source_id", "_need", "_from", "_to")
+        .select("source_id", "_from", "_to")
     )
     cells = held.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") * CELLS), F.least(F.floor(F.col("_to") * CELLS), F.lit(CELLS - 1)))))
     points = (
@@ -73,28 +71,20 @@ def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
         .withColumn("_point", (F.col("place") * F.lit(GOLDEN) % F.lit(1 << 31)) / F.lit(float(1 << 31)))
         .withColumn("_cell", F.floor(F.col("_point") * CELLS))
     )
-    named = points.join(cells, "_cell").filter("_point >= _from and _point < _to").select("source_id", "_need", "place")
+    named = points.join(cells, "_cell").filter("_point >= _from and _point < _to").select("source_id", "place")
     width = F.floor(F.col("place") * F.lit(float(1 << 31) / max(slots, 1))).cast("long")
-    ranked = running(named, ["source_id"], F.lit(max(1, slots // RANGE_ROWS)), F.least(width, F.lit((1 << 31) - 1)), [F.col("place")], F.lit(1), "rank").filter("rank < _need")
-    got = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("_got"))
-    late = (
-        held.join(got, "source_id", "left")
-        .withColumn("_got", F.coalesce("_got", F.lit(0)))
-        .filter("_got < _need")
-        .select("source_id", F.explode(F.sequence("_got", F.col("_need") - 1)).alias("rank"))
-        .withColumn("place", F.lit(slots) + F.col("rank"))
-    )
-    return ranked.select("source_id", "rank", "place").unionByName(late)
+    return running(named, ["source_id"], F.lit(max(1, slots // RANGE_ROWS)), F.least(width, F.lit((1 << 31) - 1)), [F.col("place")], F.lit(1), "rank").select("source_id", "rank", "place")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, slots: int | None = None, seed: int = 11) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, taken, first_place): words the mix takes of every row.
+    """(doc_id, text_hash, source, size, source_size, target, taken, first_place, places, slots): words the mix takes of every row.
 
-    ``taken`` counts repeats and is at most ``most`` times ``size``; a source's sum is its target,
-    rounded. Rows without words get 0. Null source is a source of its own, null text has no words,
+    ``taken`` counts repeats and is at most ``most`` times ``size``, rounded up; a source's sum is
+    its target but for a few blocks. Rows without words get 0. Null source is a source of its own, null text has no words,
     an empty table gives an empty result, columns other than doc_id, text and source are not read.
     Equal rows are separate rows; the hash of doc_id and text orders a source, so reruns agree.
-    ``first_place`` is the earliest slot of the mix that takes words of the row, null if none does.
+    ``first_place`` is the earliest slot of the mix that takes words of the row, null if none does;
+    ``places`` has the earliest of each time round its source; ``slots`` is their number.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     targets = cut(source_targets(sized, weights, share, most))
@@ -109,35 +99,40 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
         placed.withColumn("_pass", F.explode(F.array(*[F.lit(k) for k in range(passes)])))
         .withColumn("_lo", F.col("start") + F.col("_pass") * F.col("source_size"))
         .withColumn("_hi", F.col("_lo") + F.col("size"))
-        .withColumn("_quota", F.round("target").cast("long"))
+        .withColumn("_most", F.floor(F.lit(float(most)) * F.col("source_size")))
         .withColumn("rank", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor((F.col("_hi") - 1) / block))))
     )
-    slot = schedule(targets, places, block)
-    piece = F.greatest(F.lit(0), F.least("_hi", (F.col("rank") + 1) * block, "_quota") - F.greatest("_lo", F.col("rank") * block))
+    slot = schedule(targets, places)
+    piece = F.greatest(F.lit(0), F.least("_hi", (F.col("rank") + 1) * block, "_most") - F.greatest("_lo", F.col("rank") * block))
     of_row = ["doc_id", "text_hash", "source", "source_id", "start", "size", "source_size", "target"]
     taken = (
         blocks.join(slot, ["source_id", "rank"], "left")
         .withColumn("_piece", F.when(F.col("place").isNotNull(), piece).otherwise(F.lit(0)))
         .groupBy(*of_row)
-        .agg(F.sum("_piece").cast("long").alias("taken"), F.min(F.when(F.col("_piece") > 0, F.col("place"))).alias("first_place"))
+        .agg(F.sum("_piece").cast("long").alias("taken"), F.array(*[F.min(F.when((F.col("_piece") > 0) & (F.col("_pass") == k), F.col("place"))) for k in range(passes)]).alias("places"))
+        .withColumn("first_place", F.array_min("places"))
     )
-    out = ["doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "first_place"]
-    empty = known.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_place": F.lit(None).cast("long")})
-    return taken.select(*out).unionByName(empty.select(*out))
+    out = ["doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "first_place", "places"]
+    empty = known.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_place": F.lit(None).cast("long"), "places": F.array().cast("array<bigint>")})
+    return taken.select(*out).unionByName(empty.select(*out)).withColumn("slots", F.lit(places).cast("long"))
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
+def mixture(docs: DataFrame, place: str | None = None, **how) -> DataFrame:
     """The documents of the mix, as many whole copies of each as the taken words round to, half up.
 
-    Columns are those of ``docs``. Rows equal in doc_id, text and source share their mean.
+    Columns are those of ``docs``; ``place`` names one more, the slot of each copy, by which the
+    sources follow each other as the schedule has them. Rows equal in doc_id, text and source
+    share their mean.
     """
     copies = (
         mix(docs, **how)
-        .groupBy("doc_id", "text_hash", "source")
-        .agg(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).alias("_times"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_from"))
+        .agg(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).alias("_times"), F.min("places").alias("_places"), F.min("first_place").alias("_first"))
         .withColumn("_copies", F.floor(F.coalesce("_times", F.lit(0.0)) + 0.5).cast("int"))
         .filter("_copies > 0")
     )
-    d, c = docs.withColumn("_hash", F.xxhash64("text")), copies
-    joined = d.join(c, d.doc_id.eqNullSafe(c.doc_id) & (d._hash == c.text_hash) & d.source.eqNullSafe(c.source))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[d[x] for x in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_of"), F.xxhash64("text").alias("_text"), F.col("source").alias("_source"))
+    joined = rows.join(copies, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")) & F.col("_source").eqNullSafe(F.col("_from")))
+    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    own = [F.coalesce(F.get("_places", F.col("_copy")), F.col("_first")).alias(place)] if place else []
+    return each.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != place], *own)

@@ -11,7 +11,7 @@ from .common import read
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_place", "slots")
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 23, carry: list[str] | N
     carry = docs.columns if carry is None else carry
     made = {"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, "text_crc32": F.crc32(F.encode("text", "UTF-8")).cast("long")}
     kept = [c for c in carry if c.lower() not in ("size", "text_crc32", "shard", "slot")]
-    rows = docs.withColumns({**{f"_{k}": v for k, v in made.items()}, "_key": F.xxhash64("doc_id", "text")}).select(*kept, *[F.col(f"_{k}").alias(k) for k in made], "_key")
+    rows = docs.select(F.struct(*kept, *[v.alias(k) for k, v in made.items()]).alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
     n = docs.count()
     parts = max(64, min(MOST_PARTITIONS, n // 20_000))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(parts)).cast("int"))
@@ -88,4 +88,4 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 23, carry: list[str] | N
         .drop("_at", "_bounds", "_part")
     )
     ranges = max(1, -(-n // shards // 20_000))
-    return running(dealt, ["shard"], F.lit(ranges), spread31(seed + 2, F.col("_key")), [F.col("_key")], F.lit(1), "slot").drop("_key").withColumn("slot", F.col("slot").cast("long"))
+    return running(dealt, ["shard"], F.lit(ranges), spread31(seed + 2, F.col("_key")), [F.col("_key")], F.lit(1), "slot").select(*[F.col("_row")[c].alias(c) for c in [*kept, *made]], "shard", F.col("slot").cast("long").alias("slot"))

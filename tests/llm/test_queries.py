@@ -27,7 +27,7 @@ def test_sql(spark, sf_dir, name):
 
 
 COLUMNS = {
-    "op1_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
+    "op1_mix_sources": {"doc_id", "size", "source_size", "target", "taken", "first_place", "slots"},
     "op2_shard": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op6_decontaminate": {"doc_id", "item_id", "share"},
     "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
