@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hub_id_from_graph, rebase_uri
@@ -130,18 +130,23 @@ def record_summaries(quads: DataFrame) -> DataFrame:
     return per.withColumn("_pairs", pairs).select("graph", F.coalesce(*[filled(f"_caption{k}") for k in range(len(CAPTIONS))]).alias("captions"), points.alias("points"), F.col("_thumbnail.o").alias("thumbnail"), F.struct(*legacy).alias("legacy"))
 
 
-def build_records(quads: DataFrame, org: str) -> DataFrame:
-    """(hub_id, spec, source_uri, graph, fields, point, system, legacy) of every record graph."""
+def build_records(quads: DataFrame, org: str, at: Column | None = None, kind: str = "mdr") -> DataFrame:
+    """(hub_id, spec, source_uri, graph, fields, point, system, legacy) of every record graph.
+
+    ``at`` is the time of creation and change, now if not given; ``kind`` is part of the path of the preview.
+    """
+    at = F.current_timestamp() if at is None else at
     source = F.regexp_replace("graph", "/graph$", "")
     spec = F.element_at(F.split(source, "/"), -2)
+    hub = hub_id_from_graph(F.col("graph"), org, spec)
     return to_flat_docs(quads).join(record_summaries(quads), "graph", "left").select(
-        hub_id_from_graph(F.col("graph"), org, spec).alias("hub_id"),
+        hub.alias("hub_id"),
         spec.alias("spec"),
         source.alias("source_uri"),
         "graph",
         "fields",
         F.col("points").alias("point"),
-        F.struct(spec.alias("spec"), source.alias("about_uri"), F.array_min("captions").alias("caption"), "thumbnail", F.sha1(F.to_json("fields")).alias("content_hash")).alias("system"),
+        F.struct(spec.alias("spec"), source.alias("about_uri"), F.array_min("captions").alias("caption"), "thumbnail", F.sha1(F.to_json("fields")).alias("content_hash"), hub.alias("slug"), F.concat(F.lit(f"detail/foldout/{kind}/"), hub).alias("preview"), source.alias("source_uri"), F.col("graph").alias("graph_name"), at.alias("created_at"), at.alias("modified_at")).alias("system"),
         "legacy",
     )
 

@@ -212,6 +212,24 @@ def order_media(quads: DataFrame) -> DataFrame:
     return media.join(order, ["graph", "s"], "left").withColumn("place", F.row_number().over(w)).drop("_o")
 
 
+def views_in_order(quads: DataFrame) -> DataFrame:
+    """Quads with ``place``: views are the web resources of their graph in the order of ``order_media``; null on other quads.
+
+    An aggregation that has any view, and the record itself, have all web resources as views, so
+    views of an aggregation that are none go, and those of a graph without web resources.
+    """
+    kinds = quads.filter((F.col("p") == TYPE) & (F.col("o") == ORE + "Aggregation")).select("graph", "s").distinct().withColumn("_agg", F.lit(True))
+    marked = quads.filter(F.col("p") == EDM + "hasView").join(kinds, ["graph", "s"], "left")
+    media = order_media(quads).withColumnRenamed("s", "o")
+    records = media.select("graph", F.regexp_replace("graph", "/graph$", "").alias("s"))
+    holders = marked.filter("_agg").select("graph", "s").unionByName(records).distinct()
+    null = F.lit(None).cast("string")
+    views = media.join(holders, "graph").select("graph", "s", F.lit("URIRef").alias("s_kind"), F.lit(EDM + "hasView").alias("p"), "o", F.lit("URIRef").alias("o_kind"), null.alias("datatype"), null.alias("lang"), "place")
+    others = marked.filter("_agg is null").drop("_agg").join(views.select("graph", "s", "o"), ["graph", "s", "o"], "left_anti")
+    kept = quads.filter((F.col("p") != EDM + "hasView") | F.col("p").isNull()).select(*QUAD).unionByName(others.select(*QUAD))
+    return kept.withColumn("place", F.lit(None).cast("int")).unionByName(views)
+
+
 def pick_thumbnail(quads: DataFrame, order: list[str] = THUMBNAILS) -> DataFrame:
     """(graph, thumbnail): the least value of the first predicate in order that has one."""
     found = quads.filter(F.col("p").isin(order))
@@ -269,11 +287,19 @@ def geo_points(quads: DataFrame) -> DataFrame:
     return both.select("graph", F.coalesce("_pairs", "_told").alias("points"), F.col("_pairs").isNull().alias("only_geohash"))
 
 
-def resources_by_type(quads: DataFrame, rdf_type: str, field: str) -> DataFrame:
-    """(value, resources, tags): resources of a type by a property, equal values merged with their graphs as tags."""
+def resources_by_type(quads: DataFrame, rdf_type: str, field: str, tag: str | None = None) -> DataFrame:
+    """(value, resources, graphs, tags): resources of a type by a property, equal values merged.
+
+    ``resources`` and ``graphs`` are counts; ``tags`` is the union, in order, of the non-empty values
+    that the property ``tag`` has on the merged resources, empty without one. A resource without
+    tags still counts.
+    """
     typed = quads.filter((F.col("p") == TYPE) & (F.col("o") == rdf_type)).select("graph", "s").distinct()
-    values = quads.filter(F.col("p") == field).select("graph", "s", F.col("o").alias("value"))
-    return values.join(typed, ["graph", "s"], "left_semi").groupBy("value").agg(F.countDistinct("s").alias("resources"), F.countDistinct("graph").alias("tags"))
+    values = quads.filter(F.col("p") == field).select("graph", "s", F.col("o").alias("value")).join(typed, ["graph", "s"], "left_semi")
+    counted = values.groupBy("value").agg(F.countDistinct("s").alias("resources"), F.countDistinct("graph").alias("graphs"))
+    named = quads.filter((F.col("p") == F.lit(tag)) & (F.col("o") != "")).select("graph", "s", F.col("o").alias("tag"))
+    tags = values.join(named, ["graph", "s"]).groupBy("value").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
+    return counted.join(tags, "value", "left").select("value", "resources", "graphs", F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def count_triples(quads: DataFrame, by: str = "graph") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import encode_token
+from .search import filter_docs, match_fielded
 from .tables import cut
 
 
@@ -15,9 +16,13 @@ def public_only(docs: DataFrame, datasets: DataFrame) -> DataFrame:
     return docs.join(datasets.filter("published and not deleted").select("spec"), "spec", "left_semi")
 
 
-def harvest_select(docs: DataFrame, spec: str | None = None, start=None, until=None) -> DataFrame:
-    """Documents of a set, modified from a time on and until one."""
+def harvest_select(docs: DataFrame, spec: str | None = None, start=None, until=None, query: str | None = None, filters: dict[str, list[str]] | None = None) -> DataFrame:
+    """Documents of a set, modified from a time on and until one; of a saved query (fielded) and its filters, if given."""
     out = docs
+    if query:
+        out = match_fielded(out, query)
+    if filters:
+        out = filter_docs(out, filters)
     if spec is not None:
         out = out.filter(F.col("spec") == spec)
     if start is not None:

@@ -272,19 +272,41 @@ def visible_docs(docs: DataFrame, whitelist: DataFrame, ip: str) -> DataFrame:
 
 
 def find_items(docs: DataFrame, ids: DataFrame, by: str = "hub_id", ignore_case: bool = False) -> DataFrame:
-    """Documents whose column ``by`` is among ``ids`` (id)."""
+    """Documents whose ``by`` is among ``ids`` (id): a column, or a field such as dc_identifier, of which one exact value is enough."""
     fold = F.lower if ignore_case else (lambda c: c)
-    return docs.join(ids.select(fold(F.col("id")).alias("_id")).distinct(), fold(F.col(by)) == F.col("_id"), "left_semi")
+    wanted = ids.select(fold(F.col("id")).alias("_id")).distinct()
+    if by in docs.columns:
+        return docs.join(wanted, fold(F.col(by)) == F.col("_id"), "left_semi")
+    held = docs.select("hub_id", F.explode(F.array_distinct(F.transform(raws(by), fold))).alias("_id"))
+    return docs.join(held.join(wanted, "_id", "left_semi").select("hub_id"), "hub_id", "left_semi")
+
+
+#: Parts into which the documents of groups without a wanted value are dealt.
+DEALT = 64
 
 
 def collection_members(docs: DataFrame, collections: DataFrame) -> DataFrame:
-    """(slug, hub_id): documents of saved collections (slug, filters array<struct<field, value>>): every field has one of its wanted values.
+    """(slug, hub_id): documents of saved collections (slug, filters[, or_filters]), both array<struct<field, value>>.
 
-    Filters and documents meet on (field, value); a field counts once however many of its values match.
+    A document fits a group of filters if every field has one of its wanted values and no field with
+    ``-`` before its name has a value named there. It is a member if it fits ``filters`` or, unless
+    null or empty, ``or_filters``; filters that are null, empty or only exclude fit all else. Groups
+    meet documents on (field, value) and count the fields met; a field counts once however many of
+    its values match. Groups that want no value meet all documents, in ``DEALT`` parts.
     """
-    wanted = collections.select("slug", F.size(F.array_distinct(F.transform("filters", lambda f: f["field"]))).alias("_need"), F.explode(F.array_distinct("filters")).alias("f")).select("slug", "_need", "f.field", "f.value")
-    met = raw_values(docs).join(wanted, ["field", "value"])
-    return met.groupBy("slug", "hub_id").agg(F.countDistinct("field").alias("_got"), F.max("_need").alias("_need")).filter("_got = _need").select("slug", "hub_id")
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    sides = [F.coalesce("filters", none)] + ([F.when(F.size("or_filters") > 0, F.col("or_filters"))] if "or_filters" in collections.columns else [])
+    groups = collections.select("slug", F.posexplode(F.array(*sides)).alias("_g", "_f")).filter("_f is not null")
+    terms = F.array_distinct(F.transform("_f", lambda f: F.struct(f["field"].startswith("-").alias("bad"), F.regexp_replace(f["field"], r"^-|\.raw$", "").alias("field"), f["value"].alias("value"))))
+    need = F.size(F.array_distinct(F.transform(F.filter("_t", lambda t: ~t["bad"]), lambda t: t["field"])))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(DEALT - 1)), lambda i: F.struct(F.lit(False).alias("bad"), F.lit("").alias("field"), i.cast("string").alias("value")))
+    groups = groups.withColumn("_t", terms).withColumn("_need", need)
+    wanted = groups.select("slug", "_g", F.greatest("_need", F.lit(1)).alias("_need"), F.explode(F.when(F.col("_need") == 0, F.concat("_t", parts)).otherwise(F.col("_t"))).alias("t")).select("slug", "_g", "_need", "t.bad", "t.field", "t.value")
+    held = raw_values(docs).select("hub_id", "field", "value")
+    if not groups.filter("_need = 0").isEmpty():
+        held = held.unionByName(docs.select("hub_id", F.lit("").alias("field"), F.pmod(F.xxhash64("hub_id"), F.lit(DEALT)).cast("string").alias("value")))
+    met = held.join(wanted, ["field", "value"]).groupBy("slug", "_g", "hub_id").agg(F.count_distinct(F.when(~F.col("bad"), F.col("field"))).alias("_got"), F.max("_need").alias("_need"), F.bool_or("bad").alias("_bad"))
+    return met.filter("_got = _need and not _bad").select("slug", "hub_id").distinct()
 
 
 #: Heavy values of a set up to which all its parts are listed; larger sets meet others one by one.
@@ -342,28 +364,34 @@ def _first(rows: DataFrame, key: str | list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def more_like_this(docs: DataFrame, text: Column, k: int, terms: int = 12, min_tf: int = 1, min_df: int = 2, max_df: int | None = None) -> DataFrame:
+def more_like_this(docs: DataFrame, text: Column | list[str], k: int, terms: int = 12, min_tf: int = 1, min_df: int = 2, max_df: int | None = None, where: Column | None = None) -> DataFrame:
     """(hub_id, related, score): for each record the k others that share most weight of its best terms by tf * idf.
 
+    ``text`` is a text, or the fields whose values make it up; ``where`` is a condition on the
+    records that may be related, whose frequencies count all records nevertheless.
     Of every record, one row of ``docs``, at most ``terms`` terms are looked up. Records are dealt to
     blocks, however frequent their terms; the best terms of every record visit each block and add
     up their postings there, so no pair of records is ever a row, and a block passes on k of each.
     With ``max_df``, terms of more documents are not used.
     """
+    if isinstance(text, list):
+        values = [F.coalesce(F.transform(F.try_element_at("fields", F.lit(f.removesuffix(".raw").removesuffix(".value"))), lambda e: e["value"]), F.array().cast("array<string>")) for f in text]
+        text = F.array_join(F.flatten(F.array(*values)), " ")
+    may = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     n = docs.count()
-    tf = docs.select("hub_id", words_of(text).alias("words")).mapInArrow(_term_counts, "hub_id string, term string, tf long")
+    tf = docs.select("hub_id", words_of(text).alias("words"), may.alias("may")).mapInArrow(_term_counts, "hub_id string, term string, tf long, may boolean")
     seen = F.col("df") >= min_df if max_df is None else F.col("df").between(min_df, max_df)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(seen)
     df = cut(df.orderBy("term").select("term", F.monotonically_increasing_id().alias("t"), F.log(1 + F.lit(float(n)) / F.col("df")).alias("idf")))  # t ascends with the term
     weighed = tf.join(df, "term").withColumn("w", F.round(F.col("tf") * F.col("idf"), 6))
-    bags = weighed.groupBy("hub_id").agg(F.collect_list(F.struct((-F.col("w")).alias("v"), "t", (F.col("w") * F.col("idf")).alias("s"), (F.col("tf") >= min_tf).alias("use"))).alias("l"))
+    bags = weighed.groupBy("hub_id", "may").agg(F.collect_list(F.struct((-F.col("w")).alias("v"), "t", (F.col("w") * F.col("idf")).alias("s"), (F.col("tf") >= min_tf).alias("use"))).alias("l"))
     best = F.slice(F.sort_array(F.filter("l", lambda x: x["use"])), 1, terms)
     spark = docs.sparkSession
     blocks = max(-(-n // BLOCK_DOCS), min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
-    packed = bags.select("hub_id", F.transform("l", lambda x: x["t"]).alias("held"), best.alias("b")).select("hub_id", "held", F.transform("b", lambda x: x["t"]).alias("t"), F.transform("b", lambda x: x["s"]).alias("s"))
+    packed = bags.select("hub_id", "may", F.transform("l", lambda x: x["t"]).alias("held"), best.alias("b")).select("hub_id", "may", "held", F.transform("b", lambda x: x["t"]).alias("t"), F.transform("b", lambda x: x["s"]).alias("s"))
     none = F.array().cast("array<double>")
-    # side 0 has the terms of the block's own records, side 1 the best terms of all
-    own = F.array(F.struct(F.pmod(F.xxhash64("hub_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), F.col("held").alias("t"), none.alias("s")))
+    # side 0 has the terms of the block's own records that may be related, side 1 the best terms of all
+    own = F.filter(F.array(F.struct(F.pmod(F.xxhash64("hub_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), F.col("held").alias("t"), none.alias("s"))), lambda _: F.col("may"))
     all_ = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(b.alias("block"), F.lit(1).alias("side"), F.col("t").alias("t"), F.col("s").alias("s")))
     dealt = packed.select("hub_id", F.explode(F.concat(own, all_)).alias("r")).select("r.block", "r.side", "hub_id", "r.t", "r.s")
     met = dealt.repartition(blocks, "block").sortWithinPartitions("block", "side", "hub_id").mapInArrow(_in_blocks(k), "hub_id string, related string, score double")
@@ -376,10 +404,14 @@ BLOCK_DOCS = 32768
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for hub, words in zip(batch.column(0), batch.column(1), strict=True):
+        row, terms, times = [], [], []
+        for i, words in enumerate(batch.column(1)):
             tf = Counter(words.as_py() or [])
-            if tf:
-                yield pa.RecordBatch.from_arrays([pa.array([hub.as_py()] * len(tf), pa.string()), pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64())], ["hub_id", "term", "tf"])
+            row += [i] * len(tf)
+            terms += tf
+            times += tf.values()
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(terms, pa.string()), pa.array(times, pa.int64()), batch.column(2).take(at)], ["hub_id", "term", "tf", "may"])
 
 
 def _in_blocks(k: int):

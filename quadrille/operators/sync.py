@@ -90,6 +90,17 @@ def remove_orphans(docs: DataFrame, purges: DataFrame, enabled: bool = True) ->
     return docs.join(last, (F.col("spec") == F.col("_spec")) & (F.col("modified_at") <= F.col("_at")), "left_anti")
 
 
+def count_orphans(docs: DataFrame, purges: DataFrame, enabled: bool = True) -> DataFrame:
+    """(spec, removed): how many documents ``remove_orphans`` removes for each purged spec; 0 for all if not enabled."""
+    last = purges.groupBy("spec").agg(F.max("purged_at").alias("_at"))
+    if not enabled:
+        return last.select("spec", F.lit(0).cast("long").alias("removed"))
+    held = docs.select(F.col("spec").alias("_spec"), "modified_at")
+    # purges are few, so documents are counted before anything is shuffled
+    gone = held.join(last, (F.col("_spec") == F.col("spec")) & (F.col("modified_at") <= F.col("_at"))).groupBy("spec").agg(F.count(F.lit(1)).alias("_n"))
+    return last.join(gone, "spec", "left").select("spec", F.coalesce("_n", F.lit(0)).alias("removed"))
+
+
 def bulk_stats(routed: DataFrame, changed: DataFrame) -> DataFrame:
     """(spec, received, errors, indexed, stored, hash_matches) of a batch."""
     received = routed.groupBy("spec").agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("route") == "error").alias("errors"), F.count_if(F.col("route") == "index").alias("indexed"))

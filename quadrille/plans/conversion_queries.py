@@ -116,6 +116,14 @@ def harvest_select(spark, d):
     return H.harvest_select(table(spark, d, "docs"), "src3", t("2024-01-01 01:00:00"), t("2024-01-01 12:00:00")).select("hub_id")
 
 
+@_q("SELECT hub_id FROM {docs} WHERE (lang = 'de' OR contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' the ')) AND spec IN ('src1', 'src2', 'src3') AND modified_at >= TIMESTAMP '2024-01-01 01:00:00'")
+def harvest_saved_query(spark, d):
+    """A harvest of a saved query with a filter."""
+    from .search_queries import text_docs
+
+    return H.harvest_select(text_docs(spark, d), start=F.to_timestamp(F.lit("2024-01-01 01:00:00")), query="dc_language.raw:de OR dc_title:the", filters={"edm_dataProvider.raw": ["src1", "src2", "src3"]}).select("hub_id")
+
+
 @_q(
     """SELECT hub_id, pos AS position, pos // 100 AS page, pos // 100 * 100 AS "cursor", n AS list_size,
  CASE WHEN pos // 100 * 100 + 100 < n THEN base64(encode(concat('prefix=edm::from=::until=::set=::cursor=', pos // 100 * 100 + 100, '::list_size=', n))) END AS token

@@ -194,6 +194,18 @@ def order_media(spark, d):
     return G.order_media(table(spark, d, "quads"))
 
 
+@_q(
+    _OWN + f""", m AS (SELECT graph, o, row_number() OVER (PARTITION BY graph ORDER BY coalesce(k, 0), o)::INTEGER AS place
+ FROM (SELECT graph, s AS o, max(CASE WHEN p = '{QTERM}resourceSortOrder' THEN CAST(o AS INTEGER) END) AS k FROM q WHERE s LIKE 'urn:%' GROUP BY graph, s))
+SELECT graph, s, p, o, NULL::INTEGER AS place FROM q WHERE p <> '{EDM}hasView' UNION ALL SELECT graph, replace(graph, '/graph', ''), '{EDM}hasView', o, place FROM m"""
+)
+def views_in_order(spark, d):
+    """Record graphs that don't tell about a third of their views."""
+    q = table(spark, d, "quads")
+    told = q.filter(~((F.col("p") == EDM + "hasView") & (F.crc32("o") % 3 == 0)))
+    return G.views_in_order(told).select("graph", "s", "p", "o", "place")
+
+
 @_q(_OWN + f"SELECT graph, min(o) AS thumbnail FROM q WHERE p = '{QTERM}thumbnail' GROUP BY graph")
 def pick_thumbnail(spark, d):
     return G.pick_thumbnail(table(spark, d, "quads"))
@@ -232,9 +244,13 @@ def geo_points(spark, d):
     return G.geo_points(table(spark, d, "quads")).select("graph", F.array_join("points", "|").alias("points"), "only_geohash")
 
 
-@_q(_OWN + f"SELECT v.o AS value, count(DISTINCT v.s) AS resources, count(DISTINCT v.graph) AS tags FROM q v WHERE v.p = '{SKOS}prefLabel' AND EXISTS (SELECT 1 FROM q t WHERE t.graph = v.graph AND t.s = v.s AND t.p = '{RDF_TYPE}' AND t.o = '{EDM}Place') GROUP BY v.o")
+@_q(
+    _OWN + f"""SELECT v.o AS value, count(DISTINCT v.s) AS resources, count(DISTINCT v.graph) AS graphs, coalesce(string_agg(DISTINCT x.o, '|' ORDER BY x.o), '') AS tags
+FROM q v LEFT JOIN q x ON x.graph = v.graph AND x.s = v.s AND x.p = '{WGS}lat' WHERE v.p = '{SKOS}prefLabel' AND EXISTS (SELECT 1 FROM q t WHERE t.graph = v.graph AND t.s = v.s AND t.p = '{RDF_TYPE}' AND t.o = '{EDM}Place') GROUP BY v.o"""
+)
 def resources_by_type(spark, d):
-    return G.resources_by_type(table(spark, d, "quads"), EDM + "Place", SKOS + "prefLabel")
+    """Places by label, with their latitudes as tags."""
+    return G.resources_by_type(table(spark, d, "quads"), EDM + "Place", SKOS + "prefLabel", WGS + "lat").withColumn("tags", F.array_join("tags", "|"))
 
 
 @_q(_OWN + "SELECT graph, count(*) AS n FROM q GROUP BY graph")
@@ -383,6 +399,13 @@ def build_records(spark, d):
     return r.select("hub_id", "spec", F.col("system.caption").alias("caption"), F.col("system.thumbnail").alias("thumbnail"), F.col("legacy.qsite_hasGeoHash").alias("hasGeoHash"), F.col("legacy.qsite_hasDigitalObject").alias("hasDigitalObject"))
 
 
+@_q(_OWN + "SELECT concat('demo_', k) AS slug, concat('detail/foldout/mdr/demo_', k) AS preview, graph AS graph_name, replace(graph, '/graph', '') AS source_uri, TIMESTAMP '2024-05-01 10:00:00' AS created_at, TIMESTAMP '2024-05-01 10:00:00' AS modified_at FROM (SELECT DISTINCT graph, replace(regexp_extract(graph, 'aggregation/(n[0-9]+/[0-9]+)/graph', 1), '/', '_') AS k FROM q)")
+def record_systems(spark, d):
+    """The system block of records made at a given time."""
+    r = D.build_records(table(spark, d, "quads"), org="demo", at=F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    return r.select("system.slug", "system.preview", "system.graph_name", "system.source_uri", "system.created_at", "system.modified_at")
+
+
 @_q(_OWN + f"SELECT DISTINCT q.graph, q.s, q.p, q.o FROM q JOIN (SELECT DISTINCT graph, s FROM q WHERE p <> '{RDF_TYPE}') t ON q.graph = t.graph AND q.o = t.s WHERE o_kind = 'URIRef' AND q.o <> q.s AND concat(q.o, '/graph') <> q.graph")
 def followed_objects(spark, d):
     return D.followed(table(spark, d, "quads")).select("graph", "s", "p", "o").distinct()

@@ -289,3 +289,39 @@ def user_content(spark, d):
     content = joined.select(F.concat(F.lit("http://acc.example.org/"), kind, F.lit("/aggregation/"), "source", F.lit("/"), "doc_id").alias("source_uri"), F.concat(F.lit("http://links.example.org/"), "role").alias("link"), "name", F.col("turn").alias("seq"))
     made = attach_user_content(table(spark, d, "docs"), content, ["acc.example.org"], BASE)
     return made.select("hub_id", F.size("user_content").cast("long").alias("links"), F.array_join(F.transform("user_content", lambda x: x["name"]), "|").alias("names"))
+
+
+@_q("SELECT spec, kind, ext, count(*) AS files FROM (SELECT DISTINCT concat('n', n_regionkey) AS spec, kind, 'txt' AS ext, n_nationkey FROM {nation}, (VALUES ('source'), ('thumbnail')) v(kind)) GROUP BY spec, kind, ext")
+def media_manifest(spark, d):
+    """Files of one row for each nation, by spec and kind, listed again without their contents."""
+    path = _scratch(spark)
+    # a row to a file; 25 nations in five specs
+    rows = table(spark, d, "nation").select("n_regionkey", "n_name")
+    for key in range(5):
+        for kind in ("source", "thumbnail"):
+            rows.filter(F.col("n_regionkey") == key).select("n_name").write.option("maxRecordsPerFile", 1).text(f"{path}/n{key}/{kind}")
+    return R.read_media_manifest(spark, path).filter(F.col("ext") == "txt").groupBy("spec", "kind", "ext").agg(F.count(F.lit(1)).alias("files"))
+
+
+@_q("SELECT hub_id, spec, replace(title, chr(34), chr(39)) AS title FROM {docs}")
+def exported_results(spark, d):
+    """All records written as JSON through a converter, and read again."""
+    from .search_queries import text_docs
+
+    path = _scratch(spark)
+    flat = lambda docs: docs.select("hub_id", F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), F.transform(e["value"], lambda x: x["value"]).alias("values"))).alias("flat"))
+    W.export_results(text_docs(spark, d), flat, path)
+    back = spark.read.schema("hub_id string, fields map<string,array<string>>").json(path)
+    return back.select("hub_id", F.col("fields")["edm_dataProvider"][0].alias("spec"), F.col("fields")["dc_title"][0].alias("title"))
+
+
+@_q("SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '-') AS page, CASE WHEN url LIKE '%utm_source=feed%' THEN 'feed' ELSE '-' END AS source FROM {pages}")
+def query_log_stream(spark, d):
+    """Requests as files that a stream appends to a log, in two runs."""
+    path = _scratch(spark)
+    pages = table(spark, d, "pages").select("page_id", F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.concat(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&id="), "page_id").alias("raw_query"))
+    for which in (F.col("page_id") % 2 == 0, F.col("page_id") % 2 == 1):
+        pages.filter(which).select("created_at", "raw_query").write.mode("append").json(f"{path}/in")
+        ingest.stream_query_log(spark, f"{path}/in", f"{path}/out", f"{path}/log").awaitTermination()
+    value = lambda k: F.coalesce(F.try_element_at(F.try_element_at("query_params", F.lit(k)), F.lit(1)), F.lit("-"))
+    return spark.read.parquet(f"{path}/out").select(value("id").cast("long").alias("page_id"), value("page").alias("page"), value("utm_source").alias("source"))

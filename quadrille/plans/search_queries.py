@@ -150,6 +150,15 @@ def find_items(spark, d):
     return S.find_items(table(spark, d, "docs"), ids, ignore_case=True).select("hub_id")
 
 
+@_q("SELECT hub_id FROM {docs} WHERE doc_id % 10 IN (3, 4)")
+def find_by_identifier(spark, d):
+    """Documents by one of two identifiers in their fields."""
+    docs = table(spark, d, "docs")
+    held = docs.withColumn("fields", F.create_map(F.lit("dc_identifier"), _entries(F.concat(F.lit("ID:"), "doc_id"), F.concat(F.lit("inv "), F.col("doc_id") + 1))))
+    ids = docs.filter("doc_id % 10 = 3").select(F.concat(F.lit("id:"), "doc_id").alias("id")).unionByName(docs.filter("doc_id % 10 = 4").select(F.concat(F.lit("INV "), F.col("doc_id") + 1).alias("id")))
+    return S.find_items(held, ids, by="dc_identifier", ignore_case=True).select("hub_id")
+
+
 @_q(_P + "SELECT concat('c', z.k) AS slug, hub_id FROM p JOIN (SELECT DISTINCT p_size AS k FROM {part}) z ON p_size IN (z.k, z.k + 1) WHERE p_type IN (SELECT v FROM t WHERE r <= 2)")
 def collection_members(spark, d):
     a, b = _types(spark, d, 2)
@@ -158,6 +167,24 @@ def collection_members(spark, d):
     return S.collection_members(part_docs(spark, d), saved)
 
 
+@_q(
+    _P + """, z AS (SELECT DISTINCT p_size AS k FROM {part})
+SELECT concat('c', z.k) AS slug, hub_id FROM p, z WHERE (p_size IN (z.k, z.k + 1) AND p_type <> (SELECT v FROM t WHERE r = 1)) OR (z.k % 2 = 0 AND p_brand = concat('Brand#1', z.k % 5) AND p_type = (SELECT v FROM t WHERE r = 2))
+UNION ALL SELECT 'rest', hub_id FROM p WHERE p_type NOT IN (SELECT v FROM t WHERE r <= 2) AND p_size <> 7 UNION ALL SELECT 'all', hub_id FROM p"""
+)
+def collection_groups(spark, d):
+    """Collections with alternatives and excluded values; one that only excludes, one without filters."""
+    a, b = _types(spark, d, 2)
+    f = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    size = table(spark, d, "part").select("p_size").distinct()
+    other = F.when(F.col("p_size") % 2 == 0, F.array(f("edm_dataProvider.raw", F.concat(F.lit("Brand#1"), F.col("p_size") % 5)), f("dc_type", F.lit(b))))
+    own = F.array(f("dc_subject", F.concat(F.lit("size "), "p_size")), f("dc_subject.raw", F.concat(F.lit("size "), F.col("p_size") + 1)), f("-dc_type", F.lit(a)))
+    saved = size.select(F.concat(F.lit("c"), "p_size").alias("slug"), own.alias("filters"), other.alias("or_filters"))
+    rest = spark.range(1).select(F.lit("rest").alias("slug"), F.array(f("-dc_type", F.lit(a)), f("-dc_type.raw", F.lit(b)), f("-dc_subject", F.lit("size 7"))).alias("filters"), none.alias("or_filters"))
+    every = spark.range(1).select(F.lit("all").alias("slug"), none.alias("filters"), none.alias("or_filters"))
+    return S.collection_members(part_docs(spark, d), saved.unionByName(rest).unionByName(every))
+
 
 @_q("WITH v AS (SELECT DISTINCT hub_id, field, left(value, 256) AS value FROM (SELECT hub_id, 'dc_title' AS field, replace(title, '\"', '''') AS value FROM {docs} UNION ALL SELECT hub_id, 'edm_dataProvider', spec FROM {docs})) SELECT hub_id, related, matches FROM (SELECT a.hub_id, b.hub_id AS related, count(*) AS matches, row_number() OVER (PARTITION BY a.hub_id ORDER BY count(*) DESC, b.hub_id) AS r FROM v a JOIN v b ON a.field = b.field AND a.value = b.value AND a.hub_id <> b.hub_id GROUP BY a.hub_id, b.hub_id) WHERE r <= 5")
 def related_by_values(spark, d):
@@ -176,6 +203,19 @@ def more_like_this(spark, d):
     return S.more_like_this(table(spark, d, "docs"), F.col("text"), 10)
 
 
+@_q(
+    f"""WITH t AS (SELECT hub_id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || spec), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM {{docs}}), tf AS (SELECT hub_id, term, count(*) AS tf FROM t GROUP BY hub_id, term),
+df AS (SELECT term, ln(1 + (SELECT count(*) FROM {{docs}})::DOUBLE / count(*)) AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
+w AS (SELECT hub_id, tf.term, round(tf * idf, 6) AS w, idf FROM tf JOIN df ON tf.term = df.term),
+best AS (SELECT hub_id, term, w * idf AS s FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY w DESC, term) AS r FROM w) WHERE r <= 12),
+pairs AS (SELECT b.hub_id, w.hub_id AS related, round(sum(s), 4) AS score FROM best b JOIN w ON b.term = w.term WHERE b.hub_id <> w.hub_id AND w.hub_id IN (SELECT hub_id FROM {{docs}} WHERE lang = 'de' OR lang = 'fr') GROUP BY b.hub_id, w.hub_id)
+SELECT hub_id, related, score FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY score DESC, related) AS r FROM pairs WHERE score > 0) WHERE r <= 5"""
+)
+def more_like_this_fields(spark, d):
+    """By the words of titles and providers, among records of two languages."""
+    return S.more_like_this(text_docs(spark, d), ["dc_title.value", "edm_dataProvider.value"], 5, where=F.col("lang").isin("de", "fr"))
+
+
 @_q(f"SELECT hub_id, array_to_string(list_filter({_WORDS}, lambda x: x NOT IN ({', '.join(repr(w) for w in S.STOP_NL)})), ' ') AS words FROM {{docs}}")
 def analyze_nl(spark, d):
     return table(spark, d, "docs").select("hub_id", F.array_join(S.analyze_nl(F.col("text")), " ").alias("words"))

@@ -77,6 +77,12 @@ def remove_orphans(spark, d):
     return S.remove_orphans(table(spark, d, "docs"), purges).select("hub_id")
 
 
+@_q("WITH p AS (SELECT concat('src', CAST(substring(spec, 2) AS INTEGER) % 25) AS spec, TIMESTAMP '2024-01-01' + CAST(max(seq) % 500 AS INTEGER) * INTERVAL '1' MINUTE AS purged FROM {actions} WHERE action = 'clear_orphans' GROUP BY 1) SELECT p.spec, count(d.hub_id) AS removed FROM p LEFT JOIN {docs} d ON p.spec = d.spec AND d.modified_at <= purged GROUP BY p.spec")
+def count_orphans(spark, d):
+    purges = table(spark, d, "actions").filter("action = 'clear_orphans'").groupBy(F.concat(F.lit("src"), F.substring("spec", 2, 20).cast("int") % 25).alias("spec")).agg((F.lit("2024-01-01").cast("timestamp") + (F.max("seq") % 500) * F.expr("interval 1 minute")).alias("purged_at"))
+    return S.count_orphans(table(spark, d, "docs"), purges)
+
+
 @_q(
     f"WITH r AS ({_ROUTED}), i AS (SELECT * FROM r WHERE action = 'index' AND error IS NULL), c AS (SELECT * FROM i WHERE (hub_id, content_hash) NOT IN (SELECT hub_id, content_hash FROM r WHERE seq < 2000 AND action = 'index')) "
     "SELECT r.spec, count(*) AS received, count(CASE WHEN error IS NOT NULL THEN 1 END) AS errors, count(CASE WHEN action = 'index' AND error IS NULL THEN 1 END) AS indexed, coalesce(max(n), 0) AS stored, count(CASE WHEN action = 'index' AND error IS NULL THEN 1 END) - coalesce(max(n), 0) AS hash_matches FROM r LEFT JOIN (SELECT spec, count(*) AS n FROM c GROUP BY spec) s ON r.spec = s.spec GROUP BY r.spec"
