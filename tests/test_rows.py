@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.namespaces import EDM, ORE, QTERM, SKOS, TYPE
 from quadrille.operators import documents, graph, harvest, search, sync, thesaurus
 from quadrille.schemas import QUAD
+from quadrille.streaming import ingest
 
 FIELDS = "hub_id string, spec string, fields map<string,array<struct<raw:string,value:string>>>"
 
@@ -104,3 +105,44 @@ def test_records_have_their_times(spark):
     assert system.created_at == system.modified_at and system.modified_at.strftime("%j %H:%M") == "034 04:05" and system.graph_name.endswith("/graph")
     now = documents.build_records(quads_of(spark, rows), "demo").first().system
     assert now.modified_at is not None and now.content_hash == system.content_hash
+
+
+def test_a_batch_reads_a_fraction_of_the_snapshot(spark, tmp_path):
+    columns = [c.split(" ")[0] for c in ingest.SNAPSHOT.split(", ")]
+    rows = lambda ids: [(f"h{i:05}", f"s{i % 40}", f"c{i}", None, dt.datetime(2024, 1, 1), False) for i in ids]
+    store = ingest.Snapshot(spark, str(tmp_path / "s"), compact=1, buckets=64)
+    store.write(spark.createDataFrame(rows(range(4000)), f"{ingest.SNAPSHOT}, deleted boolean"), 0)
+    store.compact = 9
+    store.write(spark.createDataFrame([("h00007", "s9", "moved", None, None, False), ("h00003", "s3", "c3", None, None, True)], f"{ingest.SNAPSHOT}, deleted boolean"), 1)
+    assert store.read().count() == 3999
+
+    ids, none = spark.createDataFrame([("h00001",), ("h00007",), ("h00003",), ("new",), (None,)], "hub_id string"), spark.createDataFrame([], "spec string")
+    part = store.read_for(ids, none)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    got = {r.hub_id: r.content_hash for r in part.collect()}
+    assert got["h00001"] == "c1" and got["h00007"] == "moved" and "h00003" not in got
+    assert len(got) < 400  # four of 64 buckets
+    of_spec = store.read_for(ids, spark.createDataFrame([("s5",), (None,)], "spec string"))
+    assert len({r.hub_id for r in of_spec.filter("spec = 's5'").collect()}) == 100 and of_spec.count() < 500
+    assert store.read_for(ids, spark.createDataFrame([(f"x{i}",) for i in range(ingest.SPECS + 1)], "spec string")).count() == 3999
+    assert store.read_for(ids, none, before=0).columns == columns and store.read_for(ids, none, before=0).count() == 0
+
+
+def test_a_stream_with_bases_in_buckets(spark, tmp_path, monkeypatch):
+    """Batches of index actions, drops and purges over compacted bases give what single batches in turn give."""
+    import json
+
+    monkeypatch.setattr(ingest.Snapshot.__init__, "__defaults__", (2, 8))
+    at, state = tmp_path / "in", spark.createDataFrame([], ingest.SNAPSHOT)
+    at.mkdir()
+    for b in range(5):
+        acts = [{"hubId": f"h{(7 * b + i) % 30}", "dataset": f"s{(7 * b + i) % 30 % 4}", "graphUri": "g", "action": "index", "contentHash": f"{b}-{i % 3}", "modification_date": f"2024-01-0{b + 1} 00:00:00"} for i in range(12)]
+        acts += [{"dataset": f"s{b % 4}", "action": "clear_orphans", "modification_date": f"2024-01-0{b} 12:00:00"}] if b % 2 else [{"dataset": f"s{(b + 1) % 4}", "action": "drop_dataset"}]
+        (at / f"{b}.json").write_text("\n".join(map(json.dumps, acts)))
+        ingest.stream_bulk(spark, str(at), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+        batch = spark.createDataFrame([tuple(a.get(c) for c in ("hubId", "dataset", "graphUri", "action", "contentHash", "modification_date")) + (None, i) for i, a in enumerate(acts)], "hubId string, dataset string, graphUri string, action string, contentHash string, modification_date string, acceptanceMode string, seq long")
+        state = spark.createDataFrame(ingest.apply_bulk_batch(state, batch).collect(), ingest.SNAPSHOT)
+    want = {(r.hub_id, r.content_hash) for r in state.collect()}
+    assert {(r.hub_id, r.content_hash) for r in ingest.Snapshot(spark, str(tmp_path / "out")).read().collect()} == want and want
+    assert list((tmp_path / "out").glob("b-*/buckets=8/bucket=*"))
