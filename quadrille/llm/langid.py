@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bytes_of, slices, spread31
 
-#: Bounds of the training sample: languages (the commonest), documents of each, windows of a document, bytes of a window.
-SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 64, 300, 48, 48
+#: Bounds of the training sample: documents, documents of a language, windows of a document, bytes of a window.
+SAMPLE_ROWS, SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 19_200, 300, 48, 48
 HIDDEN, EMBED = 8, 16
 #: Positions that a window answers for, and bytes that each direction reads before them.
 STRIDE, CONTEXT = 448, 32
@@ -186,19 +186,29 @@ def trained(x: np.ndarray, langs: np.ndarray, classes: int, steps: int = 800, ba
     return net
 
 
-def sample(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int = SAMPLE_LANGS) -> DataFrame:
-    """(lang, doc_id, at, window) of at most ``docs`` documents of each of the ``langs`` commonest languages.
+def within_share(spread: Column, n: Column, wanted: Column) -> Column:
+    """Whether a value spread evenly over 31 bits is among about the ``wanted`` least of n; in doubles, since the product may pass a long."""
+    return spread.cast("double") * n.cast("double") <= wanted.cast("double") * F.lit(2.0**31)
 
-    The documents are those of the least hash of doc_id, chosen by id alone; of each come at most
+
+def sample(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, doc_id, at, window) of at most ``docs`` documents of each language, fewer where there are so many languages that ``rows`` would not do, but one at least.
+
+    With ``langs``, only the commonest count. The documents are those of the least hash of doc_id, chosen by id alone; of each come at most
     ``SAMPLE_WINDOWS`` windows of ``SAMPLE_BYTES`` bytes, spread over the whole text.
     """
     named = train.select("doc_id", "lang", "text")
-    common = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(langs).select(F.col("lang").alias("_known"), "_n")
+    common = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    if langs is not None:
+        common = common.orderBy(F.desc("_n"), "lang").limit(langs)
+    each = common.agg(F.greatest(F.lit(1), F.least(F.lit(docs), F.floor(F.lit(rows) / F.count(F.lit(1))))).alias("_docs"))
+    common = common.crossJoin(F.broadcast(each)).select(F.col("lang").alias("_known"), "_n", "_docs")  # each is one row
     first = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    ids = named.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), spread31(5, F.col("doc_id")).alias("_hash")).join(F.broadcast(common), F.col("_lang") == F.col("_known"))
-    # of a large language only about eight times as many go to the task that numbers them
-    ids = ids.filter(F.col("_hash") * F.col("_n") <= F.lit(8.0 * docs * 2**31)).withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= docs).select("_id", "_lang").distinct()
-    rows = named.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", "text")
+    ids = named.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), spread31(5, F.col("doc_id")).alias("_hash")).join(common, F.col("_lang") == F.col("_known"))
+    # of a large language only about eight times as many go to the task that numbers them; at least 64, so that chance leaves enough
+    near = within_share(F.col("_hash"), F.col("_n"), F.greatest(F.lit(64), 8 * F.col("_docs")))
+    ids = ids.filter(near).withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= F.col("_docs")).select("_id", "_lang").distinct()
+    of_ids = named.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +221,13 @@ def sample(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int = SAMPLE_LANGS)
                     held.append(data[s : min(s + SAMPLE_BYTES, b)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(held, pa.binary())], ["lang", "doc_id", "at", "window"])
 
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut_out, "lang string, doc_id long, at long, window binary")
+    return of_ids.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut_out, "lang string, doc_id long, at long, window binary")
 
 
-def fit(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int = SAMPLE_LANGS, steps: int = 800) -> tuple[list[str], Reader | None]:
+def fit(train: DataFrame, docs: int = SAMPLE_DOCS, langs: int | None = None, steps: int = 800) -> tuple[list[str], Reader | None]:
     """Languages and network from (doc_id, text, lang) without nulls.
 
-    The sample, bounded by ``docs`` and ``langs``, goes to one task, which trains the network. Without any
+    The sample, bounded as ``sample`` has it, goes to one task, which trains the network. Without any
     text there is neither.
     """
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import decontaminate, htmltext, langid, pii, topk, toxicity
 
@@ -110,6 +111,22 @@ def test_sample_is_bounded_and_reads_no_other_columns(spark):
     assert len({r.lang for r in rows}) == 2 and len({r.doc_id for r in rows}) == 6 and len(rows) <= 6 * langid.SAMPLE_WINDOWS and max(r["at"] for r in rows) > 18_000
 
 
+def test_every_language_is_sampled_within_the_bound_of_rows(spark):
+    docs = spark.createDataFrame([(i, f"w{i} word", f"l{i % 90}") for i in range(900)], "doc_id long, text string, lang string")
+    per = Counter(r.lang for r in langid.sample(docs).select("lang", "doc_id").distinct().collect())
+    assert len(per) == 90 and set(per.values()) == {10}
+    few = Counter(r.lang for r in langid.sample(docs, rows=200).select("lang", "doc_id").distinct().collect())
+    assert len(few) == 90 and set(few.values()) == {2}
+    assert set(Counter(r.lang for r in langid.sample(docs, rows=5).collect()).values()) == {1}
+
+
+def test_shares_of_languages_of_billions_of_documents(spark):
+    n = 5_000_000_000
+    rows = spark.createDataFrame([(0, n), (1030, n), (1031, n), (2**31 - 1, n), (2**31 - 1, 2400), (2**31 - 1, 2401)], "h long, n long")
+    got = [r[0] for r in rows.select(langid.within_share(F.col("h"), F.col("n"), F.lit(2400))).collect()]
+    assert got == [True, True, False, False, True, False]
+
+
 # ---- toxicity ----
 
 
