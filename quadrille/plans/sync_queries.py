@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import hashtree
 from ..operators import media as M
 from ..operators import sync as S
+from ..operators.tables import shared_folder
 from ..registry import query
 from .bridge import BASE, QSYNC, RDF_TYPE, plain, table
 
@@ -42,6 +46,14 @@ def classify_sync(spark, d):
     return S.classify_sync(table(spark, d, "docs"), table(spark, d, "snapshot"))
 
 
+@_q("SELECT coalesce(a.hub_id, b.hub_id) AS hub_id, CASE WHEN b.hub_id IS NULL THEN 'new' WHEN a.hub_id IS NULL THEN 'orphaned' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'updated' END AS status FROM {docs} a FULL JOIN {snapshot} b ON a.hub_id = b.hub_id")
+def sync_by_tree(spark, d):
+    """The snapshot as a stored hash tree; of leaves without changes no record is read."""
+    path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    hashtree.write_tree(table(spark, d, "snapshot"), path)
+    return hashtree.classify_by_tree(table(spark, d, "docs"), path)
+
+
 @_q("SELECT s, CASE WHEN b THEN 'added' ELSE 'removed' END AS change FROM (SELECT source_uri AS s, TRUE AS b FROM {docs} WHERE source_uri NOT IN (SELECT source_uri FROM {snapshot}) UNION ALL SELECT source_uri, FALSE FROM {snapshot} WHERE source_uri NOT IN (SELECT source_uri FROM {docs}))")
 def diff_subjects(spark, d):
     return S.diff_subjects(table(spark, d, "docs").select(F.col("source_uri").alias("s")), table(spark, d, "snapshot").select(F.col("source_uri").alias("s")))
