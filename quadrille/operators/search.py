@@ -483,13 +483,42 @@ def analyze_nl(c: Column) -> Column:
 # ---- points ----
 
 
+#: Rows of a side of a cell that one part holds, at least, and dense cells of a side at most.
+PART_ROWS, DENSE_CELLS = 10_000, 50_000
+
+
+def dense_parts(points: DataFrame, centres: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (_p, _c): rows of a cell that has too many are dealt into parts by hash.
+
+    A point lies in one part _p and is copied to all parts _c of the cell's centres, a centre the
+    other way, so each pair meets once. A cell is dense above ``PART_ROWS`` rows of a side, or above
+    the side's rows divided by ``DENSE_CELLS`` if that is more; so at most ``DENSE_CELLS`` cells of a
+    side are dense and the table of them, which is broadcast, has a bound. Equal rows share a part.
+    """
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        counted = cut(side.groupBy(*cell).agg(F.count(F.lit(1)).alias("_m")))
+        most = max(PART_ROWS, -(-(counted.agg(F.sum("_m")).first()[0] or 0) // DENSE_CELLS))
+        return counted.filter(F.col("_m") > most).select(*cell, F.ceil(F.col("_m") / most).cast("int").alias(name))
+
+    dense = cut(parts(points, "_np").join(parts(centres, "_nc"), cell, "full_outer"))
+
+    def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*[c for c in side.columns if c not in cell]), F.coalesce(own_n, F.lit(1))).cast("int")
+        rows = side.join(F.broadcast(dense), cell, "left").withColumn(own, place)
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1))).drop("_np", "_nc")
+
+    return dealt(points, "_p", "_np", "_c", "_nc"), dealt(centres, "_c", "_nc", "_p", "_np")
+
+
 def within_distance(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """(centre, hub_id, km): points within a distance of each centre (centre, lat, lon), by the great circle.
 
     Points and centres meet on cells: bands of latitude as high as the distance, cut into columns
     that are at least as wide, so fewer towards the poles and one at them; columns go on across
     longitude 180. A centre looks into its own and the next bands and columns, so no pair of tables
-    is crossed.
+    is crossed. Cells are counted first: the points and the centres of a dense one are dealt into
+    parts that meet each other, so no task gets a whole town.
     """
     high = max(min(km / 111.0, 180.0), 1e-6)
     # how wide the distance is, in degrees of longitude, where a band with the next ones is nearest to a pole
@@ -501,9 +530,10 @@ def within_distance(points: DataFrame, centres: DataFrame, km: float) -> DataFra
     wide = wide.withColumn("_y", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1))).withColumn("_n", columns(F.col("_y")))
     at = column_of(F.col("clon"), F.col("_n"))
     wide = wide.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(at - 1, at + 1), lambda x: F.pmod(x, F.col("_n"))))))
-    cells = points.withColumn("_y", band_of(F.col("lat"))).withColumn("_x", column_of(F.col("lon"), columns(F.col("_y"))))
+    cells = points.select("hub_id", "lat", "lon").withColumn("_y", band_of(F.col("lat"))).withColumn("_x", column_of(F.col("lon"), columns(F.col("_y"))))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    return cells.join(wide, ["_y", "_x"]).withColumn("km", d).filter(F.col("km") <= km).select("centre", "hub_id", F.round("km", 4).alias("km"))
+    cells, wide = dense_parts(cells, wide, ["_y", "_x"])
+    return cells.join(wide, ["_y", "_x", "_p", "_c"]).withColumn("km", d).filter(F.col("km") <= km).select("centre", "hub_id", F.round("km", 4).alias("km"))
 
 
 def in_bbox(points: DataFrame, min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> DataFrame:
