@@ -56,7 +56,8 @@ def write_tree(records: DataFrame, path: str, leaves: int = LEAVES, folders: int
     placed = records.select("spec", "hub_id", "content_hash", leaf_of(leaves).alias("leaf"))
     placed = placed.withColumn("folder", F.pmod(F.xxhash64("spec", "leaf"), F.lit(folders)).cast("int"))
     placed.repartition("folder", "leaf").sortWithinPartitions("folder", "spec", "leaf").write.partitionBy("folder").parquet(f"{path}/records")
-    leaf_digests(records, leaves).write.parquet(f"{path}/leaves")
+    # from what was written, so that the records are made once
+    leaf_digests(records.sparkSession.read.schema("spec string, hub_id string, content_hash string").parquet(f"{path}/records"), leaves).write.parquet(f"{path}/leaves")
 
 
 def read_leaves(spark: SparkSession, path: str, changed: DataFrame, folders: int = FOLDERS) -> DataFrame:

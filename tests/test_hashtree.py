@@ -72,3 +72,11 @@ def test_empty_sides(spark, tmp_path):
     assert {s for _, s in _statuses(_by_tree(spark, [], rows, tmp_path / "a"))} == {"orphaned"}
     assert {s for _, s in _statuses(_by_tree(spark, rows, [], tmp_path / "b"))} == {"new"}
     assert _statuses(_by_tree(spark, [], [], tmp_path / "c")) == []
+
+
+def test_the_snapshot_needs_no_labels(spark, sf_dir):
+    from quadrille.plans.bridge import table
+
+    hashes = table(spark, sf_dir, "snapshot").select("hub_id", "content_hash")
+    assert "Join" not in hashes._jdf.queryExecution().optimizedPlan().toString()
+    assert table(spark, sf_dir, "docs").filter("toxic is not null").count() == table(spark, sf_dir, "labels").count()
