@@ -305,11 +305,11 @@ def media_manifest(spark, d):
 
 @_q("SELECT hub_id, spec, replace(title, chr(34), chr(39)) AS title FROM {docs}")
 def exported_results(spark, d):
-    """All records written as JSON through a converter, and read again."""
+    """All records written as JSON through a converter that has " as ', as raw values do, and read again."""
     from .search_queries import text_docs
 
     path = _scratch(spark)
-    flat = lambda docs: docs.select("hub_id", F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), F.transform(e["value"], lambda x: x["value"]).alias("values"))).alias("flat"))
+    flat = lambda docs: docs.select("hub_id", F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), F.transform(e["value"], lambda x: F.translate(x["value"], '"', "'")).alias("values"))).alias("flat"))
     W.export_results(text_docs(spark, d), flat, path)
     back = spark.read.schema("hub_id string, fields map<string,array<string>>").json(path)
     return back.select("hub_id", F.col("fields")["edm_dataProvider"][0].alias("spec"), F.col("fields")["dc_title"][0].alias("title"))

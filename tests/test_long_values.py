@@ -6,7 +6,7 @@ from test_catalog import cell
 
 from quadrille import catalog
 
-CUT = ["more_like_this_fields"]
+CUT = ["more_like_this_fields", "exported_results"]
 
 
 @pytest.fixture(scope="module")
