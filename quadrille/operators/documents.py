@@ -16,19 +16,19 @@ KEEP_ORDER = ["qterm_thumbSmall", "qterm_thumbLarge", "qterm_thumbnail", "qterm_
 NOT_FOLLOWED = [FOAF + "primaryTopic", ORE + "isAggregatedBy", "http://creativecommons.org/ns#attributionURL", EDM + "isShownAt"]
 
 
-def _fields(quads: DataFrame) -> DataFrame:
+def _fields(quads: DataFrame, whole: bool = False) -> DataFrame:
     """(graph, field, entries): entries of a field, each once; in natural order but for media fields."""
     labelled = search_fields(filter_properties(resolve_labels(quads)))
-    entry = index_entry(F.col("label"), F.col("o_kind"), F.col("label_lang"), F.col("o"))
+    entry = index_entry(F.col("label"), F.col("o_kind"), F.col("label_lang"), F.col("o"), whole)
     key = F.when(F.col("label_of").isin(KEEP_ORDER), F.col("o")).otherwise(natural_key(F.left("label", F.lit(256))))
     item = F.struct(key.alias("k"), entry.alias("e"))
-    # truncated before it is collected; a set per (graph, field) first, then the map per graph
+    # truncated, if at all, before it is collected; a set per (graph, field) first, then the map per graph
     return labelled.groupBy("graph", F.col("label_of").alias("field")).agg(F.array_sort(F.collect_set(item)).alias("_items"))
 
 
-def to_flat_docs(quads: DataFrame) -> DataFrame:
-    """(graph, fields): map from search label to array(struct(type, id, value, raw, lang))."""
-    per = _fields(quads).select("graph", F.struct("field", F.transform("_items", lambda x: x["e"]).alias("entries")).alias("_f"))
+def to_flat_docs(quads: DataFrame, whole: bool = False) -> DataFrame:
+    """(graph, fields): map from search label to array(struct(type, id, value, raw, lang)); with ``whole`` no value is cut."""
+    per = _fields(quads, whole).select("graph", F.struct("field", F.transform("_items", lambda x: x["e"]).alias("entries")).alias("_f"))
     return per.groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
 
 
@@ -130,16 +130,17 @@ def record_summaries(quads: DataFrame) -> DataFrame:
     return per.withColumn("_pairs", pairs).select("graph", F.coalesce(*[filled(f"_caption{k}") for k in range(len(CAPTIONS))]).alias("captions"), points.alias("points"), F.col("_thumbnail.o").alias("thumbnail"), F.struct(*legacy).alias("legacy"))
 
 
-def build_records(quads: DataFrame, org: str, at: Column | None = None, kind: str = "mdr") -> DataFrame:
+def build_records(quads: DataFrame, org: str, at: Column | None = None, kind: str = "mdr", whole: bool = False) -> DataFrame:
     """(hub_id, spec, source_uri, graph, fields, point, system, legacy) of every record graph.
 
     ``at`` is the time of creation and change, now if not given; ``kind`` is part of the path of the preview.
+    With ``whole`` values are kept at any length, as conversions and exports need them.
     """
     at = F.current_timestamp() if at is None else at
     source = F.regexp_replace("graph", "/graph$", "")
     spec = F.element_at(F.split(source, "/"), -2)
     hub = hub_id_from_graph(F.col("graph"), org, spec)
-    return to_flat_docs(quads).join(record_summaries(quads), "graph", "left").select(
+    return to_flat_docs(quads, whole).join(record_summaries(quads), "graph", "left").select(
         hub.alias("hub_id"),
         spec.alias("spec"),
         source.alias("source_uri"),

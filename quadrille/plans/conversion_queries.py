@@ -20,7 +20,7 @@ def records(spark, d):
     """Documents with fields of several schemas, a point, and a legacy block."""
     docs = table(spark, d, "docs")
     null = F.lit(None).cast("string")
-    e = lambda *cs: F.array(*[index_entry(c, F.lit("Literal"), null) for c in cs])
+    e = lambda *cs: F.array(*[index_entry(c, F.lit("Literal"), null, whole=True) for c in cs])
     landing = F.when(F.col("doc_id") % 3 == 0, F.lit("file:///opt/x")).otherwise(F.concat(F.lit("http://l/"), "doc_id"))
     fields = F.create_map(
         F.lit("dc_title"), e(F.col("title")), F.lit("qterm_material"), e(F.col("lang"), F.col("spec")), F.lit("edm_object"), e(F.concat(F.lit("http://img/"), "doc_id")),

@@ -5,8 +5,10 @@ import pytest
 from test_catalog import cell
 
 from quadrille import catalog
+from quadrille.operators import convert, documents
+from quadrille.schemas import QUAD
 
-CUT = ["more_like_this_fields", "exported_results"]
+CUT = ["more_like_this_fields", "exported_results", "convert_defaults"]
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +41,11 @@ def test_values_are_whole(spark, long_dir, name):
     rel = c.sql(catalog.ORACLE_SQL[name])
     want = sorted([cell(r[rel.columns.index(k)]) for k in columns] for r in rel.fetchall())
     assert sorted([cell(r[k]) for k in columns] for r in df.collect()) == want and want
+
+
+def test_records_convert_whole_values_of_their_graphs(spark):
+    title = "http://purl.org/dc/elements/1.1/title"
+    rows = [("http://x/s/1/graph", "http://x/s/1", "URIRef", title, "t" * 40000 + end, "Literal", None, None) for end in "ab"]
+    quads = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in QUAD))
+    sizes = lambda docs: [len(v) for x in convert.convert(docs, "ese").first().flat if x.key == "dc_title" for v in x["values"]]
+    assert sizes(documents.build_records(quads, "demo", whole=True)) == [40001, 40001]
