@@ -8,7 +8,7 @@ from quadrille import catalog
 from quadrille.operators import convert, documents
 from quadrille.schemas import QUAD
 
-CUT = ["more_like_this_fields", "exported_results", "convert_defaults", "convert_icn", "convert_tib", "convert_ese", "convert_abm"]
+CUT = ["more_like_this_fields", "exported_results", "convert_defaults", "convert_icn", "convert_tib", "convert_ese", "convert_abm", "convert_v2"]
 
 
 @pytest.fixture(scope="module")
