@@ -21,9 +21,9 @@ def records(spark, d):
     docs = table(spark, d, "docs")
     null = F.lit(None).cast("string")
     e = lambda *cs: F.array(*[index_entry(c, F.lit("Literal"), null, whole=True) for c in cs])
-    landing = F.when(F.col("doc_id") % 3 == 0, F.lit("file:///opt/x")).otherwise(F.concat(F.lit("http://l/"), "doc_id"))
+    landing = F.when(F.col("doc_id") % 3 == 0, F.lit("file:///opt/x")).otherwise(F.concat_ws("", F.lit("http://l/"), "doc_id"))
     fields = F.create_map(
-        F.lit("dc_title"), e(F.col("title")), F.lit("qterm_material"), e(F.col("lang"), F.col("spec")), F.lit("edm_object"), e(F.concat(F.lit("http://img/"), "doc_id")),
+        F.lit("dc_title"), e(F.col("title")), F.lit("qterm_material"), e(F.col("lang"), F.col("spec")), F.lit("edm_object"), e(F.concat_ws("", F.lit("http://img/"), "doc_id")),
         F.lit("custom_x"), e(F.col("spec")), F.lit("qterm_resourceUri"), e(F.lit("r")), F.lit("qsync_synced"), e(F.lit("true")), F.lit("edm_isShownAt"), e(landing),
     )
     point = F.when(F.col("doc_id") % 4 == 0, F.array(F.concat(F.lit("52."), (F.col("doc_id") % 90) + 10, F.lit(",4.5"))))
@@ -32,7 +32,10 @@ def records(spark, d):
 
 
 def _rows(df):
-    return df.select("hub_id", F.explode("flat").alias("x")).select("hub_id", F.col("x.key").alias("key"), F.array_join("x.values", "|").alias("vals"))
+    """(hub_id, key, vals): the values of each key; one that is missing keeps its place, and a key of that one value alone has none."""
+    values = F.col("x.values")
+    vals = F.when(F.size(values) == 1, values[0]).otherwise(F.array_join(values, "|", ""))
+    return df.select("hub_id", F.explode("flat").alias("x")).select("hub_id", F.col("x.key").alias("key"), vals.alias("vals"))
 
 
 _OBJ = "concat('http://img/', doc_id)"
