@@ -6,7 +6,7 @@ from test_catalog import cell
 
 from quadrille import catalog
 
-MISSING = ["convert_icn", "convert_tib"]
+MISSING = ["convert_icn", "convert_tib", "convert_ese"]
 
 
 @pytest.fixture(scope="module")
