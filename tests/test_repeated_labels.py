@@ -6,7 +6,7 @@ from test_catalog import cell
 
 from quadrille import catalog
 
-REPEATED = ["convert_tib", "convert_ese"]
+REPEATED = ["convert_tib", "convert_ese", "convert_abm"]
 
 
 @pytest.fixture(scope="module")
