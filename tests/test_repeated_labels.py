@@ -6,7 +6,7 @@ from test_catalog import cell
 
 from quadrille import catalog
 
-REPEATED = ["convert_tib", "convert_ese", "convert_abm"]
+REPEATED = ["convert_tib", "convert_ese", "convert_abm", "convert_v2"]
 
 
 @pytest.fixture(scope="module")
