@@ -95,3 +95,30 @@ def test_more_like_this_query_reads_whole_texts(spark, sf_dir):
         got[r.hub_id].append(r.score)
     want = {d: s for d, s in ranked_by_brute_force(texts, 10, 12).items() if s}
     assert {d: sorted(s, reverse=True) for d, s in got.items()} == {d: pytest.approx(s, abs=2e-3) for d, s in want.items()}
+
+
+def exact_ranks(texts, k, terms):
+    tf = {d: Counter(t.split()) for d, t in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log(1 + len(texts) / n) for t, n in df.items() if n >= 2}
+    out = {}
+    for d, c in tf.items():
+        top = sorted((-round(n * idf[t], 6), t) for t, n in c.items() if t in idf)[:terms]
+        score = {e: round(sum(-w * idf[t] for w, t in top if t in o), 4) for e, o in tf.items() if e != d}
+        out[d] = sorted(((-s, e) for e, s in score.items() if s > 0))[:k]
+    return out
+
+
+def test_more_like_this_looks_beyond_the_head_only_where_it_must(spark, monkeypatch):
+    texts = {f"d{i:04}": " ".join(["common"] * (i % 4 + 1) + [f"w{i % 5}", f"x{i % 90}"] * (1 + i % 2)) for i in range(900)} | {"e1": "rare once", "e2": "rare twice"}
+    tables, kept = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df: tables.append(kept(df)) or tables[-1])
+    monkeypatch.setattr(search, "HEAD_DOCS", 400)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 200)
+    got = defaultdict(list)
+    for r in search.more_like_this(spark.createDataFrame(list(texts.items()), "hub_id string, text string"), F.col("text"), 3, terms=3).collect():
+        got[r.hub_id].append((-r.score, r.related))
+    want = {d: s for d, s in exact_ranks(texts, 3, 3).items() if s}
+    assert {d: [e for _, e in sorted(s)] for d, s in got.items()} == {d: [e for _, e in s] for d, s in want.items()}
+    # all but the two rare records find their three best, with all of their terms, in the head; before, each met all blocks
+    assert [r.hub_id for r in tables[-1].filter("need > 0").orderBy("hub_id").collect()] == ["e1", "e2"]
