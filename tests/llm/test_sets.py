@@ -136,6 +136,16 @@ def test_a_common_passage_connects_nothing_else(spark, documents):
     assert jaccard.stars(filed, 80).count() == 0
 
 
+def test_copies_in_several_tasks_share_nothing(spark):
+    text = " ".join(f"word{k}" for k in range(400))
+    one = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    # a task each, so that none meets another's copy
+    copies = spark.createDataFrame([(k, text) for k in range(4)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    grams = lambda docs: {(r.h, r.fp) for r in jaccard.filed(docs, jaccard.fingerprints(docs, 5, 80), 5, 80).collect()}
+    assert grams(copies) == grams(one)
+    assert sorted(map(tuple, jaccard.join(copies, 5, 80).collect())) == [(k, 396, 0) for k in range(4)]
+
+
 def test_join_edges(spark, edges, nothing):
     got = {r.doc_id: r for r in jaccard.join(edges, 3, 90).collect()}
     assert got[1].n_shingles == got[2].n_shingles == got[3].n_shingles == 0 and got[2].component_id == 2
