@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import hub_id_from_graph, rebase_uri
 from ..functions.namespaces import DC, EDM, FOAF, ORE, QTERM, TYPE, WGS84
 from ..functions.text import index_entry, natural_key
+from ..schemas import QUAD
 from .graph import CAPTIONS, THUMBNAILS, captions, filter_properties, graph_profile, pick_thumbnail, rank_of, resolve_labels, search_fields
+from .tables import kept
 
 # Media fields whose values keep the order of the media.
 KEEP_ORDER = ["qterm_thumbSmall", "qterm_thumbLarge", "qterm_thumbnail", "qterm_deepZoomUrl", "edm_hasView"]
@@ -32,15 +34,19 @@ def to_flat_docs(quads: DataFrame, whole: bool = False) -> DataFrame:
     return per.groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
 
 
+def _may_lead(record: Column) -> Column:
+    """Whether a triple may be followed, if its object has triples of its own: it is a resource, but not the record, not the subject itself and not by a predicate of NOT_FOLLOWED."""
+    return (F.col("o_kind") != "Literal") & ~F.col("p").isin(NOT_FOLLOWED) & (F.col("o") != record) & (F.col("o") != F.col("s"))
+
+
 def followed(quads: DataFrame) -> DataFrame:
     """The triples whose object may be followed: a resource with triples of its own in the graph, but not the record, not the subject itself and not by a predicate of NOT_FOLLOWED."""
-    record = F.regexp_replace("graph", "/graph$", "")
-    links = quads.filter((F.col("o_kind") != "Literal") & ~F.col("p").isin(NOT_FOLLOWED) & (F.col("o") != record) & (F.col("o") != F.col("s")))
+    links = quads.filter(_may_lead(F.regexp_replace("graph", "/graph$", "")))
     told = quads.filter(F.col("p") != TYPE).select(F.col("graph").alias("_g"), F.col("s").alias("_t")).distinct()
     return links.join(told, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_t")), "left_semi")
 
 
-def _resources(others: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+def _resources(others: DataFrame, depth: int) -> DataFrame:
     """(_g, _s, inline): the fields of every resource in ``others``, by name its raw values; above depth 1 each value with the fields of what it links to."""
     raw = F.left("label", F.lit(256)).alias("raw")
     if depth <= 1:
@@ -48,18 +54,21 @@ def _resources(others: DataFrame, links: DataFrame, depth: int) -> DataFrame:
         names = F.array_distinct(F.transform("_pairs", lambda x: x["field"]))
         fields = pairs.withColumn("inline", F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("_pairs", lambda x: x["field"] == n), lambda x: x["raw"]))))
     else:
-        joined = _linked(others.dropDuplicates(["graph", "s", "p", "o", "label"]), others, links, depth - 1)
+        joined = _linked(others.dropDuplicates(["graph", "s", "p", "o", "label"]), others, depth - 1)
         by_raw = lambda a, b: F.when(a["raw"] < b["raw"], -1).when(a["raw"] > b["raw"], 1).otherwise(0)
-        per = joined.groupBy("graph", "s", "label_of").agg(F.array_sort(F.collect_list(F.struct(raw, "inline")), by_raw).alias("values"))
+        # dealt by resource once, for both groupings and the join that follows
+        per = joined.select("graph", "s", "label_of", raw, "inline").repartition("graph", "s").groupBy("graph", "s", "label_of").agg(F.array_sort(F.collect_list(F.struct("raw", "inline")), by_raw).alias("values"))
         fields = per.groupBy("graph", "s").agg(F.map_from_entries(F.collect_list(F.struct("label_of", "values"))).alias("inline"))
     return fields.select(F.col("graph").alias("_g"), F.col("s").alias("_s"), "inline")
 
 
-def _linked(rows: DataFrame, others: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """Rows with ``inline``: the fields of what their triple leads to, null if it is not followed."""
-    near = _resources(others, links, depth)
-    of = links.select("graph", "s", "p", "o").distinct().join(near, (F.col("graph") == F.col("_g")) & (F.col("o") == F.col("_s"))).drop("_g", "_s")
-    return rows.join(of, ["graph", "s", "p", "o"], "left")
+def _linked(rows: DataFrame, others: DataFrame, depth: int) -> DataFrame:
+    """Rows with ``inline``: the fields of the resource ``to`` that their triple leads to, null if it is not followed.
+
+    Fields stay where they were grouped; the rows are dealt to them.
+    """
+    near = _resources(others, depth)
+    return rows.join(near, (F.col("graph") == F.col("_g")) & (F.col("to") == F.col("_s")), "left").drop("_g", "_s")
 
 
 def to_nested_docs(quads: DataFrame, depth: int = 2) -> DataFrame:
@@ -67,14 +76,17 @@ def to_nested_docs(quads: DataFrame, depth: int = 2) -> DataFrame:
 
     ``inline`` maps names to raw values; with a depth of 3 or more, to structs of the raw value and the
     next level. What is followed is as ``followed`` says; deeper links may lead back to a resource
-    further up, where the depth ends them.
+    further up, where the depth ends them. Triples and fields are made and written once,
+    however many levels read them.
     """
     record = F.regexp_replace("graph", "/graph$", "")
-    shown = search_fields(filter_properties(resolve_labels(quads)))
+    quads = kept(quads.select(*QUAD))
+    # what has fields has triples of its own, as ``followed`` asks
+    shown = kept(search_fields(filter_properties(resolve_labels(quads))).select("graph", "s", "p", "o", "o_kind", "label", "label_lang", "label_of", F.when(_may_lead(record), F.col("o")).alias("to")))
     own, others = shown.filter(F.col("s") == record), shown.filter(F.col("s") != record)
-    joined = _linked(own, others, followed(quads), depth - 1) if depth > 1 else own.withColumn("inline", F.lit(None).cast("map<string,array<string>>"))
+    joined = _linked(own, others, depth - 1) if depth > 1 else own.withColumn("inline", F.lit(None).cast("map<string,array<string>>"))
     entry = F.struct(F.col("o_kind").alias("type"), F.when(F.col("o_kind") != "Literal", F.col("o")).alias("id"), F.col("label").alias("value"), F.col("label_lang").alias("lang"), "inline")
-    per = joined.groupBy("graph", F.col("label_of").alias("field")).agg(F.collect_list(entry).alias("entries"))
+    per = joined.select("graph", F.col("label_of").alias("field"), entry.alias("entry")).repartition("graph").groupBy("graph", "field").agg(F.collect_list("entry").alias("entries"))
     fields = per.select("graph", F.struct("field", "entries").alias("_f")).groupBy("graph").agg(F.map_from_entries(F.collect_list("_f")).alias("fields"))
     about = graph_profile(quads).join(captions(quads), "graph", "left").join(pick_thumbnail(quads), "graph", "left").select("graph", F.struct("classes", F.col("predicates").alias("properties"), "languages", "captions", "thumbnail").alias("about"))
     return about.join(fields, "graph", "left")
