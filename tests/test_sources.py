@@ -253,3 +253,19 @@ def test_summaries_are_those_of_the_single_operators(spark, sf_dir):
     for df, name in ((graph.captions(quads), "captions"), (graph.geo_points(quads), "points"), (graph.pick_thumbnail(quads), "thumbnail")):
         want = {r.graph: r[name] for r in df.collect()}
         assert want and all(got[g][name] == want.get(g) for g in got), name
+
+
+def test_payloads_are_made_and_parsed_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            asked.add(len(b))
+            yield b
+
+    texts = spark.createDataFrame([("g1", '{"@id": "urn:a", "urn:p": "x"}'), ("g2", "[broken"), ("g3", '<urn:a> <urn:p> "y" .\nno statement')], "graph string, rdf string").mapInPandas(made, "graph string, rdf string")
+    quads, errors = rdf.parse_rdf_payload(texts, "rdf", "graph")
+    both = quads.select("graph", F.lit("quad").alias("kind")).unionByName(errors.select("graph", F.lit("error").alias("kind")))
+    assert sorted(map(tuple, both.collect())) == [("g1", "quad"), ("g2", "error"), ("g3", "error"), ("g3", "quad")]
+    assert asked.value == 3
+    assert "MapInPandas" not in both._jdf.queryExecution().executedPlan().toString()
