@@ -122,3 +122,18 @@ def test_more_like_this_looks_beyond_the_head_only_where_it_must(spark, monkeypa
     assert {d: [e for _, e in sorted(s)] for d, s in got.items()} == {d: [e for _, e in s] for d, s in want.items()}
     # all but the two rare records find their three best, with all of their terms, in the head; before, each met all blocks
     assert [r.hub_id for r in tables[-1].filter("need > 0").orderBy("hub_id").collect()] == ["e1", "e2"]
+
+
+def test_more_like_this_with_a_condition_looks_beyond_the_head_only_where_it_must(spark, monkeypatch):
+    texts = {f"d{i:04}": f"common common w{i % 5}" for i in range(600)}
+    tables, kept = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df: tables.append(kept(df)) or tables[-1])
+    monkeypatch.setattr(search, "HEAD_DOCS", 200)
+    docs = spark.createDataFrame([(d, {"t": [t]}) for d, t in texts.items()], "hub_id string, words map<string,array<string>>")
+    docs = docs.select("hub_id", F.transform_values("words", lambda _, v: F.transform(v, lambda x: F.struct(x.alias("value")))).alias("fields"))
+    got = defaultdict(list)
+    for r in search.more_like_this(docs, ["t.value"], 3, terms=2, where=F.col("hub_id") >= "d0100").collect():
+        got[r.hub_id].append(r.related)
+    like = lambda d: [e for e in texts if e >= "d0100" and e != d and texts[e] == texts[d]][:3]
+    assert {d: sorted(e) for d, e in got.items()} == {d: like(d) for d in texts}
+    assert tables[-1].filter("need > 0").isEmpty()
